@@ -1,0 +1,100 @@
+"""Inputs the registered queries derive from the given tables.
+
+Every derivation is plain SQL that both Spark and the checking engine run
+unchanged, so an operator and its check start from the same rows. ``{name}``
+is a given table or another derivation.
+"""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import DataFrame, SparkSession
+
+BASE_TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
+).split()
+
+_CUT = "instr(substring(url, 9, 4000), '/')"
+
+DERIVED: dict[str, str] = {}
+
+# pages with varied paths and the markup the raw corpus lacks
+DERIVED["audit_pages"] = f"""
+SELECT page_id,
+  concat(substring(url, 1, {_CUT} + 7),
+    CASE page_id % 8 WHEN 0 THEN '/docs/guides/api' WHEN 1 THEN '/docs' WHEN 2 THEN '/reference/functions'
+      WHEN 3 THEN '' WHEN 4 THEN '/blog' WHEN 5 THEN '/tutorials/getting-started'
+      WHEN 6 THEN '/API/v1-refrence_guide' ELSE '/how-to/Configration' END,
+    substring(url, {_CUT} + 8, 4000)) AS url,
+  replace(replace(html, '</head>', concat(
+    CASE page_id % 3 WHEN 0 THEN concat('<link rel="canonical" href="', url, '">')
+      WHEN 1 THEN concat('<link href="', url, '" rel="canonical">') ELSE '' END,
+    CASE page_id % 4
+      WHEN 0 THEN '<meta property="og:title" content="T"><meta property="og:description" content="D"><meta property="og:image" content="I"><meta property="og:type" content="article">'
+      WHEN 1 THEN '<meta content="Only title" property="og:title"><meta property="og:title" content="First">' ELSE '' END,
+    CASE page_id % 6
+      WHEN 0 THEN '<script type="application/ld+json">{{"@context": "https://schema.org", "@type": "TechArticle", "headline": "H", "author": "A", "datePublished": "2024-01-01"}}</script>'
+      WHEN 1 THEN '<script type="application/ld+json">{{"@type": "TechArticle", "headline": "H", "datePublished": "2024-01-01"}}</script>'
+      WHEN 2 THEN '<script type="application/ld+json">{{"@type": ["Course", "Thing"], "name": "N"}}</script>'
+      WHEN 3 THEN '<script type="application/ld+json">{{"@type": "HowTo", broken</script>'
+      WHEN 4 THEN '<script type="application/ld+json">{{"@type": "BreadcrumbList", "itemListElement": []}}</script><script type="application/ld+json">{{"@type": "WebSite", "name": "S"}}</script>'
+      ELSE '' END,
+    CASE WHEN page_id % 7 = 0 THEN '<meta name="robots" content="NOINDEX, follow">'
+         WHEN page_id % 7 = 1 THEN '<meta content="index" name="robots">' ELSE '' END,
+    CASE WHEN page_id % 7 < 3 THEN concat('<meta name="description" content="Learn about widget number ', CAST(page_id AS STRING), ', quickly and easily.">') ELSE '' END,
+    CASE page_id % 5
+      WHEN 0 THEN '<link rel="alternate" type="text/markdown" href="/md/page.md">'
+      WHEN 1 THEN '<link type="text/markdown" rel="alternate" href="https://md.example.com/p.md">'
+      WHEN 2 THEN '<link href="raw.md" rel="alternate" type="text/markdown">' ELSE '' END,
+    '</head>')),
+  '</article>', concat(
+    CASE page_id % 5
+      WHEN 0 THEN '<h2>Getting <em>started</em></h2><h2>Usage</h2><h2>Limits</h2>'
+      WHEN 1 THEN '<h3>Deep first</h3>' WHEN 2 THEN '<h1>Second title</h1><h2>Part</h2>'
+      WHEN 3 THEN '<h2> </h2><h2 class="x">Kept</h2><h4>Skip</h4>' ELSE '' END,
+    CASE page_id % 4
+      WHEN 0 THEN '<pre><code class="language-python">print(1 + 2) # since version 2.1</code></pre>'
+      WHEN 1 THEN '<pre>plain block of text</pre>'
+      WHEN 2 THEN 'Use <code>alpha</code>, <code>const beta = 1</code> and <code class="lang-js x">gamma =&gt; delta</code>. Run npm install now.' ELSE '' END,
+    CASE page_id % 8
+      WHEN 0 THEN '<img src="/a.png" alt="A picture" title="Cap">' WHEN 1 THEN '<img src="/b.png">'
+      WHEN 2 THEN '<iframe src="https://www.youtube.com/embed/1"></iframe>' WHEN 3 THEN '<form action="/go"><input name="q"></form>'
+      WHEN 4 THEN '<video src="/v.mp4"></video><iframe src="https://player.vimeo.com/2"></iframe>' ELSE '' END,
+    CASE WHEN page_id % 9 = 0 THEN '<table><tr><th>Parameter</th><th>Type</th></tr><tr><td><code>a</code></td><td>Field</td><td>required</td></tr></table> GET /x and POST /y' ELSE '' END,
+    CASE WHEN page_id % 11 = 0 THEN '<div id="root"> </div>' ELSE '' END,
+    CASE WHEN page_id % 3 = 0 THEN '<a href="https://other.example.com/docs/x?y=1">Other <b>site</b></a><a href="mailto:a@b.c">Mail</a><a href="#top">Top</a><a href="https://github.io/z">Zed</a><a href="/guide.md">Guide md</a>'
+         WHEN page_id % 3 = 1 THEN concat('<a href="sub/child">Child</a><a href="../up/./one">Up</a><a href="', url, '">Self</a><a href="https://twitter.com/q"></a><a href="/the?x=1#f">the again</a>')
+         ELSE '<a href="javascript:void(0)">Js</a><a href="?page=3">Next</a><a href="//cdn.example.com/lib">Cdn</a><a href="/docs/guides/">Guides</a><a href="/and">And twice</a>' END,
+    '</article>')) AS html
+FROM {{pages}}
+"""
+
+# one crawl target per audited page: site base URL and host
+DERIVED["sites"] = f"""
+SELECT DISTINCT substring(url, 1, {_CUT} + 7) AS base_url FROM {{pages}}
+"""
+
+
+def _names(text: str) -> list[str]:
+    return sorted(set(re.findall(r"\{(\w+)\}", text)))
+
+
+def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in BASE_TABLES:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    text = DERIVED[name].replace("{", "{{").replace("}", "}}")
+    wanted = _names(DERIVED[name])
+    for w in wanted:
+        text = text.replace("{{" + w + "}}", "{" + w + "}")
+    return spark.sql(text, **{w: spark_table(spark, sf_dir, w) for w in wanted})
+
+
+def oracle_table(name: str) -> str:
+    """The same derivation as a parenthesised subquery for the checking engine."""
+    if name in BASE_TABLES:
+        return name
+    text = DERIVED[name]
+    for w in _names(text):
+        text = text.replace("{" + w + "}", oracle_table(w))
+    return "(" + text.strip() + ")"
