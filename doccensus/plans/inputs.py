@@ -70,6 +70,38 @@ SELECT page_id,
 FROM {{pages}}
 """
 
+# documents as markdown with headings, lists, tables, fences and links
+DERIVED["markdown_docs"] = """
+SELECT doc_id, source, concat('Notes on ', substring(replace(text, chr(10), ' '), 1, 24)) AS title,
+  concat('https://docs.example.com/en/', CAST(doc_id AS STRING)) AS url,
+  concat(
+    CASE doc_id % 4 WHEN 0 THEN concat('# Overview of parts', chr(10), chr(10))
+      WHEN 1 THEN concat('# Setup', chr(10), '### Deep', chr(10)) WHEN 2 THEN concat('## Quick start', chr(10)) ELSE '' END,
+    text,
+    CASE WHEN doc_id % 5 = 0 THEN concat(chr(10), chr(10), '- one', chr(10), '* two', chr(10), '3. three', chr(10)) ELSE '' END,
+    CASE WHEN doc_id % 3 = 0 THEN concat(chr(10), '| a | b |', chr(10), '|---|---|', chr(10), '| 1 | 2 |', chr(10), '| 3 | 4 |', chr(10)) ELSE '' END,
+    CASE doc_id % 6 WHEN 0 THEN concat(chr(10), '```python', chr(10), 'x = 1', chr(10), '```', chr(10))
+      WHEN 1 THEN concat(chr(10), '```', chr(10), repeat('long code ', 30), chr(10), '```', chr(10), chr(10), chr(10), chr(10)) ELSE '' END,
+    CASE doc_id % 4 WHEN 0 THEN ' [int](/docs/a) [ext](https://x.org/p) [same](https://docs.example.com/q) ![img](/i.png)'
+      WHEN 1 THEN concat(chr(10), '## Terms', chr(10), '**Term**: meaning <b>x</b>', chr(10), chr(10), chr(10), chr(10), 'end') ELSE '' END) AS md
+FROM {documents}
+"""
+
+# documents as discussion pages with code, errors, tags and stack frames
+DERIVED["posts"] = """
+SELECT doc_id, concat(
+  '<div class="s-prose js-post-body" itemprop="text"><p>', substring(text, 1, 2000), '</p>',
+  CASE doc_id % 4 WHEN 0 THEN '<pre><code class="language-js">const a = await fetch(&quot;/x&quot;); // &lt;tag&gt;</code></pre>'
+    WHEN 1 THEN '<pre><code>short</code></pre><code>let y =&gt; 2</code>' WHEN 2 THEN '<code>plain word</code>' ELSE '' END,
+  CASE doc_id % 5 WHEN 0 THEN concat('TypeError: cannot read value of widget ', CAST(doc_id % 10 AS STRING), chr(10))
+    WHEN 1 THEN concat('Request Failed: upstream closed the socket', chr(10), '500 error: internal failure happened', chr(10)) ELSE '' END,
+  CASE WHEN doc_id % 3 = 0 THEN 'at app.run (main.js:1) at app.boot (main.js:2) at Object.go (lib.js:3)' ELSE ' at one.two (x.js:9)' END,
+  ' see /docs/setup and /docs/api/keys) or /docs/a /docs/b</div></div>',
+  CASE WHEN doc_id % 2 = 0 THEN '<div class="s-prose js-post-body" data-x itemprop="text">Second answer</div> </div>' ELSE '' END,
+  '<a href="/t/1" class="post-tag t1" rel="tag">python</a><a class="post-tag">api-keys </a>') AS html
+FROM {documents}
+"""
+
 # one crawl target per audited page: site base URL and host
 DERIVED["sites"] = f"""
 SELECT DISTINCT substring(url, 1, {_CUT} + 7) AS base_url FROM {{pages}}

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["urls"]
+_MODULES = ["urls", "pages"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
