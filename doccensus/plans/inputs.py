@@ -108,6 +108,114 @@ SELECT DISTINCT substring(url, 1, {_CUT} + 7) AS base_url FROM {{pages}}
 """
 
 
+DERIVED["robots_files"] = """
+SELECT concat('site', CAST(c_custkey AS STRING), '.example.com') AS domain,
+  CASE c_custkey % 12
+    WHEN 0 THEN NULL
+    WHEN 1 THEN concat('User-agent: GPTBot', chr(10), 'User-agent: ClaudeBot', chr(10), 'Disallow: /', chr(10))
+    WHEN 2 THEN concat('User-agent: *', chr(10), 'Disallow: /')
+    WHEN 3 THEN concat('User-agent: *', chr(10), 'Disallow: /', chr(10), 'Allow: /docs', chr(10))
+    WHEN 4 THEN concat('User-agent: GPTBot', chr(10), chr(10), 'User-agent: CCBot', chr(10), 'Disallow: /')
+    WHEN 5 THEN concat('# rules', chr(10), 'USER-AGENT: GPTBot ', chr(10), 'Disallow: /private', chr(10), 'sitemap: https://', c_mktsegment, '.example.com/map.xml ', chr(10))
+    WHEN 6 THEN concat('User-agent: gptbot', chr(10), 'Disallow: /')
+    WHEN 7 THEN concat('User-agent: GPTBot', chr(10), 'Disallow:', chr(10), '# Bingbot is fine', chr(10), 'User-agent: *', chr(10), 'Disallow: /', chr(10))
+    WHEN 8 THEN concat('Sitemap: /relative.xml', chr(10), 'User-agent: *', chr(10), 'Crawl-delay: 2', chr(10), chr(10), 'User-agent: *', chr(10), 'Disallow: /', chr(10))
+    WHEN 9 THEN concat('Disallow: /', chr(10), 'User-agent: Amazonbot', chr(10), '# note', chr(10), 'User-agent: CCBot', chr(10), 'Allow: /', chr(10), 'User-agent: Bytespider', chr(10), 'User-agent: *', chr(10), 'Disallow: /', chr(10), 'Sitemap: https://cdn.example.com/s.xml.gz')
+    WHEN 10 THEN concat('User-agent: *', chr(10), 'Allow: /', chr(10), chr(10), 'User-agent: GPTBot', chr(10), 'Disallow: /x', chr(10), 'Disallow: /y', chr(10), 'Allow: /z', chr(10), 'User-agent: Claude-Web', chr(10), 'Disallow: /tmp')
+    ELSE '' END AS body
+FROM {customer}
+"""
+
+# llms.txt of every site, at most 100 pages per file
+DERIVED["llms_files"] = f"""
+SELECT base_url, bucket, concat('# ', base_url, chr(10), '> Docs of the site', chr(10), '- Basics', chr(10), chr(10), AGGLINES(line, page_id), chr(10),
+  '## OpenAPI Specs', chr(10), '- [spec](https://api.example.com/', CAST(bucket AS STRING), '/openapi.json)', chr(10), 'see https://api.example.com/v2.yaml now', chr(10),
+  '## Optional', chr(10), '- [Extra](', base_url, '/extra): llms-full.txt') AS body
+FROM (SELECT page_id, CAST(floor(page_id / 100) AS BIGINT) AS bucket, substring(url, 1, {_CUT} + 7) AS base_url,
+  CASE page_id % 7
+    WHEN 0 THEN concat('- [Page ', CAST(page_id AS STRING), '](', url, '): About number ', CAST(page_id AS STRING), ' ')
+    WHEN 1 THEN concat('[Rel ', CAST(page_id AS STRING), '](', substring(url, {_CUT} + 8, 4000), ')')
+    WHEN 2 THEN url
+    WHEN 3 THEN concat('- [Md](', url, '.md) trailing')
+    WHEN 4 THEN concat('# Section ', CAST(page_id AS STRING))
+    WHEN 5 THEN concat('- [Bare](guide/', CAST(page_id AS STRING), '.html) : Described')
+    ELSE concat('  - [Up](', base_url_of, '/docs/) text ', url) END AS line
+  FROM (SELECT page_id, url, substring(url, 1, {_CUT} + 7) AS base_url_of FROM {{audit_pages}})) GROUP BY base_url, bucket
+"""
+
+# sitemap files: root index, middle index, leaves of at most 100 pages
+DERIVED["sitemap_files"] = f"""
+SELECT concat(base_url, '/sitemap.xml') AS url, base_url, concat('<?xml version="1.0"?><sitemapindex xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">', AGGLINES(line, top), '</sitemapindex>') AS body
+FROM (SELECT DISTINCT base_url, top, concat('<sitemap><loc>', base_url, '/sitemap-m', CAST(top AS STRING), '.xml</loc></sitemap>') AS line FROM (
+  SELECT substring(url, 1, {_CUT} + 7) AS base_url, CAST(floor(page_id / 100000) AS BIGINT) AS top FROM {{audit_pages}})) GROUP BY base_url
+UNION ALL
+SELECT concat(base_url, '/sitemap-m', CAST(top AS STRING), '.xml') AS url, base_url, concat('<sitemapindex>', AGGLINES(line, bucket), '<sitemap><loc> ', base_url, '/sitemap-m', CAST(top AS STRING), '.xml </loc></sitemap></sitemapindex>') AS body
+FROM (SELECT DISTINCT base_url, top, bucket, concat('<sitemap><loc>', base_url, '/sitemap-', CAST(bucket AS STRING), '.xml</loc></sitemap>') AS line FROM (
+  SELECT substring(url, 1, {_CUT} + 7) AS base_url, CAST(floor(page_id / 100000) AS BIGINT) AS top, CAST(floor(page_id / 100) AS BIGINT) AS bucket FROM {{audit_pages}})) GROUP BY base_url, top
+UNION ALL
+SELECT concat(base_url, '/sitemap-', CAST(bucket AS STRING), '.xml') AS url, base_url, concat('<urlset>', AGGLINES(line, page_id), '</urlset>') AS body
+FROM (SELECT page_id, CAST(floor(page_id / 100) AS BIGINT) AS bucket, substring(url, 1, {_CUT} + 7) AS base_url,
+  concat('<url><loc>', CASE page_id % 6 WHEN 5 THEN 'ftp://x.example.com/f' WHEN 4 THEN 'https://shared.example.com/s' ELSE url END, '</loc></url>') AS line FROM {{audit_pages}}) GROUP BY base_url, bucket
+"""
+
+# robots.txt of every crawled site
+DERIVED["site_robots"] = """
+SELECT base_url, CASE length(base_url) % 5
+    WHEN 0 THEN concat('User-agent: *', chr(10), 'Disallow:', chr(10), 'Sitemap: ', base_url, '/sitemap.xml')
+    WHEN 1 THEN concat('User-agent: GPTBot', chr(10), 'Disallow: /', chr(10), 'Sitemap: ', base_url, '/maps/all.xml.gz')
+    WHEN 2 THEN concat('User-agent: *', chr(10), 'Disallow: /')
+    WHEN 3 THEN concat('User-agent: CCBot', chr(10), 'Disallow: /', chr(10)) ELSE NULL END AS body
+FROM {sites}
+"""
+
+_PROBES = [
+    ("/llms.txt", "llms.txt", 3), ("/docs/llms.txt", "llms.txt", 5), ("/docs/guides/llms.txt", "llms.txt", 7),
+    ("/hinted/llms.txt", "llms.txt", 4), ("/.well-known/llms.txt", "llms.txt", 2), ("/llms-full.txt", "llms-full.txt", 4),
+    ("/docs/llms-full.txt", "llms-full.txt", 3), ("/AGENTS.md", "AGENTS.md", 3), ("/.well-known/mcp.json", "mcp.json", 4),
+    ("/sitemap.xml", "sitemap.xml", 3), ("/sitemap_index.xml", "sitemap.xml", 4), ("/sitemap/sitemap.xml", "sitemap.xml", 5),
+    ("/maps/all.xml.gz", "sitemap.xml", 2), ("/md/page.md", "markdown-alternate", 3), ("/raw.md", "markdown-alternate", 4),
+]
+_TYPE_OF = {"mcp.json": "application/json", "sitemap.xml": "application/xml"}
+DERIVED["fetch_log"] = " UNION ALL ".join(
+    f"""SELECT concat(base_url, '{p}') AS url, '{purpose}' AS purpose, CASE (length(base_url) * 7 + {i}) % {k + 2}
+  WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 404 WHEN 3 THEN 403 WHEN 4 THEN 0 ELSE 500 END AS status_code,
+  CASE (length(base_url) * 7 + {i}) % {k + 2} WHEN 1 THEN 'text/html; charset=utf-8' ELSE '{_TYPE_OF.get(purpose, 'text/plain')}' END AS content_type,
+  CAST(length(base_url) * {i + 3} AS BIGINT) AS duration_ms FROM {{sites}}"""
+    for i, (p, purpose, k) in enumerate(_PROBES)
+) + """ UNION ALL SELECT concat(regexp_replace(url, '/$', ''), '.md') AS url, 'direct-md' AS purpose,
+  CASE page_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 404 ELSE 0 END AS status_code,
+  CASE page_id % 4 WHEN 1 THEN 'text/html' ELSE 'text/markdown' END AS content_type, CAST(page_id % 300 AS BIGINT) AS duration_ms FROM {audit_pages}
+UNION ALL SELECT url, 'content-negotiation' AS purpose, CASE page_id % 6 WHEN 5 THEN 404 ELSE 200 END AS status_code,
+  CASE page_id % 6 WHEN 0 THEN 'text/markdown; charset=utf-8' ELSE 'text/html' END AS content_type, CAST(page_id % 200 AS BIGINT) AS duration_ms FROM {audit_pages}"""
+
+# response headers of every page as plain columns
+DERIVED["page_headers"] = f"""
+SELECT page_id, url, html, CASE page_id % 6
+    WHEN 0 THEN '</hinted/llms.txt>; rel="llms-txt", </hinted/llms-full.txt>; rel="llms-full-txt"'
+    WHEN 1 THEN '<https://md.example.com/h.md>; rel="alternate"; type="text/markdown"'
+    WHEN 2 THEN '</x.md>; type="text/markdown"; rel="alternate"' ELSE '' END AS link,
+  CASE WHEN page_id % 10 = 0 THEN '/docs/llms.txt' ELSE '' END AS x_llms_txt,
+  CASE page_id % 3 WHEN 0 THEN 'Accept, Cookie' ELSE 'Origin' END AS vary,
+  CASE WHEN page_id % 12 = 0 THEN 'noindex' ELSE '' END AS x_robots_tag
+FROM {{audit_pages}}
+"""
+
+# HEAD and GET results of links, several per URL over time
+DERIVED["link_log"] = """
+SELECT event_id, ts, concat('https://site', CAST(user_id % 9 AS STRING), '.example.com/p/', CAST((event_id * 7) % 1500 AS STRING)) AS url,
+  concat('site', CAST(user_id % 9 AS STRING), '.example.com') AS domain,
+  CASE WHEN event_type IN ('view', 'click') THEN 'GET' ELSE 'HEAD' END AS method,
+  CASE event_id % 11 WHEN 0 THEN 404 WHEN 1 THEN 403 WHEN 2 THEN 401 WHEN 3 THEN 500 WHEN 4 THEN 0 WHEN 5 THEN 0 WHEN 6 THEN 301 WHEN 7 THEN 405 ELSE 200 END AS status_code,
+  CASE event_id % 11 WHEN 4 THEN 'timeout' WHEN 5 THEN 'error' ELSE NULL END AS failure,
+  CAST(floor(value) AS BIGINT) AS duration_ms FROM {events}
+"""
+
+# one-file dumps of documents with two top-level sections
+DERIVED["llms_full_files"] = """
+SELECT doc_id, concat('# Part one', chr(10), substring(text, 1, 450), chr(10), '# ', chr(10), substring(text, 451, 300), chr(10), '## Sub', chr(10), '# Rest', chr(10), substring(text, 751, 40000)) AS body FROM {documents}
+"""
+
+
 def _names(text: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", text)))
 
@@ -115,7 +223,9 @@ def _names(text: str) -> list[str]:
 def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BASE_TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = DERIVED[name].replace("{", "{{").replace("}", "}}")
+    text = DERIVED[name]
+    text = re.sub(r"AGGLINES\((\w+), (\w+)\)", r"array_join(transform(array_sort(collect_list(struct(\2, \1))), x -> x.\1), chr(10))", text)
+    text = text.replace("{", "{{").replace("}", "}}")
     wanted = _names(DERIVED[name])
     for w in wanted:
         text = text.replace("{{" + w + "}}", "{" + w + "}")
@@ -126,7 +236,7 @@ def oracle_table(name: str) -> str:
     """The same derivation as a parenthesised subquery for the checking engine."""
     if name in BASE_TABLES:
         return name
-    text = DERIVED[name]
+    text = re.sub(r"AGGLINES\((\w+), (\w+)\)", r"string_agg(\1, chr(10) ORDER BY \2, \1)", DERIVED[name])
     for w in _names(text):
         text = text.replace("{" + w + "}", oracle_table(w))
     return "(" + text.strip() + ")"

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["urls", "pages"]
+_MODULES = ["urls", "pages", "sites"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
