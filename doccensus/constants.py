@@ -230,3 +230,28 @@ EXPECTED_CONTENT_TYPES = {
     "markdown-alternate": ["text/markdown", "text/plain"],
     "direct-md": ["text/markdown", "text/plain", "application/octet-stream"],
 }
+
+# ── Fixed values: scores ────────────────────────────────────────────────
+DIMENSIONS = ["relevance", "freshness", "clarity", "accuracy", "completeness"]
+
+# weight of every dimension, in the order above
+CONTENT_TYPE_WEIGHTS = {
+    "api-reference": [0.15, 0.25, 0.20, 0.30, 0.10],
+    "tutorial": [0.20, 0.20, 0.30, 0.20, 0.10],
+    "conceptual": [0.25, 0.10, 0.35, 0.20, 0.10],
+    "how-to": [0.25, 0.15, 0.25, 0.25, 0.10],
+    "overview": [0.30, 0.15, 0.30, 0.15, 0.10],
+    "reference": [0.15, 0.20, 0.20, 0.35, 0.10],
+    "troubleshooting": [0.25, 0.20, 0.25, 0.25, 0.05],
+    "changelog": [0.20, 0.35, 0.20, 0.20, 0.05],
+    "product-guide": [0.20, 0.15, 0.35, 0.20, 0.10],
+    "mixed": [0.20, 0.20, 0.25, 0.25, 0.10],
+}
+
+GRADES = [("A+", 95), ("A", 90), ("B+", 85), ("B", 75), ("C", 60), ("D", 40)]
+
+PRIORITY_ORDER = {"high": 0, "medium": 1, "low": 2, "best-practice": 3}
+
+CITATION_WEIGHT = 30
+
+LEGACY_AGENTS = ["GPTBot", "Claude-Web", "CCBot", "Google-Extended"]

@@ -10,29 +10,30 @@ from doccensus.functions import urls as U
 from doccensus.functions.common import first_per, map_lookup, round_half_up
 
 
-def probe_candidates(pages: DataFrame, filename: str, hints: Column | None = None) -> DataFrame:
-    """Candidate URLs of a site file per page, in the order they are tried.
+def candidate_array(url: Column | str, filename: str, hints: Column | None = None) -> Column:
+    """Candidates of a site file in the order they are tried: array of (source, url).
 
     Order: header hints, site root, documentation subpath, parent folders,
     ``.well-known``; a URL keeps its first position. Computed inside the row.
     """
-    base = U.base_url("url")
-    sub = U.docs_subpath("url")
+    base, sub = U.base_url(url), U.docs_subpath(url)
     none = F.array().cast("array<struct<source:string,url:string>>")
     tag = lambda source, u: F.struct(F.lit(source).alias("source"), u.alias("url"))
-    parts = [
+    everything = F.concat(
         F.transform(hints, lambda h: tag("link-header", h)) if hints is not None else none,
         F.array(tag("direct-fetch", F.concat(base, F.lit("/" + filename)))),
         F.when(sub.isNotNull(), F.array(tag("subpath-probe", F.concat(base, sub, F.lit("/" + filename))))).otherwise(none),
-        F.transform(U.walk_up("url", filename), lambda w: tag("walk-up-probe", w)),
+        F.transform(U.walk_up(url, filename), lambda w: tag("walk-up-probe", w)),
         F.array(tag("well-known", F.concat(base, F.lit("/.well-known/" + filename)))),
-    ]
-    everything = F.concat(*parts)
-    urls = F.transform(everything, lambda x: x["url"])
-    first = F.filter(everything, lambda x, i: F.array_position(urls, x["url"]) == i + 1)
-    return pages.select("page_id", F.posexplode(first).alias("prio", "cand")).select(
-        "page_id", F.col("prio").cast("long").alias("prio"), F.col("cand.source").alias("source"), F.col("cand.url").alias("url")
     )
+    urls = F.transform(everything, lambda x: x["url"])
+    return F.filter(everything, lambda x, i: F.array_position(urls, x["url"]) == i + 1)
+
+
+def probe_candidates(pages: DataFrame, filename: str, hints: Column | None = None) -> DataFrame:
+    """One row per (page, candidate) with its priority."""
+    rows = pages.select("page_id", F.posexplode(candidate_array("url", filename, hints)).alias("prio", "cand"))
+    return rows.select("page_id", F.col("prio").cast("long").alias("prio"), F.col("cand.source").alias("source"), F.col("cand.url").alias("url"))
 
 
 def probe_ok(log: DataFrame) -> DataFrame:
@@ -59,6 +60,13 @@ def negotiated_markdown(log: DataFrame) -> DataFrame:
     ).select("url").distinct()
 
 
+def good_probes(log: DataFrame) -> DataFrame:
+    """Distinct (url, purpose) pairs that count as found, each by its own rule."""
+    negotiated = F.col("purpose") == "content-negotiation"
+    found = F.col("ok") & (~negotiated | F.col("content_type").contains("text/markdown"))
+    return probe_ok(log).filter(found).select("url", "purpose").distinct()
+
+
 def latest_by_method(log: DataFrame) -> DataFrame:
     """Latest HEAD and GET result of every URL, side by side; one aggregate."""
     order = F.struct("ts", "event_id")

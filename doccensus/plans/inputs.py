@@ -176,17 +176,19 @@ _PROBES = [
     ("/maps/all.xml.gz", "sitemap.xml", 2), ("/md/page.md", "markdown-alternate", 3), ("/raw.md", "markdown-alternate", 4),
 ]
 _TYPE_OF = {"mcp.json": "application/json", "sitemap.xml": "application/xml"}
-DERIVED["fetch_log"] = " UNION ALL ".join(
-    f"""SELECT concat(base_url, '{p}') AS url, '{purpose}' AS purpose, CASE (length(base_url) * 7 + {i}) % {k + 2}
+_PROBE_ROWS = ", ".join(
+    f"({i}, {k + 2}, '{p}', '{purpose}', '{_TYPE_OF.get(purpose, 'text/plain')}')" for i, (p, purpose, k) in enumerate(_PROBES)
+)
+# every site meets the fifteen fixed probe kinds
+DERIVED["fetch_log"] = f"""SELECT concat(base_url, path) AS url, purpose, CASE (length(base_url) * 7 + i) % m
   WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 404 WHEN 3 THEN 403 WHEN 4 THEN 0 ELSE 500 END AS status_code,
-  CASE (length(base_url) * 7 + {i}) % {k + 2} WHEN 1 THEN 'text/html; charset=utf-8' ELSE '{_TYPE_OF.get(purpose, 'text/plain')}' END AS content_type,
-  CAST(length(base_url) * {i + 3} AS BIGINT) AS duration_ms FROM {{sites}}"""
-    for i, (p, purpose, k) in enumerate(_PROBES)
-) + """ UNION ALL SELECT concat(regexp_replace(url, '/$', ''), '.md') AS url, 'direct-md' AS purpose,
+  CASE (length(base_url) * 7 + i) % m WHEN 1 THEN 'text/html; charset=utf-8' ELSE ctype END AS content_type,
+  CAST(length(base_url) * (i + 3) AS BIGINT) AS duration_ms FROM {{sites}} JOIN (VALUES {_PROBE_ROWS}) AS kinds(i, m, path, purpose, ctype) ON length(base_url) > i - 100
+UNION ALL SELECT concat(regexp_replace(url, '/$', ''), '.md') AS url, 'direct-md' AS purpose,
   CASE page_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 404 ELSE 0 END AS status_code,
-  CASE page_id % 4 WHEN 1 THEN 'text/html' ELSE 'text/markdown' END AS content_type, CAST(page_id % 300 AS BIGINT) AS duration_ms FROM {audit_pages}
+  CASE page_id % 4 WHEN 1 THEN 'text/html' ELSE 'text/markdown' END AS content_type, CAST(page_id % 300 AS BIGINT) AS duration_ms FROM {{audit_pages}}
 UNION ALL SELECT url, 'content-negotiation' AS purpose, CASE page_id % 6 WHEN 5 THEN 404 ELSE 200 END AS status_code,
-  CASE page_id % 6 WHEN 0 THEN 'text/markdown; charset=utf-8' ELSE 'text/html' END AS content_type, CAST(page_id % 200 AS BIGINT) AS duration_ms FROM {audit_pages}"""
+  CASE page_id % 6 WHEN 0 THEN 'text/markdown; charset=utf-8' ELSE 'text/html' END AS content_type, CAST(page_id % 200 AS BIGINT) AS duration_ms FROM {{audit_pages}}"""
 
 # response headers of every page as plain columns
 DERIVED["page_headers"] = f"""
@@ -210,6 +212,36 @@ SELECT event_id, ts, concat('https://site', CAST(user_id % 9 AS STRING), '.examp
   CAST(floor(value) AS BIGINT) AS duration_ms FROM {events}
 """
 
+# scores of five dimensions per document
+_DIMS = ["relevance", "freshness", "clarity", "accuracy", "completeness"]
+DERIVED["dimension_results"] = " UNION ALL ".join(
+    f"""SELECT doc_id AS page, '{d}' AS dimension, CASE doc_id % 11 WHEN 0 THEN 'api-reference' WHEN 1 THEN 'tutorial' WHEN 2 THEN 'conceptual' WHEN 3 THEN 'how-to'
+    WHEN 4 THEN 'overview' WHEN 5 THEN 'reference' WHEN 6 THEN 'troubleshooting' WHEN 7 THEN 'changelog' WHEN 8 THEN 'product-guide' WHEN 9 THEN 'mixed' ELSE 'blog-post' END AS content_type,
+    CASE WHEN (doc_id + {k}) % 7 = 0 OR doc_id % 50 = 49 THEN NULL ELSE CAST((doc_id * 13 + {k} * 29 + n_chars) % 101 AS DOUBLE) END AS score,
+    CASE WHEN (doc_id + {k}) % 7 = 0 OR doc_id % 50 = 49 THEN 'failed' WHEN (doc_id + {k}) % 9 = 0 THEN 'retry' ELSE 'complete' END AS status FROM {{documents}}"""
+    for k, d in enumerate(_DIMS)
+)
+DERIVED["findings"] = " UNION ALL ".join(
+    f"""SELECT doc_id AS page, '{d}' AS dimension, {p} AS pos, {t} AS finding FROM {{documents}} WHERE doc_id % {m} <> 1"""
+    for k, d in enumerate(_DIMS)
+    for p, m, t in [(0, 2, "'Content type: mixed (weight: 20%)'"), (1, 3, f"concat('Uses {d} of ', substring(text, 1, 15))"), (2, 5, "concat('Length ', CAST(n_chars AS STRING))"), (3, 4, "'Third'")]
+)
+
+# what each session has written
+DERIVED["artifacts"] = """
+SELECT concat('s', CAST(event_id % 1200 AS STRING)) AS session_id, ts,
+  CASE (event_id * 31 + user_id) % 9 WHEN 0 THEN 'sitemap-health' WHEN 1 THEN 'report' WHEN 2 THEN 'dimensions' WHEN 3 THEN 'content' WHEN 4 THEN 'status' ELSE 'metadata' END AS artifact,
+  CASE user_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'rejected' ELSE 'running' END AS state
+FROM {events} WHERE event_type = 'purchase'
+"""
+
+# knowledge store: one row per audited page, some urls twice
+DERIVED["kb_rows"] = f"""
+SELECT page_id, url, concat('Title ', CAST(page_id AS STRING)) AS title, CASE page_id % 4 WHEN 0 THEN 'tutorial' WHEN 1 THEN 'reference' ELSE 'mixed' END AS documentation_type,
+  CASE WHEN page_id % 5 = 0 THEN NULL ELSE concat('Topic ', CAST(page_id % 17 AS STRING)) END AS topic, 'a;b' AS covers, 'k1;k2' AS key_terms
+FROM {{audit_pages}}
+"""
+
 # one-file dumps of documents with two top-level sections
 DERIVED["llms_full_files"] = """
 SELECT doc_id, concat('# Part one', chr(10), substring(text, 1, 450), chr(10), '# ', chr(10), substring(text, 451, 300), chr(10), '## Sub', chr(10), '# Rest', chr(10), substring(text, 751, 40000)) AS body FROM {documents}

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["urls", "pages", "sites"]
+_MODULES = ["urls", "pages", "sites", "scoring"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
