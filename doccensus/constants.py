@@ -255,3 +255,77 @@ PRIORITY_ORDER = {"high": 0, "medium": 1, "low": 2, "best-practice": 3}
 CITATION_WEIGHT = 30
 
 LEGACY_AGENTS = ["GPTBot", "Claude-Web", "CCBot", "Google-Extended"]
+
+# ── Fixed values: issues ────────────────────────────────────────────────
+DOCS_LABELS = ["documentation", "docs", "doc", "type: docs", "area: docs", "area: documentation"]
+STRONG_DOCS_SIGNALS = [
+    "documentation", "docs ", "docs.", "readme", "guide", "tutorial", "not documented", "undocumented",
+    "typo in doc", "broken link", "api reference", "developer guide", "getting started", "changelog",
+]
+MEDIUM_DOCS_SIGNALS = [
+    "unclear", "confusing", "misleading", "incorrect example", "missing docs", "missing documentation",
+    "missing example", "how to", "how do i", "where is the doc", "needs documentation",
+    "update documentation", "improve documentation", "document this", "not clear",
+]
+
+# the wider local classifier
+LOCAL_DOCS_SIGNALS = [
+    "documentation", "docs", "readme", "guide", "tutorial", "example", "unclear", "confusing", "misleading",
+    "incorrect", "wrong", "inaccurate", "outdated", "missing", "how to", "how do i", "skill.md", "skill",
+    "not documented", "undocumented", "typo", "broken link",
+]
+LOCAL_DOCS_LABELS = ["documentation", "docs", "bug", "type: bug", "good first issue"]
+
+STOP_WORDS = [
+    "the", "a", "an", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "is", "are", "was",
+    "were", "been", "be", "have", "has", "had", "do", "does", "did", "will", "would", "should", "could",
+    "may", "might", "must", "can",
+]
+CATEGORY_KEYWORDS = {
+    "deployment": ["deploy", "production", "environment", "vercel", "netlify", "hosting"],
+    "email-delivery": ["email", "spam", "deliverability", "dns", "spf", "dkim", "gmail"],
+    "api-usage": ["api", "endpoint", "request", "response", "integration"],
+    "authentication": ["auth", "key", "token", "credential", "permission"],
+    "documentation": ["docs", "guide", "tutorial", "example"],
+}
+PRODUCTION_WORDS = ["production", "deploy", "environment", "configuration", "setup"]
+
+ISSUE_CATEGORIES = [
+    ("rate-limiting", ["rate limit", "too many requests", "429 error", "throttling", "quota exceeded"]),
+    ("authentication", ["auth", "api key", "token", "unauthorized", "401 error", "permission denied"]),
+    ("code-examples", ["example", "sample code", "how to", "tutorial", "implementation"]),
+    ("api-usage", ["api", "endpoint", "request", "response", "integration"]),
+    ("deployment", ["production", "deploy", "environment", "config", "setup"]),
+    ("webhooks", ["webhook", "callback", "event", "notification", "trigger"]),
+    ("error-handling", ["error", "exception", "failure", "bug", "issue"]),
+    ("documentation", ["docs", "documentation", "unclear", "missing", "outdated"]),
+]
+
+PRODUCT_CATEGORIES = [("knock.app", "notification-api"), ("resend.com", "email-api"), ("liveblocks.io", "realtime-infra")]
+# (product category, audit id, title, issue category, frequency, severity)
+PROACTIVE_AUDITS = [
+    ("notification-api", "audit-idempotency", "Audit: Idempotency Key Implementation", "api-usage", 90, "high"),
+    ("notification-api", "audit-batch-limits", "Audit: Batch Triggering Limits", "api-usage", 85, "high"),
+    ("notification-api", "audit-prod-security", "Audit: Production Environment Security", "authentication", 95, "high"),
+]
+
+DOCS_REPO_NAME_PATTERN = (
+    r"(?i)\bdocs\b|\bdocumentation\b|\bdoc[-_]site\b|dev[-_]?site\b|dev[-_]?portal\b|\bguide\b|\bwiki\b"
+)
+DOCS_REPO_DESC_PATTERN = (
+    r"(?i)\bdocumentation\b|\bdocs?\s+(site|portal|repo)|\bdeveloper\s+(docs|portal|guide|site)\b"
+    r"|\bdev\s+site\b|\bapi\s+(docs|reference)\b"
+)
+DOCS_REPO_TOPIC_PATTERN = r"(?i)\bdocs\b|\bdocumentation\b"
+CODE_FILE_PATTERN = r"(?i)\.(ts|tsx|js|jsx|vue|svelte)$"
+BOILERPLATE_FILES = ["readme.md", "contributing.md", "changelog.md", "license.md", "code_of_conduct.md", "security.md"]
+CONTENT_FOLDERS = ["docs", "documentation", "content", "wiki"]
+
+SKIPPED_PLATFORMS = ["google.com", "youtube.com", "twitter.com", "x.com", "facebook.com"]
+
+FIX_CATEGORIES = ["CODE_UPDATE", "LINK_FIX", "CONTENT_ADDITION", "VERSION_UPDATE", "FORMATTING_FIX"]
+
+# ── Fixed values: usage ─────────────────────────────────────────────────
+DAILY_LIMIT = 3
+WAITLIST_BONUS = 7
+MAX_PAYLOAD_BYTES = 120 * 1024

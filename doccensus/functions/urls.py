@@ -95,17 +95,14 @@ def kb_domain(url: Column | str) -> Column:
 
 def root_domain(hostname: Column | str) -> Column:
     """Last two labels of a host, whatever the suffix."""
-    labels = F.split(c(hostname), r"\.")
-    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".")
+    return F.regexp_extract(c(hostname), r"([^.]+\.)?[^.]+$", 0)
 
 
 def registrable_domain(hostname: Column | str) -> Column:
     """Two labels, or three below the known two-part suffixes."""
     clean = F.regexp_replace(c(hostname), r"^www\.", "")
-    labels = F.split(clean, r"\.")
-    last_two = root_domain(clean)
-    three = F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")
-    return F.when(last_two.isin(K.MULTI_PART_TLDS) & (F.size(labels) > 2), three).otherwise(last_two)
+    suffixes = "|".join(x.replace(".", r"\.") for x in K.MULTI_PART_TLDS)
+    return F.regexp_extract(clean, rf"([^.]+\.)?(?:{suffixes}|[^.]+)$", 0)
 
 
 def is_docs_subdomain(hostname: Column | str) -> Column:

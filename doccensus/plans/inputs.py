@@ -242,6 +242,104 @@ SELECT page_id, url, concat('Title ', CAST(page_id AS STRING)) AS title, CASE pa
 FROM {{audit_pages}}
 """
 
+# repository issues from documents; the time comes from the event of the same number
+DERIVED["issues"] = """
+SELECT d.doc_id AS number, concat('repo', CAST(d.doc_id % 7 AS STRING)) AS repo,
+  CASE d.doc_id % 3 WHEN 0 THEN 'example-com' WHEN 1 THEN 'example-net' ELSE 'example-org' END AS site,
+  concat(CASE d.doc_id % 8 WHEN 0 THEN 'Unclear documentation for reference functions ' WHEN 1 THEN 'How to deploy guides with vercel docs api ' WHEN 2 THEN 'API key token rejected in getting started '
+    WHEN 3 THEN 'Email marked as spam by blog ' WHEN 4 THEN 'Webhook event never arrives ' WHEN 5 THEN '429 error: too many requests ' ELSE '' END, replace(substring(d.text, 1, 60), chr(10), ' ')) AS title,
+  CASE WHEN d.doc_id % 10 = 9 THEN NULL ELSE substring(d.text, 61, 3000) END AS body,
+  CASE d.doc_id % 9 WHEN 0 THEN 'Documentation;p1' WHEN 1 THEN 'bug' WHEN 2 THEN 'good first issue;area: docs' ELSE 'p2' END AS label_text,
+  CASE d.doc_id % 6 WHEN 0 THEN 'deployment' WHEN 1 THEN 'email-delivery' WHEN 2 THEN 'api-usage' WHEN 3 THEN 'authentication' WHEN 4 THEN 'documentation' ELSE 'other' END AS category,
+  e.ts AS created_at, CASE WHEN d.doc_id % 6 = 5 THEN 'closed' ELSE 'open' END AS state, CAST(d.doc_id % 13 AS BIGINT) AS reactions, d.doc_id % 20 AS comments
+FROM {documents} d JOIN {events} e ON e.event_id = d.doc_id * 10
+"""
+
+# question statistics and ranked issues from events
+DERIVED["questions"] = """
+SELECT CAST(event_id AS STRING) AS question_id, concat(event_type, ' ', CASE event_id % 5 WHEN 0 THEN 'How to configure the token for every production environment we run today'
+    WHEN 1 THEN 'Webhook callback' WHEN 2 THEN 'Plain question about a thing that is long enough to be cut at eighty characters, or even at one hundred and twenty'
+    WHEN 3 THEN 'Outdated docs' ELSE 'Quota exceeded' END, ' ', CAST(event_id AS STRING)) AS title,
+  CASE WHEN event_id % 17 = 0 THEN NULL ELSE CAST(floor(value * 100) AS BIGINT) END AS view_count, CAST(event_id % 9 AS BIGINT) AS score,
+  concat('company', CAST(user_id % 40 AS STRING)) AS company, CAST(ts AS DATE) AS last_seen
+FROM {events}
+"""
+
+# owners with repositories and file listings
+DERIVED["repos"] = """
+SELECT concat('org', CAST(c_nationkey AS STRING)) AS owner, concat(CASE c_custkey % 9 WHEN 0 THEN 'docs-' WHEN 1 THEN 'docker-' WHEN 2 THEN 'dev_portal-' WHEN 3 THEN 'Wiki-' ELSE 'app-' END, CAST(c_custkey AS STRING)) AS name,
+  CASE c_custkey % 7 WHEN 0 THEN 'The API reference for all' WHEN 1 THEN NULL WHEN 2 THEN 'A tool' ELSE 'Docs portal thing' END AS description,
+  CASE WHEN c_custkey % 11 = 0 THEN 'python;my docs' ELSE 'go' END AS topic_text, c_custkey % 13 = 0 AS is_current, c_custkey AS updated_at
+FROM {customer}
+"""
+DERIVED["repo_files"] = """
+SELECT r.owner, r.name AS repo, CASE o_orderkey % 12 WHEN 0 THEN concat('docs/p', CAST(o_orderkey AS STRING), '.md') WHEN 1 THEN 'README.md' WHEN 2 THEN concat('guide', CAST(o_orderkey AS STRING), '.MDX')
+    WHEN 3 THEN concat('src/a', CAST(o_orderkey AS STRING), '.ts') WHEN 4 THEN 'index.tsx' WHEN 5 THEN 'docs' WHEN 6 THEN concat('wiki/', CAST(o_orderkey AS STRING), '.mdx')
+    WHEN 7 THEN concat('deep/docs/', CAST(o_orderkey AS STRING), '.md') WHEN 8 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'LLMS.txt' ELSE 'main.js' END ELSE concat('notes', CAST(o_orderkey AS STRING), '.md') END AS path,
+  CASE WHEN o_orderkey % 12 = 5 THEN 'dir' ELSE 'file' END AS type
+FROM {orders} JOIN {repos} r ON r.updated_at = o_custkey
+"""
+
+# citations returned for the first three queries of every page
+DERIVED["citations"] = f"""
+SELECT page_id, url AS target_url, qp AS query_pos, CASE qp WHEN 0 THEN 'high' WHEN 1 THEN 'mid' ELSE 'low' END AS tier, cp AS pos,
+  CASE WHEN (page_id + qp) % 5 = 4 THEN NULL WHEN (page_id + qp) % 5 = 3 THEN CASE cp WHEN 0 THEN 'https://www.google.com/x' WHEN 1 THEN concat('https://www.rival', CAST(page_id % 3 AS STRING), '.org/a') WHEN 2 THEN 'https://rival1.org/b' ELSE concat('https://third', CAST(cp AS STRING), '.dev') END
+    WHEN (page_id + qp) % 5 = 2 THEN CASE cp WHEN 1 THEN concat('https://mirror.org/?u=', url) ELSE 'https://youtube.com/v' END
+    WHEN (page_id + qp) % 5 = 1 THEN CASE cp WHEN 2 THEN replace(url, 'https://', 'http://www.') WHEN 0 THEN 'not-a-url' ELSE 'https://fourth.io/q' END
+    ELSE concat('https://fifth', CAST((page_id + cp) % 4 AS STRING), '.example.com/z') END AS cited_url
+FROM {{audit_pages}} JOIN (VALUES (0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (2, 2), (2, 3), (2, 4)) AS slots(qp, cp) ON page_id >= qp - 5
+"""
+
+# analysis starts and refunds per client
+DERIVED["usage_events"] = """
+SELECT event_id, concat('ip', CAST(user_id AS STRING)) AS ip_hash, ts, CASE WHEN event_type IN ('error', 'signup') THEN -1 ELSE 1 END AS delta FROM {events}
+"""
+DERIVED["signups"] = """
+SELECT event_id, concat('ip', CAST(user_id AS STRING)) AS ip_hash, ts, concat('u', CAST(event_id AS STRING), '@example.com') AS email FROM {events} WHERE event_type = 'signup' AND user_id % 3 = 0
+"""
+
+# sign-in attempts and their confirmations
+DERIVED["access_events"] = """
+SELECT concat(CASE event_id % 3 WHEN 0 THEN ' User' ELSE 'user' END, CAST(user_id AS STRING), '@Example.com ') AS email, ts AS login_ts, 'attempt' AS action, ts, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 'agent' END AS user_agent, event_id FROM {events} WHERE event_type IN ('click', 'view')
+UNION ALL
+SELECT concat('user', CAST(user_id AS STRING), '@example.com') AS email, ts AS login_ts, 'verified' AS action, ts + INTERVAL '1' MINUTE AS ts, NULL AS user_agent, event_id FROM {events} WHERE event_type IN ('click', 'view') AND event_id % 2 = 0
+UNION ALL
+SELECT concat('ghost', CAST(user_id AS STRING), '@example.com') AS email, ts AS login_ts, 'verified' AS action, ts, NULL AS user_agent, event_id FROM {events} WHERE event_type = 'error' AND event_id % 50 = 0
+"""
+
+DERIVED["audit_log"] = """
+SELECT event_id, concat('s', CAST(event_id AS STRING)) AS session_id, ts AS submitted_at, CASE event_type WHEN 'error' THEN 'rejected' WHEN 'signup' THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN event_type = 'error' THEN CASE user_id % 3 WHEN 0 THEN 'not-documentation' ELSE 'rate-limit' END ELSE NULL END AS reason,
+  CASE WHEN event_type IN ('view', 'click', 'purchase') THEN CAST(event_id % 101 AS BIGINT) ELSE NULL END AS overall_score, CAST(floor(value * 100) AS BIGINT) AS analysis_ms FROM {events}
+"""
+
+DERIVED["progress_events"] = """
+SELECT event_id, concat('s', CAST(user_id AS STRING)) AS session_id, ts, CASE WHEN event_id % 4 = 0 THEN 'category-result' ELSE 'progress' END AS type, event_type AS phase,
+  CASE event_id % 5 WHEN 0 THEN 'botAccess' WHEN 1 THEN 'discoverability' WHEN 2 THEN 'consumability' ELSE 'structuredData' END AS category,
+  concat('m', CAST(event_id AS STRING)) AS message, concat('d', CAST(floor(value) AS STRING)) AS data FROM {events}
+"""
+
+# store rows: old and new versions of page entries
+DERIVED["kb_versions"] = """
+SELECT p.page_id, p.url, concat('v', CAST(k.v AS STRING), ' ', CAST(p.page_id AS STRING)) AS title, CASE WHEN k.v = 1 THEN 'doc-audit' ELSE 'github-issues' END AS source,
+  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' DAY * CAST((p.page_id * (k.v + 2)) % 20 AS INT) AS crawled_at, k.v AS version
+FROM {audit_pages} p JOIN (VALUES (0), (1)) AS k(v) ON p.page_id % 3 >= k.v
+"""
+
+# requests against processed pages with a cached copy for some
+DERIVED["cache_requests"] = """
+SELECT event_id, CASE user_id % 2 WHEN 0 THEN 'with-context' ELSE 'without-context' END AS contextual_setting, p.url FROM {events} JOIN {audit_pages} p ON p.page_id = event_id % 400
+"""
+
+DERIVED["fixes"] = """
+SELECT doc_id, concat('f', CAST(doc_id AS STRING), '-', CAST(k AS STRING)) AS fix_id, concat('sess', CAST(doc_id % 50 AS STRING)) AS session_id, k AS pos,
+  CASE (doc_id + k) % 6 WHEN 0 THEN 'CODE_UPDATE' WHEN 1 THEN 'LINK_FIX' WHEN 2 THEN 'CONTENT_ADDITION' WHEN 3 THEN 'VERSION_UPDATE' WHEN 4 THEN 'FORMATTING_FIX' ELSE 'OTHER' END AS category,
+  CASE k WHEN 0 THEN substring(text, 5, 30) WHEN 1 THEN concat('NEW', CAST(doc_id AS STRING)) WHEN 2 THEN 'zq zq' ELSE replace(substring(text, 60, 80), ' ', '  ') END AS original,
+  CASE k WHEN 0 THEN concat('NEW', CAST(doc_id AS STRING), ' $1 text') WHEN 1 THEN 'SECOND' ELSE concat('R', CAST(k AS STRING)) END AS proposed,
+  CAST((doc_id * 7 + k) % 101 AS INT) AS confidence, concat('why ', CAST(k AS STRING)) AS rationale
+FROM {documents} JOIN (VALUES (0), (1), (2), (3)) AS n(k) ON doc_id >= k - 4
+"""
+
 # one-file dumps of documents with two top-level sections
 DERIVED["llms_full_files"] = """
 SELECT doc_id, concat('# Part one', chr(10), substring(text, 1, 450), chr(10), '# ', chr(10), substring(text, 451, 300), chr(10), '## Sub', chr(10), '# Rest', chr(10), substring(text, 751, 40000)) AS body FROM {documents}

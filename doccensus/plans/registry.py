@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["urls", "pages", "sites", "scoring"]
+_MODULES = ["urls", "pages", "sites", "scoring", "issues", "logs"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
