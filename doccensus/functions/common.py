@@ -5,6 +5,7 @@ Whitespace means ASCII whitespace throughout; lengths count code points.
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -110,6 +111,18 @@ def broadcast_if_small(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataF
     return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the checkpoint folder.
+
+    For a result that a plan reads several times. The folder is the one the
+    session names; only where it names none, as in tests, a temporary one.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="doccensus-"))
+    return df.checkpoint()
+
+
 def number_rows(df: DataFrame, key: str, name: str, buckets: int = 200) -> DataFrame:
     """1-based position of every row in ascending order of a unique key.
 

@@ -6,15 +6,13 @@ matrix products; nothing compares every issue with every page row by row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doccensus import constants as K
-from doccensus.functions.common import c, contains_any, extract_all, map_lookup, number_rows, str_array, top_k, trim_ws
+from doccensus.functions.common import c, contains_any, extract_all, number_rows, settled, str_array, top_k, trim_ws
 
 # ── selection and classification ────────────────────────────────────────
 
@@ -126,35 +124,34 @@ def issue_keywords(text: Column | str, category: Column | str) -> Column:
     return F.array_distinct(F.concat(F.array_except(F.array_distinct(words), str_array(K.STOP_WORDS)), extra))
 
 
-_GRAM = 8
-
-
-def _windows(text: Column, shortest: int) -> Column:
-    """Distinct substrings of ``shortest`` to 8 characters."""
+def _windows(text: Column, shortest: int, longest: int) -> Column:
+    """Distinct substrings of ``shortest`` to ``longest`` characters."""
 
     def of_size(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.length(text) - n + 1)
         cut = F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
         return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of_size(n) for n in range(shortest, _GRAM + 1)]))
+    return F.array_distinct(F.concat(*[of_size(n) for n in range(shortest, longest + 1)]))
 
 
-def contained_words(words: DataFrame, texts: DataFrame, site: str, word: str, text: str, shortest: int, salts: int = 16) -> DataFrame:
+def contained_words(
+    words: DataFrame, texts: DataFrame, site: str, word: str, text: str, shortest: int, gram: int = 8, salts: int = 16
+) -> DataFrame:
     """Pairs (site, word, text) where the text contains the word.
 
-    Equi join of the word's first 8 characters with the text's windows, then
-    an exact check. Texts must be short (URLs, titles, single tokens). The
-    text side is salted and the distinct words copied to every salt, so one
-    popular gram of one huge site is spread over ``salts`` tasks.
+    Equi join of the word's first ``gram`` characters with the text's windows,
+    then an exact check. Texts must be short (URLs, titles, single tokens).
+    The text side is salted and the distinct words copied to every salt, so
+    one popular gram of one huge site is spread over ``salts`` tasks.
     """
-    left = words.select(site, word).distinct().withColumn("_g", F.substring(word, 1, _GRAM)).withColumn(
+    left = words.select(site, word).distinct().withColumn("_g", F.substring(word, 1, gram)).withColumn(
         "_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
     right = texts.select(site, text).distinct().withColumn("_s", F.pmod(F.hash(text), F.lit(salts))).withColumn(
-        "_g", F.explode(_windows(F.col(text), shortest))
+        "_g", F.explode(_windows(F.col(text), shortest, gram))
     )
-    return left.join(right, [site, "_g", "_s"]).filter(F.col(text).contains(F.col(word))).select(site, word, text)
+    return right.join(left.hint("shuffle_hash"), [site, "_g", "_s"]).filter(F.col(text).contains(F.col(word))).select(site, word, text)
 
 
 def keyword_page_match(issues: DataFrame, urls: DataFrame, k: int = 5, common_above: int = 1000) -> DataFrame:
@@ -170,7 +167,7 @@ def keyword_page_match(issues: DataFrame, urls: DataFrame, k: int = 5, common_ab
     """
     low = urls.select("site", "url", F.lower("url").alias("lu")).distinct()
     words = issues.select("issue_id", "site", F.explode("keywords").alias("kw"))
-    hits = contained_words(words, low.select("site", "lu"), "site", "kw", "lu", 3)
+    hits = settled(contained_words(words, low.select("site", "lu"), "site", "kw", "lu", 3))
     freq = hits.groupBy("site", "kw").agg((F.count("*") > common_above).alias("common"))
     tagged = hits.join(freq, ["site", "kw"])
 
@@ -230,20 +227,24 @@ def relevant_docs(issues: DataFrame, docs: DataFrame, at_least: int = 4) -> Data
     tokens = docs.select("repo", "doc_id", F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("token")).filter(
         F.length("token") > 4
     )
-    known = contained_words(words, tokens, "repo", "word", "token", 5)
-    in_docs = tokens.join(known, ["repo", "token"]).select("repo", "doc_id", "word").distinct()
+    known = contained_words(words, tokens, "repo", "word", "token", 5, gram=5)
+    in_docs = settled(tokens.join(known, ["repo", "token"]).select("repo", "doc_id", "word").distinct())
     spread = in_docs.groupBy("repo", "word").agg(F.count("*").alias("df"))
-    doc_words = in_docs.groupBy("repo", "doc_id").agg(F.collect_set("word").alias("doc_words"))
     useful = words.join(spread, ["repo", "word"]).groupBy("number", "repo").agg(
         F.array_sort(F.collect_list(F.struct("df", "word", "pos"))).alias("ranked")
+    ).filter(F.size("ranked") >= at_least)
+    keep = F.size("ranked") - (at_least - 1)
+
+    def occurrences(part: Column) -> DataFrame:
+        return useful.select("number", "repo", F.explode(part["word"]).alias("word")).groupBy("number", "repo", "word").agg(F.count("*").alias("m"))
+
+    first = occurrences(F.slice("ranked", F.lit(1), keep)).join(in_docs, ["repo", "word"])
+    candidates = first.groupBy("number", "repo", "doc_id").agg(F.sum("m").alias("matches"))
+    tails = occurrences(F.slice("ranked", keep + 1, F.lit(at_least - 1)))
+    extra = candidates.select("number", "repo", "doc_id").join(tails, ["number", "repo"]).join(in_docs, ["repo", "word", "doc_id"]).select(
+        "number", "repo", "doc_id", F.col("m").alias("matches")
     )
-    probes = useful.filter(F.size("ranked") >= at_least).select(
-        "number", "repo", F.explode(F.array_distinct(F.slice(F.col("ranked")["word"], F.lit(1), F.size("ranked") - (at_least - 1)))).alias("word")
-    )
-    candidates = probes.join(in_docs, ["repo", "word"]).select("number", "repo", "doc_id").distinct()
-    counted = candidates.join(issue_words, ["number", "repo"]).join(doc_words, ["repo", "doc_id"]).select(
-        "number", "doc_id", F.size(F.filter("words", lambda w: F.array_contains("doc_words", w))).cast("long").alias("matches")
-    )
+    counted = candidates.unionByName(extra).groupBy("number", "doc_id").agg(F.sum("matches").alias("matches"))
     return counted.filter(F.col("matches") >= at_least)
 
 
@@ -313,11 +314,12 @@ def page_evidence(pairs: DataFrame, issues: DataFrame, pages: DataFrame) -> Data
     """What each candidate page offers an issue and what it lacks.
 
     ``pairs`` (issue_id, page_id, similarity), ``issues`` (issue_id, title,
-    category, keywords), ``pages`` (page_id, html); two equi joins.
+    category, keywords), ``pages`` (page_id, html); two equi joins. A candidate
+    whose page did not load keeps a row with ``loaded`` false.
     """
     j = pairs.join(issues.select("issue_id", "title", "category", "keywords"), "issue_id").join(
-        pages.select("page_id", F.col("html"), F.lower("html").alias("low")), "page_id"
-    )
+        pages.select("page_id", F.col("html"), F.lower("html").alias("low"), F.lit(True).alias("loaded")), "page_id", "left"
+    ).withColumn("loaded", F.coalesce("loaded", F.lit(False)))
     low, cat = F.col("low"), F.col("category")
     has = lambda *words: contains_any(low, words)
     examples = F.regexp_count("html", F.lit("(?i)<code|<pre|```")).cast("long")
@@ -334,24 +336,23 @@ def page_evidence(pairs: DataFrame, issues: DataFrame, pages: DataFrame) -> Data
     ]
     found = F.size(F.filter("keywords", lambda w: low.contains(w)))
     return j.select(
-        "issue_id", "page_id", "similarity", (found >= 2).alias("relevant"), examples.alias("code_examples"), production.alias("production_guidance"),
+        "issue_id", "page_id", "similarity", "loaded", (F.col("loaded") & (found >= 2)).alias("relevant"), examples.alias("code_examples"), production.alias("production_guidance"),
         F.filter(F.array(*[F.when(cond, text) for cond, text in gaps]), lambda g: g.isNotNull()).alias("gaps"),
     )
 
 
-def issue_status(issues: DataFrame, pairs: DataFrame, evidence: DataFrame) -> DataFrame:
+def issue_status(issues: DataFrame, evidence: DataFrame) -> DataFrame:
     """Documentation-gap status and confidence of every issue.
 
     An issue without candidate pages is a critical gap (95); one whose pages
     all failed to load is a critical gap (85).
     """
-    had = pairs.select("issue_id").distinct().withColumn("_had", F.lit(True))
-    sim = F.coalesce("similarity", F.lit(0.0))
+    sim = F.when(F.col("loaded"), F.coalesce("similarity", F.lit(0.0))).otherwise(0.0)
     facts = evidence.groupBy("issue_id").agg(
-        F.bool_or(F.col("relevant") & (F.size("gaps") == 0) & (sim > 0.85)).alias("complete"),
+        F.lit(True).alias("_had"), F.bool_or(F.col("relevant") & (F.size("gaps") == 0) & (sim > 0.85)).alias("complete"),
         F.bool_or(sim > 0.6).alias("near"), F.bool_or("relevant").alias("any_relevant"),
     )
-    j = issues.select("issue_id").join(had, "issue_id", "left").join(facts, "issue_id", "left")
+    j = issues.select("issue_id").join(facts, "issue_id", "left")
     flag = lambda x: F.coalesce(x, F.lit(False))
     rule = (
         F.when(F.col("_had").isNull(), F.struct(F.lit("critical-gap").alias("s"), F.lit(95).alias("n")))
@@ -366,7 +367,7 @@ def issue_status(issues: DataFrame, pairs: DataFrame, evidence: DataFrame) -> Da
 def best_match(evidence: DataFrame) -> DataFrame:
     """Most similar page per issue, lowest page id on ties; weak ones get generic advice."""
     sim = F.coalesce("similarity", F.lit(0.0))
-    best = evidence.groupBy("issue_id").agg(F.min_by(F.struct("page_id", sim.alias("sim")), F.struct(-sim, F.col("page_id"))).alias("b"))
+    best = evidence.filter("loaded").groupBy("issue_id").agg(F.min_by(F.struct("page_id", sim.alias("sim")), F.struct(-sim, F.col("page_id"))).alias("b"))
     return best.select(
         "issue_id", F.col("b.page_id").alias("page_id"), F.col("b.sim").alias("similarity"),
         F.when(F.col("b.sim") < 0.5, "generic").otherwise("detailed").alias("advice"),

@@ -133,7 +133,7 @@ def phase_durations(progress: DataFrame) -> DataFrame:
     joined = placed.withColumn("_in", inside).join(ahead, ["session_id", "_h"])
     until = F.coalesce("_in", "_next")
     return joined.select(
-        "event_id", "session_id", "phase", (F.unix_millis(until) - F.unix_millis("ts")).alias("duration_ms")
+        "event_id", "session_id", "phase", F.floor((F.unix_micros(until.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1000).alias("duration_ms")
     )
 
 

@@ -316,7 +316,7 @@ SELECT event_id, concat('s', CAST(event_id AS STRING)) AS session_id, ts AS subm
 DERIVED["progress_events"] = """
 SELECT event_id, concat('s', CAST(user_id AS STRING)) AS session_id, ts, CASE WHEN event_id % 4 = 0 THEN 'category-result' ELSE 'progress' END AS type, event_type AS phase,
   CASE event_id % 5 WHEN 0 THEN 'botAccess' WHEN 1 THEN 'discoverability' WHEN 2 THEN 'consumability' ELSE 'structuredData' END AS category,
-  concat('m', CAST(event_id AS STRING)) AS message, concat('d', CAST(floor(value) AS STRING)) AS data FROM {events}
+  concat('m', CAST(event_id AS STRING)) AS message, concat('d', CAST(CAST(floor(value) AS BIGINT) AS STRING)) AS data FROM {events}
 """
 
 # store rows: old and new versions of page entries
@@ -350,16 +350,45 @@ def _names(text: str) -> list[str]:
     return sorted(set(re.findall(r"\{(\w+)\}", text)))
 
 
-def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    if name in BASE_TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+# tables whose rows are expensive to work through, with the column that spreads them
+_TEXT_TABLES = {"pages": ("page_id",), "documents": ("doc_id",)}
+
+
+_LAYOUT: dict = {}
+
+
+def _layout(spark: SparkSession, path: str) -> tuple:
+    """Schema of a table and whether it has fewer pieces than there are cores."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _LAYOUT:
+        df = spark.read.parquet(path)
+        _LAYOUT[key] = (df.schema, df.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism)
+    return _LAYOUT[key]
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. Text tables in very few pieces are spread over all cores;
+    a table of many files or row groups, the normal case, is left alone."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema, few = _layout(spark, path)
+    df = spark.read.schema(schema).parquet(path)
+    return df.repartition(spark.sparkContext.defaultParallelism, *_TEXT_TABLES[name]) if few and name in _TEXT_TABLES else df
+
+
+def derived_from(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
+    """A derivation over the frames given for its tables."""
     text = DERIVED[name]
     text = re.sub(r"AGGLINES\((\w+), (\w+)\)", r"array_join(transform(array_sort(collect_list(struct(\2, \1))), x -> x.\1), chr(10))", text)
     text = text.replace("{", "{{").replace("}", "}}")
-    wanted = _names(DERIVED[name])
-    for w in wanted:
+    for w in tables:
         text = text.replace("{{" + w + "}}", "{" + w + "}")
-    return spark.sql(text, **{w: spark_table(spark, sf_dir, w) for w in wanted})
+    return spark.sql(text, **tables)
+
+
+def spark_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in BASE_TABLES:
+        return read_table(spark, sf_dir, name)
+    return derived_from(spark, name, **{w: spark_table(spark, sf_dir, w) for w in _names(DERIVED[name])})
 
 
 def oracle_table(name: str) -> str:

@@ -152,7 +152,7 @@ def _site_urls(spark, sf):
     return spark_table(spark, sf, "audit_pages").select("page_id", "url", U.kb_domain("url").alias("site"))
 
 
-QUERIES["i6_keyword_page_match"] = lambda spark, sf: I.keyword_page_match(keyed(spark, sf), _site_urls(spark, sf).select("site", "url"), common_above=20).select(
+QUERIES["i6_keyword_page_match"] = lambda spark, sf: I.keyword_page_match(keyed(spark, sf), _site_urls(spark, sf).select("site", "url"), common_above=100).select(
     "issue_id", "url", F.col("score").cast("double").alias("score"), F.col("rank").cast("long").alias("rank")
 )
 _SITEURL = f"(SELECT DISTINCT url, replace({D.root2(D.nowww(D.host('url')))}, '.', '-') AS site FROM {AP})"
@@ -221,12 +221,12 @@ EVID = f"""(SELECT issue_id, page_id, similarity, len(list_filter(keywords, lamb
   list_filter([{', '.join(f"CASE WHEN {c} THEN '{g}' END" for c, g in _GAPS)}], lambda g: g IS NOT NULL) AS gaps
   FROM (SELECT x.issue_id, x.page_id, similarity, title, category, keywords, lower(html) AS low, {D.nmatch('html', '(?i)<code|<pre|```')} AS code_examples
     FROM {PAIRS} x JOIN {KEYS} k ON k.issue_id = x.issue_id JOIN {AP} p ON p.page_id = x.page_id WHERE x.page_id % 13 <> 5))"""
-QUERIES["i9_page_evidence"] = lambda spark, sf: _evidence(spark, sf).withColumn("gaps", F.array_join("gaps", "|"))
+QUERIES["i9_page_evidence"] = lambda spark, sf: _evidence(spark, sf).filter("loaded").drop("loaded").withColumn("gaps", F.array_join("gaps", "|"))
 ORACLE["i9_page_evidence"] = f"SELECT * REPLACE (array_to_string(gaps, '|') AS gaps) FROM {EVID}"
 
 
 def _status(spark, sf):
-    return I.issue_status(keyed(spark, sf), _pairs(spark, sf), _evidence(spark, sf))
+    return I.issue_status(keyed(spark, sf), _evidence(spark, sf))
 
 
 QUERIES["i10_issue_status"] = _status

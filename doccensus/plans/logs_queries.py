@@ -273,6 +273,6 @@ _JB = """strlen('{"event_id":' || doc_id || ',"data":"' || replace(replace(repla
 ORACLE["o9_cap_payload"] = f"""SELECT doc_id AS event_id, {_JB} > {K.MAX_PAYLOAD_BYTES} AS truncated, CAST(CASE WHEN {_JB} > {K.MAX_PAYLOAD_BYTES} THEN length('{{"_truncated":true,"message":"{O.TRUNCATION_NOTE}"}}') ELSE length(d) END AS BIGINT) AS chars
   FROM (SELECT doc_id, repeat(text, 1 + doc_id % 12) AS d FROM documents)"""
 QUERIES["o10_phase_durations"] = lambda spark, sf: O.phase_durations(spark_table(spark, sf, "progress_events"))
-ORACLE["o10_phase_durations"] = f"""SELECT event_id, session_id, phase, CAST(floor(epoch_ms(nxt)) - floor(epoch_ms(ts)) AS BIGINT) AS duration_ms FROM (SELECT *, lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS nxt FROM {PRO})"""
+ORACLE["o10_phase_durations"] = f"""SELECT event_id, session_id, phase, CAST(floor((epoch_us(nxt) - epoch_us(ts)) / 1000) AS BIGINT) AS duration_ms FROM (SELECT *, lead(ts) OVER (PARTITION BY session_id ORDER BY ts, event_id) AS nxt FROM {PRO})"""
 QUERIES["o11_expire"] = lambda spark, sf: O.expire(spark_table(spark, sf, "events"), "ts", F.expr(NOW)).select("event_id")
 ORACLE["o11_expire"] = f"SELECT event_id FROM events WHERE ts + INTERVAL 7 DAY >= {NOW}"

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["urls", "pages", "sites", "scoring", "issues", "logs"]
+_MODULES = ["urls", "pages", "sites", "scoring", "issues", "logs", "streams"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -6,13 +6,14 @@ watermark are dropped; the batch forms have no such rule.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doccensus.functions import urls as U
-from doccensus.operators import probes as P
 from doccensus.sources import stores
 
 
@@ -42,22 +43,33 @@ def probe_ok_stream(log: DataFrame, expected: DataFrame) -> DataFrame:
     return typed.withColumn("ok", F.col("status_code").between(200, 299) & ~soft_404).drop("_typed")
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished store versions below ``path``."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(base):
+        return []
+    done = [s.getPath().getName() for s in fs.listStatus(base) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return sorted(int(x[1:]) for x in done)
+
+
+def read_current_kb(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/v{_versions(spark, path)[-1]}")
+
+
 def upsert_kb_sink(path: str, now: Column) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` target that merges page summaries into the store at ``path``.
 
-    Only the partitions of the batch's domains are read and rewritten. Each
-    batch is written under its own version folder and named as current last,
-    so a repeated batch ends in the same state and readers never see half a
-    write.
+    Every batch writes the merged store as its own version, starting from the
+    latest finished version before it: a repeated batch ends in the same state
+    and readers never see half a write.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.withColumn("domain", U.kb_domain("url"))
-        try:
-            old = spark.read.parquet(f"{path}/v{batch_id - 1}")
-        except Exception:  # first batch: nothing stored yet
-            old = fresh.limit(0).withColumn("expires_at", now)
+        earlier = [v for v in _versions(spark, path) if v < batch_id]
+        old = spark.read.parquet(f"{path}/v{earlier[-1]}") if earlier else fresh.limit(0).withColumn("expires_at", now)
         merged = stores.upsert_kb(old.select(*fresh.columns, "expires_at"), fresh.drop("domain"), now)
         merged.write.mode("overwrite").partitionBy("domain").parquet(f"{path}/v{batch_id}")
 
@@ -71,7 +83,41 @@ def latest_category_stream(progress: DataFrame) -> DataFrame:
     return results.select("session_id", "category", "last.message", "last.data")
 
 
-def run_to_completion(df: DataFrame, name: str, mode: str, checkpoint: str) -> None:
-    """Process what is there and stop; the result is the in-memory table ``name``."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared checkpoint folder the session names.
+
+    Only where none is set, as in tests, is a temporary folder used.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="doccensus-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def drain_to_table(df: DataFrame, name: str) -> DataFrame:
+    """Process what is there in append mode and read the written rows back."""
+    spark, folder = df.sparkSession, scratch_folder(df.sparkSession, name)
+    query = (
+        df.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{folder}/out")
+
+
+def drain_updates(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Process what is there in update mode; the last update of every key.
+
+    Every batch writes its updates under its own number, so a repeated batch
+    overwrites itself.
+    """
+    spark, folder = df.sparkSession, scratch_folder(df.sparkSession, name)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    query = (
+        df.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
+    )
     query.awaitTermination()
+    rest = [x for x in df.columns if x not in keys]
+    last = F.max_by(F.struct(*rest), "batch").alias("last")
+    return spark.read.parquet(f"{folder}/out").groupBy(*keys).agg(last).select(*keys, "last.*")
