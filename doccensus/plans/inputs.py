@@ -183,7 +183,7 @@ _PROBE_ROWS = ", ".join(
 DERIVED["fetch_log"] = f"""SELECT concat(base_url, path) AS url, purpose, CASE (length(base_url) * 7 + i) % m
   WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 404 WHEN 3 THEN 403 WHEN 4 THEN 0 ELSE 500 END AS status_code,
   CASE (length(base_url) * 7 + i) % m WHEN 1 THEN 'text/html; charset=utf-8' ELSE ctype END AS content_type,
-  CAST(length(base_url) * (i + 3) AS BIGINT) AS duration_ms FROM {{sites}} JOIN (VALUES {_PROBE_ROWS}) AS kinds(i, m, path, purpose, ctype) ON length(base_url) > i - 100
+  CAST(length(base_url) * (i + 3) AS BIGINT) AS duration_ms FROM {{sites}} FANOUT[kinds; i, m, path, purpose, ctype; {_PROBE_ROWS}]
 UNION ALL SELECT concat(regexp_replace(url, '/$', ''), '.md') AS url, 'direct-md' AS purpose,
   CASE page_id % 4 WHEN 0 THEN 200 WHEN 1 THEN 200 WHEN 2 THEN 404 ELSE 0 END AS status_code,
   CASE page_id % 4 WHEN 1 THEN 'text/html' ELSE 'text/markdown' END AS content_type, CAST(page_id % 300 AS BIGINT) AS duration_ms FROM {{audit_pages}}
@@ -287,7 +287,7 @@ SELECT page_id, url AS target_url, qp AS query_pos, CASE qp WHEN 0 THEN 'high' W
     WHEN (page_id + qp) % 5 = 2 THEN CASE cp WHEN 1 THEN concat('https://mirror.org/?u=', url) ELSE 'https://youtube.com/v' END
     WHEN (page_id + qp) % 5 = 1 THEN CASE cp WHEN 2 THEN replace(url, 'https://', 'http://www.') WHEN 0 THEN 'not-a-url' ELSE 'https://fourth.io/q' END
     ELSE concat('https://fifth', CAST((page_id + cp) % 4 AS STRING), '.example.com/z') END AS cited_url
-FROM {{audit_pages}} JOIN (VALUES (0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (2, 2), (2, 3), (2, 4)) AS slots(qp, cp) ON page_id >= qp - 5
+FROM {{audit_pages}} FANOUT[slots; qp, cp; (0, 0), (0, 1), (0, 2), (0, 3), (0, 4), (1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1), (2, 2), (2, 3), (2, 4)]
 """
 
 # analysis starts and refunds per client
@@ -323,7 +323,7 @@ SELECT event_id, concat('s', CAST(user_id AS STRING)) AS session_id, ts, CASE WH
 DERIVED["kb_versions"] = """
 SELECT p.page_id, p.url, concat('v', CAST(k.v AS STRING), ' ', CAST(p.page_id AS STRING)) AS title, CASE WHEN k.v = 1 THEN 'doc-audit' ELSE 'github-issues' END AS source,
   TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' DAY * CAST((p.page_id * (k.v + 2)) % 20 AS INT) AS crawled_at, k.v AS version
-FROM {audit_pages} p JOIN (VALUES (0), (1)) AS k(v) ON p.page_id % 3 >= k.v
+FROM {audit_pages} p FANOUT[k; v; (0), (1)] WHERE p.page_id % 3 >= k.v
 """
 
 # requests against processed pages with a cached copy for some
@@ -337,7 +337,7 @@ SELECT doc_id, concat('f', CAST(doc_id AS STRING), '-', CAST(k AS STRING)) AS fi
   CASE k WHEN 0 THEN substring(text, 5, 30) WHEN 1 THEN concat('NEW', CAST(doc_id AS STRING)) WHEN 2 THEN 'zq zq' ELSE replace(substring(text, 60, 80), ' ', '  ') END AS original,
   CASE k WHEN 0 THEN concat('NEW', CAST(doc_id AS STRING), ' $1 text') WHEN 1 THEN 'SECOND' ELSE concat('R', CAST(k AS STRING)) END AS proposed,
   CAST((doc_id * 7 + k) % 101 AS INT) AS confidence, concat('why ', CAST(k AS STRING)) AS rationale
-FROM {documents} JOIN (VALUES (0), (1), (2), (3)) AS n(k) ON doc_id >= k - 4
+FROM {documents} FANOUT[n; k; (0), (1), (2), (3)]
 """
 
 # one-file dumps of documents with two top-level sections
@@ -375,9 +375,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(spark.sparkContext.defaultParallelism, *_TEXT_TABLES[name]) if few and name in _TEXT_TABLES else df
 
 
+_FANOUT = re.compile(r"FANOUT\[(\w+); ([^;]+); (.*?)\]", re.S)
+
+
+def _inline_rows(m: re.Match) -> str:
+    """Fixed rows beside every row: generated in place here, a VALUES list elsewhere."""
+    rows = re.sub(r"\((?=[^()]*\))", "struct(", m[3])
+    return f"LATERAL VIEW inline(array({rows})) {m[1]} AS {m[2]}"
+
+
 def derived_from(spark: SparkSession, name: str, **tables: DataFrame) -> DataFrame:
     """A derivation over the frames given for its tables."""
-    text = DERIVED[name]
+    text = _FANOUT.sub(_inline_rows, DERIVED[name])
     text = re.sub(r"AGGLINES\((\w+), (\w+)\)", r"array_join(transform(array_sort(collect_list(struct(\2, \1))), x -> x.\1), chr(10))", text)
     text = text.replace("{", "{{").replace("}", "}}")
     for w in tables:
@@ -396,6 +405,7 @@ def oracle_table(name: str) -> str:
     if name in BASE_TABLES:
         return name
     text = re.sub(r"AGGLINES\((\w+), (\w+)\)", r"string_agg(\1, chr(10) ORDER BY \2, \1)", DERIVED[name])
+    text = _FANOUT.sub(r"CROSS JOIN (VALUES \3) AS \1(\2)", text)
     for w in _names(text):
         text = text.replace("{" + w + "}", oracle_table(w))
     return "(" + text.strip() + ")"

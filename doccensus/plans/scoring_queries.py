@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from doccensus import constants as K
 from doccensus.functions import html as H
 from doccensus.functions import urls as U
+from doccensus.functions.common import settled
 from doccensus.operators import evidence as V
 from doccensus.operators import links as L
 from doccensus.operators import pages as PG
@@ -239,7 +240,7 @@ ORACLE["g6_recommendation_buckets"] = f"""SELECT page_id, position, rule, CASE W
 
 
 def _g7(spark, sf):
-    f = features(spark, sf)
+    f = settled(features(spark, sf))
     n = G.recommendation_rules(f).groupBy("page_id").agg(F.count("*").alias("n"))
     scored = G.readiness_scores(f).select("page_id", "overall").join(n, "page_id", "left")
     label = G.grade_label(F.col("overall"), F.coalesce("n", F.lit(0)))
@@ -363,9 +364,9 @@ ORACLE["g17_structure_fallback"] = f"""SELECT page_id, CASE WHEN len(sub_pages)
 
 
 def _g18(spark, sf):
-    f = features(spark, sf)
+    f = settled(features(spark, sf))
     tiers = spark_table(spark, sf, "audit_pages").select("page_id", F.expr(_TIERS).alias("citation_tier"))
-    signals = V.evidence_signals(*SQ.evidence_inputs(spark, sf))
+    signals = settled(V.evidence_signals(*SQ.evidence_inputs(spark, sf)))
     recs = G.merge_recommendations(G.recommendation_rules(f), G.citation_recommendations(tiers), G.detection_notes(signals))
     return G.report(f, recs, V.detection_report(signals))
 
