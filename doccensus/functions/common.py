@@ -103,12 +103,18 @@ def top_k(
     )
 
 
-BROADCAST_ROW_BOUND = 100_000
-
+def salted_join(
+    big: DataFrame, small: DataFrame, on: Sequence[str], spread_by: Sequence[str], how: str = "inner", salts: int = 16
+) -> DataFrame:
+    """Equi join whose hottest key is split into ``salts`` parts.
 
-def broadcast_if_small(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """Hint a broadcast only after counting at most ``bound`` + 1 rows."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+    For a per-site or per-file side joined to per-page rows: the small side is
+    copied to every salt, each big row belongs to one, chosen by the hash of
+    ``spread_by`` so that a repeated task places rows the same way.
+    """
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doccensus import constants as K
-from doccensus.functions.common import c, contains_any, extract_all, number_rows, settled, str_array, top_k, trim_ws
+from doccensus.functions.common import c, contains_any, extract_all, number_rows, salted_join, settled, str_array, top_k, trim_ws
 
 # ── selection and classification ────────────────────────────────────────
 
@@ -187,11 +187,11 @@ def keyword_page_match(issues: DataFrame, urls: DataFrame, k: int = 5, common_ab
         F.array_sort(F.collect_list("url")).alias("first_urls")
     )
     sets = asked.select("site", "ic").distinct()
-    scored = sets.join(classes, "site").withColumn("score", F.size(F.array_intersect("ic", "uc")) + F.col("bonus")).filter("score > 0")
+    scored = salted_join(sets, classes, ["site"], ["ic"]).withColumn("score", F.size(F.array_intersect("ic", "uc")) + F.col("bonus")).filter("score > 0")
     by_set = top_k(
         scored.select("site", "ic", "score", F.explode("first_urls").alias("url")), ["site", "ic"], [F.col("score").desc(), F.col("url")], k, ["url"], rank="_r"
     ).drop("_r")
-    shared = asked.join(by_set, ["site", "ic"]).select("issue_id", "site", "url", "score")
+    shared = salted_join(asked, by_set, ["site", "ic"], ["issue_id"]).select("issue_id", "site", "url", "score")
 
     best = full.unionByName(shared).groupBy("issue_id", "url").agg(F.max("score").alias("score"))
     return top_k(best, ["issue_id"], [F.col("score").desc(), F.col("url")], k, ["url"])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from doccensus import constants as K
 from doccensus.functions import urls as U
-from doccensus.functions.common import c, extract_all, top_k, trim_ws
+from doccensus.functions.common import c, extract_all, salted_join, top_k, trim_ws
 
 HREF = r"(?is)<a\s[^>]*?href=[\"']([^\"']*)[\"']"
 ANCHOR = r"(?is)<a\s[^>]*?href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
@@ -27,7 +27,7 @@ def docs_url_filter(df: DataFrame, site: str, url: str, pattern: str = K.DOCS_UR
     with_docs = df.filter(is_doc).select(site).distinct().withColumn("_has_docs", F.lit(True))
     plain = ~F.col(url).rlike("(?i)" + K.ASSET_URL_PATTERN) & ~F.col(url).contains("/tag/") & ~F.col(url).contains("/category/")
     return (
-        df.join(with_docs, site, "left")
+        salted_join(df, with_docs, [site], [url], "left")
         .filter(is_doc | (F.col("_has_docs").isNull() & plain))
         .drop("_has_docs")
     )
@@ -117,7 +117,7 @@ def context_pages(pages: DataFrame, kb: DataFrame | None = None) -> DataFrame:
 
 def with_kb(context: DataFrame, kb: DataFrame) -> DataFrame:
     facts = kb.select("url", "documentation_type", "topic", "covers", "key_terms")
-    return context.join(facts, "url", "left")
+    return salted_join(context, facts, ["url"], ["page_id"], "left")
 
 
 def add_selected_context(pages: DataFrame, context: DataFrame, kb: DataFrame, answers: DataFrame) -> DataFrame:

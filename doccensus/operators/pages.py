@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from doccensus.functions import html as H
 from doccensus.functions import urls as U
+from doccensus.functions.common import salted_join
+from doccensus.operators.robots import bot_status_v1, sitemap_directive
 
 
 def page_features(pages: DataFrame) -> DataFrame:
@@ -118,13 +120,11 @@ def site_file_flags(pages: DataFrame, log: DataFrame, robots: DataFrame) -> Data
             F.struct(F.lit("map").alias("kind"), F.concat(base, F.lit("/sitemap.xml")).alias("asked")),
         )).alias("a"),
     ).select("page_id", "base_url", "a.kind", "a.asked")
-    from doccensus.operators.robots import sitemap_directive
-
     named = robots.select("base_url", sitemap_directive("body").alias("directive"))
-    asked = asked.join(named, "base_url", "left").withColumn(
+    asked = salted_join(asked, named, ["base_url"], ["page_id"], "left").withColumn(
         "asked", F.when(F.col("kind") == "map", F.coalesce("directive", "asked")).otherwise(F.col("asked"))
     )
-    hits = asked.join(_answered(log, "asked").withColumn("hit", F.lit(True)), "asked", "left")
+    hits = salted_join(asked, _answered(log, "asked").withColumn("hit", F.lit(True)), ["asked"], ["page_id"], "left")
     has = lambda k: F.coalesce(F.bool_or((F.col("kind") == k) & F.col("hit").isNotNull()), F.lit(False))
     return hits.groupBy("page_id").agg(
         has("llms").alias("llms_found"), has("full").alias("llms_full_found"), has("map").alias("sitemap_found")
@@ -136,16 +136,14 @@ def readiness_features(pages: DataFrame, log: DataFrame, robots: DataFrame, refe
 
     ``reference_mode`` closes the llms.txt route to markdown discovery.
     """
-    from doccensus.operators.robots import bot_status_v1
-
     flags = site_file_flags(pages, log, robots)
     md = markdown_availability(pages, log, None if reference_mode else flags.select("page_id", "llms_found"))
     bots = bot_status_v1(robots.select(F.col("base_url").alias("domain"), "body")).groupBy(F.col("domain").alias("base_url")).agg(
         F.count_if(F.col("status") == "blocked").alias("bots_blocked"), F.count_if(F.col("status") == "not-mentioned").alias("bots_unlisted")
     )
     present = robots.select("base_url", (F.coalesce("body", F.lit("")) != "").alias("has_robots"))
+    paged = page_features(pages).join(flags, "page_id", "left").join(md, "page_id", "left")
     return (
-        page_features(pages).join(flags, "page_id", "left").join(md, "page_id", "left")
-        .join(bots.join(present, "base_url"), "base_url", "left")
+        salted_join(paged, bots.join(present, "base_url"), ["base_url"], ["page_id"], "left")
         .withColumn("has_robots", F.coalesce("has_robots", F.lit(False)))
     )

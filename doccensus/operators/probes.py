@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from doccensus import constants as K
 from doccensus.functions import urls as U
-from doccensus.functions.common import first_per, map_lookup, round_half_up
+from doccensus.functions.common import first_per, round_half_up, salted_join
 
 
 def candidate_array(url: Column | str, filename: str, hints: Column | None = None) -> Column:
@@ -48,7 +48,7 @@ def first_success(candidates: DataFrame, log: DataFrame, purpose: str) -> DataFr
     The log is reduced to one row per good URL before the join.
     """
     good = probe_ok(log.filter(F.col("purpose") == purpose)).filter("ok").select("url").distinct()
-    hits = candidates.join(good, "url")
+    hits = salted_join(candidates, good, ["url"], ["page_id"])
     return first_per(hits, ["page_id"], [F.col("prio")], ["prio", "source", "url"])
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from doccensus import constants as K
 from doccensus.functions import urls as U
-from doccensus.functions.common import c, extract, extract_all, first_per, top_k, trim_ws
+from doccensus.functions.common import c, extract, extract_all, salted_join, top_k, trim_ws
 
 _LINK_LINE = r"^-?\s*\[([^\]]+)\]\(([^)]+)\)(?:\s*:?\s*(.*))?$"
 
@@ -80,7 +80,8 @@ def relevant_entries(entries: DataFrame, targets: DataFrame) -> DataFrame:
     """
     placed, aimed = _placed_entries(entries), _placed_targets(targets)
     sections = aimed.select("host", F.col("parent").alias("scope_path")).distinct()
-    below = placed.withColumn("scope_path", F.explode(_prefixes(F.col("path")))).join(sections, ["host", "scope_path"])
+    leading = placed.withColumn("scope_path", F.explode(_prefixes(F.col("path"))))
+    below = salted_join(leading, sections, ["host", "scope_path"], ["bucket", "pos"])
     own_paths = aimed.select("host", F.col("path").alias("scope_path")).distinct()
     above = own_paths.withColumn("path", F.explode(_prefixes(F.col("scope_path")))).join(placed, ["host", "path"])
     shape = lambda df, kind: df.select("host", F.lit(kind).alias("scope"), "scope_path", "bucket", "pos", "url")
@@ -94,7 +95,7 @@ def to_crawl(entries: DataFrame, targets: DataFrame, kb: DataFrame, cap: int = 5
     which leaves every target's first ``cap`` unchanged.
     """
     missing = entries.join(kb.select("url").distinct(), "url", "left_anti")
-    order = [F.col("bucket"), F.col("pos")]
+    order = [F.col("bucket"), F.col("pos"), F.col("url")]
     scoped = relevant_entries(missing, targets)
     scoped = top_k(scoped, ["host", "scope", "scope_path"], order, cap, ["url", "pos"], rank="_r").drop("_r")
     aimed = _placed_targets(targets).distinct()
@@ -105,7 +106,7 @@ def to_crawl(entries: DataFrame, targets: DataFrame, kb: DataFrame, cap: int = 5
             F.struct(F.lit("ancestor").alias("scope"), F.col("path").alias("scope_path")),
         )).alias("s"),
     ).select("target_url", "host", "s.scope", "s.scope_path")
-    pairs = scopes.join(scoped, ["host", "scope", "scope_path"]).select("target_url", "bucket", "pos", "url").distinct()
+    pairs = salted_join(scopes, scoped, ["host", "scope", "scope_path"], ["target_url"]).select("target_url", "bucket", "pos", "url").distinct()
     return top_k(pairs, ["target_url"], order, cap, ["url", "pos"])
 
 

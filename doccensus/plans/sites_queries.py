@@ -121,7 +121,7 @@ QUERIES["l3_to_crawl"] = lambda spark, sf: S.to_crawl(*_entries_targets(spark, s
     "target_url", "bucket", "pos", "url", F.col("rank").cast("long").alias("rank")
 )
 ORACLE["l3_to_crawl"] = f"""WITH {_PLACED}, {_AIMED}
-SELECT target_url, bucket, pos, url, rank FROM (SELECT target_url, bucket, pos, url, row_number() OVER (PARTITION BY target_url ORDER BY bucket, pos) AS rank
+SELECT target_url, bucket, pos, url, rank FROM (SELECT target_url, bucket, pos, url, row_number() OVER (PARTITION BY target_url ORDER BY bucket, pos, url) AS rank
   FROM (SELECT DISTINCT target_url, bucket, pos, url FROM placed p JOIN aimed a ON p.host = a.host AND (starts_with(p.path, a.parent) OR starts_with(a.path, p.path))
     WHERE url NOT IN (SELECT url FROM {AP} WHERE length(url) % 3 = 0))) WHERE rank <= 50"""
 

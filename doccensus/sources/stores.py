@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doccensus.functions import urls as U
-from doccensus.functions.common import c
+from doccensus.functions.common import salted_join
 
 WEEK = 7
 
@@ -49,7 +49,7 @@ def split_cached(requests: DataFrame, cache: DataFrame, now: Column) -> DataFram
     """Mark each request hit or miss; an entry that ends exactly now still counts."""
     live = cache.filter(F.col("ttl") >= now).select(F.col("url").alias("_key"), "contextual_setting").distinct().withColumn("_hit", F.lit(True))
     keyed = requests.withColumn("_key", U.normalize_url("url"))
-    return keyed.join(live, ["_key", "contextual_setting"], "left").withColumn(
+    return salted_join(keyed, live, ["_key", "contextual_setting"], requests.columns, "left").withColumn(
         "cache_status", F.when(F.col("_hit").isNotNull(), "hit").otherwise("miss")
     ).drop("_hit").withColumnRenamed("_key", "cache_url")
 
