@@ -154,7 +154,7 @@ def contained_words(
     return right.join(left.hint("shuffle_hash"), [site, "_g", "_s"]).filter(F.col(text).contains(F.col(word))).select(site, word, text)
 
 
-def keyword_page_match(issues: DataFrame, urls: DataFrame, k: int = 5, common_above: int = 1000) -> DataFrame:
+def keyword_page_match(issues: DataFrame, urls: DataFrame, k: int = 5, common_above: int = 100) -> DataFrame:
     """Best ``k`` URLs of its site for every issue: +1 per keyword in the URL, +0.5 under /docs/.
 
     ``issues`` (issue_id, site, keywords), ``urls`` (site, url). Exact, without
@@ -317,26 +317,31 @@ def page_evidence(pairs: DataFrame, issues: DataFrame, pages: DataFrame) -> Data
     category, keywords), ``pages`` (page_id, html); two equi joins. A candidate
     whose page did not load keeps a row with ``loaded`` false.
     """
-    j = pairs.join(issues.select("issue_id", "title", "category", "keywords"), "issue_id").join(
-        pages.select("page_id", F.col("html"), F.lower("html").alias("low"), F.lit(True).alias("loaded")), "page_id", "left"
-    ).withColumn("loaded", F.coalesce("loaded", F.lit(False)))
-    low, cat = F.col("low"), F.col("category")
+    low = F.lower("html")
     has = lambda *words: contains_any(low, words)
-    examples = F.regexp_count("html", F.lit("(?i)<code|<pre|```")).cast("long")
-    production = contains_any(low, K.PRODUCTION_WORDS)
-    deploy, mail = cat == "deployment", cat == "email-delivery"
+    # what only depends on the page is found once per page, before pairs meet it
+    facts = pages.select(
+        "page_id", low.alias("low"), F.regexp_count("html", F.lit("(?i)<code|<pre|```")).cast("long").alias("code_examples"),
+        contains_any(low, K.PRODUCTION_WORDS).alias("production_guidance"), has("error", "troubleshoot").alias("has_errors"),
+        has("spam", "deliverability").alias("has_spam"), has("dns", "spf", "dkim").alias("has_dns"), has("vercel", "netlify").alias("has_platform"),
+        has("environment variable", "env").alias("has_env"), F.lit(True).alias("loaded"),
+    )
+    j = pairs.join(issues.select("issue_id", "title", "category", "keywords"), "issue_id").join(facts, "page_id", "left").withColumn(
+        "loaded", F.coalesce("loaded", F.lit(False))
+    )
+    deploy, mail = F.col("category") == "deployment", F.col("category") == "email-delivery"
     gaps = [
-        (examples == 0, "Missing code examples"),
-        (~production & deploy, "Missing production deployment guidance"),
-        (~has("error", "troubleshoot"), "Missing error handling and troubleshooting steps"),
-        (mail & ~has("spam", "deliverability"), "Missing spam/deliverability troubleshooting"),
-        (mail & ~has("dns", "spf", "dkim"), "Missing DNS configuration examples"),
-        (deploy & ~has("vercel", "netlify") & F.lower("title").contains("vercel"), "Missing platform-specific deployment examples (Vercel/Netlify)"),
-        (deploy & ~has("environment variable", "env"), "Missing environment variable configuration"),
+        (F.col("code_examples") == 0, "Missing code examples"),
+        (deploy & ~F.col("production_guidance"), "Missing production deployment guidance"),
+        (~F.col("has_errors"), "Missing error handling and troubleshooting steps"),
+        (mail & ~F.col("has_spam"), "Missing spam/deliverability troubleshooting"),
+        (mail & ~F.col("has_dns"), "Missing DNS configuration examples"),
+        (deploy & ~F.col("has_platform") & F.lower("title").contains("vercel"), "Missing platform-specific deployment examples (Vercel/Netlify)"),
+        (deploy & ~F.col("has_env"), "Missing environment variable configuration"),
     ]
-    found = F.size(F.filter("keywords", lambda w: low.contains(w)))
+    found = F.size(F.filter("keywords", lambda w: F.col("low").contains(w)))
     return j.select(
-        "issue_id", "page_id", "similarity", "loaded", (F.col("loaded") & (found >= 2)).alias("relevant"), examples.alias("code_examples"), production.alias("production_guidance"),
+        "issue_id", "page_id", "similarity", "loaded", (F.col("loaded") & (found >= 2)).alias("relevant"), "code_examples", "production_guidance",
         F.filter(F.array(*[F.when(cond, text) for cond, text in gaps]), lambda g: g.isNotNull()).alias("gaps"),
     )
 
