@@ -349,6 +349,22 @@ QUERIES["p10_experimental_signals"] = lambda spark, sf: V.experimental_signals(
 ).select("page_id", "signal", "status", "validated_url")
 ORACLE["p10_experimental_signals"] = f"SELECT page_id, signal, status, validated_url FROM {EVIDENCE} WHERE status = 'experimental'"
 
-QUERIES["p11_detection_report"] = lambda spark, sf: V.detection_report(V.evidence_signals(*evidence_inputs(spark, sf))).select(
-    "page_id", F.to_json("site").alias("site"), F.to_json("page").alias("page")
-)
+QUERIES["p11_probe_log"] = lambda spark, sf: V.page_probe_log(*evidence_inputs(spark, sf))
+_SINGLE = f"""SELECT page_id, 'map' AS slot, 0 AS prio, 'sitemap.xml' AS purpose, sm.u AS url FROM pg JOIN sm USING (base_url) UNION ALL SELECT page_id, 'alt', 0, 'markdown-alternate', coalesce(md_alt, md_header_url) FROM pg
+  UNION ALL SELECT page_id, 'direct', 0, 'direct-md', regexp_replace(url, '/$', '') || '.md' FROM pg UNION ALL SELECT page_id, 'neg', 0, 'content-negotiation', url FROM pg
+  UNION ALL SELECT page_id, 'agents', 0, 'AGENTS.md', base_url || '/AGENTS.md' FROM pg UNION ALL SELECT page_id, 'mcp', 0, 'mcp.json', base_url || '/.well-known/mcp.json' FROM pg"""
+ORACLE["p11_probe_log"] = f"""WITH pg AS (SELECT *, {D.base('url')} AS base_url, {_RESB(_ALT_MD)} AS md_alt FROM {HINTS}),
+sm AS (SELECT s.base_url, coalesce(nullif({D.trim(f"regexp_extract(body, '(?im)^Sitemap:\\s*([^{chr(92)}n]+)$', 1)")}, ''), s.base_url || '/sitemap.xml') AS u FROM {SITES} s LEFT JOIN {SROB} r ON r.base_url = s.base_url),
+k AS (SELECT page_id, 'llms' AS slot, prio, 'llms.txt' AS purpose, url FROM {_cands('llms.txt')} UNION ALL SELECT page_id, 'full', prio, 'llms-full.txt', url FROM {_cands('llms-full.txt')} UNION ALL {_SINGLE}),
+t AS (SELECT k.*, l.status_code, l.duration_ms, {OK_SQL.replace('purpose IN', 'k.purpose IN')} AS ok FROM k JOIN (SELECT DISTINCT url, purpose, status_code, duration_ms, content_type FROM {LOG}) l ON l.url = k.url AND l.purpose = k.purpose),
+w AS (SELECT page_id, slot, min(prio) AS won FROM t WHERE ok GROUP BY page_id, slot)
+SELECT t.page_id, url, purpose, status_code, duration_ms FROM t LEFT JOIN w ON w.page_id = t.page_id AND w.slot = t.slot WHERE won IS NULL OR prio <= won"""
+
+
+def _p11(spark, sf):
+    inputs = evidence_inputs(spark, sf)
+    report = V.detection_report(V.evidence_signals(*inputs), V.page_probe_log(*inputs))
+    return report.select("page_id", *[F.to_json(x).alias(x) for x in ("site", "page", "probes")])
+
+
+QUERIES["p11_detection_report"] = _p11
