@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["output"]
+_MODULES = ["output", "quality"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
