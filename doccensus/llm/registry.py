@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["output", "quality"]
+_MODULES = ["output", "quality", "duplicate"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}

@@ -30,7 +30,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     belongs to the session's scratch area and is left to its retention rule.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
