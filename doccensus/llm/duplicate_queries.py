@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doccensus.llm import near_duplicates
+from doccensus.llm import decontamination, near_duplicates
 from doccensus.llm.shared import documents
 
 QUERIES: dict = {}
@@ -15,4 +15,9 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES |= {"op1_near_duplicates": op1_near_duplicates}
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contaminated(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", "item_words", "covered", "n_tiles", "longest")
+
+
+QUERIES |= {"op1_near_duplicates": op1_near_duplicates, "op2_decontamination": op2_decontamination}
