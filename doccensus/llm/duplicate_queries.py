@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doccensus.llm import decontamination, near_duplicates
+from doccensus.llm import decontamination, near_duplicates, passages
 from doccensus.llm.shared import documents
 
 QUERIES: dict = {}
@@ -20,4 +20,8 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "item_words", "covered", "n_tiles", "longest")
 
 
-QUERIES |= {"op1_near_duplicates": op1_near_duplicates, "op2_decontamination": op2_decontamination}
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir, "doc_id", "text"))
+
+
+QUERIES |= {"op1_near_duplicates": op1_near_duplicates, "op2_decontamination": op2_decontamination, "op9_passages": op9_passages}

@@ -1,7 +1,9 @@
-"""Connected components of an edge table, as Spark jobs."""
+"""Links between nodes with common keys, and their connected components, as Spark jobs."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +46,32 @@ def _small_star(pairs: DataFrame) -> DataFrame:
     least = pairs.groupBy("u").agg(F.min("v").alias("m"))
     linked = pairs.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+
+
+def colliding(banded: DataFrame) -> DataFrame:
+    """Rows (node, size, key) whose key several nodes have, with the key's least node as ``a``; written once.
+
+    The counts are reduced before the shuffle; a key that many rows have meets its leader in a join that Spark splits.
+    """
+    least = banded.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").drop("z")
+    return written(banded.join(least, "key"), "shared-keys")
+
+
+def links(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ratio: float) -> DataFrame:
+    """All verified links (a, b) between components that the nodes of ``colliding`` fall into.
+
+    Every node is first held against the least node of each of its keys. Keys that then still hold several components
+    give all pairs of nodes of different components whose sizes are within the ratio; so a link that joins two
+    components is never left out, while nodes that are connected already are not paired again.
+    """
+    star = shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+    found = written(verify(star), "links")
+    root = components(found)
+    placed = shared.join(root, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    rest = written(placed.join(open_keys, "key", "left_semi"), "open-keys")
+    x = rest.select("key", F.col("node").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
+    y = rest.select("key", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
+    fits = F.least("na", "nb") >= F.greatest("na", "nb") * size_ratio - 1e-9
+    left = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
+    return found.unionByName(verify(left.join(star, ["a", "b"], "left_anti")))

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doccensus.llm.graph import components
+from doccensus.llm.graph import colliding, components, links
 from doccensus.llm.shared import written
 from doccensus.llm.words import WordNumbers, mix, shingles
 
@@ -172,29 +172,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     head = member.filter("doc_id = head").select("doc_id", "print")
     texts = made.select("doc_id", "print", "n_words", "keys").join(head, ["doc_id", "print"])
 
-    banded = texts.select("doc_id", "n_words", F.explode("keys").alias("key"))
-    # the least text of each key; keys of one text fall away in the aggregate
-    least = banded.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    shared = written(banded.join(least, "key"), "shared-keys")
+    shared = colliding(texts.select(F.col("doc_id").alias("node"), F.col("n_words").alias("size"), F.explode("keys").alias("key")))
     # the words of all texts that meet another anywhere; all others are read no more
-    held = shared.select("doc_id").distinct().join(head, "doc_id")
-    texts = written(made.select("doc_id", "print", "words").join(held, ["doc_id", "print"], "left_semi").select("doc_id", "words"), "words")
-    star = shared.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    links = written(_verified(star, texts, similarity), "links")
-
-    root = components(links)
-    placed = shared.join(root, shared["doc_id"] == root["node"], "left").select("key", "doc_id", "n_words", F.coalesce("root", "doc_id").alias("root"))
-    # keys that still hold several components: only there pairs are left, those between components
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rest = written(placed.join(open_keys, "key", "left_semi"), "open-keys")
-    x = rest.select("key", F.col("doc_id").alias("a"), F.col("n_words").alias("na"), F.col("root").alias("ra"))
-    y = rest.select("key", F.col("doc_id").alias("b"), F.col("n_words").alias("nb"), F.col("root").alias("rb"))
-    fits = F.least("na", "nb") >= F.greatest("na", "nb") * similarity - 1e-9
-    left = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
-    left = left.join(star, ["a", "b"], "left_anti")
-    more = _verified(left, texts, similarity)
-
-    final = components(links.unionByName(more))
+    held = shared.select(F.col("node").alias("doc_id")).distinct().join(head, "doc_id")
+    words = written(made.select("doc_id", "print", "words").join(held, ["doc_id", "print"], "left_semi").select("doc_id", "words"), "words")
+    final = components(links(shared, lambda pairs: _verified(pairs, words, similarity), similarity))
     heads_root = member.join(final, member["head"] == final["node"], "left").select("doc_id", F.coalesce("root", "head").alias("class_id"))
     return ids.join(heads_root, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
