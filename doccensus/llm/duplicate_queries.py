@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from doccensus.llm import decontamination, near_duplicates, passages
+from doccensus.llm import decontamination, near_duplicates, passages, repeats
 from doccensus.llm.shared import documents
 
 QUERIES: dict = {}
@@ -24,4 +25,9 @@ def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES |= {"op1_near_duplicates": op1_near_duplicates, "op2_decontamination": op2_decontamination, "op9_passages": op9_passages}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = repeats.without_repeats(documents(spark, sf_dir, "doc_id", "text"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES |= {"op1_near_duplicates": op1_near_duplicates, "op2_decontamination": op2_decontamination, "op9_passages": op9_passages, "op10_repeats": op10_repeats}
