@@ -29,7 +29,7 @@ def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.judged_columns(rules.judge(documents(spark, sf_dir, "doc_id", "text", "lang")), "doc_id")
+    judged = rules.judged_columns(rules.judge(documents(spark, sf_dir, "doc_id", "text", "lang"), ["doc_id"]), "doc_id")
     return judged.drop("char_distance", "word_distance")
 
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doccensus.llm.shared import WS, let
+from doccensus.llm.shared import WS, let, written
 
 MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 #: limits of the Jensen-Shannon distance, and the observations a histogram needs to be judged
@@ -70,53 +70,56 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, 0).otherwise(let(F.slice(hashes, 1, F.size(words) - 2), windows)).cast("long")
 
 
-def base_columns(text: Column, words: Column) -> dict[str, Column]:
+def base_columns(text: Column, words: Column, rest: Column) -> dict[str, Column]:
+    """The base counts; ``rest`` is the text without lower-case letters, which no count but that of words needs."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(WS))) > 0)
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long"),
-        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
+        "word_chars": (F.length(text) - F.regexp_count(rest, F.lit(r"[\x20\x09-\x0D]"))).cast("long"),
+        "n_symbols": F.regexp_count(rest, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(words),
     }
 
 
-def char_histogram(text: Column) -> Column:
-    """Counts of each character class and of the rest."""
-    each = [F.length(text) - F.length(F.regexp_replace(text, f"[{c}]+", "")) for c in CHAR_CLASSES]
-    rest = F.length(F.regexp_replace(text, f"[{''.join(CHAR_CLASSES)}]+", ""))
-    return F.array(*each, rest)
+def without_lower(text: Column) -> Column:
+    return F.regexp_replace(text, f"[{CHAR_CLASSES[0]}]+", "")
+
+
+def char_histogram(text: Column, rest: Column) -> Column:
+    """Counts of each character class and of what is left; all but the first come from the text without that class."""
+    each = [F.length(rest) - F.length(F.regexp_replace(rest, f"[{c}]+", "")) for c in CHAR_CLASSES[1:]]
+    others = F.length(F.regexp_replace(rest, f"[{''.join(CHAR_CLASSES)}]+", ""))
+    return F.array(F.length(text) - F.length(rest), *each, others)
 
 
 def word_histogram(text: Column) -> Column:
     """Counts of each common word among the runs of letters, and of all other runs."""
-    runs = F.split(F.btrim(F.regexp_replace(F.lower(text), r"\P{L}+", " ")), " ")
-    runs = F.when(F.size(runs) == 1, F.filter(runs, lambda x: x != "")).otherwise(runs)
 
-    def count(all_runs: Column) -> Column:
+    def count(runs: Column) -> Column:
+        # a split leaves an empty entry before the first and after the last separator
+        empty = F.when(F.element_at(runs, 1) == "", 1).otherwise(0) + F.when((F.size(runs) > 1) & (F.element_at(runs, -1) == ""), 1).otherwise(0)
+
         def each(common: Column) -> Column:
-            return F.array(*[F.size(common) - F.size(F.array_remove(common, w)) for w in WORDS], F.size(all_runs) - F.size(common))
+            return F.array(*[F.size(common) - F.size(F.array_remove(common, w)) for w in WORDS], F.size(runs) - empty - F.size(common))
 
-        return let(F.filter(all_runs, lambda w: w.isin(WORDS)), each)
+        return let(F.filter(runs, lambda w: w.isin(WORDS)), each)
 
-    return let(runs, count)
+    return let(F.split(F.lower(text), r"\P{L}+"), count)
 
 
 def _total(histogram: Column) -> Column:
     return F.aggregate(histogram, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def language_references(docs: DataFrame) -> DataFrame:
-    """Mean distributions over all documents: one row per language of ``LANGUAGES`` and one for the rest."""
+def language_references(counted: DataFrame) -> DataFrame:
+    """Mean distributions over all documents of ``histograms``: one row per language of ``LANGUAGES`` and one for the rest."""
 
     def shares(histogram: Column) -> Column:
         total = _total(histogram)
         return let(total, lambda n: F.transform(histogram, lambda x: F.when(n > 0, F.floor(x.cast("long") * _SCALE / n)).otherwise(0)))
 
-    text = F.coalesce("text", F.lit(""))
-    parts = docs.select(_language(docs).alias("_of"), char_histogram(text).alias("c"), word_histogram(text).alias("w")).select(
-        "_of", shares(F.col("c")).alias("c"), shares(F.col("w")).alias("w")
-    )
+    parts = counted.select(F.col("_of"), shares(F.col("_c")).alias("c"), shares(F.col("_w")).alias("w"))
     sums = parts.groupBy("_of").agg(
         *[F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(len(CHAR_CLASSES) + 1)], *[F.sum(F.col("w")[i]).alias(f"w{i}") for i in range(len(WORDS) + 1)]
     )
@@ -145,17 +148,26 @@ def distance(a: Column, b: Column) -> Column:
     return F.when((_total(a) > 0) & (_total(b) > 0), let(F.struct(_total(a).alias("a"), _total(b).alias("b")), lambda n: both(n["a"], n["b"])))
 
 
-def judge(docs: DataFrame, references: DataFrame | None = None) -> DataFrame:
-    """All columns of ``docs`` and a struct ``verdict``: the base counts, base_failed, the two distances, kept."""
-    references = language_references(docs) if references is None else references
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    row = F.struct(*own).alias("_row")
+def histograms(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """The carried columns (all by default) as a struct ``_row``, the base counts, the language and both histograms."""
+    row = F.struct(*[docs[f"`{c}`"] for c in (docs.columns if carry is None else carry)]).alias("_row")
     text = F.coalesce(docs["text"], F.lit(""))
-    read = docs.select(row, text.alias("_text"), words_of(text).alias("_words"), _language(docs).alias("_of"))
-    counted = read.select(
-        "_row", "_of", *[c.alias(n) for n, c in base_columns(F.col("_text"), F.col("_words")).items()],
-        char_histogram(F.col("_text")).alias("_c"), word_histogram(F.col("_text")).alias("_w"),
+    read = docs.select(row, text.alias("_text"), words_of(text).alias("_words"), without_lower(text).alias("_rest"), _language(docs).alias("_of"))
+    t, rest = F.col("_text"), F.col("_rest")
+    return read.select(
+        "_row", "_of", *[c.alias(n) for n, c in base_columns(t, F.col("_words"), rest).items()],
+        char_histogram(t, rest).alias("_c"), word_histogram(t).alias("_w"),
     )
+
+
+def judge(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """The carried columns of ``docs`` (all by default) as ``_row`` and a struct ``verdict``: counts, distances, kept.
+
+    The texts are counted once; counts and carried columns are written to the shared folder, since the references need
+    all documents before any can be judged.
+    """
+    counted = written(histograms(docs, carry), "histograms")
+    references = language_references(counted)
     # at most one row per language of LANGUAGES and one more, so this broadcast has a fixed bound
     held = counted.join(F.broadcast(references), F.col("_of") == F.col("_language"), "left").select(
         "_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
