@@ -52,7 +52,7 @@ def features(text: str | None) -> np.ndarray:
 
 
 def _feature_rows(texts: pd.Series) -> np.ndarray:
-    return np.array([features(t if isinstance(t, str) else None) for t in texts]).reshape(len(texts), -1)
+    return np.array([features(t if isinstance(t, str) else None) for t in texts]).reshape(len(texts), len(features(None)))
 
 
 class BradleyTerry:
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pa
 
     joined = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").mapInPandas(rows, "doc_id long, quality int, x array<double>")
     got = joined.toPandas().sort_values(["doc_id", "quality"], kind="stable")
-    x = np.array(got["x"].tolist()).reshape(len(got), -1)
+    x = np.array(got["x"].tolist()).reshape(len(got), len(features(None)))
     return BradleyTerry(x, got["quality"].to_numpy(), pairs)
 
 
