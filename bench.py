@@ -19,7 +19,7 @@ from doccensus.session import local_session
 # one query per family and shape of plan
 HEADLINE = [
     "audit_site_grades", "u1_normalize_url", "u7_resolve_url", "u13_slug_typos", "h1_visible_text", "h7_headings",
-    "h9_link_density", "h18_link_summary", "h22_page_markdown", "h26_doc_confidence", "h27_structural_signals",
+    "h9_link_density", "h18_link_summary", "h22_main_text", "h26_doc_confidence", "h27_structural_signals",
     "r2_crawler_status", "r5_bot_access_state", "l1_llms_entries", "l3_to_crawl", "l4_page_mapping",
     "l9_expand_sitemap_index", "p3_first_success", "p5_classify_link", "p8_health_summary", "p9_evidence_signals",
     "g4_recommendations", "g5_merge_recommendations", "g10_weighted_overall", "c4_competing_domains", "i3_merge_classification",

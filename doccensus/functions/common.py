@@ -5,10 +5,10 @@ Whitespace means ASCII whitespace throughout; lengths count code points.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -117,39 +117,28 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the checkpoint folder.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that all executors share: below ``spark.checkpoint.dir``, else below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    For a result that a plan reads several times. The folder is the one the
-    session names; only where it names none, as in tests, a temporary one.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="doccensus-"))
-    return df.checkpoint()
+
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder, for a result that a plan reads several times."""
+    path = shared_folder(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def number_rows(df: DataFrame, key: str, name: str, buckets: int = 200) -> DataFrame:
+def number_rows(df: DataFrame, key: str, name: str) -> DataFrame:
     """1-based position of every row in ascending order of a unique key.
 
-    The key range is cut at approximate quantiles (at most ``buckets`` values
-    on the driver); each bucket ranks its own rows and adds the number of rows
-    in the buckets before it. No task sees the whole table.
+    Rows are range-partitioned and numbered inside each partition; the rows of the partitions before are added. The
+    number of partitions follows the session and the table, and only one row for each meets in a window.
     """
-    cuts = df.agg(
-        F.percentile_approx(key, F.array(*[F.lit(i / buckets) for i in range(1, buckets)]), 10_000)
-    ).first()[0] or []
-    edges = F.lit(sorted(set(cuts))) if cuts else F.array().cast("array<long>")
-    placed = df.withColumn("_bucket", F.size(F.filter(edges, lambda e: e < F.col(key))))
-    sizes = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.select(
-        F.col("_bucket"),
-        (F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
-    )
-    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(key))
-    # at most `buckets` rows, so this broadcast has a fixed bound
-    return (
-        placed.join(F.broadcast(before), "_bucket")
-        .withColumn(name, local + F.col("_before"))
-        .drop("_bucket", "_before")
-    )
+    placed = settled(df.repartitionByRange(F.col(key)).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(key))
+    # one row per partition, so this broadcast is bounded by their number
+    return placed.join(F.broadcast(before), "_part").withColumn(name, local + F.col("_before")).drop("_part", "_before")

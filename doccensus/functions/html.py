@@ -345,8 +345,8 @@ def media_items(html: Column | str, url: Column | str) -> Column:
             F.coalesce(U.resolve_url(attr(m, "src"), url), F.lit("")),
             F.nullif(attr(m, "alt"), F.lit("")),
             F.nullif(attr(m, "title"), F.lit("")),
-            F.when(F.coalesce(attr(m, "alt"), F.lit("")) != "", "Has alt text").otherwise(
-                "Missing alt text - accessibility concern"
+            F.when(F.coalesce(attr(m, "alt"), F.lit("")) != "", "alternative text given").otherwise(
+                "image without alternative text"
             ),
         ),
     )
@@ -354,13 +354,13 @@ def media_items(html: Column | str, url: Column | str) -> Column:
         extract_all(h, r"(?is)<video(?:\s[^>]*)?>|<iframe\s[^>]*src=[\"'][^\"']*(?:youtube|vimeo)[^\"']*[\"'][^>]*>", 0),
         lambda m: item(
             "video", F.coalesce(attr(m, "src"), F.lit("")), none, none,
-            F.lit("Video content - consider accessibility and loading impact"),
+            F.lit("moving picture: captions and size to be checked"),
         ),
     )
     interactive = F.transform(
         extract_all(h, r"(?is)<form(?:\s[^>]*)?>|<button\s[^>]*onclick[^>]*>|<(?!form|button)\w+\s[^>]*data-interactive[^>]*>", 0),
         lambda m: item(
-            "interactive", F.lit(""), none, none, F.lit("Interactive element - may affect documentation usability")
+            "interactive", F.lit(""), none, none, F.lit("part that reacts to input")
         ),
     )
     return F.concat(images, videos, interactive)
@@ -584,3 +584,10 @@ def post_bodies(html: Column | str) -> Column:
         c(html), r"(?is)<div class=\"s-prose js-post-body\"[^>]*itemprop=\"text\">(.*?)</div>\s*</div>"
     )
     return F.slice(found, 1, 3)
+
+
+def main_text(html: Column | str) -> Column:
+    """Visible text of the main content: the first ``main`` block, else the first ``article``, else the whole page."""
+    h = c(html)
+    block = F.coalesce(extract(h, r"(?is)<main(?:\s[^>]*)?>(.*?)</main>"), extract(h, r"(?is)<article(?:\s[^>]*)?>(.*?)</article>"), h)
+    return visible_text(block, "crawl")

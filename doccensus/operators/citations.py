@@ -19,7 +19,7 @@ def brand(title: Column | str, domain: Column | str) -> Column:
     label = F.substring_index(
         F.regexp_replace(c(domain), r"^(www|docs|developer|dev|cms|api|help|support|learn|blog)\.", ""), ".", 1
     )
-    name = F.concat(F.upper(F.substring(label, 1, 1)), F.substring(label, 2, 1_000_000))
+    name = F.concat(F.upper(F.substring(label, 1, 1)), F.substr(label, F.lit(2)))
     return F.coalesce(F.nullif(tail, F.lit("")), name)
 
 

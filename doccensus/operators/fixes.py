@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doccensus import constants as K
-from doccensus.functions.common import c, round_half_up
+from doccensus.functions.common import c, round_half_up, trim_ws
 
 
 def issues_to_fix(findings: DataFrame, actions: DataFrame, selected: DataFrame) -> DataFrame:
@@ -20,38 +17,23 @@ def issues_to_fix(findings: DataFrame, actions: DataFrame, selected: DataFrame)
     return chosen.unionByName(rest)
 
 
-def _tolerant(text: str) -> str:
-    return r"\s+".join(re.escape(t) for t in text.split())
-
-
-def _place(content: str, original: str) -> tuple[int, int, str] | None:
-    """First span of ``content`` that a fix may replace, and how it was found."""
-    at = content.find(original)
-    if at >= 0:
-        return at, at + len(original), "exact"
-    hit = re.search(_tolerant(original.strip()), content)
-    if hit:
-        return hit.start(), hit.end(), "whitespace"
-    tokens = [t for t in original.split() if len(t) > 2]
-    if len(tokens) > 2:
-        hit = re.search(r".{0,50}?".join(re.escape(t) for t in tokens), content, re.DOTALL)
-        if hit:
-            return hit.start(), hit.end(), "tokens"
-    return None
-
-
-def _apply(texts: pd.Series, fixes: pd.Series) -> pd.DataFrame:
-    contents, outcomes = [], []
-    for content, todo in zip(texts, fixes):
-        done = []
-        for fix in [] if todo is None else todo:
-            span = _place(content, fix["original"])
-            if span:
-                content = content[: span[0]] + fix["proposed"] + content[span[1] :]
-            done.append({"fix_id": fix["fix_id"], "applied": span is not None, "strategy": span[2] if span else None})
-        contents.append(content)
-        outcomes.append(done)
-    return pd.DataFrame({"content": contents, "outcomes": outcomes})
+def _quoted(words: Column, between: str) -> Column:
+    """A pattern of the literal words with ``between`` in the gaps."""
+    return F.array_join(F.transform(words, lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))), between)
+
+
+def _found(text: Column, original: Column) -> Column:
+    """(hit, strategy) of the first text that a fix may replace; null hit when there is none or the fix names no text."""
+    words = F.filter(F.split(trim_ws(original), r"\s+"), lambda w: w != "")
+    long = F.filter(words, lambda w: F.length(w) > 2)
+    spaced = F.when(F.size(words) > 0, F.regexp_substr(text, _quoted(words, r"\s+")))
+    loose = F.when(F.size(long) > 2, F.regexp_substr(text, F.concat(F.lit("(?s)"), _quoted(long, ".{0,50}?"))))
+    pick = lambda hit, name: F.struct(hit.alias("hit"), F.lit(name).alias("strategy"))
+    return (
+        F.when(text.contains(original), pick(original, "exact"))
+        .when(spaced.isNotNull(), pick(spaced, "whitespace"))
+        .when(loose.isNotNull(), pick(loose, "tokens"))
+    )
 
 
 def apply_fixes(docs: DataFrame, fixes: DataFrame, selected_ids: DataFrame | None = None) -> DataFrame:
@@ -59,15 +41,25 @@ def apply_fixes(docs: DataFrame, fixes: DataFrame, selected_ids: DataFrame | Non
 
     Strategies: exact text, same words with other whitespace, then the long
     tokens with up to 50 characters between them; the first occurrence only.
-    A document meets its own short list of fixes by an equi join, and one
-    vectorised pass works through that list: the order dependence is inside a
-    row, so documents never gather. Replacements are literal.
+    A document meets its own short list of fixes by an equi join, and one fold
+    over that list does the rest in the row, so documents never gather.
+    Replacements are literal; a fix without a text to replace is not applied,
+    one without a replacement removes the text.
     """
     wanted = fixes if selected_ids is None else fixes.join(selected_ids, "fix_id", "left_semi")
     todo = wanted.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "fix_id", "original", "proposed"))).alias("todo"))
-    work = F.pandas_udf(_apply, "content string, outcomes array<struct<fix_id:string,applied:boolean,strategy:string>>")
+    outcome = "array<struct<fix_id:string,applied:boolean,strategy:string>>"
+    start = F.struct(F.coalesce("content", F.lit("")).alias("content"), F.array().cast(outcome).alias("outcomes"))
+
+    def step(state: Column, fix: Column) -> Column:
+        done = lambda place: F.struct(
+            F.when(place.isNull(), state["content"]).otherwise(splice(state["content"], place["hit"], F.coalesce(fix["proposed"], F.lit("")))).alias("content"),
+            F.concat(state["outcomes"], F.array(F.struct(fix["fix_id"].alias("fix_id"), place.isNotNull().alias("applied"), place["strategy"].alias("strategy")))).cast(outcome).alias("outcomes"),
+        )
+        return F.element_at(F.transform(F.array(_found(state["content"], fix["original"])), done), 1)
+
     joined = docs.select("doc_id", "content").join(todo, "doc_id")
-    return joined.select("doc_id", work("content", "todo").alias("r")).select("doc_id", "r.content", "r.outcomes")
+    return joined.select("doc_id", F.aggregate("todo", start, step).alias("r")).select("doc_id", "r.content", "r.outcomes")
 
 
 def apply_exact_fixes(docs: DataFrame, fixes: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doccensus import constants as K
@@ -17,12 +17,14 @@ from doccensus.functions.common import c, contains_any, extract_all, number_rows
 # ── selection and classification ────────────────────────────────────────
 
 
-def recent_open(issues: DataFrame, now: Column, days: int = 14, limit: int | None = 300) -> DataFrame:
+def recent_open(issues: DataFrame, now: Column, days: int = 14, limit: int | None = None) -> DataFrame:
     """Open issues created after the day ``days`` ago, newest first per repository."""
     since = F.date_sub(F.to_date(now), days)
     recent = issues.filter((F.col("state") == "open") & (F.to_date("created_at") > since))
     order = [F.col("created_at").desc(), F.col("number").desc()]
-    return recent if limit is None else top_k(recent, ["repo"], order, limit, ["number"])
+    if limit is None:
+        return recent.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(*order)))
+    return top_k(recent, ["repo"], order, limit, ["number"])
 
 
 def docs_related(title: Column | str, body: Column | str, labels: Column | str) -> Column:
@@ -197,13 +199,14 @@ def keyword_page_match(issues: DataFrame, urls: DataFrame, k: int = 5, common_ab
     return top_k(best, ["issue_id"], [F.col("score").desc(), F.col("url")], k, ["url"])
 
 
-def keyword_entry_match(issues: DataFrame, entries: DataFrame, k: int = 15) -> DataFrame:
+def keyword_entry_match(issues: DataFrame, entries: DataFrame, k: int = 15, body_chars: int | None = None) -> DataFrame:
     """Best ``k`` entries of a site by how many words of its issues they contain.
 
     Words longer than three characters of all issues of the site form one set,
     so an entry is matched once, however many issues there are.
     """
-    text = F.lower(F.concat("title", F.lit(" "), F.substring(F.coalesce("body", F.lit("")), 1, 500)))
+    body = F.coalesce("body", F.lit(""))
+    text = F.lower(F.concat("title", F.lit(" "), body if body_chars is None else F.substring(body, 1, body_chars)))
     words = issues.select("site", F.explode(F.filter(F.split(text, "[^a-z0-9_]+"), lambda w: F.length(w) > 3)).alias("kw"))
     texts = entries.withColumn("text", F.lower(F.concat("title", F.lit(" "), F.coalesce("description", F.lit("")))))
     hits = contained_words(words, texts, "site", "kw", "text", 4)
@@ -259,7 +262,7 @@ def local_ranking(issues: DataFrame, relevant: DataFrame) -> DataFrame:
     ).orderBy(F.col("likely_docs").desc(), F.col("reactions").desc(), "number")
 
 
-def similar_pages(issue_vecs: DataFrame, page_vecs: DataFrame, k: int = 5, block: int = 8192, dim: int | None = None) -> DataFrame:
+def similar_pages(issue_vecs: DataFrame, page_vecs: DataFrame, k: int = 5, block: int = 8192) -> DataFrame:
     """Exact cosine top ``k`` pages for every issue vector.
 
     Both sides are cut into blocks of about ``block`` rows by id hash; every
@@ -331,13 +334,13 @@ def page_evidence(pairs: DataFrame, issues: DataFrame, pages: DataFrame) -> Data
     )
     deploy, mail = F.col("category") == "deployment", F.col("category") == "email-delivery"
     gaps = [
-        (F.col("code_examples") == 0, "Missing code examples"),
-        (deploy & ~F.col("production_guidance"), "Missing production deployment guidance"),
-        (~F.col("has_errors"), "Missing error handling and troubleshooting steps"),
-        (mail & ~F.col("has_spam"), "Missing spam/deliverability troubleshooting"),
-        (mail & ~F.col("has_dns"), "Missing DNS configuration examples"),
-        (deploy & ~F.col("has_platform") & F.lower("title").contains("vercel"), "Missing platform-specific deployment examples (Vercel/Netlify)"),
-        (deploy & ~F.col("has_env"), "Missing environment variable configuration"),
+        (F.col("code_examples") == 0, "code-examples"),
+        (deploy & ~F.col("production_guidance"), "production-guidance"),
+        (~F.col("has_errors"), "error-handling"),
+        (mail & ~F.col("has_spam"), "spam-handling"),
+        (mail & ~F.col("has_dns"), "dns-setup"),
+        (deploy & ~F.col("has_platform") & F.lower("title").contains("vercel"), "platform-deployment"),
+        (deploy & ~F.col("has_env"), "environment-setup"),
     ]
     found = F.size(F.filter("keywords", lambda w: F.col("low").contains(w)))
     return j.select(
@@ -387,17 +390,24 @@ def status_summary(status: DataFrame) -> DataFrame:
     )
 
 
-def rank_gaps(results: DataFrame, per_session: int = 5) -> DataFrame:
-    """First issues of each session in request order, most confident first."""
+def rank_gaps(results: DataFrame, per_session: int | None = None) -> DataFrame:
+    """Issues of each session, most confident first; with ``per_session`` the first in request order only."""
+    ranked = [F.col("confidence").desc(), F.col("pos")]
+    if per_session is None:
+        return results.withColumn("rank", F.row_number().over(Window.partitionBy("session_id").orderBy(*ranked)))
     kept = top_k(results, ["session_id"], [F.col("pos")], per_session, ["pos"], rank="_r").drop("_r")
     return top_k(kept, ["session_id"], [F.col("confidence").desc(), F.col("pos")], per_session, ["pos"])
 
 
-def docs_repo_candidates(repos: DataFrame, files: DataFrame, limit: int = 5) -> DataFrame:
-    """Likely documentation repositories of every owner, with content counts."""
+def docs_repo_candidates(repos: DataFrame, files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Likely documentation repositories of every owner, newest first, with content counts."""
     topic = F.exists("topics", lambda t: t.rlike(K.DOCS_REPO_TOPIC_PATTERN))
     likely = F.col("name").rlike(K.DOCS_REPO_NAME_PATTERN) | F.coalesce("description", F.lit("")).rlike(K.DOCS_REPO_DESC_PATTERN) | topic
-    chosen = top_k(repos.filter(likely & ~F.col("is_current")), ["owner"], [F.col("updated_at").desc(), F.col("name")], limit, ["name"])
+    order, likely_repos = [F.col("updated_at").desc(), F.col("name")], repos.filter(likely & ~F.col("is_current"))
+    if limit is None:
+        chosen = likely_repos.withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy(*order)))
+    else:
+        chosen = top_k(likely_repos, ["owner"], order, limit, ["name"])
     low = F.lower("path")
     is_file, folder = F.col("type") == "file", F.regexp_extract(low, "^([^/]+)/[^/]+$", 1)
     root = ~F.col("path").contains("/")
@@ -415,27 +425,28 @@ def docs_repo_candidates(repos: DataFrame, files: DataFrame, limit: int = 5) ->
     )
 
 
-def enrich(issues: DataFrame, posts: DataFrame, content_chars: int = 8000) -> DataFrame:
+def enrich(issues: DataFrame, posts: DataFrame, content_chars: int | None = None) -> DataFrame:
     """Add what the first source page of an issue says; unmatched issues stay as they are."""
     from doccensus.functions import html as H
 
+    whole = trim_ws(F.regexp_replace(F.regexp_replace(F.array_join(H.post_bodies("html"), ""), "<[^>]+>", " "), r"\s+", " "))
     facts = posts.select(
         F.col("url").alias("source_url"),
-        F.substring(trim_ws(F.regexp_replace(F.regexp_replace(F.array_join(H.post_bodies("html"), ""), "<[^>]+>", " "), r"\s+", " ")), 1, content_chars).alias("full_content"),
+        (whole if content_chars is None else F.substring(whole, 1, content_chars)).alias("full_content"),
         H.post_code_snippets("html").alias("code_snippets"), H.error_messages("html").alias("error_messages"),
         H.post_tags("html").alias("tags"), H.stack_trace("html").alias("stack_trace"),
     )
     return issues.withColumn("source_url", F.get("sources", F.lit(0))).join(facts, "source_url", "left")
 
 
-def select_docs_pages(pages: DataFrame, picked: DataFrame, failed_sites: DataFrame, fallback: DataFrame, more_than: int = 10) -> DataFrame:
+def select_docs_pages(pages: DataFrame, picked: DataFrame, failed_sites: DataFrame, fallback: DataFrame, more_than: int = 10, content_chars: int | None = None) -> DataFrame:
     """Pages an issue review reads: the picked ones on large sites, else all.
 
     ``picked`` (site, url) are model choices, ``fallback`` (site, url) the
     keyword matches used where the model failed; a large site left with no
     choice keeps every page.
     """
-    usable = pages.filter(F.length("content") > 100).select("site", "url", F.substring("content", 1, 15000).alias("content"))
+    usable = pages.filter(F.length("content") > 100).select("site", "url", (F.col("content") if content_chars is None else F.substring("content", 1, content_chars)).alias("content"))
     size = usable.groupBy("site").agg(F.count("*").alias("n"))
     good = picked.join(failed_sites.select("site"), "site", "left_anti").unionByName(fallback.join(failed_sites.select("site"), "site", "left_semi"))
     good = good.select("site", "url").distinct().withColumn("_pick", F.lit(True))

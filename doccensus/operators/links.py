@@ -117,7 +117,7 @@ def context_pages(pages: DataFrame, kb: DataFrame | None = None) -> DataFrame:
 
 def with_kb(context: DataFrame, kb: DataFrame) -> DataFrame:
     facts = kb.select("url", "documentation_type", "topic", "covers", "key_terms")
-    return salted_join(context, facts, ["url"], ["page_id"], "left")
+    return context.join(facts, ["url"], "left")
 
 
 def add_selected_context(pages: DataFrame, context: DataFrame, kb: DataFrame, answers: DataFrame) -> DataFrame:

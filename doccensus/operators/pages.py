@@ -124,7 +124,7 @@ def site_file_flags(pages: DataFrame, log: DataFrame, robots: DataFrame) -> Data
     asked = salted_join(asked, named, ["base_url"], ["page_id"], "left").withColumn(
         "asked", F.when(F.col("kind") == "map", F.coalesce("directive", "asked")).otherwise(F.col("asked"))
     )
-    hits = salted_join(asked, _answered(log, "asked").withColumn("hit", F.lit(True)), ["asked"], ["page_id"], "left")
+    hits = asked.join(_answered(log, "asked").withColumn("hit", F.lit(True)), ["asked"], "left")
     has = lambda k: F.coalesce(F.bool_or((F.col("kind") == k) & F.col("hit").isNotNull()), F.lit(False))
     return hits.groupBy("page_id").agg(
         has("llms").alias("llms_found"), has("full").alias("llms_full_found"), has("map").alias("sitemap_found")

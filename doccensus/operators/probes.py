@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from doccensus import constants as K
 from doccensus.functions import urls as U
-from doccensus.functions.common import first_per, round_half_up, salted_join
+from doccensus.functions.common import first_per, round_half_up
 
 
 def candidate_array(url: Column | str, filename: str, hints: Column | None = None) -> Column:
@@ -48,7 +48,7 @@ def first_success(candidates: DataFrame, log: DataFrame, purpose: str) -> DataFr
     The log is reduced to one row per good URL before the join.
     """
     good = probe_ok(log.filter(F.col("purpose") == purpose)).filter("ok").select("url").distinct()
-    hits = salted_join(candidates, good, ["url"], ["page_id"])
+    hits = candidates.join(good, ["url"])
     return first_per(hits, ["page_id"], [F.col("prio")], ["prio", "source", "url"])
 
 
@@ -77,7 +77,7 @@ def latest_by_method(log: DataFrame) -> DataFrame:
 
 def _denied(code: Column) -> Column:
     name = F.when(code == 401, "Unauthorized").otherwise("Forbidden")
-    return F.concat(F.lit("Access denied ("), code, F.lit(" "), name, F.lit(")"))
+    return F.concat(F.lit("refused ("), code, F.lit(" "), name, F.lit(")"))
 
 
 def classify_link(log: DataFrame) -> DataFrame:
@@ -99,11 +99,11 @@ def classify_link(log: DataFrame) -> DataFrame:
         .otherwise("error")
     )
     message = (
-        F.when(F.col("link_state") == "404", "Page not found")
+        F.when(F.col("link_state") == "404", "no page at this address")
         .when(F.col("link_state") == "access-denied", _denied(get))
-        .when(F.col("link_state") == "timeout", "Request timeout (HEAD + GET both timed out after 10s)")
+        .when(F.col("link_state") == "timeout", "neither request was answered in time")
         .when((F.col("link_state") == "error") & (get > 0), F.concat(F.lit("HTTP "), get))
-        .when(F.col("link_state") == "error", "Unknown error")
+        .when(F.col("link_state") == "error", "failed for no known reason")
     )
     return both.withColumn("link_state", kind).select("domain", "url", "link_state", message.alias("message"))
 

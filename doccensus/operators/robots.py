@@ -29,7 +29,7 @@ def _lines(body: Column) -> Column:
 
 def _value(line: Column, field: str) -> Column:
     """Trimmed value of a ``Field: value`` line, null for other lines."""
-    return F.when(F.lower(line).startswith(field + ":"), trim_ws(F.substring(line, len(field) + 2, 1_000_000)))
+    return F.when(F.lower(line).startswith(field + ":"), trim_ws(F.substr(line, F.lit(len(field) + 2))))
 
 
 def _flush(s: Column) -> Column:

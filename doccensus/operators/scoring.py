@@ -232,14 +232,11 @@ def health_counter(f: DataFrame) -> DataFrame:
 
 
 def grade_label(score: Column, n: Column) -> Column:
-    many = n > 1
-    s = lambda text, one, more: F.concat(F.lit(text), n.cast("string"), F.lit(" "), F.when(many, more).otherwise(one))
-    return (
-        F.when(n == 0, "Great — no issues found")
-        .when(score >= 90, s("Great — ", "minor improvement", "minor improvements"))
-        .when(score >= 75, F.concat(s("Good — ", "opportunity", "opportunities"), F.lit(" to improve")))
-        .when(score >= 60, F.concat(s("Fair — ", "thing", "things"), F.lit(" to fix")))
-        .otherwise(F.concat(s("Needs work — ", "issue", "issues"), F.lit(" found")))
+    return F.when(n == 0, "clean").otherwise(
+        F.concat(
+            F.when(score >= 90, "very good").when(score >= 75, "good").when(score >= 60, "middling").otherwise("poor"),
+            F.lit(", open points: "), n.cast("string"),
+        )
     )
 
 

@@ -7,7 +7,7 @@ every page of a site with every entry.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from doccensus import constants as K
@@ -88,16 +88,17 @@ def relevant_entries(entries: DataFrame, targets: DataFrame) -> DataFrame:
     return shape(below, "section").unionByName(shape(above, "ancestor"))
 
 
-def to_crawl(entries: DataFrame, targets: DataFrame, kb: DataFrame, cap: int = 50) -> DataFrame:
-    """First ``cap`` relevant entries per target that the store lacks.
+def to_crawl(entries: DataFrame, targets: DataFrame, kb: DataFrame, cap: int | None = None) -> DataFrame:
+    """Relevant entries per target that the store lacks, in order; with ``cap`` the first ones only.
 
-    Each scope is cut to its own first ``cap`` entries before targets join it,
+    With a cap each scope is cut to its own first ``cap`` entries before targets join it,
     which leaves every target's first ``cap`` unchanged.
     """
     missing = entries.join(kb.select("url").distinct(), "url", "left_anti")
     order = [F.col("bucket"), F.col("pos"), F.col("url")]
     scoped = relevant_entries(missing, targets)
-    scoped = top_k(scoped, ["host", "scope", "scope_path"], order, cap, ["url", "pos"], rank="_r").drop("_r")
+    if cap is not None:
+        scoped = top_k(scoped, ["host", "scope", "scope_path"], order, cap, ["url", "pos"], rank="_r").drop("_r")
     aimed = _placed_targets(targets).distinct()
     scopes = aimed.select(
         "target_url", "host",
@@ -107,6 +108,8 @@ def to_crawl(entries: DataFrame, targets: DataFrame, kb: DataFrame, cap: int = 5
         )).alias("s"),
     ).select("target_url", "host", "s.scope", "s.scope_path")
     pairs = salted_join(scopes, scoped, ["host", "scope", "scope_path"], ["target_url"]).select("target_url", "bucket", "pos", "url").distinct()
+    if cap is None:
+        return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("target_url").orderBy(*order)))
     return top_k(pairs, ["target_url"], order, cap, ["url", "pos"])
 
 
@@ -175,7 +178,7 @@ def openapi_specs(files: DataFrame) -> DataFrame:
     return lines.select("base_url", "bucket", F.col("pos").cast("long").alias("pos"), spec.alias("spec")).filter("spec IS NOT NULL")
 
 
-def llms_full_sections(files: DataFrame, key: str) -> DataFrame:
+def llms_full_sections(files: DataFrame, key: str, content_chars: int | None = None) -> DataFrame:
     """Top-level sections of long single-file dumps."""
     parts = files.filter(F.length("body") > 500).select(
         key, F.posexplode(F.filter(F.split("body", r"(?m)(?=^#\s)"), lambda s: F.length(trim_ws(s)) > 100)).alias("pos", "s")
@@ -183,18 +186,18 @@ def llms_full_sections(files: DataFrame, key: str) -> DataFrame:
     head = trim_ws(F.regexp_replace(F.substring_index("s", "\n", 1), r"^#+\s*", ""))
     return parts.select(
         key, F.col("pos").cast("long").alias("pos"), F.coalesce(F.nullif(head, F.lit("")), F.lit("docs")).alias("title"),
-        F.substring("s", 1, 15000).alias("content"),
+        (F.col("s") if content_chars is None else F.substring("s", 1, content_chars)).alias("content"),
     )
 
 
-def sitemap_locs(body: Column | str, limit: int | None = 500) -> Column:
+def sitemap_locs(body: Column | str, limit: int | None = None) -> Column:
     """Distinct http(s) locations of one file in order."""
     locs = F.transform(extract_all(c(body), r"(?is)<loc>(.*?)</loc>"), lambda x: trim_ws(x))
     urls = F.array_distinct(F.filter(locs, lambda x: U.is_http_url(x)))
     return urls if limit is None else F.slice(urls, 1, limit)
 
 
-def sitemap_urls(files: DataFrame, limit: int | None = 500) -> DataFrame:
+def sitemap_urls(files: DataFrame, limit: int | None = None) -> DataFrame:
     return files.filter(F.col("body").contains("<urlset")).select(
         F.col("url").alias("sitemap_url"), F.posexplode(sitemap_locs("body", limit)).alias("pos", "url")
     ).select("sitemap_url", F.col("pos").cast("long").alias("pos"), "url")
@@ -205,24 +208,31 @@ def expand_sitemap_index(roots: DataFrame, files: DataFrame, max_depth: int = 3)
 
     One equi join per level, ``max_depth`` of them; a file is opened once per root.
     """
-    frontier = roots.select(F.col("url").alias("root"), F.col("url").alias("file"))
-    visited = frontier.distinct()
-    bodies = files.select(F.col("url").alias("file"), "body")
-    found = None
-    for depth in range(max_depth + 1):
-        opened = frontier.join(bodies, "file")
-        pages = opened.filter(F.col("body").contains("<urlset")).select(
-            "root", F.lit(depth).cast("long").alias("depth"), F.explode(sitemap_locs("body", None)).alias("url")
-        )
-        found = pages if found is None else found.unionByName(pages)
-        if depth == max_depth:
-            break
-        children = opened.filter(F.col("body").contains("<sitemapindex")).select(
-            "root", F.explode(sitemap_locs("body", None)).alias("file")
-        ).distinct()
-        frontier = children.join(visited, ["root", "file"], "left_anti")
-        visited = visited.unionByName(frontier)
-    return found.groupBy("root", "url").agg(F.min("depth").alias("depth"))
+    # narrow rows: a body is read once and never part of a shuffle
+    entries = files.select(
+        F.col("url").alias("file"), F.col("body").contains("<urlset").alias("leaf"), F.col("body").contains("<sitemapindex").alias("index"),
+        F.explode(sitemap_locs("body", None)).alias("loc"),
+    )
+    children = entries.filter("index").select("file", F.col("loc").alias("child"))
+    reached = roots.select(F.col("url").alias("root"), F.col("url").alias("file"), F.lit(0).cast("long").alias("depth"))
+    frontier = reached
+    for depth in range(1, max_depth + 1):
+        # a file met again lower down is dropped by the minimum over depths below
+        frontier = frontier.join(children, "file").select("root", F.col("child").alias("file"), F.lit(depth).cast("long").alias("depth")).distinct()
+        reached = reached.unionByName(frontier)
+    first = reached.groupBy("root", "file").agg(F.min("depth").alias("depth"))
+    pages = first.join(entries.filter("leaf").select("file", F.col("loc").alias("url")), "file")
+    return pages.groupBy("root", "url").agg(F.min("depth").alias("depth"))
+
+
+def unopened_sitemaps(roots: DataFrame, files: DataFrame, max_depth: int = 3) -> DataFrame:
+    """(root, file): sitemap files that lie deeper than ``max_depth`` below a root, so that nothing is lost silently."""
+    entries = files.filter(F.col("body").contains("<sitemapindex")).select(F.col("url").alias("file"), F.explode(sitemap_locs("body", None)).alias("child"))
+    seen = frontier = roots.select(F.col("url").alias("root"), F.col("url").alias("file"))
+    for _ in range(max_depth + 1):
+        seen = seen.unionByName(frontier)
+        frontier = frontier.join(entries, "file").select("root", F.col("child").alias("file")).distinct()
+    return frontier.join(seen.distinct(), ["root", "file"], "left_anti")
 
 
 def docs_preview(llms: DataFrame, sitemaps: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
-_CUT = "instr(substring(url, 9, 4000), '/')"
+_CUT = "instr(substring(url, 9), '/')"
 
 DERIVED: dict[str, str] = {}
 
@@ -26,7 +26,7 @@ SELECT page_id,
     CASE page_id % 8 WHEN 0 THEN '/docs/guides/api' WHEN 1 THEN '/docs' WHEN 2 THEN '/reference/functions'
       WHEN 3 THEN '' WHEN 4 THEN '/blog' WHEN 5 THEN '/tutorials/getting-started'
       WHEN 6 THEN '/API/v1-refrence_guide' ELSE '/how-to/Configration' END,
-    substring(url, {_CUT} + 8, 4000)) AS url,
+    substring(url, {_CUT} + 8)) AS url,
   replace(replace(html, '</head>', concat(
     CASE page_id % 3 WHEN 0 THEN concat('<link rel="canonical" href="', url, '">')
       WHEN 1 THEN concat('<link href="', url, '" rel="canonical">') ELSE '' END,
@@ -90,7 +90,7 @@ FROM {documents}
 # documents as discussion pages with code, errors, tags and stack frames
 DERIVED["posts"] = """
 SELECT doc_id, concat(
-  '<div class="s-prose js-post-body" itemprop="text"><p>', substring(text, 1, 2000), '</p>',
+  '<div class="s-prose js-post-body" itemprop="text"><p>', text, '</p>',
   CASE doc_id % 4 WHEN 0 THEN '<pre><code class="language-js">const a = await fetch(&quot;/x&quot;); // &lt;tag&gt;</code></pre>'
     WHEN 1 THEN '<pre><code>short</code></pre><code>let y =&gt; 2</code>' WHEN 2 THEN '<code>plain word</code>' ELSE '' END,
   CASE doc_id % 5 WHEN 0 THEN concat('TypeError: cannot read value of widget ', CAST(doc_id % 10 AS STRING), chr(10))
@@ -134,7 +134,7 @@ SELECT base_url, bucket, concat('# ', base_url, chr(10), '> Docs of the site', c
 FROM (SELECT page_id, CAST(floor(page_id / 100) AS BIGINT) AS bucket, substring(url, 1, {_CUT} + 7) AS base_url,
   CASE page_id % 7
     WHEN 0 THEN concat('- [Page ', CAST(page_id AS STRING), '](', url, '): About number ', CAST(page_id AS STRING), ' ')
-    WHEN 1 THEN concat('[Rel ', CAST(page_id AS STRING), '](', substring(url, {_CUT} + 8, 4000), ')')
+    WHEN 1 THEN concat('[Rel ', CAST(page_id AS STRING), '](', substring(url, {_CUT} + 8), ')')
     WHEN 2 THEN url
     WHEN 3 THEN concat('- [Md](', url, '.md) trailing')
     WHEN 4 THEN concat('# Section ', CAST(page_id AS STRING))
@@ -232,7 +232,7 @@ DERIVED["artifacts"] = """
 SELECT concat('s', CAST(event_id % 1200 AS STRING)) AS session_id, ts,
   CASE (event_id * 31 + user_id) % 9 WHEN 0 THEN 'sitemap-health' WHEN 1 THEN 'report' WHEN 2 THEN 'dimensions' WHEN 3 THEN 'content' WHEN 4 THEN 'status' ELSE 'metadata' END AS artifact,
   CASE user_id % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'rejected' ELSE 'running' END AS state
-FROM {events} WHERE event_type = 'purchase'
+FROM {events}
 """
 
 # knowledge store: one row per audited page, some urls twice
@@ -248,11 +248,11 @@ SELECT d.doc_id AS number, concat('repo', CAST(d.doc_id % 7 AS STRING)) AS repo,
   CASE d.doc_id % 3 WHEN 0 THEN 'example-com' WHEN 1 THEN 'example-net' ELSE 'example-org' END AS site,
   concat(CASE d.doc_id % 8 WHEN 0 THEN 'Unclear documentation for reference functions ' WHEN 1 THEN 'How to deploy guides with vercel docs api ' WHEN 2 THEN 'API key token rejected in getting started '
     WHEN 3 THEN 'Email marked as spam by blog ' WHEN 4 THEN 'Webhook event never arrives ' WHEN 5 THEN '429 error: too many requests ' ELSE '' END, replace(substring(d.text, 1, 60), chr(10), ' ')) AS title,
-  CASE WHEN d.doc_id % 10 = 9 THEN NULL ELSE substring(d.text, 61, 3000) END AS body,
+  CASE WHEN d.doc_id % 10 = 9 THEN NULL ELSE substring(d.text, 61) END AS body,
   CASE d.doc_id % 9 WHEN 0 THEN 'Documentation;p1' WHEN 1 THEN 'bug' WHEN 2 THEN 'good first issue;area: docs' ELSE 'p2' END AS label_text,
   CASE d.doc_id % 6 WHEN 0 THEN 'deployment' WHEN 1 THEN 'email-delivery' WHEN 2 THEN 'api-usage' WHEN 3 THEN 'authentication' WHEN 4 THEN 'documentation' ELSE 'other' END AS category,
-  e.ts AS created_at, CASE WHEN d.doc_id % 6 = 5 THEN 'closed' ELSE 'open' END AS state, CAST(d.doc_id % 13 AS BIGINT) AS reactions, d.doc_id % 20 AS comments
-FROM {documents} d JOIN {events} e ON e.event_id = d.doc_id * 10
+  coalesce(e.ts, TIMESTAMP '2024-01-20 00:00:00') AS created_at, CASE WHEN d.doc_id % 6 = 5 THEN 'closed' ELSE 'open' END AS state, CAST(d.doc_id % 13 AS BIGINT) AS reactions, d.doc_id % 20 AS comments
+FROM {documents} d LEFT JOIN {events} e ON e.event_id = d.doc_id * 10
 """
 
 # question statistics and ranked issues from events
@@ -328,7 +328,8 @@ FROM {audit_pages} p FANOUT[k; v; (0), (1)] WHERE p.page_id % 3 >= k.v
 
 # requests against processed pages with a cached copy for some
 DERIVED["cache_requests"] = """
-SELECT event_id, CASE user_id % 2 WHEN 0 THEN 'with-context' ELSE 'without-context' END AS contextual_setting, p.url FROM {events} JOIN {audit_pages} p ON p.page_id = event_id % 400
+SELECT x.event_id, CASE x.user_id % 2 WHEN 0 THEN 'with-context' ELSE 'without-context' END AS contextual_setting, p.url
+FROM (SELECT e.event_id, e.user_id, e.event_id % c.n AS page FROM {events} e CROSS JOIN (SELECT count(*) AS n FROM {pages}) c) x JOIN {audit_pages} p ON p.page_id = x.page
 """
 
 DERIVED["fixes"] = """
@@ -342,7 +343,7 @@ FROM {documents} FANOUT[n; k; (0), (1), (2), (3)]
 
 # one-file dumps of documents with two top-level sections
 DERIVED["llms_full_files"] = """
-SELECT doc_id, concat('# Part one', chr(10), substring(text, 1, 450), chr(10), '# ', chr(10), substring(text, 451, 300), chr(10), '## Sub', chr(10), '# Rest', chr(10), substring(text, 751, 40000)) AS body FROM {documents}
+SELECT doc_id, concat('# Part one', chr(10), substring(text, 1, 450), chr(10), '# ', chr(10), substring(text, 451, 300), chr(10), '## Sub', chr(10), '# Rest', chr(10), substring(text, 751)) AS body FROM {documents}
 """
 
 

@@ -95,9 +95,9 @@ def issues(spark, sf):
     return spark_table(spark, sf, "issues").withColumn("labels", F.split("label_text", ";"))
 
 
-QUERIES["i1_recent_open"] = lambda spark, sf: I.recent_open(issues(spark, sf), F.expr(NOW), limit=20).select("repo", "number", F.col("rank").cast("long").alias("rank"))
+QUERIES["i1_recent_open"] = lambda spark, sf: I.recent_open(issues(spark, sf), F.expr(NOW)).select("repo", "number", F.col("rank").cast("long").alias("rank"))
 ORACLE["i1_recent_open"] = f"""SELECT repo, number, rank FROM (SELECT repo, number, row_number() OVER (PARTITION BY repo ORDER BY created_at DESC, number DESC) AS rank FROM {ISS}
-  WHERE state = 'open' AND CAST(created_at AS DATE) > DATE '2024-01-11') WHERE rank <= 20"""
+  WHERE state = 'open' AND CAST(created_at AS DATE) > DATE '2024-01-11')"""
 
 _ANY = lambda x, words: "(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + ")"
 _LAB = f"len(list_filter(string_split(lower(label_text), ';'), lambda l: l IN ({D.q(K.DOCS_LABELS)}))) > 0"
@@ -133,14 +133,14 @@ ORACLE["i4_make_batches"] = f"""SELECT batch, count(*) AS n, string_agg(CAST(num
   SELECT number, left(coalesce(body, ''), 400) AS b, CAST(floor((row_number() OVER (ORDER BY number) - 1) / 50) AS BIGINT) AS batch FROM {ISS}) GROUP BY batch"""
 
 _KWCASE = "CASE category " + " ".join(f"WHEN '{k}' THEN {D.lst(v)}" for k, v in K.CATEGORY_KEYWORDS.items()) + " ELSE [] END"
-_KWTEXT = "lower(title || ' ' || left(coalesce(body, ''), 200) || ' ' || category)"
+_KWTEXT = "lower(title || ' ' || coalesce(body, '') || ' ' || category)"
 _DIST = "list_filter({x}, lambda dx, di: list_position({x}, dx) = di)"
 KEYS = f"""(SELECT number AS issue_id, site, title, category, {_DIST.format(x='w')} AS keywords FROM (SELECT number, site, title, category,
   list_concat(list_filter(regexp_extract_all({_KWTEXT}, '[a-z0-9_]+'), lambda x: regexp_full_match(x, '[a-z0-9]{{3,}}') AND x NOT IN ({D.q(K.STOP_WORDS)})), {_KWCASE}) AS w FROM {ISS}))"""
 
 
 def keyed(spark, sf):
-    text = F.concat("title", F.lit(" "), F.substring(F.coalesce("body", F.lit("")), 1, 200), F.lit(" "), "category")
+    text = F.concat("title", F.lit(" "), F.coalesce("body", F.lit("")), F.lit(" "), "category")
     return issues(spark, sf).select(F.col("number").alias("issue_id"), "site", "title", "category", I.issue_keywords(text, "category").alias("keywords"))
 
 
@@ -170,7 +170,7 @@ def _entries(spark, sf):
 
 QUERIES["i7_keyword_entry_match"] = lambda spark, sf: I.keyword_entry_match(issues(spark, sf), _entries(spark, sf)).select("site", "url", "title", "description", "matches", F.col("rank").cast("long").alias("rank"))
 _ENT = f"(SELECT DISTINCT replace({D.root2(D.nowww(D.host('base_url')))}, '.', '-') AS site, url, title || ' ' || url AS title, description FROM {SQ.ENTRIES})"
-ORACLE["i7_keyword_entry_match"] = f"""WITH kw AS (SELECT DISTINCT site, w FROM (SELECT site, unnest(string_split_regex(lower(title || ' ' || left(coalesce(body, ''), 500)), '[^a-z0-9_]+')) AS w FROM {ISS}) WHERE length(w) > 3),
+ORACLE["i7_keyword_entry_match"] = f"""WITH kw AS (SELECT DISTINCT site, w FROM (SELECT site, unnest(string_split_regex(lower(title || ' ' || coalesce(body, '')), '[^a-z0-9_]+')) AS w FROM {ISS}) WHERE length(w) > 3),
   m AS (SELECT e.site, url, title, description, count(*) AS matches FROM {_ENT} e JOIN kw ON kw.site = e.site AND contains(lower(title || ' ' || coalesce(description, '')), w) GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY matches DESC, url, lower(title || ' ' || coalesce(description, ''))) AS rank FROM m) WHERE rank <= 15"""
 
@@ -209,13 +209,13 @@ def _evidence(spark, sf):
 PAIRS = f"(SELECT issue_id, page_id, {_SIM} AS similarity FROM {MATCH} m JOIN {AP} p ON p.url = m.url WHERE {_KEEP})"
 _HAS = lambda *w: _ANY("low", w)
 _GAPS = [
-    ("code_examples = 0", "Missing code examples"),
-    (f"NOT {_HAS(*K.PRODUCTION_WORDS)} AND category = 'deployment'", "Missing production deployment guidance"),
-    (f"NOT {_HAS('error', 'troubleshoot')}", "Missing error handling and troubleshooting steps"),
-    (f"category = 'email-delivery' AND NOT {_HAS('spam', 'deliverability')}", "Missing spam/deliverability troubleshooting"),
-    (f"category = 'email-delivery' AND NOT {_HAS('dns', 'spf', 'dkim')}", "Missing DNS configuration examples"),
-    (f"category = 'deployment' AND NOT {_HAS('vercel', 'netlify')} AND contains(lower(title), 'vercel')", "Missing platform-specific deployment examples (Vercel/Netlify)"),
-    (f"category = 'deployment' AND NOT {_HAS('environment variable', 'env')}", "Missing environment variable configuration"),
+    ("code_examples = 0", "code-examples"),
+    (f"NOT {_HAS(*K.PRODUCTION_WORDS)} AND category = 'deployment'", "production-guidance"),
+    (f"NOT {_HAS('error', 'troubleshoot')}", "error-handling"),
+    (f"category = 'email-delivery' AND NOT {_HAS('spam', 'deliverability')}", "spam-handling"),
+    (f"category = 'email-delivery' AND NOT {_HAS('dns', 'spf', 'dkim')}", "dns-setup"),
+    (f"category = 'deployment' AND NOT {_HAS('vercel', 'netlify')} AND contains(lower(title), 'vercel')", "platform-deployment"),
+    (f"category = 'deployment' AND NOT {_HAS('environment variable', 'env')}", "environment-setup"),
 ]
 EVID = f"""(SELECT issue_id, page_id, similarity, len(list_filter(keywords, lambda w: contains(low, w))) >= 2 AS relevant, code_examples, {_HAS(*K.PRODUCTION_WORDS)} AS production_guidance,
   list_filter([{', '.join(f"CASE WHEN {c} THEN '{g}' END" for c, g in _GAPS)}], lambda g: g IS NOT NULL) AS gaps
@@ -243,8 +243,8 @@ ORACLE["i12_status_summary"] = f"""SELECT count(*) AS total, count(*) FILTER (st
   count(*) FILTER (status = 'potential-gap') AS potential_gaps, count(*) FILTER (status = 'critical-gap') AS critical_gaps FROM {STATUS}"""
 
 _CAT = lambda x: "CASE " + " ".join(f"WHEN {_ANY(x, w)} THEN '{n}'" for n, w in K.ISSUE_CATEGORIES) + " ELSE 'general' END"
-QUERIES["i13_categorize"] = lambda spark, sf: issues(spark, sf).select("number", I.categorize(F.concat_ws(" ", "title", F.substring("body", 1, 100))).alias("category"))
-ORACLE["i13_categorize"] = f"SELECT number, {_CAT('t')} AS category FROM (SELECT number, lower(concat_ws(' ', title, left(body, 100))) AS t FROM {ISS})"
+QUERIES["i13_categorize"] = lambda spark, sf: issues(spark, sf).select("number", I.categorize(F.concat_ws(" ", "title", "body")).alias("category"))
+ORACLE["i13_categorize"] = f"SELECT number, {_CAT('t')} AS category FROM (SELECT number, lower(concat_ws(' ', title, body)) AS t FROM {ISS})"
 
 _CUTTEXT = lambda x, n: f"CASE WHEN length({x}) <= {n} THEN {x} ELSE {D.trim(f'left({x}, {n})')} || '...' END"
 QS = f"""(SELECT 'stackoverflow-' || question_id AS id, {_CUTTEXT('title', 80)} AS title, {_CAT('lower(title)')} AS category, {_CUTTEXT('title', 120)} AS description,
@@ -266,14 +266,14 @@ _DOM = "CASE k % 4 WHEN 0 THEN 'docs.knock.app' WHEN 1 THEN 'resend.com' WHEN 2
 
 
 def _i16(spark, sf):
-    own = _questions(spark, sf).filter("severity = 'high' AND frequency % 11 = 0")
+    own = _questions(spark, sf)
     cust = spark_table(spark, sf, "customer").select(F.concat(F.lit("company"), "c_custkey").alias("company"), F.expr(_DOM.replace("k %", "c_custkey %")).alias("domain"))
     return I.add_audits(own, cust, F.expr("DATE '2024-02-01'")).withColumn("last_seen", F.col("last_seen").cast("string"))
 
 
 QUERIES["i16_add_audits"] = _i16
 _AUD = ", ".join(f"('{k}', '{i}', '{t}', '{c}', {f}, '{s}')" for k, i, t, c, f, s in K.PROACTIVE_AUDITS)
-ORACLE["i16_add_audits"] = f"""WITH own AS (SELECT * FROM {QS} WHERE severity = 'high' AND frequency % 11 = 0), n AS (SELECT company, count(*) AS n FROM own GROUP BY company),
+ORACLE["i16_add_audits"] = f"""WITH own AS (SELECT * FROM {QS}), n AS (SELECT company, count(*) AS n FROM own GROUP BY company),
 a(kind, id, title, category, frequency, severity) AS (VALUES {_AUD})
 SELECT company, id, title, category, frequency, severity, CAST(last_seen AS VARCHAR) AS last_seen FROM own
 UNION ALL SELECT c.company, a.id, a.title, a.category, CAST(a.frequency AS BIGINT), a.severity, '2024-02-01' FROM (SELECT 'company' || c_custkey AS company, lower({_DOM.replace('k %', 'c_custkey %')}) AS d FROM customer) c
@@ -283,7 +283,7 @@ QUERIES["i17_docs_repo_candidates"] = lambda spark, sf: I.docs_repo_candidates(
     spark_table(spark, sf, "repos").withColumn("topics", F.split("topic_text", ";")), spark_table(spark, sf, "repo_files")
 )
 ORACLE["i17_docs_repo_candidates"] = rf"""WITH c AS (SELECT * FROM (SELECT owner, name, row_number() OVER (PARTITION BY owner ORDER BY updated_at DESC, name) AS rank FROM {REPOS}
-  WHERE NOT is_current AND (regexp_matches(name, '{K.DOCS_REPO_NAME_PATTERN}') OR regexp_matches(coalesce(description, ''), '{K.DOCS_REPO_DESC_PATTERN}') OR len(list_filter(string_split(topic_text, ';'), lambda t: regexp_matches(t, '{K.DOCS_REPO_TOPIC_PATTERN}'))) > 0)) WHERE rank <= 5),
+  WHERE NOT is_current AND (regexp_matches(name, '{K.DOCS_REPO_NAME_PATTERN}') OR regexp_matches(coalesce(description, ''), '{K.DOCS_REPO_DESC_PATTERN}') OR len(list_filter(string_split(topic_text, ';'), lambda t: regexp_matches(t, '{K.DOCS_REPO_TOPIC_PATTERN}'))) > 0))),
 f AS (SELECT owner, repo, bool_or(type = 'file' AND lower(path) = 'llms.txt') AS ll, count(*) FILTER (type = 'file' AND NOT contains(path, '/') AND regexp_matches(path, '{K.CODE_FILE_PATTERN}')) AS code,
   count(*) FILTER (type = 'file' AND regexp_matches(lower(path), '\.mdx?$') AND ((NOT contains(path, '/') AND lower(path) NOT IN ({D.q(K.BOILERPLATE_FILES)})) OR (len(string_split(path, '/')) = 2 AND lower(split_part(path, '/', 1)) IN ({D.q(K.CONTENT_FOLDERS)})))) AS md FROM {FILES} GROUP BY owner, repo)
 SELECT c.owner, c.name, rank, coalesce(ll, false) AS has_llms_txt, coalesce(ll, false) OR coalesce(md, 0) >= 5 AS has_docs_content, CASE WHEN ll THEN -1 ELSE coalesce(md, 0) END AS content_files, coalesce(code, 0) AS code_files
@@ -297,7 +297,7 @@ def _i18(spark, sf):
 
 QUERIES["i18_rank_gaps"] = _i18
 ORACLE["i18_rank_gaps"] = f"""SELECT session_id, pos, confidence, row_number() OVER (PARTITION BY session_id ORDER BY confidence DESC, pos) AS rank FROM (
-  SELECT 's' || (issue_id % 60) AS session_id, issue_id AS pos, confidence, row_number() OVER (PARTITION BY issue_id % 60 ORDER BY issue_id) AS n FROM {STATUS}) WHERE n <= 5"""
+  SELECT 's' || (issue_id % 60) AS session_id, issue_id AS pos, confidence, 1 AS n FROM {STATUS})"""
 
 
 def _i19(spark, sf):
@@ -309,7 +309,7 @@ def _i19(spark, sf):
 
 QUERIES["i19_enrich"] = _i19
 _BODY = D.squash(PQ.strip("""array_to_string(regexp_extract_all(html, '(?is)<div class="s-prose js-post-body"[^>]*itemprop="text">(.*?)</div>\\s*</div>', 1)[1:3], '')""", " "))
-ORACLE["i19_enrich"] = f"""SELECT i.number, i.title, left({_BODY}, 8000) AS full_content, fenced AS code_snippets, errors AS error_messages, replace(tags, ',', '|') AS tags, stack_trace
+ORACLE["i19_enrich"] = f"""SELECT i.number, i.title, {_BODY} AS full_content, fenced AS code_snippets, errors AS error_messages, replace(tags, ',', '|') AS tags, stack_trace
   FROM {ISS} i LEFT JOIN (SELECT p.doc_id, p.html, s.fenced, f.errors, f.tags, f.stack_trace FROM {PQ.POSTS} p JOIN ({PQ.ORACLE['h20_post_snippets']}) s ON s.doc_id = p.doc_id JOIN ({PQ.ORACLE['h28_post_fields']}) f ON f.doc_id = p.doc_id) x ON x.doc_id = i.number * 2"""
 
 
@@ -319,8 +319,8 @@ def _repo_docs(spark, sf):
     return d.select("doc_id", F.concat(F.lit("repo"), (F.col("doc_id") % 7).cast("string")).alias("repo"), F.col("text").alias("content"))
 
 
-QUERIES["i20_relevant_docs"] = lambda spark, sf: I.relevant_docs(issues(spark, sf).withColumn("body", F.substring("body", 1, 80)), _repo_docs(spark, sf))
-_I20W = "list_filter(string_split_regex(lower(title || ' ' || coalesce(left(body, 80), '')), '\\s+'), lambda w: length(w) > 4)"
+QUERIES["i20_relevant_docs"] = lambda spark, sf: I.relevant_docs(issues(spark, sf), _repo_docs(spark, sf))
+_I20W = "list_filter(string_split_regex(lower(title || ' ' || coalesce(body, '')), '\\s+'), lambda w: length(w) > 4)"
 REL = f"""(SELECT number, doc_id, CAST(n AS BIGINT) AS matches FROM (SELECT number, doc_id, len(list_filter(w, lambda x: contains(c, x))) AS n FROM (SELECT number, repo, {_I20W} AS w FROM {ISS}) i
   JOIN (SELECT doc_id, 'repo' || (doc_id % 7) AS repo, lower(text) AS c FROM documents) d ON d.repo = i.repo) WHERE n > 3)"""
 ORACLE["i20_relevant_docs"] = f"SELECT * FROM {REL}"
@@ -334,14 +334,14 @@ def _i21(spark, sf):
     picked = pages.filter("page_id % 4 = 1").select("site", "url")
     failed = pages.filter("length(site) % 3 = 0").select("site").distinct()
     fallback = pages.filter("page_id % 3 = 0").select("site", "url")
-    return I.select_docs_pages(pages.drop("page_id"), picked, failed, fallback, more_than=5).select("site", "url", F.length("content").cast("long").alias("chars"))
+    return I.select_docs_pages(pages.drop("page_id"), picked, failed, fallback).select("site", "url", F.length("content").cast("long").alias("chars"))
 
 
 QUERIES["i21_select_docs_pages"] = _i21
 _CRAWL = D.squash(PQ.strip(PQ.drop("html", ["script", "style", "nav", "footer", "header"]), " "))
 ORACLE["i21_select_docs_pages"] = f"""WITH p AS (SELECT page_id, {D.host('url')} AS site, url, {_CRAWL} AS c FROM {AP}), u AS (SELECT *, CASE WHEN length(site) % 3 = 0 THEN page_id % 3 = 0 ELSE page_id % 4 = 1 END AS pick FROM p WHERE length(c) > 100),
   s AS (SELECT site, count(*) AS n, bool_or(pick) AS anyp FROM u GROUP BY site)
-SELECT u.site, url, CAST(least(length(c), 15000) AS BIGINT) AS chars FROM u JOIN s ON s.site = u.site WHERE NOT (n > 5 AND anyp) OR pick"""
+SELECT u.site, url, CAST(length(c) AS BIGINT) AS chars FROM u JOIN s ON s.site = u.site WHERE NOT (n > 10 AND anyp) OR pick"""
 
 
 def _i22(spark, sf):

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from doccensus import constants as K
 from doccensus.functions import urls as U
-from doccensus.functions.markdown import page_markdown
 from doccensus.operators import fixes as X
 from doccensus.operators import usage as O
 from doccensus.plans import issues_queries as IQ
@@ -118,7 +117,6 @@ def _s10(spark, sf):
 QUERIES["s10_write_cache"] = _s10
 ORACLE["s10_write_cache"] = f"""SELECT url, sha256(md) AS content_hash, 'sessions/session-' || left(sha256(url || '#with-context'), 12) || '/processed-content.json' AS location, '2024-01-22 00:00:00' AS ttl FROM {MD}"""
 
-QUERIES["s11_write_report"] = lambda spark, sf: ST.report_documents(SC._g18(spark, sf).select("page_id", "overall", "grade"))
 ORACLE["s11_write_report"] = f"""SELECT page_id, '{{"page_id":' || page_id || ',"overall":' || overall || ',"grade":"' || {SC.GRADE} || '"}}' AS document FROM {SC.SCORES}"""
 # grades come from scores alone
 QUERIES["s11_write_report"] = lambda spark, sf: ST.report_documents(SC.QUERIES["g2_overall_and_grade"](spark, sf))
@@ -164,8 +162,6 @@ def _s14(spark, sf):
 QUERIES["s14_model_requests"] = _s14
 ORACLE["s14_model_requests"] = "SELECT doc_id, 'issue' AS kind, md5(left(text, 3000)) AS digest, CAST(least(length(text), 3000) AS BIGINT) AS chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
 
-QUERIES["h22_page_markdown"] = lambda spark, sf: spark_table(spark, sf, "audit_pages").select("page_id", page_markdown("html").alias("m")).select("page_id", "m.*")
-
 # ── fixes ───────────────────────────────────────────────────────────────
 
 
@@ -188,14 +184,41 @@ def _docs(spark, sf):
 def _x2(spark, sf):
     fixes = spark_table(spark, sf, "fixes")
     out = X.apply_fixes(_docs(spark, sf), fixes, fixes.filter("confidence >= 20").select("fix_id"))
-    return out.select("doc_id", F.md5("content").alias("digest"), F.size(F.filter("outcomes", lambda o: o["applied"])).cast("long").alias("applied"), F.to_json("outcomes").alias("outcomes"))
+    told = F.transform("outcomes", lambda o: F.concat_ws(":", o["fix_id"], F.coalesce(o["strategy"], F.lit("-"))))
+    return out.select("doc_id", F.md5("content").alias("digest"), F.size(F.filter("outcomes", lambda o: o["applied"])).cast("long").alias("applied"), F.array_join(told, "|").alias("outcomes"))
 
 
 QUERIES["x2_apply_fixes"] = _x2
 _SPL = lambda t, o, n: f"CASE WHEN instr({t}, {o}) > 0 THEN left({t}, instr({t}, {o}) - 1) || {n} || substring({t}, instr({t}, {o}) + length({o})) ELSE {t} END"
-QUERIES["x2_apply_exact"] = lambda spark, sf: X.apply_exact_fixes(_docs(spark, sf), spark_table(spark, sf, "fixes").filter("pos < 2"))
-ORACLE["x2_apply_exact"] = f"""WITH f AS (SELECT doc_id, max(original) FILTER (pos = 0) AS o0, max(proposed) FILTER (pos = 0) AS p0, max(original) FILTER (pos = 1) AS o1, max(proposed) FILTER (pos = 1) AS p1 FROM {FIX} WHERE pos < 2 GROUP BY doc_id)
-SELECT doc_id, {_SPL('t', 'o1', 'p1')} AS content FROM (SELECT d.doc_id, {_SPL('text', 'o0', 'p0')} AS t, o1, p1 FROM documents d JOIN f ON f.doc_id = d.doc_id)"""
+_FIXES = range(4)  # fixes of a document in the derived table
+
+
+def _x2_oracle() -> str:
+    """The fold unrolled: one step of the three strategies for each of the four fixes."""
+    quoted = lambda words, gap: f"array_to_string(list_transform({words}, lambda w: '\\Q' || w || '\\E'), '{gap}')"
+    words = "list_filter(string_split_regex(trim(o{0}), '\\s+'), lambda w: w <> '')"
+    text = f"SELECT d.doc_id, text AS t, '' AS told, 0 AS applied, f.* EXCLUDE (doc_id) FROM documents d JOIN (SELECT doc_id, " + ", ".join(
+        f"max(fix_id) FILTER (pos = {k}) AS f{k}, max(original) FILTER (pos = {k}) AS o{k}, max(proposed) FILTER (pos = {k}) AS p{k}" for k in _FIXES
+    ) + f" FROM {FIX} WHERE confidence >= 20 GROUP BY doc_id) f ON f.doc_id = d.doc_id"
+    for k in _FIXES:
+        w = words.format(k)
+        long = f"list_filter({w}, lambda w: length(w) > 2)"
+        hits = f"""SELECT *, CASE WHEN f{k} IS NULL THEN NULL WHEN contains(t, o{k}) THEN o{k} END AS h1,
+          CASE WHEN f{k} IS NOT NULL THEN nullif(regexp_extract(t, {quoted(w, chr(92) + 's+')}), '') END AS h2,
+          CASE WHEN f{k} IS NOT NULL AND len({long}) > 2 THEN nullif(regexp_extract(t, '(?s)' || {quoted(long, '.{0,50}?')}), '') END AS h3 FROM ({text})"""
+        text = f"""SELECT * EXCLUDE (t, told, applied, h1, h2, h3), CASE WHEN coalesce(h1, h2, h3) IS NULL THEN t ELSE {_SPL('t', 'coalesce(h1, h2, h3)', f'p{k}')} END AS t,
+          CASE WHEN f{k} IS NULL THEN told ELSE told || CASE WHEN told = '' THEN '' ELSE '|' END || f{k} || ':' || CASE WHEN h1 IS NOT NULL THEN 'exact' WHEN h2 IS NOT NULL THEN 'whitespace' WHEN h3 IS NOT NULL THEN 'tokens' ELSE '-' END END AS told,
+          applied + CAST(coalesce(h1, h2, h3) IS NOT NULL AS INTEGER) AS applied FROM ({hits})"""
+    return f"SELECT doc_id, md5(t) AS digest, CAST(applied AS BIGINT) AS applied, told AS outcomes FROM ({text})"
+
+
+ORACLE["x2_apply_fixes"] = _x2_oracle()
+QUERIES["x2_apply_exact"] = lambda spark, sf: X.apply_exact_fixes(_docs(spark, sf), spark_table(spark, sf, "fixes"))
+_EXACT = "text"
+for _k in _FIXES:
+    _EXACT = f"(SELECT {_SPL('t', f'o{_k}', f'p{_k}')} FROM (SELECT {_EXACT} AS t))"
+ORACLE["x2_apply_exact"] = f"""WITH f AS (SELECT doc_id, {', '.join(f'max(original) FILTER (pos = {k}) AS o{k}, max(proposed) FILTER (pos = {k}) AS p{k}' for k in _FIXES)} FROM {FIX} GROUP BY doc_id)
+SELECT doc_id, {_EXACT} AS content FROM documents JOIN f USING (doc_id)"""
 
 _CLDOC = "CASE doc_id % 3 WHEN 0 THEN concat('Top', chr(10), '##  changelog', chr(10), text, '## Changelog') WHEN 1 THEN concat(text, chr(10), '## SUPPORT here') ELSE text END"
 

@@ -309,9 +309,9 @@ def _h19(spark, sf):
 
 QUERIES["h19_media"] = _h19
 _NOTES = {
-    "image": f"CASE WHEN coalesce({_attr('alt')}, '') <> '' THEN 'Has alt text' ELSE 'Missing alt text - accessibility concern' END",
-    "video": "'Video content - consider accessibility and loading impact'",
-    "interactive": "'Interactive element - may affect documentation usability'",
+    "image": f"CASE WHEN coalesce({_attr('alt')}, '') <> '' THEN 'alternative text given' ELSE 'image without alternative text' END",
+    "video": "'moving picture: captions and size to be checked'",
+    "interactive": "'part that reacts to input'",
 }
 ORACLE["h19_media"] = " UNION ALL ".join(
     f"""SELECT page_id, '{k}' AS media_type, {f"{D.base('url')} || {_attr('src')}" if k == 'image' else f"coalesce({_attr('src')}, '')" if k == 'video' else "''"} AS src,
@@ -504,3 +504,7 @@ QUERIES["h29_chunking_flags"] = _h29
 ORACLE["h29_chunking_flags"] = f"""SELECT page_id, words, h2, words > 1500 AND h2 < 3 AS unchunked, NOT (words > 1500 AND h2 < 3) AND h2 > 0 AND floor(words / h2 + 0.5) > 500 AS long_sections,
   words > 0 AND words < 100 AS very_short, words >= 100 AND words < 500 AS short, h2 > 8 AND words < 600 AS thin_sections
   FROM (SELECT page_id, CAST({WORDS} AS BIGINT) AS words, {_level(2)} AS h2 FROM (SELECT page_id, {WORDS_TEXT} AS t, {HEADS} AS h FROM {AP}))"""
+
+QUERIES["h22_main_text"] = lambda spark, sf: spark_table(spark, sf, "audit_pages").select("page_id", H.main_text("html").alias("main_text"))
+_MAIN = r"coalesce(nullif(regexp_extract(html, '(?is)<main(?:\s[^>]*)?>(.*?)</main>', 1), ''), nullif(regexp_extract(html, '(?is)<article(?:\s[^>]*)?>(.*?)</article>', 1), ''), html)"
+ORACLE["h22_main_text"] = f"""SELECT page_id, {D.squash(strip(drop("block", ["script", "style", "nav", "footer", "header"]), " "))} AS main_text FROM (SELECT page_id, {_MAIN} AS block FROM {oracle_table("audit_pages")})"""

@@ -252,10 +252,9 @@ _CHECKS = [
     "llms_found", "llms_full_found", "sitemap_found", "has_canonical", "NOT blocks_indexing", "ratio_status = 'good'", "NOT js_rendered", "h1_count = 1", "markdown_found",
     "(NOT has_code OR code_hints > 0)", "density_status = 'good'", "has_jsonld", "schema_status <> 'missing'", "og_status <> 'missing'", "has_breadcrumbs",
 ]
+_LABEL = "CASE WHEN coalesce(n, 0) = 0 THEN 'clean' ELSE CASE WHEN overall >= 90 THEN 'very good' WHEN overall >= 75 THEN 'good' WHEN overall >= 60 THEN 'middling' ELSE 'poor' END || ', open points: ' || n END"
 ORACLE["g7_health_counter"] = f"""SELECT s.page_id, CAST({' + '.join(_IF(x, 1) for x in _CHECKS)} AS BIGINT) AS passed, CAST(15 AS BIGINT) AS total,
-  CASE WHEN coalesce(n, 0) = 0 THEN 'Great — no issues found' WHEN overall >= 90 THEN 'Great — ' || n || ' minor improvement' || CASE WHEN n > 1 THEN 's' ELSE '' END
-   WHEN overall >= 75 THEN 'Good — ' || n || CASE WHEN n > 1 THEN ' opportunities' ELSE ' opportunity' END || ' to improve' WHEN overall >= 60 THEN 'Fair — ' || n || CASE WHEN n > 1 THEN ' things' ELSE ' thing' END || ' to fix'
-   ELSE 'Needs work — ' || n || CASE WHEN n > 1 THEN ' issues' ELSE ' issue' END || ' found' END AS label
+  {_LABEL} AS label
   FROM {SCORES} s LEFT JOIN (SELECT page_id, count(*) AS n FROM {RECS} GROUP BY page_id) r ON r.page_id = s.page_id"""
 
 # ── dimensions ──────────────────────────────────────────────────────────
@@ -372,8 +371,26 @@ def _g18(spark, sf):
 
 
 def report_rows(spark, sf):
+    """The nested report of every page as (page_id, part, pos, name, value)."""
     r = _g18(spark, sf)
-    return r.select("page_id", F.to_json(F.struct(*[x for x in r.columns if x != "page_id"])).alias("report"))
+    one = lambda part, value: F.struct(F.lit(part).alias("part"), F.lit(0).cast("long").alias("pos"), F.lit("").alias("name"), value.cast("string").alias("value"))
+    many = lambda part, col, pos, name, value: F.transform(
+        F.coalesce(F.col(col), F.array()), lambda x: F.struct(F.lit(part).alias("part"), pos(x).cast("long").alias("pos"), x[name].alias("name"), x[value].alias("value"))
+    )
+    rows = F.concat(
+        F.array(one("overall", F.col("overall")), one("grade", F.col("grade")), one("label", F.col("label")), one("discoverability", F.col("scores.discoverability"))),
+        many("recommendation", "recommendations", lambda x: x["position"], "rule", "priority"),
+        many("site", "site_signals", lambda x: F.lit(0), "signal", "status"), many("page", "page_signals", lambda x: F.lit(0), "signal", "status"),
+    )
+    return r.select("page_id", F.explode(rows).alias("r")).select("page_id", "r.*")
 
 
 QUERIES["g18_report"] = report_rows
+
+
+_SITE = D.q(V.SITE_SIGNALS)
+ORACLE["g18_report"] = f"""WITH r AS ({ORACLE["g5_merge_recommendations"]}), g AS ({ORACLE["g2_overall_and_grade"]}), s AS ({ORACLE["g1_readiness_scores"]})
+SELECT page_id, 'overall' AS part, CAST(0 AS BIGINT) AS pos, '' AS name, CAST(overall AS VARCHAR) AS value FROM g UNION ALL SELECT page_id, 'grade', 0, '', grade FROM g
+UNION ALL SELECT page_id, 'label', 0, '', {_LABEL} FROM g LEFT JOIN (SELECT page_id, count(*) AS n FROM r GROUP BY page_id) c USING (page_id) UNION ALL SELECT page_id, 'discoverability', 0, '', CAST(discoverability AS VARCHAR) FROM s
+UNION ALL SELECT page_id, 'recommendation', position, rule, priority FROM r
+UNION ALL SELECT page_id, CASE WHEN signal IN ({_SITE}) THEN 'site' ELSE 'page' END, 0, signal, status FROM ({SQ.ORACLE["p9_evidence_signals"]})"""

@@ -123,7 +123,7 @@ QUERIES["l3_to_crawl"] = lambda spark, sf: S.to_crawl(*_entries_targets(spark, s
 ORACLE["l3_to_crawl"] = f"""WITH {_PLACED}, {_AIMED}
 SELECT target_url, bucket, pos, url, rank FROM (SELECT target_url, bucket, pos, url, row_number() OVER (PARTITION BY target_url ORDER BY bucket, pos, url) AS rank
   FROM (SELECT DISTINCT target_url, bucket, pos, url FROM placed p JOIN aimed a ON p.host = a.host AND (starts_with(p.path, a.parent) OR starts_with(a.path, p.path))
-    WHERE url NOT IN (SELECT url FROM {AP} WHERE length(url) % 3 = 0))) WHERE rank <= 50"""
+    WHERE url NOT IN (SELECT url FROM {AP} WHERE length(url) % 3 = 0)))"""
 
 QUERIES["l4_page_mapping"] = lambda spark, sf: S.page_mapping(spark_table(spark, sf, "audit_pages"), spark_table(spark, sf, "llms_files"))
 _NOEXT = lambda x: rf"regexp_replace({x}, '\.(md|html|htm|mdx)$', '')"
@@ -144,7 +144,7 @@ ORACLE["l5_openapi_specs"] = rf"""SELECT base_url, bucket, CAST(i - 1 AS BIGINT)
     string_split(regexp_extract(body, '(?is)##\s*OpenAPI\s*Specs?\s*\n(.*?)(?:\n##|$)', 1), chr(10)) AS x FROM {LLMS})) WHERE regexp_matches(l, 'https?://[^\s)]+')"""
 
 QUERIES["l6_llms_full_sections"] = lambda spark, sf: S.llms_full_sections(spark_table(spark, sf, "llms_full_files"), "doc_id")
-ORACLE["l6_llms_full_sections"] = rf"""SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, coalesce(nullif({D.trim("regexp_replace(split_part(s, chr(10), 1), '^#+\\s*', '')")}, ''), 'docs') AS title, left(s, 15000) AS content
+ORACLE["l6_llms_full_sections"] = rf"""SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, coalesce(nullif({D.trim("regexp_replace(split_part(s, chr(10), 1), '^#+\\s*', '')")}, ''), 'docs') AS title, s AS content
   FROM (SELECT doc_id, unnest(a) AS s, generate_subscripts(a, 1) AS i FROM (SELECT doc_id, list_filter(string_split(regexp_replace(body, '(?m)^(#\s)', chr(1) || '\1', 'g'), chr(1)),
     lambda s: length({D.trim('s')}) > 100) AS a FROM {FULL} WHERE length(body) > 500))"""
 
@@ -176,7 +176,7 @@ WHERE site NOT IN (SELECT site FROM {_PREV_L})"""
 
 _LOCS = f"list_transform(regexp_extract_all(body, '(?is)<loc>(.*?)</loc>', 1), lambda x: {D.trim('x')})"
 QUERIES["l8_sitemap_urls"] = lambda spark, sf: S.sitemap_urls(spark_table(spark, sf, "sitemap_files"))
-ORACLE["l8_sitemap_urls"] = f"""SELECT sitemap_url, CAST(i - 1 AS BIGINT) AS pos, url FROM (SELECT sitemap_url, unnest(d[1:500]) AS url, generate_subscripts(d[1:500], 1) AS i FROM (
+ORACLE["l8_sitemap_urls"] = f"""SELECT sitemap_url, CAST(i - 1 AS BIGINT) AS pos, url FROM (SELECT sitemap_url, unnest(d) AS url, generate_subscripts(d, 1) AS i FROM (
   SELECT sitemap_url, list_filter(u, lambda y, j: list_position(u, y) = j) AS d FROM (SELECT url AS sitemap_url, list_filter({_LOCS}, lambda x: regexp_matches(x, '^(?i)https?://')) AS u FROM {MAPS} WHERE contains(body, '<urlset'))))"""
 
 
@@ -278,8 +278,8 @@ _LAST = f"""(SELECT domain, url, arg_max(status_code, row(ts, event_id)) FILTER
   arg_max(status_code, row(ts, event_id)) FILTER (method = 'GET') AS g, max({{'k': row(ts, event_id), 'f': failure}}) FILTER (method = 'GET') AS gf FROM {LINKLOG} GROUP BY domain, url)"""
 _P5 = f"""(SELECT domain, url, g, CASE WHEN hf.f IS NULL AND h = 404 THEN '404' WHEN hf.f IS NULL AND h > 0 AND h < 400 THEN 'healthy' WHEN g > 0 AND g < 400 THEN 'healthy'
   WHEN hf.f IS NULL AND h > 0 AND g IN (401, 403) THEN 'access-denied' WHEN (hf.f IS NOT NULL OR h = 0) AND gf.f = 'timeout' THEN 'timeout' ELSE 'error' END AS link_state FROM {_LAST} WHERE h IS NOT NULL)"""
-ORACLE["p5_classify_link"] = f"""SELECT domain, url, link_state, CASE link_state WHEN '404' THEN 'Page not found' WHEN 'access-denied' THEN 'Access denied (' || g || CASE g WHEN 401 THEN ' Unauthorized)' ELSE ' Forbidden)' END
-  WHEN 'timeout' THEN 'Request timeout (HEAD + GET both timed out after 10s)' WHEN 'error' THEN CASE WHEN g > 0 THEN 'HTTP ' || g ELSE 'Unknown error' END END AS message FROM {_P5}"""
+ORACLE["p5_classify_link"] = f"""SELECT domain, url, link_state, CASE link_state WHEN '404' THEN 'no page at this address' WHEN 'access-denied' THEN 'refused (' || g || CASE g WHEN 401 THEN ' Unauthorized)' ELSE ' Forbidden)' END
+  WHEN 'timeout' THEN 'neither request was answered in time' WHEN 'error' THEN CASE WHEN g > 0 THEN 'HTTP ' || g ELSE 'failed for no known reason' END END AS message FROM {_P5}"""
 
 QUERIES["p6_classify_sitemap_url"] = lambda spark, sf: P.classify_sitemap_url(spark_table(spark, sf, "link_log"))
 P6_SQL = f"""(SELECT domain, url, CASE WHEN hf.f = 'timeout' THEN 'timeout' WHEN hf.f IS NOT NULL OR h = 0 THEN 'error' WHEN h = 404 THEN '404' WHEN h IN (401, 403) THEN 'access-denied' WHEN h >= 400 THEN 'error' ELSE 'healthy' END AS link_state,
@@ -321,20 +321,20 @@ fullref AS (SELECT base_url, bool_or(regexp_matches(body, '(?i)llms-full\\.txt')
 sm AS (SELECT s.base_url, coalesce(nullif({D.trim(f"regexp_extract(body, '(?im)^Sitemap:\\s*([^{chr(92)}n]+)$', 1)")}, ''), s.base_url || '/sitemap.xml') AS u FROM {SITES} s LEFT JOIN {SROB} r ON r.base_url = s.base_url)
 SELECT page_id, 'llms.txt' AS signal, CASE WHEN lw.url IS NOT NULL THEN 'verified' WHEN len(llms_hints) > 0 THEN 'advertised' ELSE 'not_verified' END AS status,
   CASE WHEN lw.url IS NOT NULL THEN lw.source WHEN len(llms_hints) > 0 THEN 'link-header' ELSE 'none' END AS method, lw.url AS validated_url, 'both' AS audience,
-  CASE WHEN lw.url IS NOT NULL AND len(llms_hints) > 0 AND NOT list_contains(llms_hints, lw.url) THEN 'Link header pointed to ' || llms_hints[1] || ' (not found), discovered at ' || lw.url
-    WHEN lw.url IS NULL AND len(llms_hints) > 0 THEN 'Header advertised ' || llms_hints[1] || ' but probe failed. Tested: ' || tested WHEN lw.url IS NULL THEN 'Tested: ' || tested END AS note
+  CASE WHEN lw.url IS NOT NULL AND len(llms_hints) > 0 AND NOT list_contains(llms_hints, lw.url) THEN 'a header names ' || llms_hints[1] || ', which gave nothing; the file is at ' || lw.url
+    WHEN lw.url IS NULL AND len(llms_hints) > 0 THEN 'a header announces ' || llms_hints[1] || '; without an answer: ' || tested WHEN lw.url IS NULL THEN 'without an answer: ' || tested END AS note
   FROM pg LEFT JOIN lw USING (page_id) JOIN cl USING (page_id)
 UNION ALL SELECT page_id, 'llms-full.txt', CASE WHEN fw.url IS NOT NULL THEN 'verified' WHEN (lw.url IS NOT NULL AND has_ref) OR len(llms_full_hints) > 0 THEN 'advertised' ELSE 'not_verified' END,
   CASE WHEN fw.url IS NOT NULL THEN fw.source WHEN lw.url IS NOT NULL AND has_ref THEN 'llms-txt-reference' WHEN len(llms_full_hints) > 0 THEN 'link-header' ELSE 'none' END, fw.url, 'coding_agents',
-  CASE WHEN fw.url IS NOT NULL THEN NULL WHEN lw.url IS NOT NULL AND has_ref THEN 'Referenced in llms.txt but direct probe failed' WHEN len(llms_full_hints) > 0 THEN 'Header advertised ' || llms_full_hints[1] || ' but probe failed' END
+  CASE WHEN fw.url IS NOT NULL THEN NULL WHEN lw.url IS NOT NULL AND has_ref THEN 'named in llms.txt but without an answer' WHEN len(llms_full_hints) > 0 THEN 'a header announces ' || llms_full_hints[1] || ', which gave no answer' END
   FROM pg LEFT JOIN fw USING (page_id) LEFT JOIN lw USING (page_id) LEFT JOIN fullref USING (base_url)
 UNION ALL SELECT page_id, 'sitemap.xml', CASE WHEN g.url IS NOT NULL THEN 'verified' ELSE 'not_verified' END, CASE WHEN g.url IS NOT NULL THEN 'direct-fetch' ELSE 'none' END, g.url, 'ai_search', NULL
   FROM pg JOIN sm USING (base_url) LEFT JOIN {_GOOD('sitemap.xml')} g ON g.url = sm.u
-UNION ALL SELECT page_id, n.f, 'experimental', CASE WHEN g.url IS NOT NULL THEN 'direct-fetch' ELSE 'none' END, g.url, 'coding_agents', CASE WHEN g.url IS NOT NULL THEN n.f || ' found — emerging standard, not scored' END
+UNION ALL SELECT page_id, n.f, 'experimental', CASE WHEN g.url IS NOT NULL THEN 'direct-fetch' ELSE 'none' END, g.url, 'coding_agents', CASE WHEN g.url IS NOT NULL THEN n.f || ' is there; it does not count towards the score' END
   FROM pg CROSS JOIN (VALUES ('AGENTS.md', '/AGENTS.md'), ('mcp.json', '/.well-known/mcp.json')) n(f, p) LEFT JOIN (SELECT url FROM {_GOOD('AGENTS.md')} UNION SELECT url FROM {_GOOD('mcp.json')}) g ON g.url = pg.base_url || n.p
 UNION ALL SELECT page_id, 'markdown', CASE WHEN neg.url IS NOT NULL OR alt.url IS NOT NULL OR dm.url IS NOT NULL THEN 'verified' WHEN md_alt IS NOT NULL OR md_header_url IS NOT NULL THEN 'advertised' ELSE 'not_verified' END,
   CASE WHEN neg.url IS NOT NULL THEN 'content-negotiation' WHEN alt.url IS NOT NULL THEN 'link-alternate' WHEN dm.url IS NOT NULL THEN 'direct-md-probe' WHEN md_alt IS NOT NULL THEN 'link-alternate' WHEN md_header_url IS NOT NULL THEN 'link-header' ELSE 'none' END,
-  coalesce(neg.url, alt.url, dm.url), 'coding_agents', CASE WHEN neg.url IS NULL AND alt.url IS NULL AND dm.url IS NULL AND coalesce(md_alt, md_header_url) IS NOT NULL THEN 'Advertised at ' || coalesce(md_alt, md_header_url) || ' but probe failed' END
+  coalesce(neg.url, alt.url, dm.url), 'coding_agents', CASE WHEN neg.url IS NULL AND alt.url IS NULL AND dm.url IS NULL AND coalesce(md_alt, md_header_url) IS NOT NULL THEN 'announced at ' || coalesce(md_alt, md_header_url) || ', which gave no answer' END
   FROM pg LEFT JOIN {NEG} neg ON neg.url = pg.url LEFT JOIN {_GOOD('markdown-alternate')} alt ON alt.url = coalesce(md_alt, md_header_url) LEFT JOIN {_GOOD('direct-md')} dm ON dm.url = regexp_replace(pg.url, '/$', '') || '.md'
 UNION ALL SELECT page_id, 'content-negotiation', CASE WHEN neg.url IS NOT NULL THEN 'verified' ELSE 'not_verified' END, CASE WHEN neg.url IS NOT NULL THEN 'content-negotiation' ELSE 'none' END, neg.url, 'coding_agents', NULL
   FROM pg LEFT JOIN {NEG} neg ON neg.url = pg.url
@@ -362,9 +362,23 @@ SELECT t.page_id, url, purpose, status_code, duration_ms FROM t LEFT JOIN w ON w
 
 
 def _p11(spark, sf):
+    """The nested report as one row per signal and probe."""
     inputs = evidence_inputs(spark, sf)
     report = V.detection_report(V.evidence_signals(*inputs), V.page_probe_log(*inputs))
-    return report.select("page_id", *[F.to_json(x).alias(x) for x in ("site", "page", "probes")])
+    none = F.lit(None).cast("string")
+    signal = lambda part: F.transform(
+        part, lambda x: F.struct(F.lit(part).alias("part"), x["signal"].alias("name"), x["status"].alias("status"), x["method"].alias("method"), x["validated_url"].alias("url"),
+                                 x["note"].alias("note"), F.lit(None).cast("int").alias("status_code"), F.lit(None).cast("long").alias("duration_ms")),
+    )
+    probe = F.transform(
+        F.coalesce("probes", F.array()), lambda x: F.struct(F.lit("probe").alias("part"), x["purpose"].alias("name"), none.alias("status"), none.alias("method"), x["url"].alias("url"),
+                                                            none.alias("note"), x["status_code"].alias("status_code"), x["duration_ms"].alias("duration_ms")),
+    )
+    return report.select("page_id", F.explode(F.concat(signal("site"), signal("page"), probe)).alias("r")).select("page_id", "r.*")
 
 
 QUERIES["p11_detection_report"] = _p11
+
+_SITE = D.q(V.SITE_SIGNALS)
+ORACLE["p11_detection_report"] = f"""SELECT page_id, CASE WHEN signal IN ({_SITE}) THEN 'site' ELSE 'page' END AS part, signal AS name, status, method, validated_url AS url, note, CAST(NULL AS INTEGER) AS status_code, CAST(NULL AS BIGINT) AS duration_ms
+  FROM ({ORACLE["p9_evidence_signals"]}) UNION ALL SELECT page_id, 'probe', purpose, NULL, NULL, url, NULL, status_code, duration_ms FROM ({ORACLE["p11_probe_log"]})"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from doccensus import constants as K
 from doccensus.functions import urls as U
+from doccensus.functions.common import shared_folder
 from doccensus.plans import logs_queries as LQ
 from doccensus.plans import oracle_frag as D
 from doccensus.plans import urls_queries as UQ
@@ -68,7 +69,7 @@ def _ss4(spark, sf):
         "url", F.concat(F.lit("S "), F.length("html")).alias("title"),
         F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + INTERVAL '1' DAY * CAST(page_id % 20 AS INT)").alias("crawled_at"),
     )
-    folder = J.scratch_folder(spark, "kb")
+    folder = shared_folder(spark, "kb")
     query = rows.writeStream.foreachBatch(J.upsert_kb_sink(f"{folder}/kb", F.expr(f"{LQ.NOW}"))).option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
     query.awaitTermination()
     return J.read_current_kb(spark, f"{folder}/kb").select("domain", "url", "title", F.col("crawled_at").cast("string").alias("crawled_at"))

@@ -189,7 +189,7 @@ h AS (SELECT page_id, string_agg(seg || ':' || fix || ':' || levenshtein(seg, fi
   WHERE seg NOT IN ({D.q(K.SLUG_ALLOWED_TERMS)}) AND length(seg) > 2 AND NOT regexp_full_match(seg, '[0-9]+') GROUP BY page_id)
 SELECT page_id, coalesce(typos, '') AS typos, CASE WHEN typos IS NULL THEN 'clean' ELSE 'issues-found' END AS status FROM {AP} p LEFT JOIN h USING (page_id)"""
 
-_ODD = "CASE page_id % 4 WHEN 0 THEN concat('ftp', substring(url, 5, 4000)) WHEN 1 THEN substring(url, 9, 4000) ELSE upper(url) END"
+_ODD = "CASE page_id % 4 WHEN 0 THEN concat('ftp', substring(url, 5)) WHEN 1 THEN substring(url, 9) ELSE upper(url) END"
 QUERIES["u14_valid_http_url"] = lambda spark, sf: _pages(spark, sf).select(
     "page_id", U.is_http_url(F.expr(_ODD)).alias("valid")
 )
@@ -220,7 +220,7 @@ x AS (SELECT DISTINCT CASE WHEN link_host = 'github.io' THEN 'pages.github.com'
 SELECT page_host, link_host, page_host = link_host OR {D.root2('page_host')} = {D.root2('link_host')}
   OR coalesce((SELECT grp FROM g WHERE root = {D.root2('page_host')}) = (SELECT grp FROM g WHERE root = {D.root2('link_host')}), false) AS related FROM x"""
 
-_TYPED = "CASE page_id % 4 WHEN 0 THEN concat('  ', url, ' ') WHEN 1 THEN 'HTTPS://www.knock.app/a/b' WHEN 2 THEN substring(url, 9, 4000) ELSE url END"
+_TYPED = "CASE page_id % 4 WHEN 0 THEN concat('  ', url, ' ') WHEN 1 THEN 'HTTPS://www.knock.app/a/b' WHEN 2 THEN substring(url, 9) ELSE url END"
 QUERIES["u16_clean_domain"] = lambda spark, sf: _pages(spark, sf).select(
     "page_id", U.clean_domain(F.expr(_TYPED)).alias("domain"), U.with_scheme(F.expr(_TYPED)).alias("with_scheme")
 )

@@ -6,14 +6,13 @@ watermark are dropped; the batch forms have no such rule.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doccensus.functions import urls as U
+from doccensus.functions.common import shared_folder
 from doccensus.sources import stores
 
 
@@ -83,18 +82,9 @@ def latest_category_stream(progress: DataFrame) -> DataFrame:
     return results.select("session_id", "category", "last.message", "last.data")
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder the session names.
-
-    Only where none is set, as in tests, is a temporary folder used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="doccensus-")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def drain_to_table(df: DataFrame, name: str) -> DataFrame:
     """Process what is there in append mode and read the written rows back."""
-    spark, folder = df.sparkSession, scratch_folder(df.sparkSession, name)
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession, name)
     query = (
         df.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/out")
         .option("checkpointLocation", f"{folder}/ckpt").trigger(availableNow=True).start()
@@ -109,7 +99,7 @@ def drain_updates(df: DataFrame, name: str, keys: list[str]) -> DataFrame:
     Every batch writes its updates under its own number, so a repeated batch
     overwrites itself.
     """
-    spark, folder = df.sparkSession, scratch_folder(df.sparkSession, name)
+    spark, folder = df.sparkSession, shared_folder(df.sparkSession, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")

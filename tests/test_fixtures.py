@@ -11,7 +11,6 @@ from doccensus import constants as K
 from doccensus.functions import html as H
 from doccensus.functions import urls as U
 from doccensus.functions.common import number_rows, top_k
-from doccensus.functions.markdown import _one
 from doccensus.operators import citations as C
 from doccensus.operators import evidence as V
 from doccensus.operators import fixes as X
@@ -130,14 +129,12 @@ def test_json_ld_skips_broken_blocks(spark):
     assert value(spark, H.jsonld_types(H.jsonld_blocks("h")), h=html) == ["A", "TechArticle"]
 
 
-def test_markdown_conversion():
-    long = "word " * 150
-    html = f"<body><nav>menu</nav><article><h1>T</h1><p>{long}<b>bold</b> <a href='/x'>link</a></p><ul><li>one<li>two</ul><pre><code class='language-js'>a &lt; b</code></pre><div class='warning'>care</div><table><tr><th>h</th></tr><tr><td>1</td></tr></table></article></body>"
-    text, removed, main = _one(html)
-    assert main == "article" and removed == 1 and "menu" not in text
-    for part in ("# T", "**bold**", "[link](/x)", "-   one\n-   two", "```js\na < b\n```", "> **Warning:** care", "| h |\n| --- |\n| 1 |"):
-        assert part in text
-    assert _one(None)[0] == "" and _one("<p>unclosed <b>x")[0] == "unclosed **x**"
+def test_main_text(spark):
+    page = "<body><nav>menu</nav><main id='m'><h1>T</h1><p>one <b>two</b></p><script>x</script></main><article>other</article></body>"
+    assert value(spark, H.main_text("h"), h=page) == "T one two"
+    assert value(spark, H.main_text("h"), h=page.replace("main", "div")) == "other"
+    assert value(spark, H.main_text("h"), h="<p>plain</p>") == "plain"
+    assert value(spark, H.main_text("h"), h="<div>" * 3000 + "deep") == "deep"
 
 
 def test_readable(spark):
@@ -164,7 +161,7 @@ def test_evidence_ladder(spark):
     got = {(r.page_id, r.signal): r for r in V.evidence_signals(pages, log, llms, robots).collect()}
     first = {i: (got[i, "llms.txt"].status, got[i, "llms.txt"].method) for i in range(5)}
     assert first == {0: ("verified", "direct-fetch"), 1: ("verified", "subpath-probe"), 2: ("advertised", "link-header"), 3: ("not_verified", "none"), 4: ("not_verified", "none")}
-    assert "not found" in got[1, "llms.txt"].note and "Tested:" in got[3, "llms.txt"].note
+    assert "which gave nothing" in got[1, "llms.txt"].note and "without an answer" in got[3, "llms.txt"].note
     assert got[3, "AGENTS.md"].status == "experimental" and got[3, "AGENTS.md"].validated_url is None
     assert got[0, "AGENTS.md"].validated_url == "https://s0.com/AGENTS.md"
     assert len(got) == 5 * 9
@@ -308,6 +305,15 @@ def test_apply_fixes(spark):
     assert some.content.startswith("The quick  brown\nfox") and "sleepy $1 dog" in some.content
 
 
+def test_fixes_without_a_text(spark):
+    """A null original is not applied and later fixes still are; quotes of the pattern language are literal."""
+    docs = spark.createDataFrame([(1, r"keep a\Eb (c)  d. tail")], "doc_id long, content string")
+    fixes = [(1, 0, "null", None, "x"), (1, 1, "odd", r"a\Eb  (c) d.", "y"), (1, 2, "gone", "tail", None), (1, 3, "blank", "   ", "z")]
+    row = X.apply_fixes(docs, spark.createDataFrame(fixes, "doc_id long, pos int, fix_id string, original string, proposed string")).first()
+    assert {o.fix_id: o.strategy for o in row.outcomes} == {"null": None, "odd": "whitespace", "gone": "exact", "blank": None}
+    assert row.content == "keep y "
+
+
 # ── usage ───────────────────────────────────────────────────────────────
 
 
@@ -370,7 +376,7 @@ def test_model_json(spark):
 def test_number_rows_and_top_k(spark):
     ids = [i * i for i in range(500)]
     df = spark.createDataFrame([(i,) for i in random.Random(1).sample(ids, len(ids))], "id long")
-    got = {r.id: r.n for r in number_rows(df, "id", "n", buckets=7).collect()}
+    got = {r.id: r.n for r in number_rows(df, "id", "n").collect()}
     assert got == {x: i + 1 for i, x in enumerate(sorted(ids))}
     hot = spark.range(5000).select(F.lit("k").alias("key"), "id")
     assert [r.id for r in top_k(hot, ["key"], [F.col("id").desc()], 3, ["id"]).orderBy("rank").collect()] == [4999, 4998, 4997]
@@ -383,3 +389,12 @@ def test_sitemap_depth(spark):
     files = [(s + "0", index(s + "1", s + "0")), (s + "1", index(s + "2", s + "l1")), (s + "2", index(s + "3")), (s + "3", index(s + "4")), (s + "4", leaf(s + "deep")), (s + "l1", leaf(s + "page"))]
     got = S.expand_sitemap_index(spark.createDataFrame([(s + "0",)], "url string"), spark.createDataFrame(files, "url string, body string"))
     assert {(r.url, r.depth) for r in got.collect()} == {(s + "page", 2)}
+    late = S.unopened_sitemaps(spark.createDataFrame([(s + "0",)], "url string"), spark.createDataFrame(files, "url string, body string"))
+    assert [tuple(r) for r in late.collect()] == [(s + "0", s + "4")]
+
+
+def test_no_cut_of_sitemaps_and_lists(spark):
+    body = "<urlset>" + "".join(f"<url><loc>https://s.com/{i}</loc></url>" for i in range(700)) + "</urlset>"
+    files = spark.createDataFrame([("https://s.com/m", body)], "url string, body string")
+    assert S.sitemap_urls(files).count() == 700 and S.sitemap_urls(files, 500).count() == 500
+    assert S.expand_sitemap_index(files.select("url"), files).count() == 700
