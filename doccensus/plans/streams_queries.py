@@ -34,18 +34,22 @@ def _ss1(spark, sf):
 
 QUERIES["ss1_daily_usage_stream"] = _ss1
 # a day is final once the latest event is a day past its end
-ORACLE["ss1_daily_usage_stream"] = f"""SELECT * FROM ({LQ.ORACLE['o1_daily_usage_net']}) WHERE CAST(day AS DATE) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)"""
+ORACLE["ss1_daily_usage_stream"] = f"""SELECT * FROM ({LQ.ORACLE['o1_daily_usage']}) WHERE CAST(day AS DATE) + INTERVAL 2 DAY < (SELECT max(ts) FROM events)"""
 
 _LINKS = oracle_table("link_log")
 
 
 def _ss2(spark, sf):
     requests = stream(spark, sf, "events", "link_log").select("ts", "url", F.lit("with-context").alias("contextual_setting"))
-    return J.drain_to_table(J.first_requests_stream(requests).select("session_key"), "first-requests")
+    made = J.drain_to_table(J.first_requests_stream(requests), "first-requests")
+    return made.select("session_key", F.unix_millis("ts").alias("ms"))
 
 
 QUERIES["ss2_first_requests_stream"] = _ss2
-ORACLE["ss2_first_requests_stream"] = f"SELECT DISTINCT 'session-' || left(sha256(url || '#with-context'), 12) AS session_key FROM {_LINKS}"
+# a fold over the times of each key: one a week or more after the last kept one is kept
+ORACLE["ss2_first_requests_stream"] = f"""SELECT session_key, unnest(kept) AS ms FROM (SELECT session_key,
+  list_reduce(list([t] ORDER BY t), lambda a, x: CASE WHEN x[1] >= a[-1] + 7 * 86400000 THEN list_concat(a, x) ELSE a END) AS kept
+  FROM (SELECT 'session-' || left(sha256(url || '#with-context'), 12) AS session_key, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS t FROM {_LINKS}) GROUP BY session_key)"""
 
 _PURPOSE = "CASE event_id % 4 WHEN 0 THEN 'llms.txt' WHEN 1 THEN 'mcp.json' WHEN 2 THEN 'content-negotiation' ELSE 'direct-md' END"
 _CTYPE = "CASE WHEN event_id % 3 = 0 THEN 'text/html; charset=utf-8' WHEN event_id % 3 = 1 THEN 'text/plain' ELSE NULL END"

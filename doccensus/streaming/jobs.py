@@ -6,29 +6,78 @@ watermark are dropped; the batch forms have no such rule.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import struct
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from doccensus.functions import urls as U
-from doccensus.functions.common import shared_folder
+from doccensus.functions.common import settled, shared_folder
 from doccensus.sources import stores
 
 
+DAY_MS = 86_400_000
+
+
 def daily_usage_stream(events: DataFrame) -> DataFrame:
-    """Net starts per client in one-day windows, floored at 0, final after a day.
+    """Starts per client and day, a refund never taking the count below 0; final a day after the day ends.
 
-    Tumbling windows with a one-day watermark; equals ``daily_usage_net``.
+    Equals ``daily_usage`` whatever the batches: the state of an open day keeps its events, as many as one client
+    makes in a day, and they are counted in the order of time once the watermark has passed.
     """
-    days = events.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day"), "ip_hash").agg(F.sum("delta").alias("net"))
-    return days.select("ip_hash", F.to_date("window.start").alias("day"), F.greatest(F.lit(0), "net").alias("used"))
+    dated = events.withColumn("day", F.to_date("ts")).withWatermark("ts", "1 day")
+
+    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            used = 0
+            for _, _, delta in sorted(struct.unpack("<qqq", held[i]) for i in range(len(held))):
+                used = max(0, used + delta)
+            state.remove()
+            yield pd.DataFrame({"ip_hash": [key[0]], "day": [key[1]], "used": [used]})
+            return
+        for f in frames:
+            held += [struct.pack("<qqq", t.value, e, d) for t, e, d in zip(f["ts"], f["event_id"], f["delta"], strict=True)]
+        state.update((held,))
+        state.setTimeoutTimestamp(int(pd.Timestamp(key[1]).value // 1_000_000) + DAY_MS)
+
+    return dated.groupBy("ip_hash", "day").applyInPandasWithState(
+        count, "ip_hash string, day date, used long", "events array<binary>", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
 
+def first_requests_stream(requests: DataFrame, days: int = 7) -> DataFrame:
+    """(session_key, ts) of requests that find no live copy: one that is ``days`` old or more is made anew.
 
-def first_requests_stream(requests: DataFrame) -> DataFrame:
-    """One row per cache key a week: later requests within it are cache hits."""
-    keyed = requests.withColumn("session_key", U.cache_key("url", "contextual_setting"))
-    return keyed.withWatermark("ts", "7 days").dropDuplicatesWithinWatermark(["session_key"])
+    Decided by event time with one time stamp of state for each key, so the rows do not depend on the batches as long
+    as these come in the order of time.
+    """
+    keyed = requests.withColumn("session_key", U.cache_key("url", "contextual_setting")).select("session_key", "ts")
+    span = days * DAY_MS
+
+    def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first = state.get[0] if state.exists else None
+        times = pd.concat([f["ts"] for f in frames]).sort_values()
+        made = []
+        for t in times:
+            ms = t.value // 1_000_000
+            if first is None or ms >= first + span:
+                first = ms
+                made.append(t)
+        state.update((first,))
+        state.setTimeoutTimestamp(max(first + span, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"session_key": [key[0]] * len(made), "ts": made})
+
+    return keyed.withWatermark("ts", "1 day").groupBy("session_key").applyInPandasWithState(
+        fold, "session_key string, ts timestamp", "first long", "append", GroupStateTimeout.EventTimeTimeout
+    )
 
 
 def probe_ok_stream(log: DataFrame, expected: DataFrame) -> DataFrame:
@@ -42,35 +91,29 @@ def probe_ok_stream(log: DataFrame, expected: DataFrame) -> DataFrame:
     return typed.withColumn("ok", F.col("status_code").between(200, 299) & ~soft_404).drop("_typed")
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished store versions below ``path``."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(base):
-        return []
-    done = [s.getPath().getName() for s in fs.listStatus(base) if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return sorted(int(x[1:]) for x in done)
-
-
 def read_current_kb(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{_versions(spark, path)[-1]}")
+    return spark.read.parquet(path)
 
 
 def upsert_kb_sink(path: str, now: Column) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` target that merges page summaries into the store at ``path``.
+    """``foreachBatch`` target that merges page summaries into the store at ``path``, partitioned by domain.
 
-    Every batch writes the merged store as its own version, starting from the
-    latest finished version before it: a repeated batch ends in the same state
-    and readers never see half a write.
+    Only the domains of the batch are read, merged and overwritten, after the merged rows have been written to the
+    shared folder; a repeated batch ends in the same state.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         fresh = batch.withColumn("domain", U.kb_domain("url"))
-        earlier = [v for v in _versions(spark, path) if v < batch_id]
-        old = spark.read.parquet(f"{path}/v{earlier[-1]}") if earlier else fresh.limit(0).withColumn("expires_at", now)
-        merged = stores.upsert_kb(old.select(*fresh.columns, "expires_at"), fresh.drop("domain"), now)
-        merged.write.mode("overwrite").partitionBy("domain").parquet(f"{path}/v{batch_id}")
+        try:
+            old = spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            old = fresh.limit(0).withColumn("expires_at", now)
+        old = old.join(fresh.select("domain").distinct(), "domain", "left_semi").select(*fresh.columns, "expires_at")
+        merged = settled(stores.upsert_kb(old, fresh.drop("domain"), now))
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("domain").parquet(path)
 
     return merge
 

@@ -398,3 +398,45 @@ def test_no_cut_of_sitemaps_and_lists(spark):
     files = spark.createDataFrame([("https://s.com/m", body)], "url string, body string")
     assert S.sitemap_urls(files).count() == 700 and S.sitemap_urls(files, 500).count() == 500
     assert S.expand_sitemap_index(files.select("url"), files).count() == 700
+
+
+def in_batches(spark, tmp_path, rows, schema, n):
+    """The rows as a stream of ``n`` files, one for each micro-batch, in the order of time."""
+    folder = str(tmp_path / f"in-{n}")
+    size = -(-len(rows) // n)
+    for k in range(n):
+        spark.createDataFrame(rows[k * size : (k + 1) * size], schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_streams_do_not_depend_on_batches(spark, tmp_path):
+    from datetime import timedelta
+
+    from doccensus.streaming import jobs as J
+
+    start = datetime(2024, 1, 1, 8)
+    asked = [(start + timedelta(days=k * 1.5), f"https://x.com/{k % 3}", "with-context") for k in range(30)]
+    moves = [(k, f"ip{k % 2}", start + timedelta(hours=5 * k), [-1, 1, 1, -1, -1, 1][k % 6]) for k in range(40)]
+    got = []
+    for n in (1, 5):
+        first = J.first_requests_stream(in_batches(spark, tmp_path / "a", asked, "ts timestamp, url string, contextual_setting string", n))
+        used = J.daily_usage_stream(in_batches(spark, tmp_path / "b", moves, "event_id long, ip_hash string, ts timestamp, delta int", n))
+        got.append((sorted(map(tuple, J.drain_to_table(first, "a").collect())), sorted(map(tuple, J.drain_to_table(used, "b").collect()))))
+    assert got[0] == got[1]
+    # every key is asked each 4.5 days, so every second request is made anew
+    assert len(got[0][0]) == 15
+    whole = {(r.ip_hash, r.day): r.used for r in O.daily_usage(spark.createDataFrame(moves, "event_id long, ip_hash string, ts timestamp, delta int")).collect()}
+    assert got[0][1] and all(whole[ip, day] == used for ip, day, used in got[0][1])
+
+
+def test_store_upsert_keeps_other_domains(spark, tmp_path):
+    from doccensus.streaming import jobs as J
+
+    path, now = str(tmp_path / "kb"), F.lit(datetime(2024, 2, 1))
+    batch = lambda rows: spark.createDataFrame([(u, t, datetime(2024, 1, d)) for u, t, d in rows], "url string, title string, crawled_at timestamp")
+    merge = J.upsert_kb_sink(path, now)
+    merge(batch([("https://a.com/1", "old", 1), ("https://b.com/1", "b", 1)]), 0)
+    for _ in range(2):  # a repeated batch changes nothing
+        merge(batch([("https://a.com/1", "new", 2), ("https://a.com/2", "two", 2)]), 1)
+    rows = {(r.url, r.title) for r in J.read_current_kb(spark, path).collect()}
+    assert rows == {("https://a.com/1", "new"), ("https://a.com/2", "two"), ("https://b.com/1", "b")}
