@@ -23,7 +23,7 @@ HEADLINE = [
     "r2_crawler_status", "r5_bot_access_state", "l1_llms_entries", "l3_to_crawl", "l4_page_mapping",
     "l9_expand_sitemap_index", "p3_first_success", "p5_classify_link", "p8_health_summary", "p9_evidence_signals",
     "g4_recommendations", "g5_merge_recommendations", "g10_weighted_overall", "c4_competing_domains", "i3_merge_classification",
-    "i6_keyword_page_match", "i8_similar_pages", "i10_issue_status", "i20_relevant_docs", "s8_upsert_kb", "s9_split_cached",
+    "i6_keyword_page_match", "i8_similar_pages", "i10_issue_status", "s8_upsert_kb", "s9_split_cached",
     "x2_apply_fixes", "o1_daily_usage", "o3_allowed_events", "o8_latest_category_result", "ss1_daily_usage_stream",
 ]
 

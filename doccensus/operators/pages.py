@@ -5,7 +5,7 @@ Only the markdown columns look outside the page; they join the fetch log.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doccensus.functions import html as H
@@ -147,3 +147,34 @@ def readiness_features(pages: DataFrame, log: DataFrame, robots: DataFrame, refe
         salted_join(paged, bots.join(present, "base_url"), ["base_url"], ["page_id"], "left")
         .withColumn("has_robots", F.coalesce("has_robots", F.lit(False)))
     )
+
+
+NOISE_TAGS = ["script", "style", "noscript", "nav", "header", "footer", "aside", "form", "iframe"]
+
+
+def noise_reduction(html: Column | str, tags: list[str] | None = None) -> dict[str, Column]:
+    """Size before and after noise blocks are dropped, and the share of it in percent."""
+    h = F.col(html) if isinstance(html, str) else html
+    before, after = F.length(h), F.length(H.drop_blocks(h, NOISE_TAGS if tags is None else tags))
+    return {
+        "original_size": before.cast("long"), "cleaned_size": after.cast("long"), "reduction_pct": F.floor((1 - after / before) * 100 + 0.5),
+    }
+
+
+def chunking_flags(words: Column, h2: Column) -> dict[str, Column]:
+    """What the length of a page and its second-level headings say about how well it can be cut."""
+    average = F.when(h2 > 0, F.floor(words / h2 + 0.5)).otherwise(words)
+    unchunked = (words > 1500) & (h2 < 3)
+    return {
+        "unchunked": unchunked, "long_sections": ~unchunked & (h2 > 0) & (average > 500), "very_short": (words > 0) & (words < 100),
+        "short": (words >= 100) & (words < 500), "thin_sections": (h2 > 8) & (words < 600),
+    }
+
+
+def page_type_review(confidence: Column, rejected: Column, low: float = 0.4, high: float = 0.95, cap: float = 0.3) -> dict[str, Column]:
+    """Pages of middling confidence need a second opinion; a rejection caps them at ``cap``."""
+    ambiguous = (confidence >= low) & (confidence < high)
+    return {
+        "is_doc": confidence >= low, "needs_review": ambiguous,
+        "reviewed_confidence": F.when(ambiguous & rejected, F.least(confidence, F.lit(cap))).otherwise(confidence),
+    }

@@ -142,10 +142,14 @@ def health_summary(classified: DataFrame, key: str = "domain") -> DataFrame:
     )
 
 
-def probe_stats(log: DataFrame) -> DataFrame:
-    """Probe volume, outcome mix and durations per purpose."""
+def probe_stats(log: DataFrame, *keys: str, share: float = 0.95) -> DataFrame:
+    """Probe volume, outcome mix and durations per purpose, or per further keys such as the page and purpose.
+
+    ``slow_ms`` is the exact quantile of the durations, between two of them where it falls there.
+    """
     code = F.col("status_code")
-    return log.groupBy("purpose").agg(
+    return log.groupBy(*(keys or ("purpose",))).agg(
         F.count("*").alias("probes"), F.count_if((code >= 200) & (code < 300)).alias("ok_2xx"), F.count_if(code == 0).alias("failed"),
         F.count_if(code >= 400).alias("http_errors"), F.sum("duration_ms").alias("total_ms"), F.max("duration_ms").alias("max_ms"),
+        F.round(F.percentile("duration_ms", share), 4).alias("slow_ms"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from doccensus import constants as K
 from doccensus.functions import urls as U
+from doccensus.functions.common import shared_folder
 from doccensus.operators import fixes as X
 from doccensus.operators import usage as O
 from doccensus.plans import issues_queries as IQ
@@ -33,9 +34,25 @@ _FINAL = "CASE WHEN page_id % 3 = 0 THEN concat(url, '/moved') ELSE NULL END"
 QUERIES["s1_read_pages"] = lambda spark, sf: RD.settle_redirects(spark_table(spark, sf, "pages").withColumn("final_url", F.expr(_FINAL))).select("page_id", "url", F.length("html").cast("long").alias("chars"))
 ORACLE["s1_read_pages"] = f"SELECT page_id, coalesce({_FINAL}, url) AS url, CAST(length(html) AS BIGINT) AS chars FROM pages"
 
-QUERIES["s2_site_files"] = lambda spark, sf: spark_table(spark, sf, "site_robots").filter("body IS NOT NULL").select("base_url", F.length("body").cast("long").alias("chars"))
+def _s2(spark, sf):
+    """Site files written as a crawler leaves them, and read by kind."""
+    path = shared_folder(spark, "site-files")
+    rows = spark_table(spark, sf, "site_robots").select(
+        "base_url", "body", F.lit("robots").alias("kind"), F.when(F.col("body").isNull(), 404).otherwise(200).alias("status_code")
+    )
+    rows.unionByName(rows.withColumn("kind", F.lit("llms"))).write.partitionBy("kind").parquet(path)
+    return RD.read_site_files(spark, path, "robots").select("base_url", F.length("body").cast("long").alias("chars"))
+
+
+QUERIES["s2_site_files"] = _s2
 ORACLE["s2_site_files"] = f"SELECT base_url, CAST(length(body) AS BIGINT) AS chars FROM {oracle_table('site_robots')} WHERE body IS NOT NULL"
-QUERIES["s3_fetch_log"] = lambda spark, sf: spark_table(spark, sf, "fetch_log").groupBy("purpose", "status_code").agg(F.count("*").alias("n"))
+def _s3(spark, sf):
+    path = shared_folder(spark, "fetch-log")
+    spark_table(spark, sf, "fetch_log").withColumn("status_code", F.col("status_code").cast("int")).write.parquet(path)
+    return RD.read_fetch_log(spark, path).groupBy("purpose", "status_code").agg(F.count("*").alias("n"))
+
+
+QUERIES["s3_fetch_log"] = _s3
 ORACLE["s3_fetch_log"] = f"SELECT purpose, status_code, count(*) AS n FROM {oracle_table('fetch_log')} GROUP BY ALL"
 
 
@@ -74,7 +91,7 @@ QUERIES["s5_read_curated_issues"] = _s5
 ORACLE["s5_read_curated_issues"] = f"""SELECT company, id, CAST(frequency AS INTEGER) AS frequency, CAST(last_seen AS VARCHAR) AS last_seen, '/docs/' || id AS page FROM {IQ.QS}
   WHERE company IN (SELECT 'company' || c_custkey FROM customer WHERE c_custkey % 2 = 0)"""
 
-QUERIES["s6_read_embeddings"] = lambda spark, sf: spark_table(spark, sf, "embeddings").select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2"))
+QUERIES["s6_read_embeddings"] = lambda spark, sf: RD.read_embeddings(spark, f"{sf}/embeddings.parquet").select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x), 4).alias("norm2"))
 ORACLE["s6_read_embeddings"] = "SELECT vec_id, CAST(len(embedding) AS BIGINT) AS dim, round(list_sum(list_transform(embedding, lambda x: CAST(x * x AS DOUBLE))), 4) AS norm2 FROM embeddings"
 
 
@@ -84,7 +101,13 @@ def _kb_split(spark, sf):
     return old, v.filter("version = 1").drop("version", "page_id")
 
 
-QUERIES["s7_read_kb"] = lambda spark, sf: ST.live_entries(_kb_split(spark, sf)[0], F.expr(NOW), "example-net").select("url", "title", F.col("expires_at").cast("string").alias("expires_at"))
+def _s7(spark, sf):
+    path = shared_folder(spark, "kb")
+    ST.write_kb(_kb_split(spark, sf)[0], path)
+    return ST.read_kb(spark, path, "example-net", F.expr(NOW)).select("url", "title", F.col("expires_at").cast("string").alias("expires_at"))
+
+
+QUERIES["s7_read_kb"] = _s7
 ORACLE["s7_read_kb"] = f"SELECT url, title, CAST(crawled_at + INTERVAL 7 DAY AS VARCHAR) AS expires_at FROM {KBV} WHERE version = 0 AND {_KBD('url')} = 'example-net' AND crawled_at + INTERVAL 7 DAY > {NOW}"
 
 
@@ -111,15 +134,25 @@ SELECT event_id, n.k AS cache_url, CASE WHEN contextual_setting = 'with-context'
 
 def _s10(spark, sf):
     d = spark_table(spark, sf, "markdown_docs").select("doc_id", "url", F.lit("with-context").alias("contextual_setting"), F.col("md").alias("markdown"), F.lit("mixed").alias("content_type"))
-    return ST.cache_rows(d, F.expr(NOW)).select("url", "content_hash", "location", F.col("ttl").cast("string").alias("ttl"))
+    path = shared_folder(spark, "cache")
+    ST.write_cache(d, path, F.expr(NOW))
+    return spark.read.parquet(path).select("url", "content_hash", "location", F.col("ttl").cast("string").alias("ttl"))
 
 
 QUERIES["s10_write_cache"] = _s10
 ORACLE["s10_write_cache"] = f"""SELECT url, sha256(md) AS content_hash, 'sessions/session-' || left(sha256(url || '#with-context'), 12) || '/processed-content.json' AS location, '2024-01-22 00:00:00' AS ttl FROM {MD}"""
 
-ORACLE["s11_write_report"] = f"""SELECT page_id, '{{"page_id":' || page_id || ',"overall":' || overall || ',"grade":"' || {SC.GRADE} || '"}}' AS document FROM {SC.SCORES}"""
-# grades come from scores alone
-QUERIES["s11_write_report"] = lambda spark, sf: ST.report_documents(SC.QUERIES["g2_overall_and_grade"](spark, sf))
+def _s11(spark, sf):
+    """The nested report written as JSON documents and read back."""
+    path = shared_folder(spark, "report")
+    ST.write_report(SC._g18(spark, sf), path)
+    shape = "page_id long, overall long, grade string, recommendations array<struct<position:long>>"
+    return spark.read.schema(shape).json(path).select("page_id", "overall", "grade", F.coalesce(F.size("recommendations"), F.lit(0)).cast("long").alias("recommendations"))
+
+
+QUERIES["s11_write_report"] = _s11
+ORACLE["s11_write_report"] = f"""SELECT s.page_id, s.overall, {SC.GRADE} AS grade, coalesce(n, 0) AS recommendations FROM {SC.SCORES} s
+  LEFT JOIN (SELECT page_id, count(*) AS n FROM ({SC.ORACLE["g5_merge_recommendations"]}) GROUP BY page_id) r ON r.page_id = s.page_id"""
 
 _ANSWER = """CASE doc_id % 6 WHEN 0 THEN concat('```json', chr(10), '{"score": ', CAST(doc_id % 100 AS STRING), ', "tags": ["a", "b"]}', chr(10), '```')
   WHEN 1 THEN concat('{"score": ', CAST(doc_id % 100 AS STRING), '}') WHEN 2 THEN concat('Sure! {"score": ', CAST(doc_id % 100 AS STRING), ', "note": "x {y} z"} hope it helps')

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from doccensus import constants as K
 from doccensus.functions import html as H
 from doccensus.functions import text as T
+from doccensus.operators import pages as PG
 from doccensus.functions import urls as U
 from doccensus.plans import oracle_frag as D
 from doccensus.plans.inputs import oracle_table, spark_table
@@ -364,14 +365,12 @@ ORACLE["h21_is_simple_code"] = rf"""SELECT page_id, line_number, length(t) < 20
   FROM (SELECT page_id, line_number, {D.trim('code')} AS t FROM ({ORACLE['h20_code_snippets']}))"""
 
 # tag selectors only, so the check can be written with regular expressions
-_NOISE_TAGS = ["script", "style", "noscript", "nav", "header", "footer", "aside", "form", "iframe"]
+_NOISE_TAGS = PG.NOISE_TAGS
 _page(
     "h23_noise_reduction",
     f"""SELECT page_id, CAST(length(html) AS BIGINT) AS original_size, CAST(length(c) AS BIGINT) AS cleaned_size, {D.rnd('(1 - CAST(length(c) AS DOUBLE) / length(html)) * 100')} AS reduction_pct
     FROM (SELECT page_id, html, {drop('html', _NOISE_TAGS)} AS c FROM {AP})""",
-    original_size=lambda: F.length("html").cast("long"),
-    cleaned_size=lambda: F.length(H.drop_blocks(F.col("html"), _NOISE_TAGS)).cast("long"),
-    reduction_pct=lambda: F.floor((1 - F.length(H.drop_blocks(F.col("html"), _NOISE_TAGS)) / F.length("html")) * 100 + 0.5),
+    **{k: (lambda k=k: PG.noise_reduction("html")[k]) for k in ("original_size", "cleaned_size", "reduction_pct")},
 )
 
 _SHORTMD = "CASE doc_id % 5 WHEN 0 THEN substring(md, 1, 90) WHEN 1 THEN concat('  Loading ', md) ELSE md END"
@@ -428,13 +427,8 @@ DOC_SQL = f"""(SELECT page_id, s, CASE WHEN regexp_replace({D.path('url')}, '/+$
 def _h26(spark, sf):
     p = spark_table(spark, sf, "audit_pages").select("page_id", "url", H.doc_signals("html", "url").alias("s"))
     p = p.withColumn("doc_confidence", H.doc_confidence(F.col("s"), "url"))
-    # page-type review: one answer per ambiguous page, a rejection caps at 0.3
-    review = (F.col("doc_confidence") >= 0.4) & (F.col("doc_confidence") < 0.95)
-    rejected = review & (F.col("page_id") % 4 == 1)
-    return p.select(
-        "page_id", F.array_join(F.col("s.name"), "|").alias("signals"), "doc_confidence", (F.col("doc_confidence") >= 0.4).alias("is_doc"),
-        review.alias("needs_review"), F.when(rejected, F.least("doc_confidence", F.lit(0.3))).otherwise(F.col("doc_confidence")).alias("reviewed_confidence"),
-    )
+    review = PG.page_type_review(F.col("doc_confidence"), F.col("page_id") % 4 == 1)
+    return p.select("page_id", F.array_join(F.col("s.name"), "|").alias("signals"), "doc_confidence", *[v.alias(k) for k, v in review.items()])
 
 
 QUERIES["h26_doc_confidence"] = _h26
@@ -492,12 +486,7 @@ def _h29(spark, sf):
     p = spark_table(spark, sf, "audit_pages").select(
         "page_id", H.word_count(H.visible_text("html")).alias("words"), H.heading_count(H.headings("html")["level"], 2).alias("h2")
     )
-    w, h2 = F.col("words"), F.col("h2")
-    avg = F.when(h2 > 0, F.floor(w / h2 + 0.5)).otherwise(w)
-    return p.select(
-        "page_id", "words", "h2", ((w > 1500) & (h2 < 3)).alias("unchunked"), (~((w > 1500) & (h2 < 3)) & (h2 > 0) & (avg > 500)).alias("long_sections"),
-        ((w > 0) & (w < 100)).alias("very_short"), ((w >= 100) & (w < 500)).alias("short"), ((h2 > 8) & (w < 600)).alias("thin_sections"),
-    )
+    return p.select("page_id", "words", "h2", *[v.alias(k) for k, v in PG.chunking_flags(F.col("words"), F.col("h2")).items()])
 
 
 QUERIES["h29_chunking_flags"] = _h29

@@ -298,7 +298,7 @@ ORACLE["p8_health_summary"] = f"SELECT * FROM {health_sql(_P5)}"
 
 QUERIES["p12_probe_stats"] = lambda spark, sf: P.probe_stats(spark_table(spark, sf, "fetch_log"))
 ORACLE["p12_probe_stats"] = f"""SELECT purpose, count(*) AS probes, count(*) FILTER (status_code BETWEEN 200 AND 299) AS ok_2xx, count(*) FILTER (status_code = 0) AS failed,
-  count(*) FILTER (status_code >= 400) AS http_errors, CAST(sum(duration_ms) AS BIGINT) AS total_ms, max(duration_ms) AS max_ms FROM {LOG} GROUP BY purpose"""
+  count(*) FILTER (status_code >= 400) AS http_errors, CAST(sum(duration_ms) AS BIGINT) AS total_ms, max(duration_ms) AS max_ms, round(quantile_cont(duration_ms, 0.95), 4) AS slow_ms FROM {LOG} GROUP BY purpose"""
 
 # ── evidence ────────────────────────────────────────────────────────────
 
@@ -382,3 +382,8 @@ QUERIES["p11_detection_report"] = _p11
 _SITE = D.q(V.SITE_SIGNALS)
 ORACLE["p11_detection_report"] = f"""SELECT page_id, CASE WHEN signal IN ({_SITE}) THEN 'site' ELSE 'page' END AS part, signal AS name, status, method, validated_url AS url, note, CAST(NULL AS INTEGER) AS status_code, CAST(NULL AS BIGINT) AS duration_ms
   FROM ({ORACLE["p9_evidence_signals"]}) UNION ALL SELECT page_id, 'probe', purpose, NULL, NULL, url, NULL, status_code, duration_ms FROM ({ORACLE["p11_probe_log"]})"""
+
+QUERIES["p12_page_probe_stats"] = lambda spark, sf: P.probe_stats(V.page_probe_log(*evidence_inputs(spark, sf)), "page_id", "purpose")
+ORACLE["p12_page_probe_stats"] = f"""SELECT page_id, purpose, count(*) AS probes, count(*) FILTER (status_code BETWEEN 200 AND 299) AS ok_2xx, count(*) FILTER (status_code = 0) AS failed,
+  count(*) FILTER (status_code >= 400) AS http_errors, CAST(sum(duration_ms) AS BIGINT) AS total_ms, max(duration_ms) AS max_ms, round(quantile_cont(duration_ms, 0.95), 4) AS slow_ms
+  FROM ({ORACLE["p11_probe_log"]}) GROUP BY page_id, purpose"""
