@@ -16,17 +16,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     Large-star and small-star steps in turn: every node hands its neighbours to the least of them, so all edges come to
     point at the component's least node in a number of rounds that grows with the logarithm of its diameter. Each round
     is two aggregations that reduce before the shuffle and two joins on node ids; its edges are written to the shared
-    folder. Only the number of edges and a check sum come to the driver. Nodes may be of any orderable type.
+    folder. Only whether it is done comes to the driver. Nodes may be of any orderable type.
     """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    pairs = written(pairs, "edges")
-    before = None
+    pairs = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "edges")
     for _ in range(max_rounds):
-        pairs = written(_small_star(_large_star(pairs)), "edges")
-        state = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if state == before:
+        if _settled(pairs):
             break
-        before = state
+        pairs = written(_small_star(_large_star(pairs)), "edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
@@ -34,11 +30,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     )
 
 
+def _settled(pairs: DataFrame) -> bool:
+    """Whether every node has one edge down, or edges up only: then all point at the least node of their component."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).unionByName(
+        pairs.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    )
+    loose = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).filter("down > 1 OR down > 0 AND up > 0")
+    return loose.isEmpty()
+
+
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Each node's larger neighbours are linked to the least of its neighbours and itself."""
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
@@ -57,12 +62,16 @@ def colliding(banded: DataFrame) -> DataFrame:
     return written(banded.join(least, "key"), "shared-keys")
 
 
-def links(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ratio: float) -> DataFrame:
+def links(
+    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ratio: float, exact_keys: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """All verified links (a, b) between components that the nodes of ``colliding`` fall into.
 
     Every node is first held against the least node of each of its keys. Keys that then still hold several components
     give all pairs of nodes of different components whose sizes are within the ratio; so a link that joins two
-    components is never left out, while nodes that are connected already are not paired again.
+    components is never left out, while nodes that are connected already are not paired again. Where ``exact_keys`` turns
+    nodes into (node, key) such that similar nodes, and only they, have a common key, the nodes of those keys are held
+    against the least node of each exact key instead, which pairs no two others.
     """
     star = shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     found = written(verify(star), "links")
@@ -70,6 +79,10 @@ def links(shared: DataFrame, verify: Callable[[DataFrame], DataFrame], size_rati
     placed = shared.join(root, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
     open_keys = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     rest = written(placed.join(open_keys, "key", "left_semi"), "open-keys")
+    if exact_keys is not None:
+        near = colliding(exact_keys(rest.select("node").distinct()))
+        left = near.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
+        return found.unionByName(verify(left.join(star, ["a", "b"], "left_anti")))
     x = rest.select("key", F.col("node").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
     y = rest.select("key", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
     fits = F.least("na", "nb") >= F.greatest("na", "nb") * size_ratio - 1e-9
