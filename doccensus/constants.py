@@ -175,16 +175,18 @@ DOC_URL_SIGNALS = [
     ("non-doc /catalog", -2, r"/catalog"),
 ]
 
+# the first of these that matches counts, the others do not
+DOC_PLATFORM_SIGNALS = [
+    ("doc platform fingerprint", 3, r"mintlify|fern-docs|gitbook-root|docsearch-input"),
+    ("doc framework detected", 3, r"docusaurus|nextra-body|algolia-docsearch"),
+    ("API doc framework", 3, r"swagger-ui|redoc-wrap|stoplight-elements"),
+]
+DOC_INSTALL_PATTERN = r"npm install|pip install|yarn add|cargo add|gem install|brew install"
 DOC_HTML_SIGNALS = [
-    (
-        "doc platform fingerprint", 3,
-        r"mintlify|fern-docs|gitbook-root|docsearch-input|docusaurus|nextra-body|algolia-docsearch"
-        r"|swagger-ui|redoc-wrap|stoplight-elements",
-    ),
     ("main element", 1, r"<main[\s>]|role=[\"']main[\"']"),
     ("docsearch meta", 2, r"<meta[^>]*name=[\"']docsearch"),
     ("data-docs attribute", 1, r"data-docs"),
-    ("install commands", 2, r"npm install|pip install|yarn add|cargo add|gem install|brew install"),
+    ("install commands", 2, DOC_INSTALL_PATTERN),
     ("pricing table", -2, r"<table[^>]*>[\s\S]*?(price|/month|/year|enterprise|starter|pro plan)"),
     ("feature grid", -1, r"feature[-_]?grid|feature[-_]?card|benefit[-_]?card|use[-_]?case"),
     (

@@ -485,13 +485,17 @@ def doc_signals(html: Column | str, url: Column | str) -> Column:
         body = F.regexp_replace(body, rf"(?is)<{tag}.*?</{tag}>", "")
     pre = count_matches(h, r"(?i)<pre[\s>]")
     inline = count_matches(h, r"(?i)<code[\s>]")
-    installs = h.rlike("(?i)" + K.DOC_HTML_SIGNALS[4][2])
+    installs = h.rlike("(?i)" + K.DOC_INSTALL_PATTERN)
     cards = (count_matches(h, "(?i)" + K.DOC_CARD_GRID_PATTERN) >= 2) | (count_matches(h, "(?i)" + K.DOC_CARD_PATTERN) >= 6)
     prose = F.size(
         F.filter(extract_all(body, r"(?is)<p[\s>].*?</p>", 0), lambda p: F.length(trim_ws(strip_tags(p))) > 80)
     )
     technical = (pre > 0) | (inline >= 3) | installs | h.rlike("(?i)" + K.DOC_API_WORDS_PATTERN)
     fired = [(n, w, low_u.rlike("(?i)" + p)) for n, w, p in K.DOC_URL_SIGNALS]
+    earlier = F.lit(False)
+    for n, w, p in K.DOC_PLATFORM_SIGNALS:
+        fired.append((n, w, h.rlike("(?i)" + p) & ~earlier))
+        earlier = earlier | h.rlike("(?i)" + p)
     fired += [(n, w, h.rlike("(?i)" + p)) for n, w, p in K.DOC_HTML_SIGNALS]
     fired += [(n, w, count_matches(h, "(?i)" + p) >= least) for n, w, p, least in K.DOC_COUNT_SIGNALS]
     fired += [

@@ -407,6 +407,9 @@ def _n(x, p):
 
 _PRECNT, _CODECNT = _n("html", r"<pre[\s>]"), _n("html", r"<code[\s>]")
 _FIRED = [(n, w, _m("lower(url)", p)) for n, w, p in K.DOC_URL_SIGNALS]
+_FIRED += [
+    (n, w, " AND ".join([_m("html", p), *[f"NOT {_m('html', q)}" for _, _, q in K.DOC_PLATFORM_SIGNALS[:k]]])) for k, (n, w, p) in enumerate(K.DOC_PLATFORM_SIGNALS)
+]
 _FIRED += [(n, w, _m("html", p)) for n, w, p in K.DOC_HTML_SIGNALS]
 _FIRED += [(n, w, f"{_n('html', p)} >= {k}") for n, w, p, k in K.DOC_COUNT_SIGNALS]
 _PROSE = rf"len(list_filter(regexp_extract_all(body, '(?is)<p[\s>].*?</p>'), lambda p: length({D.trim(strip('p'))}) > 80))"
@@ -416,7 +419,7 @@ _FIRED += [
     ("image gallery", -2, f"({_n('html', r'<img[\s>]')} >= 10 AND {_n('html', r'<p[\s>]')} < 5)"),
     ("many buttons", -1, f"({_n('html', r'<button[\s>]')} >= 5 AND {_PRECNT} = 0)"),
     ("link hub", -3, f"({_n('body', K.DOC_OUTBOUND_PATTERN)} >= 8 AND {_PROSE} <= 2)"),
-    ("no technical content", -1, f"NOT ({_PRECNT} > 0 OR {_CODECNT} >= 3 OR {_m('html', K.DOC_HTML_SIGNALS[4][2])} OR {_m('html', K.DOC_API_WORDS_PATTERN)})"),
+    ("no technical content", -1, f"NOT ({_PRECNT} > 0 OR {_CODECNT} >= 3 OR {_m('html', K.DOC_INSTALL_PATTERN)} OR {_m('html', K.DOC_API_WORDS_PATTERN)})"),
 ]
 _SIGS = "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN {{'n': '{n}', 'w': {w}}} END" for n, w, cond in _FIRED) + "], lambda s: s IS NOT NULL)"
 _BODY = drop("html", ["nav", "header", "footer", "aside"], "")

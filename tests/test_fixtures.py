@@ -440,3 +440,10 @@ def test_store_upsert_keeps_other_domains(spark, tmp_path):
         merge(batch([("https://a.com/1", "new", 2), ("https://a.com/2", "two", 2)]), 1)
     rows = {(r.url, r.title) for r in J.read_current_kb(spark, path).collect()}
     assert rows == {("https://a.com/1", "new"), ("https://a.com/2", "two"), ("https://b.com/1", "b")}
+
+
+def test_platform_fingerprints(spark):
+    names = lambda page: [x for x in value(spark, H.doc_signals("h", F.lit("https://x.com/a"))["name"], h=page) if x.startswith(("doc ", "API "))]
+    assert names("<div class='docusaurus'>") == ["doc framework detected"]
+    assert names("<div id='swagger-ui'>") == ["API doc framework"]
+    assert names("<div class='mintlify docusaurus' id='swagger-ui'>") == ["doc platform fingerprint"]
