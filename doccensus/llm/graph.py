@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doccensus.llm.shared import written
 
+#: nodes of a key up to which all pairs are taken
+FEW = 16
+
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """node, root: the least node of each node's component; only nodes that have an edge.
@@ -63,7 +66,8 @@ def colliding(banded: DataFrame) -> DataFrame:
 
 
 def links(
-    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ratio: float, exact_keys: Callable[[DataFrame], DataFrame] | None = None
+    shared: DataFrame, verify: Callable[[DataFrame], DataFrame], size_ratio: float, exact_keys: Callable[[DataFrame], DataFrame] | None = None,
+    splits: Sequence[Callable[[DataFrame], DataFrame]] = (),
 ) -> DataFrame:
     """All verified links (a, b) between components that the nodes of ``colliding`` fall into.
 
@@ -71,7 +75,9 @@ def links(
     give all pairs of nodes of different components whose sizes are within the ratio; so a link that joins two
     components is never left out, while nodes that are connected already are not paired again. Where ``exact_keys`` turns
     nodes into (node, key) such that similar nodes, and only they, have a common key, the nodes of those keys are held
-    against the least node of each exact key instead, which pairs no two others.
+    against the least node of each exact key instead, which pairs no two others. Each of ``splits`` turns rows (key,
+    node, size, root) into ones with finer keys, of which similar nodes of a key keep a common one; then those are paired.
+    Keys of at most ``FEW`` nodes are not split, since their pairs are few.
     """
     star = shared.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     found = written(verify(star), "links")
@@ -83,8 +89,15 @@ def links(
         near = colliding(exact_keys(rest.select("node").distinct()))
         left = near.filter("node <> a").select("a", F.col("node").alias("b")).distinct()
         return found.unionByName(verify(left.join(star, ["a", "b"], "left_anti")))
-    x = rest.select("key", F.col("node").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
+    for split in splits:
+        crowded = rest.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).select("key")
+        finer = written(split(written(rest.join(crowded, "key", "left_semi"), "crowded-keys")), "finer-keys")
+        mixed = finer.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+        rest = written(rest.join(crowded, "key", "left_anti").unionByName(finer.join(mixed, "key", "left_semi")), "open-keys")
+    # the nodes meet the other components of their key first, so that those of one component never meet each other
+    others = rest.select("key", F.col("root").alias("rb")).distinct()
+    x = rest.select("key", F.col("node").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra")).join(others, "key").filter("ra < rb")
     y = rest.select("key", F.col("node").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
     fits = F.least("na", "nb") >= F.greatest("na", "nb") * size_ratio - 1e-9
-    left = x.join(y, "key").filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits).select("a", "b").distinct()
+    left = x.join(y, ["key", "rb"]).filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     return found.unionByName(verify(left.join(star, ["a", "b"], "left_anti")))

@@ -2,16 +2,19 @@
 
 Words are lower-case runs of letters and digits. Texts with equal words form a class at once; what follows works on
 one text of each class. Its runs of ``K`` words are labelled with their occurrence number. Each of ``SKETCHES``
-sketches takes the ``LENGTH`` labelled runs of least hash and lists them in text order; the list, with the least
-``WORD_MINIMA`` words of the text, is hashed to one band key. Order MinHash collides the likelier the smaller the edit distance, and not for the same runs in another order.
+sketches takes the ``LENGTH`` labelled runs of least hash and lists them in text order; the list is hashed to one band
+key. Order MinHash collides the likelier the smaller the edit distance, and not for the same runs in another order.
 Texts with a common band key whose lengths allow it are candidates. A candidate is verified by a banded alignment of
 the words: the pair is linked when 1 - edits / (words of the longer text) is ``SIMILARITY`` or more. A pair whose
 runs have a Jaccard index of 0.8 shares some key with a probability over 0.9999, at 0.6 of 0.97.
 
 How hot keys are treated: every text of a key is first held against the least text of the key (one row for each text
 and key). Components of these links are found, and only keys that still hold texts of different components give
-further pairs, those between the components. Each such pair of different texts is verified once, so no link between
-them is left out; copies and texts that are already linked are not paired.
+further pairs, those between the components. There the texts of a key are split by an exact bound: ``e`` edits change at
+most ``e`` words and 2 ``e`` pairs of neighbouring words, so of two similar texts, both with these in one common order,
+the first ones have one in common. The order is by how often each occurs, so a passage that many texts share comes
+last and pairs none of them. Each pair left is verified once, so no link between texts of a key is left out; copies and
+texts that are already linked are not paired.
 
 Defined cases: a null text, and one without words, is a class of its own; texts with fewer than ``K`` words count as one
 run; repeated rows with one ``doc_id`` are one document, its text the least one in order; a null ``doc_id`` is kept as
@@ -20,7 +23,7 @@ a class of its own; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -32,16 +35,14 @@ from doccensus.llm.shared import written
 from doccensus.llm.words import WordNumbers, mix, shingles
 
 K, SIMILARITY = 5, 0.8
-SKETCHES, LENGTH, WORD_MINIMA = 20, 3, 2
+SKETCHES, LENGTH = 20, 3
+#: the counts that order word pairs are kept by this many bits of their hash; the order bounds the work, not the result
+COUNT_BITS = 20
 _SEEDS = np.random.default_rng(1).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 
 
-def order_min_hash(runs: np.ndarray, words: np.ndarray, sketches: int = SKETCHES, length: int = LENGTH) -> np.ndarray:
-    """One key for each sketch; runs of equal hash are told apart by their occurrence number.
-
-    The key also takes the least ``WORD_MINIMA`` distinct words under the sketch's own hashes: texts that only share a
-    passage agree in runs but seldom in the words of the whole text, so a common passage makes no common keys.
-    """
+def labelled(runs: np.ndarray) -> np.ndarray:
+    """Hashes of the runs in which equal runs are told apart by their occurrence number."""
     n = len(runs)
     order = np.argsort(runs, kind="stable")
     sorted_runs = runs[order]
@@ -50,21 +51,51 @@ def order_min_hash(runs: np.ndarray, words: np.ndarray, sketches: int = SKETCHES
     first[:] = np.repeat(starts, np.diff(np.append(starts, n)))
     occurrence = np.empty(n, dtype=np.uint64)
     occurrence[order] = (np.arange(n) - first).astype(np.uint64)
-    labelled = mix(runs + occurrence * np.uint64(0xD1B54A32D192ED03))
-    hashed = mix(labelled[None, :] ^ np.resize(_SEEDS, sketches)[:, None])
+    return mix(runs + occurrence * np.uint64(0xD1B54A32D192ED03))
+
+
+def order_min_hash(runs: np.ndarray, sketches: int = SKETCHES, length: int = LENGTH) -> np.ndarray:
+    """One key for each sketch; runs of equal hash are told apart by their occurrence number."""
+    n, numbered = len(runs), labelled(runs)
+    hashed = mix(numbered[None, :] ^ np.resize(_SEEDS, sketches)[:, None])
     take = min(length, n)
     least = np.argpartition(hashed, take - 1, axis=1)[:, :take] if take < n else np.broadcast_to(np.arange(n), (sketches, n))
-    listed = labelled[np.sort(least, axis=1)]
+    listed = numbered[np.sort(least, axis=1)]
     out = np.arange(1, sketches + 1, dtype=np.uint64)
     for i in range(take):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) ^ listed[:, i])
-    vocabulary = np.unique(words)
-    for i in range(WORD_MINIMA):
-        seeds = mix(np.resize(_SEEDS, sketches) + np.uint64(i + 1))
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) ^ mix(vocabulary[None, :] ^ seeds[:, None]).min(axis=1))
     return out
 
 
+def units(words: np.ndarray, length: int) -> np.ndarray:
+    """Labelled words (``length`` 1), or pairs of neighbouring words (2) with one before the first and after the last."""
+    if length == 1:
+        return labelled(mix(words.astype(np.uint64)))
+    edge = np.zeros(1, dtype=np.uint64)
+    return labelled(shingles(np.concatenate([edge, words.astype(np.uint64) + np.uint64(1), edge]), 2))
+
+
+def most_changed(n: int, similarity: float, length: int) -> int:
+    """How many of the units of a text of ``n`` words a similar text of its length or more can lack.
+
+    A word replaced or deleted takes away one word or two pairs, a word inserted no word or one pair; with a longer text of
+    m words, m - n words at least are inserted. A shorter similar text is allowed no more edits than one of ``n`` words.
+    """
+    longer = np.arange(n, int(n / similarity + 1e-9) + 1)
+    return int((length * np.floor((1 - similarity) * longer + 1e-9) - (longer - n)).max())
+
+
+def _bucket(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
+
+
+def first_units(words: np.ndarray, often: np.ndarray, similarity: float, length: int) -> np.ndarray:
+    """The rarest units of a text, one more than a similar text can lack; any two similar texts have a common one."""
+    found = units(words, length)
+    take = most_changed(len(words), similarity, length) + 1
+    return found[np.lexsort((found, often[_bucket(found)]))[:take]]
+
+
 def edit_distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     """Edits (insert, delete, replace) between two word sequences, ``limit`` + 1 where there are more.
 
@@ -145,7 +176,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     words = numbers(text if isinstance(text, str) else None)
                     if len(words):
                         raw = words.tobytes()
-                        keys = order_min_hash(shingles(words, K), words).view(np.int64)
+                        keys = order_min_hash(shingles(words, K)).view(np.int64)
                         # the words' lower halves are enough to align; equal texts are told by the whole print
                         out.append((doc_id, blake2b(raw, digest_size=16).digest(), len(words), words.astype("<u4").tobytes(), keys))
                 yield pd.DataFrame(out, columns=["doc_id", "print", "n_words", "words", "keys"])
@@ -169,6 +200,38 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return pairs.join(b, "b").join(a, "a").select("a", "b", "wa", "wb").mapInPandas(rows, "a long, b long")
 
 
+def _split(rest: DataFrame, texts: DataFrame, similarity: float, length: int) -> DataFrame:
+    """The rows of open keys (key, node, size, root) by their texts' first units: only rows of one key and one unit, now
+    the ``key``, can be similar."""
+    words = texts.join(rest.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+
+    def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
+        for batch in batches:
+            for raw in batch["words"]:
+                np.add.at(total, _bucket(units(np.frombuffer(raw, "<u4"), length)), 1)
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
+
+    # at most 2^COUNT_BITS rows, and a byte for each in the tasks: eight steps for each doubling
+    known = words.select("words").mapInPandas(counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+    often = np.zeros(1 << COUNT_BITS, dtype=np.uint8)
+    often[known["bucket"].to_numpy()] = np.minimum(255, 8 * np.log2(known["n"].to_numpy().astype(np.float64)))
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = [first_units(np.frombuffer(raw, "<u4"), often, similarity, length).view(np.int64) for raw in batch["words"]]
+            yield pd.DataFrame({"node": batch["doc_id"], "units": made})
+
+    found = words.select("doc_id", "words").mapInPandas(rows, "node long, units array<long>")
+    return rest.join(found, "node").select("key", "node", "size", "root", F.explode("units").alias("unit")).withColumn("key", F.xxhash64("key", "unit")).drop("unit")
+
+
+def _splits(texts: DataFrame, similarity: float) -> list[Callable[[DataFrame], DataFrame]]:
+    """By word pairs, then, where a passage is most of the texts, by words; under 0.5 all word pairs may be changed."""
+    return [lambda rest, n=n: _split(rest, texts, similarity, n) for n in (2, 1) if n == 1 or similarity >= 0.5]
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row per document: doc_id, class_id (the least doc_id of its class)."""
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
@@ -184,7 +247,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     # the words of all texts that meet another anywhere; all others are read no more
     held = shared.select(F.col("node").alias("doc_id")).distinct().join(head, "doc_id")
     words = written(made.select("doc_id", "print", "words").join(held, ["doc_id", "print"], "left_semi").select("doc_id", "words"), "words")
-    final = components(links(shared, lambda pairs: _verified(pairs, words, similarity), similarity))
+    final = components(links(shared, lambda pairs: _verified(pairs, words, similarity), similarity, splits=_splits(words, similarity)))
     heads_root = member.join(final, member["head"] == final["node"], "left").select("doc_id", F.coalesce("root", "head").alias("class_id"))
     return ids.join(heads_root, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

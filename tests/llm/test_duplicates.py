@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from doccensus.llm import decontamination, graph, near_duplicates, passages, repeats
 from doccensus.llm.shared import normal_words
@@ -119,6 +120,57 @@ def test_links_between_components_of_one_key(spark):
     assert len(asked) == len(set(asked))
 
 
+def test_near_duplicates_of_small_vocabularies(spark):
+    # logs, tables and lists: few words, and a copy with a list of new words appended or put in; runs have an index of 0.83
+    draw, texts = random.Random(11), []
+    for k in range(60):
+        n, vocabulary = ((1000, 100), (5000, 400))[k % 2]
+        body = [f"w{k}x{draw.randrange(vocabulary)}" for _ in range(n)]
+        at = draw.choice((n, n // 3))
+        texts += [" ".join(body), " ".join([*body[:at], *(f"new{k}n{i}" for i in range(n // 5)), *body[at:]])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert classes(frame) == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_first_units_of_similar_texts():
+    draw, rng = random.Random(12), np.random.default_rng(12)
+    seen = 0
+    for _ in range(600):
+        a = [draw.randrange(draw.choice((3, 30, 1000))) for _ in range(draw.randrange(1, 60))]
+        b = list(a)
+        for _ in range(draw.randrange(0, 1 + (len(a) + 4) // 4)):
+            at = draw.randrange(len(b) + 1)
+            b[at : at + draw.randrange(2)] = [draw.randrange(2000)] * draw.randrange(2)
+        for similarity in (0.5, 0.8, 0.9):
+            if a and b and 1 - edit_distance(a, b) / max(len(a), len(b)) >= similarity - 1e-9:
+                often = rng.integers(0, 3, 1 << near_duplicates.COUNT_BITS).astype(np.uint8)
+                for n in (1, 2):
+                    x, y = (near_duplicates.first_units(np.array(w, dtype="<u4"), often, similarity, n) for w in (a, b))
+                    assert set(x.tolist()) & set(y.tolist())
+                seen += a != b
+    assert seen > 300
+
+
+def test_common_passage_pairs_no_unlike_texts(spark):
+    # 150 texts of which 100 words are one passage, and two more that are similar only to each other
+    draw = random.Random(13)
+    passage = [f"p{i}" for i in range(100)]
+    texts = [" ".join([f"own{k}n{draw.randrange(10**6)}" for _ in range(60)] + passage) for k in range(150)]
+    texts += [" ".join([f"pair{i}" for i in range(60)] + passage), " ".join(passage + [f"pair{i}" for i in range(60)])]
+    texts.append(" ".join([f"pair{i}" for i in range(58)] + passage))
+    made = near_duplicates.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    rows = made.select(F.col("doc_id").alias("node"), F.col("n_words").alias("size"), F.explode("keys").alias("key"))
+    tried = []
+
+    def verify(pairs):
+        tried.append(pairs.count())
+        return near_duplicates._verified(pairs, made, 0.8)
+
+    found = graph.links(graph.colliding(rows), verify, 0.8, splits=near_duplicates._splits(made, 0.8))
+    assert {tuple(r) for r in found.collect()} == {(150, 152)}
+    assert tried[-1] < 300
+
+
 def test_near_duplicates_odd_rows(spark, odd, clashing, empty):
     got = classes(odd)
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, None: None, 6: 1, 7: 7, 8: 8, 9: 9}
