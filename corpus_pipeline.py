@@ -20,7 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, the one of least doc_id."""
+    """One row of each class of near duplicates, the first one of least doc_id."""
     return near_duplicates.keep_one(docs)
 
 

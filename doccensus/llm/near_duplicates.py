@@ -18,7 +18,7 @@ texts that are already linked are not paired.
 
 Defined cases: a null text, and one without words, is a class of its own; texts with fewer than ``K`` words count as one
 run; repeated rows with one ``doc_id`` are one document, its text the least one in order; a null ``doc_id`` is kept as
-a class of its own; an empty table gives no rows; other columns are ignored.
+a class of its own; an empty table gives no rows; other columns are ignored. ``keep_one`` goes by rows instead of ids.
 """
 
 from __future__ import annotations
@@ -253,8 +253,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` whose document is the least of its class; rows with a null doc_id stay."""
-    classes = near_duplicates(docs, similarity)
-    gone = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("_gone"))
+    """One row of each class of near duplicates, the first by (doc_id, place); a null ``doc_id`` comes last.
+
+    Rows, not ids, are compared: repeated rows leave one, and so do equal texts without ids or two texts under one id
+    that have other near duplicates. Of texts without words one row for each (doc_id, text) stays.
+    """
+    at = "_at"
+    while at in docs.columns:
+        at += "_"
+    # the places must be the same at each reading, so the rows are written with them
+    placed = written(docs.withColumn(at, F.monotonically_increasing_id()), "placed")
+    classes = near_duplicates(placed.select(F.col(at).alias("doc_id"), "text"), similarity).withColumnRenamed("doc_id", "at")
+    named = placed.select(F.col(at).alias("at"), F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(at).alias("at")).alias("rank"), F.md5("text").alias("text"))
+    # ids and hashes only: the first row of each class, and of these the first of each (doc_id, text) for texts without words
+    first = classes.join(named, "at").groupBy("class_id").agg(F.min(F.struct("rank", "text")).alias("f"))
+    kept = first.groupBy("f.rank.id", "f.text").agg(F.min("f.rank.at").alias("at")).select("at")
+    gone = written(named.select("at").join(kept, "at", "left_anti").select(F.col("at").alias("_gone")), "gone")
     # ids only on the right side; the rows keep their columns and are not copied
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    return placed.join(gone, placed[at] == F.col("_gone"), "left_anti").drop(at)

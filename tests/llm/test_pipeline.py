@@ -99,5 +99,22 @@ def test_stages_on_odd_and_empty_tables(spark, clashing, empty):
         assert corpus_pipeline.pack(spark, docs, SF_DIR).count() >= docs.count()
 
 
+def test_repeated_rows_stay_once(spark, clashing):
+    def text(k, n=120):
+        return " ".join(f"t{k}word{i}" for i in range(n))
+
+    # the head of a class in three rows, its near copy, equal texts without ids, two texts under one id, one known elsewhere
+    rows = [(1, text(1))] * 3 + [(2, text(1) + " more")] + [(None, text(2))] * 3 + [(None, text(1))]
+    rows += [(5, text(5)), (5, text(6)), (6, text(6)), (7, None), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, SF_DIR)
+    assert kept.columns == docs.columns
+    expected = [(1, text(1)), (None, text(2)), (5, text(5)), (5, text(6)), (7, None), (8, "")]
+    assert collections.Counter((r["doc_id"], r["text"]) for r in kept.collect()) == collections.Counter(expected)
+    left = corpus_pipeline.suffix_array_stage(spark, written(kept, "stage"), SF_DIR)
+    assert collections.Counter((r["doc_id"], r["text"]) for r in left.collect()) == collections.Counter(expected)
+    assert near_duplicates.keep_one(clashing.withColumn("_at", clashing["h"])).columns == [*clashing.columns, "_at"]
+
+
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF_DIR).count() == stages[-1][1].count()
