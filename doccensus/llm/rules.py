@@ -155,23 +155,31 @@ def histograms(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     read = docs.select(row, text.alias("_text"), words_of(text).alias("_words"), without_lower(text).alias("_rest"), _language(docs).alias("_of"))
     t, rest = F.col("_text"), F.col("_rest")
     return read.select(
-        "_row", "_of", *[c.alias(n) for n, c in base_columns(t, F.col("_words"), rest).items()],
+        "_row", "_of", F.md5(t).alias("_same"), *[c.alias(n) for n, c in base_columns(t, F.col("_words"), rest).items()],
         char_histogram(t, rest).alias("_c"), word_histogram(t).alias("_w"),
     )
 
 
-def judge(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def _base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
+
+
+def judge(docs: DataFrame, carry: list[str] | None = None, distinct_references: bool = False) -> DataFrame:
     """The carried columns of ``docs`` (all by default) as ``_row`` and a struct ``verdict``: counts, distances, kept.
 
     The texts are counted once; counts and carried columns are written to the shared folder, since the references need
-    all documents before any can be judged.
+    all documents before any can be judged. With ``distinct_references`` only texts that pass the base rules make up the
+    references, each text of a language once, so that copies and junk do not move them; a language without such a text
+    has no reference, and its texts fail by the base rules.
     """
     counted = written(histograms(docs, carry), "histograms")
-    references = language_references(counted)
+    # equal texts of a language have equal histograms
+    sound = counted.filter(~_base_failed()).groupBy("_of", "_same").agg(F.first("_c").alias("_c"), F.first("_w").alias("_w")) if distinct_references else counted
+    references = language_references(sound)
     # at most one row per language of LANGUAGES and one more, so this broadcast has a fixed bound
     held = counted.join(F.broadcast(references), F.col("_of") == F.col("_language"), "left").select(
         "_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))).alias("base_failed"),
+        _base_failed().alias("base_failed"),
         F.when(_total(F.col("_c")) >= MIN_CHARS, distance(F.col("_c"), F.col("_chars"))).alias("char_distance"),
         F.when(_total(F.col("_w")) >= MIN_COMMON, distance(F.col("_w"), F.col("_common"))).alias("word_distance"),
     )
@@ -187,5 +195,5 @@ def judged_columns(judged: DataFrame, *keys: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns of ``docs``."""
-    return judge(docs).filter("verdict.kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    """The documents that pass, with the columns of ``docs``; held against references of distinct sound texts."""
+    return judge(docs, distinct_references=True).filter("verdict.kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])

@@ -116,5 +116,17 @@ def test_repeated_rows_stay_once(spark, clashing):
     assert near_duplicates.keep_one(clashing.withColumn("_at", clashing["h"])).columns == [*clashing.columns, "_at"]
 
 
+def test_clean_documents_stay_beside_junk_copies(spark):
+    prose = "The house of the old man stood at the end of the road, and it was as it is on this day; nobody in town knew who had built it or for whom. "
+    clean = [(i, prose + " ".join(f"Word{chr(97 + i)}{chr(97 + k % 26)}" for k in range(30)), "en", "a", 1) for i in range(20)]
+    for junk in ("###\n" * 100, "0123456789 " * 60):
+        docs = spark.createDataFrame(clean + [(100 + i, junk, "en", "a", 1) for i in range(10)], "doc_id long, text string, lang string, source string, n_chars long")
+        assert {r["doc_id"] for r in rules.keep_good(docs).collect()} == set(range(20))
+    # sound copies weigh as one text
+    copies = " ".join(f"{i}{i + 7}#" for i in range(200))
+    docs = spark.createDataFrame(clean + [(100 + i, copies, "en", "a", 1) for i in range(10)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in rules.keep_good(docs).collect()} == set(range(20))
+
+
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF_DIR).count() == stages[-1][1].count()
