@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -118,8 +119,12 @@ def salted_join(
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors share: below ``spark.checkpoint.dir``, else below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    """A fresh folder that all executors share: below ``spark.checkpoint.dir``, in local mode else below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -142,3 +147,33 @@ def number_rows(df: DataFrame, key: str, name: str) -> DataFrame:
     local = F.row_number().over(Window.partitionBy("_part").orderBy(key))
     # one row per partition, so this broadcast is bounded by their number
     return placed.join(F.broadcast(before), "_part").withColumn(name, local + F.col("_before")).drop("_part", "_before")
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], **values: Column) -> DataFrame:
+    """Adds for each of ``values`` its sum over the rows of the same key up to this one, exact and even under skew.
+
+    Rows are range-partitioned by (keys, order), so a key of any size is spread over as many partitions as it fills. Sums
+    run inside (partition, key); a key that goes on from one partition to the next gets the sums of the partitions
+    before. A boundary between partitions lies in one key at most, so those sums are fewer than twice the partitions.
+    Nulls of a key are equal and come first. The rows are written once to the shared folder.
+    """
+    marked = df.withColumns({f"_v_{n}": v for n, v in values.items()})
+    placed = settled(marked.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order).withColumn("_part", F.spark_partition_id()))
+    key = F.struct(*keys)
+    ends = placed.groupBy("_part").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    spans = ends.withColumn("_prev", F.lag("_hi").over(Window.orderBy("_part"))).filter("_lo <=> _prev").select(F.col("_lo").alias("_key")).distinct()
+    # one row per boundary at most: the broadcasts are bounded by the number of partitions
+    marks = F.broadcast(spans.select(*[F.col("_key")[k].alias(f"_k{i}") for i, k in enumerate(keys)]))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    sums = placed.join(marks, same).groupBy("_part", *[f"_k{i}" for i in range(len(keys))]).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
+    earlier = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select(F.col("_part").alias("_p"), *[f"_k{i}" for i in range(len(keys))], *[F.sum(f"_s_{n}").over(earlier).alias(f"_c_{n}") for n in values])
+    upto = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = placed.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(upto) for n in values})
+    joined = local.join(F.broadcast(carried), (F.col("_part") == F.col("_p")) & same, "left")
+    return joined.select(*df.columns, *[(F.col(f"_l_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in values])
+
+
+def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """1-based position of every row within its key by ``order``; a key with a third of all rows meets no single task."""
+    return running_totals(df, keys, order, **{name: F.lit(1).cast("long")})

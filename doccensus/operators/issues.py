@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doccensus import constants as K
-from doccensus.functions.common import c, contains_any, extract_all, number_rows, salted_join, settled, str_array, top_k, trim_ws
+from doccensus.functions.common import c, contains_any, extract_all, number_rows, rank_within, salted_join, settled, str_array, top_k, trim_ws
 
 # ── selection and classification ────────────────────────────────────────
 
@@ -23,7 +23,7 @@ def recent_open(issues: DataFrame, now: Column, days: int = 14, limit: int | Non
     recent = issues.filter((F.col("state") == "open") & (F.to_date("created_at") > since))
     order = [F.col("created_at").desc(), F.col("number").desc()]
     if limit is None:
-        return recent.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(*order)))
+        return rank_within(recent, ["repo"], order)
     return top_k(recent, ["repo"], order, limit, ["number"])
 
 
@@ -394,7 +394,7 @@ def rank_gaps(results: DataFrame, per_session: int | None = None) -> DataFrame:
     """Issues of each session, most confident first; with ``per_session`` the first in request order only."""
     ranked = [F.col("confidence").desc(), F.col("pos")]
     if per_session is None:
-        return results.withColumn("rank", F.row_number().over(Window.partitionBy("session_id").orderBy(*ranked)))
+        return rank_within(results, ["session_id"], ranked)
     kept = top_k(results, ["session_id"], [F.col("pos")], per_session, ["pos"], rank="_r").drop("_r")
     return top_k(kept, ["session_id"], [F.col("confidence").desc(), F.col("pos")], per_session, ["pos"])
 
@@ -405,7 +405,7 @@ def docs_repo_candidates(repos: DataFrame, files: DataFrame, limit: int | None =
     likely = F.col("name").rlike(K.DOCS_REPO_NAME_PATTERN) | F.coalesce("description", F.lit("")).rlike(K.DOCS_REPO_DESC_PATTERN) | topic
     order, likely_repos = [F.col("updated_at").desc(), F.col("name")], repos.filter(likely & ~F.col("is_current"))
     if limit is None:
-        chosen = likely_repos.withColumn("rank", F.row_number().over(Window.partitionBy("owner").orderBy(*order)))
+        chosen = rank_within(likely_repos, ["owner"], order)
     else:
         chosen = top_k(likely_repos, ["owner"], order, limit, ["name"])
     low = F.lower("path")

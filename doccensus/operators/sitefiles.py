@@ -7,12 +7,12 @@ every page of a site with every entry.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doccensus import constants as K
 from doccensus.functions import urls as U
-from doccensus.functions.common import c, extract, extract_all, salted_join, top_k, trim_ws
+from doccensus.functions.common import c, extract, extract_all, rank_within, salted_join, top_k, trim_ws
 
 _LINK_LINE = r"^-?\s*\[([^\]]+)\]\(([^)]+)\)(?:\s*:?\s*(.*))?$"
 
@@ -109,7 +109,7 @@ def to_crawl(entries: DataFrame, targets: DataFrame, kb: DataFrame, cap: int | N
     ).select("target_url", "host", "s.scope", "s.scope_path")
     pairs = salted_join(scopes, scoped, ["host", "scope", "scope_path"], ["target_url"]).select("target_url", "bucket", "pos", "url").distinct()
     if cap is None:
-        return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("target_url").orderBy(*order)))
+        return rank_within(pairs, ["target_url"], order)
     return top_k(pairs, ["target_url"], order, cap, ["url", "pos"])
 
 
