@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ["output", "quality", "duplicate"]
+_MODULES = ["output", "quality", "duplicate", "structure"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
