@@ -1,18 +1,18 @@
 """Developer issues: classification, matching with pages, gap status.
 
-Substring matches run as equi joins on character grams, similarity as blocked
-matrix products; nothing compares every issue with every page row by row.
+Substring matches run as equi joins on character grams, similarity as matrix
+products inside the cells of an index; nothing compares every issue with every
+page row by row.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doccensus import constants as K
 from doccensus.functions.common import c, contains_any, extract_all, number_rows, rank_within, salted_join, settled, str_array, top_k, trim_ws
+from doccensus.operators import vector_index
 
 # ── selection and classification ────────────────────────────────────────
 
@@ -126,77 +126,109 @@ def issue_keywords(text: Column | str, category: Column | str) -> Column:
     return F.array_distinct(F.concat(F.array_except(F.array_distinct(words), str_array(K.STOP_WORDS)), extra))
 
 
-def _windows(text: Column, shortest: int, longest: int) -> Column:
-    """Distinct substrings of ``shortest`` to ``longest`` characters."""
+def _grams(text: Column, size: int) -> Column:
+    """Distinct substrings of ``size`` characters; a shorter text has none."""
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    cut = F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))
+    return F.array_distinct(F.when(F.length(text) >= size, cut).otherwise(F.array().cast("array<string>")))
 
-    def of_size(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-        cut = F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
-        return F.when(F.length(text) >= n, cut).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(*[of_size(n) for n in range(shortest, longest + 1)]))
+def contained_words(words: DataFrame, texts: DataFrame, site: str, word: str, text: str, gram: int = 3) -> DataFrame:
+    """Pairs (site, word, text) where the text contains the word, for words of ``gram`` characters or more.
 
-
-def contained_words(
-    words: DataFrame, texts: DataFrame, site: str, word: str, text: str, shortest: int, gram: int = 8, salts: int = 16
-) -> DataFrame:
-    """Pairs (site, word, text) where the text contains the word.
-
-    Equi join of the word's first ``gram`` characters with the text's windows,
-    then an exact check. Texts must be short (URLs, titles, single tokens).
-    The text side is salted and the distinct words copied to every salt, so
-    one popular gram of one huge site is spread over ``salts`` tasks.
+    An inverted index on character grams: texts are posted under each of their grams, and a word looks only under the one
+    that the fewest texts of its site have, followed by an exact check. Words that have a gram no text has are gone before;
+    most go by their first gram alone, so what is cut into grams on the word side is little more than what can match.
     """
-    left = words.select(site, word).distinct().withColumn("_g", F.substring(word, 1, gram)).withColumn(
-        "_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    posted = settled(texts.select(site, text).distinct()).withColumn("_g", F.explode(_grams(F.col(text), gram)))
+    spread = settled(posted.groupBy(site, "_g").agg(F.count("*").alias("_df")))
+    starts = words.select(site, word).distinct().withColumn("_g", F.substring(word, 1, gram)).join(spread.select(site, "_g"), [site, "_g"], "left_semi").drop("_g")
+    parts = starts.withColumn("_all", _grams(F.col(word), gram)).withColumn("_n", F.size("_all")).withColumn("_g", F.explode("_all")).drop("_all")
+    rarest = parts.join(spread, [site, "_g"]).groupBy(site, word).agg(
+        F.min_by("_g", F.struct("_df", "_g")).alias("_g"), F.count("*").alias("_found"), F.max("_n").alias("_n")
+    ).filter("_found = _n").select(site, word, "_g")
+    return posted.join(rarest, [site, "_g"]).filter(F.col(text).contains(F.col(word))).select(site, word, text)
+
+
+def _matched_classes(hits: DataFrame, low: DataFrame, k: int) -> DataFrame:
+    """URLs of a site that hold the same words and bonus, as one row with the first ``k`` of them."""
+    held = hits.groupBy("site", "lu").agg(F.array_sort(F.collect_set("kw")).alias("held"))
+    bonus = F.when(F.col("lu").contains("/docs/"), 0.5).otherwise(0.0)
+    placed = low.join(held, ["site", "lu"], "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>"))).withColumn("bonus", bonus)
+    firsts = top_k(placed, ["site", "held", "bonus"], [F.col("url")], k, ["url"], rank="_r").groupBy("site", "held", "bonus").agg(
+        F.array_sort(F.collect_list("url")).alias("first_urls")
     )
-    right = texts.select(site, text).distinct().withColumn("_s", F.pmod(F.hash(text), F.lit(salts))).withColumn(
-        "_g", F.explode(_windows(F.col(text), shortest, gram))
+    return firsts.withColumn("class_id", F.sha2(F.concat_ws("\u0001", "site", F.col("bonus").cast("string"), F.array_join("held", "\u0001")), 256))
+
+
+def _score_at(scored: DataFrame, k: int) -> DataFrame:
+    """set_id, reached: the score that at least ``k`` URLs of a set's candidates have; sets with fewer are left out."""
+    tiers = scored.groupBy("set_id", "score").agg(F.sum("urls").alias("n")).groupBy("set_id").agg(
+        F.reverse(F.array_sort(F.collect_list(F.struct("score", "n")))).alias("tiers")
     )
-    return right.join(left.hint("shuffle_hash"), [site, "_g", "_s"]).filter(F.col(text).contains(F.col(word))).select(site, word, text)
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1.0).alias("score"))
+    step = lambda a, x: F.when(a["n"] >= k, a).otherwise(F.struct((a["n"] + x["n"]).alias("n"), x["score"].alias("score")))
+    best = tiers.select("set_id", F.aggregate("tiers", start, step).alias("b"))
+    return best.filter(F.col("b.n") >= k).select("set_id", F.col("b.score").alias("reached"))
 
 
-def keyword_page_match(issues: DataFrame, urls: DataFrame, k: int = 5, common_above: int = 100) -> DataFrame:
+def keyword_page_match(issues: DataFrame, urls: DataFrame, k: int = 5) -> DataFrame:
     """Best ``k`` URLs of its site for every issue: +1 per keyword in the URL, +0.5 under /docs/.
 
-    ``issues`` (issue_id, site, keywords), ``urls`` (site, url). Exact, without
-    pairing every issue with every URL: keywords found in more than
-    ``common_above`` URLs of a site are not joined row by row. They are scored
-    once per distinct set of common words, on one class of URLs per such set,
-    each class keeping its first ``k`` URLs. A URL that also holds a rare
-    keyword appears in the rare join with its full score, and ``k`` URLs at
-    least as good as any other are always present.
+    ``issues`` (issue_id, site, keywords), ``urls`` (site, url). Exact, without holding every issue against every URL:
+
+    * words meet URLs in an inverted index on their rarest gram (``contained_words``);
+    * URLs with the same words and bonus form a class, of which the first ``k`` matter; issues with the same matched words
+      form a set, which is answered once;
+    * a set walks its words from the rarest on. The first ones, until they name ``k`` URLs, give candidates whose full scores
+      set a threshold. A URL that reaches the threshold holds so many of the set's words that it must hold one of those up
+      to a certain place; only these are looked up, and the most common words never are where the threshold is above one.
+
+    URLs without a keyword count by their bonus alone; the first ``k`` of a site are candidates of all its sets.
     """
     low = urls.select("site", "url", F.lower("url").alias("lu")).distinct()
     words = issues.select("issue_id", "site", F.explode("keywords").alias("kw"))
-    hits = settled(contained_words(words, low.select("site", "lu"), "site", "kw", "lu", 3))
-    freq = hits.groupBy("site", "kw").agg((F.count("*") > common_above).alias("common"))
-    tagged = hits.join(freq, ["site", "kw"])
-
-    none = F.array().cast("array<string>")
-    url_common = tagged.filter("common").groupBy("site", "lu").agg(F.array_sort(F.collect_set("kw")).alias("uc"))
-    issue_common = words.join(freq.filter("common"), ["site", "kw"]).groupBy("issue_id", "site").agg(F.array_sort(F.collect_set("kw")).alias("ic"))
-    bonus = F.when(F.col("lu").contains("/docs/"), 0.5).otherwise(0.0)
-    placed = low.join(url_common, ["site", "lu"], "left").withColumn("uc", F.coalesce("uc", none)).withColumn("bonus", bonus)
-    asked = issues.select("issue_id", "site").join(issue_common, ["issue_id", "site"], "left").withColumn("ic", F.coalesce("ic", none))
-
-    rare = words.join(tagged.filter(~F.col("common")), ["site", "kw"]).groupBy("issue_id", "site", "lu").agg(F.count("*").alias("rare"))
-    full = rare.join(asked, ["issue_id", "site"]).join(placed, ["site", "lu"]).select(
-        "issue_id", "site", "url", (F.col("rare") + F.size(F.array_intersect("ic", "uc")) + F.col("bonus")).alias("score")
+    hits = contained_words(words, low.select("site", "lu"), "site", "kw", "lu")
+    classes = settled(_matched_classes(hits, low, k))
+    postings = classes.select("site", "class_id", F.explode("held").alias("kw"), F.size("first_urls").cast("long").alias("urls"))
+    spread = postings.groupBy("site", "kw").agg(F.sum("urls").alias("df"))
+
+    matched = words.join(spread, ["site", "kw"]).groupBy("issue_id", "site").agg(F.array_sort(F.collect_set(F.struct("df", "kw"))).alias("ranked"))
+    none = F.array().cast("array<struct<df:bigint,kw:string>>")
+    asked = issues.select("issue_id", "site").join(matched, ["issue_id", "site"], "left").withColumn("ranked", F.coalesce("ranked", none))
+    asked = settled(asked.withColumn("set_id", F.sha2(F.concat_ws("\u0001", "site", F.array_join(F.col("ranked.kw"), "\u0001")), 256)))
+    sets = asked.select("set_id", "site", "ranked").dropDuplicates(["set_id"])
+
+    named = F.aggregate(
+        "ranked", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("len")),
+        lambda a, x: F.when(a["n"] >= k, a).otherwise(F.struct((a["n"] + x["df"]).alias("n"), (a["len"] + 1).alias("len"))),
+    )["len"]
+
+    def candidates(of: DataFrame, begin: Column, length: Column) -> DataFrame:
+        picked = of.withColumn("kw", F.explode(F.slice("ranked", begin, F.greatest(length, F.lit(0)))["kw"]))
+        return picked.join(postings.select("site", "kw", "class_id"), ["site", "kw"]).select("set_id", "class_id").distinct()
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        facts = classes.select("class_id", "held", "bonus", F.size("first_urls").cast("long").alias("urls"))
+        full = pairs.join(sets.select("set_id", F.col("ranked.kw").alias("asks")), "set_id").join(facts, "class_id")
+        return full.select("set_id", "class_id", (F.size(F.array_intersect("asks", "held")) + F.col("bonus")).alias("score"), "urls").filter("score > 0")
+
+    under_docs = classes.filter("bonus > 0").select("site", "class_id", F.explode("first_urls").alias("url"))
+    always = top_k(under_docs, ["site"], [F.col("url")], k, ["url"], rank="_r").select("site", "class_id").distinct()
+    first = candidates(sets, F.lit(1), named).unionByName(salted_join(sets, always, ["site"], ["set_id"]).select("set_id", "class_id")).distinct()
+    opening = settled(scored(first))
+    walked = sets.withColumn("_named", named).join(_score_at(opening, k), "set_id", "left").withColumn(
+        # a URL of score s holds s - 0.5 words or more, so it holds one of the first (words - that + 1)
+        "_upto", F.size("ranked") - F.greatest(F.ceil(F.coalesce("reached", F.lit(1.0)) - 0.5), F.lit(1)).cast("int") + 1
     )
-
-    classes = top_k(placed, ["site", "uc", "bonus"], [F.col("url")], k, ["url"], rank="_r").groupBy("site", "uc", "bonus").agg(
-        F.array_sort(F.collect_list("url")).alias("first_urls")
+    second = candidates(walked, F.col("_named") + 1, F.col("_upto") - F.col("_named")).join(first, ["set_id", "class_id"], "left_anti")
+    every = settled(opening.unionByName(scored(second)))
+    last = every.join(_score_at(every, k), "set_id", "left").filter(F.col("score") >= F.coalesce("reached", F.lit(0.0)))
+    best = top_k(
+        last.join(classes.select("class_id", "first_urls"), "class_id").select("set_id", "score", F.explode("first_urls").alias("url")),
+        ["set_id"], [F.col("score").desc(), F.col("url")], k, ["url"],
     )
-    sets = asked.select("site", "ic").distinct()
-    scored = salted_join(sets, classes, ["site"], ["ic"]).withColumn("score", F.size(F.array_intersect("ic", "uc")) + F.col("bonus")).filter("score > 0")
-    by_set = top_k(
-        scored.select("site", "ic", "score", F.explode("first_urls").alias("url")), ["site", "ic"], [F.col("score").desc(), F.col("url")], k, ["url"], rank="_r"
-    ).drop("_r")
-    shared = salted_join(asked, by_set, ["site", "ic"], ["issue_id"]).select("issue_id", "site", "url", "score")
-
-    best = full.unionByName(shared).groupBy("issue_id", "url").agg(F.max("score").alias("score"))
-    return top_k(best, ["issue_id"], [F.col("score").desc(), F.col("url")], k, ["url"])
+    return asked.select("issue_id", "set_id").join(best, "set_id").select("issue_id", "url", "score", "rank")
 
 
 def keyword_entry_match(issues: DataFrame, entries: DataFrame, k: int = 15, body_chars: int | None = None) -> DataFrame:
@@ -209,7 +241,7 @@ def keyword_entry_match(issues: DataFrame, entries: DataFrame, k: int = 15, body
     text = F.lower(F.concat("title", F.lit(" "), body if body_chars is None else F.substring(body, 1, body_chars)))
     words = issues.select("site", F.explode(F.filter(F.split(text, "[^a-z0-9_]+"), lambda w: F.length(w) > 3)).alias("kw"))
     texts = entries.withColumn("text", F.lower(F.concat("title", F.lit(" "), F.coalesce("description", F.lit("")))))
-    hits = contained_words(words, texts, "site", "kw", "text", 4)
+    hits = contained_words(words, texts, "site", "kw", "text")
     counts = hits.groupBy("site", "text").agg(F.count("*").alias("matches"))
     order = [F.col("matches").desc(), F.col("url"), F.col("text")]
     return top_k(texts.join(counts, ["site", "text"]), ["site"], order, k, ["url", "text"]).drop("text")
@@ -230,7 +262,7 @@ def relevant_docs(issues: DataFrame, docs: DataFrame, at_least: int = 4) -> Data
     tokens = docs.select("repo", "doc_id", F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("token")).filter(
         F.length("token") > 4
     )
-    known = contained_words(words, tokens, "repo", "word", "token", 5, gram=5)
+    known = contained_words(words, tokens, "repo", "word", "token")
     in_docs = settled(tokens.join(known, ["repo", "token"]).select("repo", "doc_id", "word").distinct())
     spread = in_docs.groupBy("repo", "word").agg(F.count("*").alias("df"))
     useful = words.join(spread, ["repo", "word"]).groupBy("number", "repo").agg(
@@ -262,52 +294,12 @@ def local_ranking(issues: DataFrame, relevant: DataFrame) -> DataFrame:
     ).orderBy(F.col("likely_docs").desc(), F.col("reactions").desc(), "number")
 
 
-def similar_pages(issue_vecs: DataFrame, page_vecs: DataFrame, k: int = 5, block: int = 8192) -> DataFrame:
-    """Exact cosine top ``k`` pages for every issue vector.
+def similar_pages(issue_vecs: DataFrame, page_vecs: DataFrame, k: int = 5, block: int = 8192, cells: int | None = None) -> DataFrame:
+    """Exact cosine top ``k`` pages for every issue vector, by an inverted file (``vector_index``).
 
-    Both sides are cut into blocks of about ``block`` rows by id hash; every
-    block pair is one task that multiplies two matrices and keeps ``k`` rows
-    per issue, so what is shuffled on grows with the number of blocks and no
-    pair of vectors is ever a row. A zero vector has similarity 0; vectors of
-    unequal length are an error.
+    A zero vector has similarity 0; vectors of unequal length are an error.
     """
-    blocks_of = lambda df: max(1, -(-df.count() // block))
-    a, b = blocks_of(issue_vecs), blocks_of(page_vecs)
-    left = issue_vecs.select(
-        F.col("issue_id"), F.col("embedding").alias("vec"), F.pmod(F.xxhash64("issue_id"), F.lit(a)).alias("qa"),
-        F.explode(F.sequence(F.lit(0), F.lit(b - 1))).alias("pb"),
-    )
-    right = page_vecs.select(
-        F.col("page_key"), F.col("embedding").alias("vec"), F.pmod(F.xxhash64("page_key"), F.lit(b)).alias("pb"),
-        F.explode(F.sequence(F.lit(0), F.lit(a - 1))).alias("qa"),
-    )
-
-    def unit(vectors: pd.Series) -> np.ndarray:
-        m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
-
-    def best(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(q) and len(p):
-            p = p.sort_values("page_key").reset_index(drop=True)
-            pages, keys = unit(p["vec"]).T, p["page_key"].to_numpy()
-            for start in range(0, len(q), 512):
-                part = q.iloc[start : start + 512]
-                sims = unit(part["vec"]) @ pages
-                n = min(k, sims.shape[1])
-                # all rows at or above the k-th value keep ties together
-                cut = -np.partition(-sims, n - 1, axis=1)[:, n - 1 : n]
-                for row, issue in enumerate(part["issue_id"].to_numpy()):
-                    idx = np.flatnonzero(sims[row] >= cut[row] - 1e-12)
-                    idx = idx[np.lexsort((keys[idx], -sims[row, idx]))][:n]
-                    out.append(pd.DataFrame({"issue_id": issue, "page_key": keys[idx], "similarity": sims[row, idx]}))
-        return pd.concat(out) if out else pd.DataFrame({"issue_id": [], "page_key": [], "similarity": []})
-
-    near = left.groupBy("qa", "pb").cogroup(right.groupBy("qa", "pb")).applyInPandas(
-        best, "issue_id long, page_key long, similarity double"
-    )
-    return top_k(near, ["issue_id"], [F.col("similarity").desc(), F.col("page_key")], k, ["page_key"])
+    return vector_index.search(issue_vecs, vector_index.build_index(page_vecs, cells), k, block)
 
 
 # ── evidence and status ─────────────────────────────────────────────────

@@ -245,19 +245,21 @@ def test_issue_status(spark):
     assert got == {1: ("critical-gap", 95), 2: ("resolved", 90), 3: ("potential-gap", 75), 4: ("confirmed", 70), 5: ("critical-gap", 85), 6: ("potential-gap", 75), 7: ("critical-gap", 85)}
 
 
-@pytest.mark.parametrize("common_above", [0, 2, 1000])
-def test_keyword_page_match_brute_force(spark, common_above):
-    rng = random.Random(7)
-    vocab = ["api", "guide", "docs", "deploy", "authentication", "key", "web", "hook", "webhooks", "email"]
-    urls = sorted({f"https://s.com/{'docs/' if rng.random() < 0.5 else ''}{'-'.join(rng.sample(vocab, rng.randint(1, 4)))}/{i}" for i in range(60)})
-    issues = [(i, "s", rng.sample(vocab + ["absent", "https"], rng.randint(0, 5))) for i in range(25)]
-    got = I.keyword_page_match(
-        spark.createDataFrame(issues, "issue_id long, site string, keywords array<string>"), spark.createDataFrame([("s", u) for u in urls], "site string, url string"), common_above=common_above
-    )
+@pytest.mark.parametrize("seed", [7, 8, 9])
+def test_keyword_page_match_brute_force(spark, seed):
+    """Rare, common and absent words, repeated word sets, sites with few URLs, URLs that differ in case only."""
+    rng = random.Random(seed)
+    vocab = ["api", "guide", "docs", "deploy", "authentication", "key", "web", "hook", "webhooks", "email", *(f"rare{i}" for i in range(6))]
+    part = lambda: "-".join(rng.sample(vocab, rng.randint(1, 4)))
+    urls = {(s, f"https://{s}.com/{'docs/' if rng.random() < 0.3 else ''}{part()}/{i}") for i in range(90) for s in ("s", "t")}
+    urls = sorted(urls | {("s", u.upper()) for s, u in sorted(urls)[:5]} | {("few", "https://few.com/docs/api"), ("few", "https://few.com/x")})
+    issues = [(i, rng.choice(["s", "t", "few", "none"]), rng.sample(vocab + ["absent", "https", "com"], rng.randint(0, 7))) for i in range(60)]
+    issues += [(100 + i, "s", ["https", "com"]) for i in range(30)]
+    got = I.keyword_page_match(spark.createDataFrame(issues, "issue_id long, site string, keywords array<string>"), spark.createDataFrame(urls, "site string, url string"))
     got = sorted((r.issue_id, r["rank"], r.url, float(r.score)) for r in got.collect())
     want = []
-    for i, _, words in issues:
-        scored = sorted((-(sum(w in u for w in words) + 0.5 * ("/docs/" in u)), u) for u in urls)
+    for i, site, words in issues:
+        scored = sorted((-(sum(w in u.lower() for w in words) + 0.5 * ("/docs/" in u.lower())), u) for s, u in urls if s == site)
         want += [(i, n + 1, u, -s) for n, (s, u) in enumerate(x for x in scored[:5] if x[0] < 0)]
     assert got == sorted(want)
 

@@ -1,10 +1,13 @@
 """Hot keys, pruned searches and work that must not grow with what it skips."""
 
+import numpy as np
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from doccensus.functions.common import rank_within, running_totals
+from doccensus.operators import issues as I
+from doccensus.operators import vector_index as VI
 
 
 @pytest.fixture
@@ -44,3 +47,63 @@ def test_running_totals(many_parts):
     upto = Window.partitionBy("k").orderBy("o", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     assert got.withColumn("plain", F.sum("v").over(upto)).filter("plain <> total").isEmpty()
     assert running_totals(rows.limit(0), ["k"], [F.col("o")], total=F.col("v")).count() == 0
+
+
+# ── vector index ────────────────────────────────────────────────────────
+
+
+def _frame(spark, rows, name):
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], f"{name} long, embedding array<double>")
+
+
+def _closest(q, p, k):
+    unit = lambda m: np.divide(m, np.linalg.norm(m, axis=1, keepdims=True), out=np.zeros_like(m), where=np.linalg.norm(m, axis=1, keepdims=True) > 0)
+    sims = np.round(unit(q) @ unit(p).T, 9)
+    return {(i, n + 1): (int(j), sims[i, j]) for i in range(len(q)) for n, j in enumerate(np.lexsort((np.arange(len(p)), -sims[i]))[:k])}
+
+
+def _grouped(rng, n, groups=20, dims=24, noise=0.15):
+    middle = rng.normal(size=(groups, dims))
+    return middle[rng.integers(0, groups, n)] + noise * rng.normal(size=(n, dims))
+
+
+@pytest.mark.parametrize("kind", ["grouped", "plain", "odd"])
+def test_index_search_is_exact(spark, kind):
+    rng = np.random.default_rng(11)
+    if kind == "grouped":
+        both = _grouped(rng, 900)
+        q, p = both[:100], both[100:]
+    elif kind == "plain":
+        q, p = rng.normal(size=(60, 16)), rng.normal(size=(400, 16))
+    else:  # ties by the hundred, zero vectors on both sides, fewer pages than k in most cells
+        p = np.concatenate([np.repeat(rng.normal(size=(3, 4)), 60, axis=0), np.zeros((5, 4)), rng.normal(size=(4, 4))])
+        q = np.concatenate([rng.normal(size=(20, 4)), np.zeros((2, 4)), p[:2]])
+    got = I.similar_pages(_frame(spark, q, "issue_id"), _frame(spark, p, "page_key"), k=6, block=64).collect()
+    found = {(r["issue_id"], r["rank"]): (r["page_key"], round(r["similarity"], 9)) for r in got}
+    want = _closest(q, p, 6)
+    assert {x: v[1] for x, v in found.items()} == pytest.approx({x: v[1] for x, v in want.items()}, abs=2e-9)
+    if kind != "odd":
+        assert {x: v[0] for x, v in found.items()} == {x: v[0] for x, v in want.items()}
+
+
+def test_index_compares_few_vectors(spark):
+    """Vectors in groups: nearly all cells are ruled out by their bound."""
+    both = _grouped(np.random.default_rng(5), 3000)
+    q, index = _frame(spark, both[:200], "issue_id"), VI.build_index(_frame(spark, both[200:], "page_key"))
+    near = VI.search(q, index, 5)
+    reached = near.groupBy("issue_id").agg(F.min("similarity").alias("reached"))
+    seen = [VI.visits(q, index, 5), VI.visits(q, index, 5, reached)]
+    size = dict(zip(index.grid.cells.tolist(), index.grid.sizes.tolist(), strict=True))
+    compared = sum(size[r["cell"]] for v in seen for r in v.select("cell").collect())
+    assert compared < 0.2 * 200 * 2800
+
+
+def test_index_of_nothing(spark):
+    none, some = _frame(spark, [], "page_key"), _frame(spark, [[1.0, 0.0]], "issue_id")
+    assert I.similar_pages(some, none).count() == 0
+    assert I.similar_pages(_frame(spark, [], "issue_id"), _frame(spark, [[1.0, 0.0]], "page_key")).count() == 0
+
+
+def test_vectors_of_unequal_length_are_an_error(spark):
+    with pytest.raises(Exception):
+        I.similar_pages(_frame(spark, [[1.0, 0.0]], "issue_id"), _frame(spark, [[1.0, 0.0], [1.0, 2.0, 3.0]], "page_key")).collect()
