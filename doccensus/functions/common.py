@@ -6,7 +6,7 @@ Whitespace means ASCII whitespace throughout; lengths count code points.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -149,12 +149,15 @@ def number_rows(df: DataFrame, key: str, name: str) -> DataFrame:
     return placed.join(F.broadcast(before), "_part").withColumn(name, local + F.col("_before")).drop("_part", "_before")
 
 
-def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], **values: Column) -> DataFrame:
-    """Adds for each of ``values`` its sum over the rows of the same key up to this one, exact and even under skew.
+def _running(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: dict[str, Column], fold: Callable[[Column], Column],
+    both: Callable[[Column, Column], Column],
+) -> DataFrame:
+    """``fold`` of each value over the rows of the same key up to this one, exact and even under skew.
 
-    Rows are range-partitioned by (keys, order), so a key of any size is spread over as many partitions as it fills. Sums
-    run inside (partition, key); a key that goes on from one partition to the next gets the sums of the partitions
-    before. A boundary between partitions lies in one key at most, so those sums are fewer than twice the partitions.
+    Rows are range-partitioned by (keys, order), so a key of any size is spread over as many partitions as it fills. Folds
+    run inside (partition, key); a key that goes on from one partition to the next gets what the partitions before hold.
+    A boundary between partitions lies in one key at most, so that is less than two rows for each partition.
     Nulls of a key are equal and come first. The rows are written once to the shared folder.
     """
     marked = df.withColumns({f"_v_{n}": v for n, v in values.items()})
@@ -165,13 +168,26 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
     # one row per boundary at most: the broadcasts are bounded by the number of partitions
     marks = F.broadcast(spans.select(*[F.col("_key")[k].alias(f"_k{i}") for i, k in enumerate(keys)]))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    sums = placed.join(marks, same).groupBy("_part", *[f"_k{i}" for i in range(len(keys))]).agg(*[F.sum(f"_v_{n}").alias(f"_s_{n}") for n in values])
+    sums = placed.join(marks, same).groupBy("_part", *[f"_k{i}" for i in range(len(keys))]).agg(*[fold(F.col(f"_v_{n}")).alias(f"_s_{n}") for n in values])
     earlier = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = sums.select(F.col("_part").alias("_p"), *[f"_k{i}" for i in range(len(keys))], *[F.sum(f"_s_{n}").over(earlier).alias(f"_c_{n}") for n in values])
+    carried = sums.select(F.col("_part").alias("_p"), *[f"_k{i}" for i in range(len(keys))], *[fold(F.col(f"_s_{n}")).over(earlier).alias(f"_c_{n}") for n in values])
     upto = Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = placed.withColumns({f"_l_{n}": F.sum(f"_v_{n}").over(upto) for n in values})
+    local = placed.withColumns({f"_l_{n}": fold(F.col(f"_v_{n}")).over(upto) for n in values})
     joined = local.join(F.broadcast(carried), (F.col("_part") == F.col("_p")) & same, "left")
-    return joined.select(*df.columns, *[(F.col(f"_l_{n}") + F.coalesce(F.col(f"_c_{n}"), F.lit(0))).alias(n) for n in values])
+    return joined.select(*df.columns, *[both(F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n in values])
+
+
+def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[Column], **values: Column) -> DataFrame:
+    """Adds the sum of each of ``values`` over the rows of the same key up to this one."""
+    return _running(df, keys, order, values, F.sum, lambda here, before: here + F.coalesce(before, F.lit(0)))
+
+
+def running_max(df: DataFrame, keys: Sequence[str], order: Sequence[Column], **values: Column) -> DataFrame:
+    """Adds the greatest of each of ``values`` over the rows of the same key up to this one; nulls do not count.
+
+    With values that start with the order itself this is the last one before each row, as an as-of join needs it.
+    """
+    return _running(df, keys, order, values, F.max, lambda here, before: F.greatest(here, before))
 
 
 def rank_within(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:

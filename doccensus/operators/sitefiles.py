@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from doccensus import constants as K
 from doccensus.functions import urls as U
-from doccensus.functions.common import c, extract, extract_all, rank_within, salted_join, top_k, trim_ws
+from doccensus.functions.common import c, extract, extract_all, rank_within, salted_join, settled, top_k, trim_ws
 
 _LINK_LINE = r"^-?\s*\[([^\]]+)\]\(([^)]+)\)(?:\s*:?\s*(.*))?$"
 
@@ -203,36 +203,43 @@ def sitemap_urls(files: DataFrame, limit: int | None = None) -> DataFrame:
     ).select("sitemap_url", F.col("pos").cast("long").alias("pos"), "url")
 
 
-def expand_sitemap_index(roots: DataFrame, files: DataFrame, max_depth: int = 3) -> DataFrame:
-    """All page URLs reachable from each root, with the depth they come from.
+def _index_entries(files: DataFrame) -> DataFrame:
+    """file, child: what the index files list. Narrow rows: a body is read once and never part of a shuffle."""
+    return files.filter(F.col("body").contains("<sitemapindex")).select(F.col("url").alias("file"), F.explode(sitemap_locs("body", None)).alias("child"))
 
-    One equi join per level, ``max_depth`` of them; a file is opened once per root.
+
+def reached_files(roots: DataFrame, children: DataFrame, max_depth: int | None) -> DataFrame:
+    """root, file, depth: the files below each root with their least depth, down to ``max_depth`` or to the last one.
+
+    A semi-naive fixpoint: each round follows only the files that the round before met for the first time, writes them once to
+    the shared folder and leaves out what was met already, which also ends cycles.
     """
-    # narrow rows: a body is read once and never part of a shuffle
-    entries = files.select(
-        F.col("url").alias("file"), F.col("body").contains("<urlset").alias("leaf"), F.col("body").contains("<sitemapindex").alias("index"),
-        F.explode(sitemap_locs("body", None)).alias("loc"),
-    )
-    children = entries.filter("index").select("file", F.col("loc").alias("child"))
-    reached = roots.select(F.col("url").alias("root"), F.col("url").alias("file"), F.lit(0).cast("long").alias("depth"))
-    frontier = reached
-    for depth in range(1, max_depth + 1):
-        # a file met again lower down is dropped by the minimum over depths below
-        frontier = frontier.join(children, "file").select("root", F.col("child").alias("file"), F.lit(depth).cast("long").alias("depth")).distinct()
-        reached = reached.unionByName(frontier)
-    first = reached.groupBy("root", "file").agg(F.min("depth").alias("depth"))
-    pages = first.join(entries.filter("leaf").select("file", F.col("loc").alias("url")), "file")
+    frontier = seen = settled(roots.select(F.col("url").alias("root"), F.col("url").alias("file"), F.lit(0).cast("long").alias("depth")).distinct())
+    children, depth = settled(children.distinct()), 0
+    while depth != max_depth:
+        depth += 1
+        met = frontier.join(children, "file").select("root", F.col("child").alias("file")).distinct()
+        frontier = settled(met.join(seen.select("root", "file"), ["root", "file"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def expand_sitemap_index(roots: DataFrame, files: DataFrame, max_depth: int | None = 3) -> DataFrame:
+    """All page URLs reachable from each root, with the depth they come from; a file is opened once per root.
+
+    ``max_depth`` None follows index files as far as they go.
+    """
+    listed = files.filter(F.col("body").contains("<urlset")).select(F.col("url").alias("file"), F.explode(sitemap_locs("body", None)).alias("url"))
+    pages = reached_files(roots, _index_entries(files), max_depth).join(listed, "file")
     return pages.groupBy("root", "url").agg(F.min("depth").alias("depth"))
 
 
 def unopened_sitemaps(roots: DataFrame, files: DataFrame, max_depth: int = 3) -> DataFrame:
-    """(root, file): sitemap files that lie deeper than ``max_depth`` below a root, so that nothing is lost silently."""
-    entries = files.filter(F.col("body").contains("<sitemapindex")).select(F.col("url").alias("file"), F.explode(sitemap_locs("body", None)).alias("child"))
-    seen = frontier = roots.select(F.col("url").alias("root"), F.col("url").alias("file"))
-    for _ in range(max_depth + 1):
-        seen = seen.unionByName(frontier)
-        frontier = frontier.join(entries, "file").select("root", F.col("child").alias("file")).distinct()
-    return frontier.join(seen.distinct(), ["root", "file"], "left_anti")
+    """(root, file): sitemap files that lie just deeper than ``max_depth`` below a root, so that nothing is lost silently."""
+    below = reached_files(roots, _index_entries(files), max_depth + 1)
+    return below.filter(F.col("depth") == max_depth + 1).select("root", "file")
 
 
 def docs_preview(llms: DataFrame, sitemaps: DataFrame) -> DataFrame:

@@ -332,6 +332,18 @@ SELECT x.event_id, CASE x.user_id % 2 WHEN 0 THEN 'with-context' ELSE 'without-c
 FROM (SELECT e.event_id, e.user_id, e.event_id % c.n AS page FROM {events} e CROSS JOIN (SELECT count(*) AS n FROM {pages}) c) x JOIN {audit_pages} p ON p.page_id = x.page
 """
 
+DERIVED["timed_requests"] = """
+SELECT r.event_id, r.contextual_setting, r.url, e.ts FROM {cache_requests} r JOIN {events} e ON e.event_id = r.event_id
+"""
+
+# four versions of every page's entry, eight days apart, that last one, three, five or seven days
+DERIVED["cache_versions"] = """
+SELECT page_id, url, k AS version, CASE (page_id + k) % 3 WHEN 0 THEN 'without-context' ELSE 'with-context' END AS contextual_setting,
+  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST((page_id * 7) % 60 + k * 192 AS INT) AS processed_at,
+  TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST((page_id * 7) % 60 + k * 192 + 24 + 48 * (page_id % 4) AS INT) AS ttl
+FROM {audit_pages} FANOUT[n; k; (0), (1), (2), (3)]
+"""
+
 DERIVED["fixes"] = """
 SELECT doc_id, concat('f', CAST(doc_id AS STRING), '-', CAST(k AS STRING)) AS fix_id, concat('sess', CAST(doc_id % 50 AS STRING)) AS session_id, k AS pos,
   CASE (doc_id + k) % 6 WHEN 0 THEN 'CODE_UPDATE' WHEN 1 THEN 'LINK_FIX' WHEN 2 THEN 'CONTENT_ADDITION' WHEN 3 THEN 'VERSION_UPDATE' WHEN 4 THEN 'FORMATTING_FIX' ELSE 'OTHER' END AS category,

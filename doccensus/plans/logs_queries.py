@@ -132,6 +132,18 @@ ORACLE["s9_split_cached"] = f"""WITH c AS (SELECT DISTINCT {UQ._NORM} AS k FROM
 SELECT event_id, n.k AS cache_url, CASE WHEN contextual_setting = 'with-context' AND n.k IN (SELECT k FROM c) THEN 'hit' ELSE 'miss' END AS cache_status FROM {REQ} r JOIN n ON n.url = r.url"""
 
 
+def _s9_at(spark, sf):
+    v = spark_table(spark, sf, "cache_versions").withColumn("url", U.normalize_url("url"))
+    return ST.split_cached_at(spark_table(spark, sf, "timed_requests"), v).select("event_id", "cache_url", "cache_status")
+
+
+QUERIES["s9_split_cached_at_request"] = _s9_at
+ORACLE["s9_split_cached_at_request"] = f"""WITH r AS (SELECT *, {UQ._NORM} AS k FROM {oracle_table('timed_requests')}),
+v AS (SELECT {UQ._NORM} AS k, contextual_setting, CAST(processed_at AS TIMESTAMP) AS made, max(CAST(ttl AS TIMESTAMP)) AS ttl FROM {oracle_table('cache_versions')} GROUP BY ALL)
+SELECT event_id, r.k AS cache_url, CASE WHEN v.ttl >= r.ts THEN 'hit' ELSE 'miss' END AS cache_status
+FROM r ASOF LEFT JOIN v ON v.k = r.k AND v.contextual_setting = r.contextual_setting AND r.ts >= v.made"""
+
+
 def _s10(spark, sf):
     d = spark_table(spark, sf, "markdown_docs").select("doc_id", "url", F.lit("with-context").alias("contextual_setting"), F.col("md").alias("markdown"), F.lit("mixed").alias("content_type"))
     path = shared_folder(spark, "cache")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from doccensus import constants as K
 from doccensus.functions import urls as U
 from doccensus.functions.common import shared_folder
+from doccensus.operators import probes as P
 from doccensus.plans import logs_queries as LQ
 from doccensus.plans import oracle_frag as D
+from doccensus.plans import sites_queries as SQ
 from doccensus.plans import urls_queries as UQ
 from doccensus.plans.inputs import derived_from, oracle_table, spark_table
 from doccensus.sources import stores as ST
@@ -66,6 +68,15 @@ ORACLE["ss3_probe_ok_stream"] = f"""SELECT event_id, purpose, status_code BETWEE
   FROM (SELECT event_id, {_PURPOSE} AS purpose, {_CTYPE} AS ct, status_code FROM {_LINKS})"""
 
 
+def _ss3_sitemaps(spark, sf):
+    updates = J.drain_updates(J.latest_heads_stream(stream(spark, sf, "events", "link_log")), "latest-heads", ["domain", "url", "since"])
+    return P.classify_sitemap_url(J.latest_heads(updates))
+
+
+QUERIES["ss3_sitemap_state_stream"] = _ss3_sitemaps
+ORACLE["ss3_sitemap_state_stream"] = SQ.ORACLE["p6_classify_sitemap_url"]
+
+
 def _ss4(spark, sf):
     """Page summaries arriving as a stream, merged into the store."""
     pages = derived_from(spark, "audit_pages", pages=stream(spark, sf, "pages"))

@@ -9,8 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doccensus.functions import urls as U
+from doccensus.functions.common import running_max
 
 WEEK = 7
+#: parts of a domain's entries by the hash of the URL; a write touches the parts of its URLs only
+BUCKETS = 16
 
 
 def _week_after(now: Column) -> Column:
@@ -24,7 +27,7 @@ def live_entries(kb: DataFrame, now: Column, domain: str | None = None) -> DataF
 
 
 def read_kb(spark: SparkSession, path: str, domain: str, now: Column) -> DataFrame:
-    return live_entries(spark.read.parquet(path), now, domain)
+    return live_entries(spark.read.parquet(path), now, domain).drop("bucket")
 
 
 def upsert_kb(kb: DataFrame, new_pages: DataFrame, now: Column) -> DataFrame:
@@ -40,8 +43,13 @@ def upsert_kb(kb: DataFrame, new_pages: DataFrame, now: Column) -> DataFrame:
     return both.groupBy("domain", "url").agg(newest).select("domain", "url", *[F.col("r")[x].alias(x) for x in rest])
 
 
+def in_buckets(kb: DataFrame) -> DataFrame:
+    return kb.withColumn("bucket", F.pmod(F.xxhash64("url"), F.lit(BUCKETS)).cast("int"))
+
+
 def write_kb(kb: DataFrame, path: str) -> None:
-    kb.write.mode("overwrite").partitionBy("domain").parquet(path)
+    """The store as folders by domain and, inside, by bucket of the URL."""
+    in_buckets(kb).write.mode("overwrite").partitionBy("domain", "bucket").parquet(path)
 
 
 def split_cached(requests: DataFrame, cache: DataFrame, now: Column) -> DataFrame:
@@ -53,6 +61,25 @@ def split_cached(requests: DataFrame, cache: DataFrame, now: Column) -> DataFram
     ).drop("_hit").withColumnRenamed("_key", "cache_url")
 
 
+def split_cached_at(requests: DataFrame, versions: DataFrame) -> DataFrame:
+    """Mark each request hit or miss at its own time: an as-of join with the versions of the cached entry.
+
+    ``requests`` (url, contextual_setting, ts, ...), ``versions`` (url as normalised, contextual_setting, processed_at, ttl).
+    The version that counts is the last one made at or before the request; it is a hit if it had not ended by then. Both
+    sides run through one ordered pass over (entry, time), which is spread over tasks even for a single hot entry.
+    """
+    entry = ["cache_url", "contextual_setting"]
+    asked = requests.select(U.normalize_url("url").alias("cache_url"), "contextual_setting", F.col("ts").cast("timestamp").alias("_at"), F.lit(1).alias("_turn"), F.struct(*requests.columns).alias("_request"))
+    made = versions.filter("url IS NOT NULL").select(
+        F.col("url").alias("cache_url"), "contextual_setting", F.col("processed_at").cast("timestamp").alias("_at"), F.lit(0).alias("_turn"),
+        F.struct(F.col("processed_at").cast("timestamp").alias("processed_at"), F.col("ttl").cast("timestamp").alias("ttl")).alias("_made"),
+    )
+    both = asked.unionByName(made, allowMissingColumns=True)
+    known = running_max(both, entry, [F.col("_at"), F.col("_turn")], _latest=F.col("_made")).filter(F.col("_request").isNotNull())
+    status = F.when(F.col("_latest.ttl") >= F.col("_at"), "hit").otherwise("miss")
+    return known.select("_request.*", "cache_url", status.alias("cache_status"))
+
+
 def cache_rows(pages: DataFrame, now: Column) -> DataFrame:
     """Cache index rows for processed pages (url, contextual_setting, markdown, content_type)."""
     key = U.cache_key("url", "contextual_setting")

@@ -6,7 +6,6 @@ watermark are dropped; the batch forms have no such rule.
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -24,30 +23,35 @@ DAY_MS = 86_400_000
 
 
 def daily_usage_stream(events: DataFrame) -> DataFrame:
-    """Starts per client and day, a refund never taking the count below 0; final a day after the day ends.
+    """Starts per client and day (UTC), a refund never taking the count below 0; final a day after the day ends.
 
-    Equals ``daily_usage`` whatever the batches: the state of an open day keeps its events, as many as one client
-    makes in a day, and they are counted in the order of time once the watermark has passed.
+    Equals ``daily_usage`` whatever the batches: the state of an open day is the list of its moves, as many as one client
+    makes in a day, which is sorted and folded once the watermark has passed. The list is an aggregate of the JVM; no
+    row goes through Python.
     """
-    dated = events.withColumn("day", F.to_date("ts")).withWatermark("ts", "1 day")
+    move = F.struct("ts", "event_id", "delta")
+    days = events.withWatermark("ts", "1 day").groupBy("ip_hash", F.window("ts", "1 day").alias("span")).agg(F.collect_list(move).alias("moves"))
+    none = F.lit(0).cast("long")
+    used = F.aggregate(F.array_sort("moves"), none, lambda n, m: F.greatest(none, n + m["delta"]))
+    return days.select("ip_hash", F.to_date("span.start").alias("day"), used.alias("used"))
 
-    def count(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        if state.hasTimedOut:
-            used = 0
-            for _, _, delta in sorted(struct.unpack("<qqq", held[i]) for i in range(len(held))):
-                used = max(0, used + delta)
-            state.remove()
-            yield pd.DataFrame({"ip_hash": [key[0]], "day": [key[1]], "used": [used]})
-            return
-        for f in frames:
-            held += [struct.pack("<qqq", t.value, e, d) for t, e, d in zip(f["ts"], f["event_id"], f["delta"], strict=True)]
-        state.update((held,))
-        state.setTimeoutTimestamp(int(pd.Timestamp(key[1]).value // 1_000_000) + DAY_MS)
 
-    return dated.groupBy("ip_hash", "day").applyInPandasWithState(
-        count, "ip_hash string, day date, used long", "events array<binary>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+def latest_heads_stream(log: DataFrame) -> DataFrame:
+    """Last HEAD answer of every URL and day by event time, for update mode.
+
+    A row that comes late changes its own day only. A day's state ends a day after it, so what is held is bounded by the URLs
+    asked in two days, however many there ever were. ``latest_heads`` reads the newest answer of each URL.
+    """
+    at = F.struct("ts", "event_id")
+    days = log.filter(F.col("method") == "HEAD").withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day").alias("span"), "domain", "url")
+    last = days.agg(F.max_by(F.struct("status_code", "failure"), at).alias("answer"), F.max(at).alias("at"))
+    return last.select("domain", "url", F.col("span.start").alias("since"), "answer", "at")
+
+
+def latest_heads(updates: DataFrame) -> DataFrame:
+    """The rows of ``latest_heads_stream``, in any order and repeated or not, as a log with one HEAD row for each URL."""
+    newest = updates.groupBy("domain", "url").agg(F.max_by("answer", "at").alias("answer"), F.max("at").alias("at"))
+    return newest.select("domain", "url", F.lit("HEAD").alias("method"), "answer.status_code", "answer.failure", "at.ts", "at.event_id")
 
 
 def first_requests_stream(requests: DataFrame, days: int = 7) -> DataFrame:
@@ -92,28 +96,30 @@ def probe_ok_stream(log: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def read_current_kb(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("bucket")
 
 
 def upsert_kb_sink(path: str, now: Column) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` target that merges page summaries into the store at ``path``, partitioned by domain.
+    """``foreachBatch`` target that merges page summaries into the store at ``path``, laid out as by ``write_kb``.
 
-    Only the domains of the batch are read, merged and overwritten, after the merged rows have been written to the
-    shared folder; a repeated batch ends in the same state.
+    Only the (domain, bucket) folders of the batch's URLs are read, merged and overwritten, after the merged rows have been
+    written to the shared folder; so a write into a domain that holds a third of the store touches as many buckets as
+    it has URLs. A repeated batch ends in the same state.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.withColumn("domain", U.kb_domain("url"))
+        fresh = stores.in_buckets(batch.withColumn("domain", U.kb_domain("url")))
         try:
             old = spark.read.parquet(path)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             old = fresh.limit(0).withColumn("expires_at", now)
-        old = old.join(fresh.select("domain").distinct(), "domain", "left_semi").select(*fresh.columns, "expires_at")
-        merged = settled(stores.upsert_kb(old, fresh.drop("domain"), now))
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("domain").parquet(path)
+        touched = fresh.select("domain", "bucket").distinct()
+        old = old.join(touched, ["domain", "bucket"], "left_semi").select(*fresh.columns, "expires_at").drop("bucket")
+        merged = settled(stores.upsert_kb(old, fresh.drop("domain", "bucket"), now))
+        stores.in_buckets(merged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("domain", "bucket").parquet(path)
 
     return merge
 

@@ -395,6 +395,20 @@ def test_sitemap_depth(spark):
     assert [tuple(r) for r in late.collect()] == [(s + "0", s + "4")]
 
 
+def test_sitemap_fixpoint(spark):
+    """A chain of twelve index files, a cycle back to its start, and a second root inside the chain."""
+    name = lambda i: f"https://s.com/{i}"
+    index = lambda *u: "<sitemapindex>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in u) + "</sitemapindex>"
+    files = [(name(i), index(name(i + 1), name(0), name(f"l{i}"))) for i in range(12)]
+    files += [(name(f"l{i}"), f"<urlset><url><loc>{name(f'page{i % 7}')}</loc></url></urlset>") for i in range(12)] + [(name(12), index(name(3)))]
+    roots, files = spark.createDataFrame([(name(0),), (name(9),), (name(9),)], "url string"), spark.createDataFrame(files, "url string, body string")
+    got = {(r.root, r.url): r.depth for r in S.expand_sitemap_index(roots, files, None).collect()}
+    want = {(name(0), name(f"page{i}")): i + 1 for i in range(7)}
+    # from 9 on: 9, 10, 11, then back to 0 (one step) and to 3 (four steps)
+    want |= {(name(9), name(f"page{p}")): d for p, d in {2: 1, 3: 2, 4: 3, 0: 2, 1: 3, 5: 7, 6: 8}.items()}
+    assert got == want
+
+
 def test_no_cut_of_sitemaps_and_lists(spark):
     body = "<urlset>" + "".join(f"<url><loc>https://s.com/{i}</loc></url>" for i in range(700)) + "</urlset>"
     files = spark.createDataFrame([("https://s.com/m", body)], "url string, body string")
@@ -444,6 +458,53 @@ def test_store_upsert_keeps_other_domains(spark, tmp_path):
     assert rows == {("https://a.com/1", "new"), ("https://a.com/2", "two"), ("https://b.com/1", "b")}
 
 
+def test_store_upsert_rewrites_touched_buckets_only(spark, tmp_path):
+    """One page written into a domain of 400 pages leaves the files of all other buckets as they were."""
+    from doccensus.streaming import jobs as J
+
+    path, now = tmp_path / "kb", F.lit(datetime(2024, 2, 1))
+    batch = lambda rows: spark.createDataFrame([(u, t, datetime(2024, 1, d)) for u, t, d in rows], "url string, title string, crawled_at timestamp")
+    files = lambda: {str(f.relative_to(path)): f.stat().st_mtime_ns for f in path.rglob("*.parquet")}
+    merge = J.upsert_kb_sink(str(path), now)
+    merge(batch([(f"https://a.com/{i}", "old", 1) for i in range(400)] + [("https://b.com/1", "b", 1)]), 0)
+    before = files()
+    merge(batch([("https://a.com/7", "new", 2)]), 1)
+    after = files()
+    gone = {f.rsplit("/", 1)[0] for f in before if f not in after}
+    assert len(gone) == 1 and len({f.split("/")[1] for f in before}) == ST.BUCKETS
+    assert all(after[f] == before[f] for f in before if f in after)
+    rows = J.read_current_kb(spark, str(path))
+    assert rows.count() == 401 and rows.filter("title = 'new'").count() == 1
+    assert ST.read_kb(spark, str(path), "a-com", F.lit(datetime(2024, 1, 9))).count() == 400
+
+
+def test_cache_is_judged_at_the_request(spark):
+    at = lambda d, h=0: datetime(2024, 1, d, h)
+    made = [("https://x.com/a", "w", at(2), at(4)), ("https://x.com/a", "w", at(6), at(20)), ("https://x.com/a", "w", at(8), at(9)), (None, "w", at(1), at(30))]
+    asked = [(1, at(1)), (2, at(2)), (3, at(4)), (4, at(4, 1)), (5, at(7)), (6, at(8)), (7, at(10))]
+    rows = [(i, "HTTPS://X.com/a/#top", "w", t) for i, t in asked] + [(8, "https://x.com/a", "v", at(3)), (9, None, "w", at(3))]
+    got = ST.split_cached_at(
+        spark.createDataFrame(rows, "event_id long, url string, contextual_setting string, ts timestamp"),
+        spark.createDataFrame(made, "url string, contextual_setting string, processed_at timestamp, ttl timestamp"),
+    )
+    assert {r.event_id for r in got.filter("cache_status = 'hit'").collect()} == {2, 3, 5, 6} and got.count() == 9
+
+
+def test_sitemap_state_stream(spark, tmp_path):
+    """Late rows change their own day; the newest by event time counts, whatever the batches."""
+    from datetime import timedelta
+
+    from doccensus.streaming import jobs as J
+
+    start, rng = datetime(2024, 1, 1), random.Random(2)
+    rows = [(k, start + timedelta(hours=3 * k + rng.randrange(-10, 10)), "d", f"u{k % 5}", rng.choice(["HEAD", "HEAD", "GET"]), rng.choice([200, 404, 403, 500, 0]), None) for k in range(60)]
+    schema = "event_id long, ts timestamp, domain string, url string, method string, status_code int, failure string"
+    want = sorted(map(tuple, P.classify_sitemap_url(spark.createDataFrame(rows, schema)).collect()))
+    for n in (1, 12):
+        updates = J.drain_updates(J.latest_heads_stream(in_batches(spark, tmp_path, rows, schema, n)), "heads", ["domain", "url", "since"])
+        assert sorted(map(tuple, P.classify_sitemap_url(J.latest_heads(updates)).collect())) == want
+
+
 def test_platform_fingerprints(spark):
     names = lambda page: [x for x in value(spark, H.doc_signals("h", F.lit("https://x.com/a"))["name"], h=page) if x.startswith(("doc ", "API "))]
     assert names("<div class='docusaurus'>") == ["doc framework detected"]
