@@ -142,7 +142,7 @@ def contained_words(words: DataFrame, texts: DataFrame, site: str, word: str, te
     """
     posted = settled(texts.select(site, text).distinct()).withColumn("_g", F.explode(_grams(F.col(text), gram)))
     spread = settled(posted.groupBy(site, "_g").agg(F.count("*").alias("_df")))
-    starts = words.select(site, word).distinct().withColumn("_g", F.substring(word, 1, gram)).join(spread.select(site, "_g"), [site, "_g"], "left_semi").drop("_g")
+    starts = words.select(site, word).withColumn("_g", F.substring(word, 1, gram)).join(spread.select(site, "_g"), [site, "_g"], "left_semi").drop("_g").distinct()
     parts = starts.withColumn("_all", _grams(F.col(word), gram)).withColumn("_n", F.size("_all")).withColumn("_g", F.explode("_all")).drop("_all")
     rarest = parts.join(spread, [site, "_g"]).groupBy(site, word).agg(
         F.min_by("_g", F.struct("_df", "_g")).alias("_g"), F.count("*").alias("_found"), F.max("_n").alias("_n")
@@ -151,14 +151,14 @@ def contained_words(words: DataFrame, texts: DataFrame, site: str, word: str, te
 
 
 def _matched_classes(hits: DataFrame, low: DataFrame, k: int) -> DataFrame:
-    """URLs of a site that hold the same words and bonus, as one row with the first ``k`` of them."""
-    held = hits.groupBy("site", "lu").agg(F.array_sort(F.collect_set("kw")).alias("held"))
+    """class_id, site, held, bonus, first_urls: URLs of a site that hold the same words and bonus, with the first ``k`` of them."""
+    held = hits.groupBy("site", "lu").agg(F.array_sort(F.collect_set("word")).alias("held"))
     bonus = F.when(F.col("lu").contains("/docs/"), 0.5).otherwise(0.0)
-    placed = low.join(held, ["site", "lu"], "left").withColumn("held", F.coalesce("held", F.array().cast("array<string>"))).withColumn("bonus", bonus)
+    placed = low.join(held, ["site", "lu"], "left").withColumn("held", F.coalesce("held", F.array().cast("array<bigint>"))).withColumn("bonus", bonus)
     firsts = top_k(placed, ["site", "held", "bonus"], [F.col("url")], k, ["url"], rank="_r").groupBy("site", "held", "bonus").agg(
         F.array_sort(F.collect_list("url")).alias("first_urls")
     )
-    return firsts.withColumn("class_id", F.sha2(F.concat_ws("\u0001", "site", F.col("bonus").cast("string"), F.array_join("held", "\u0001")), 256))
+    return firsts.withColumn("class_id", F.monotonically_increasing_id())
 
 
 def _score_at(scored: DataFrame, k: int) -> DataFrame:
@@ -186,49 +186,47 @@ def keyword_page_match(issues: DataFrame, urls: DataFrame, k: int = 5) -> DataFr
 
     URLs without a keyword count by their bonus alone; the first ``k`` of a site are candidates of all its sets.
     """
-    low = urls.select("site", "url", F.lower("url").alias("lu")).distinct()
-    words = issues.select("issue_id", "site", F.explode("keywords").alias("kw"))
-    hits = contained_words(words, low.select("site", "lu"), "site", "kw", "lu")
-    classes = settled(_matched_classes(hits, low, k))
-    postings = classes.select("site", "class_id", F.explode("held").alias("kw"), F.size("first_urls").cast("long").alias("urls"))
-    spread = postings.groupBy("site", "kw").agg(F.sum("urls").alias("df"))
-
-    matched = words.join(spread, ["site", "kw"]).groupBy("issue_id", "site").agg(F.array_sort(F.collect_set(F.struct("df", "kw"))).alias("ranked"))
-    none = F.array().cast("array<struct<df:bigint,kw:string>>")
-    asked = issues.select("issue_id", "site").join(matched, ["issue_id", "site"], "left").withColumn("ranked", F.coalesce("ranked", none))
-    asked = settled(asked.withColumn("set_id", F.sha2(F.concat_ws("\u0001", "site", F.array_join(F.col("ranked.kw"), "\u0001")), 256)))
-    sets = asked.select("set_id", "site", "ranked").dropDuplicates(["set_id"])
+    low = settled(urls.select("site", "url", F.lower("url").alias("lu")).distinct())
+    # keywords are made of whole texts, so they are worked out once; numbers given here stay as written
+    asking = settled(issues.select("issue_id", "site", "keywords"))
+    words = asking.select("issue_id", "site", F.explode("keywords").alias("kw"))
+    hits = settled(contained_words(words, low, "site", "kw", "lu"))
+    known = settled(hits.groupBy("site", "kw").agg(F.count("*").alias("df")).withColumn("word", F.monotonically_increasing_id()))
+    classes = settled(_matched_classes(hits.join(known, ["site", "kw"]).select("site", "lu", "word"), low, k))
+
+    matched = words.join(known, ["site", "kw"]).groupBy("issue_id", "site").agg(F.array_sort(F.collect_set(F.struct("df", "word"))).alias("ranked"))
+    none = F.array().cast("array<struct<df:bigint,word:bigint>>")
+    asked = settled(asking.select("issue_id", "site").join(matched, ["issue_id", "site"], "left").withColumn("ranked", F.coalesce("ranked", none)))
+    sets = settled(asked.select("site", "ranked").distinct().withColumn("set_id", F.monotonically_increasing_id()))
 
     named = F.aggregate(
         "ranked", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("len")),
         lambda a, x: F.when(a["n"] >= k, a).otherwise(F.struct((a["n"] + x["df"]).alias("n"), (a["len"] + 1).alias("len"))),
     )["len"]
-
-    def candidates(of: DataFrame, begin: Column, length: Column) -> DataFrame:
-        picked = of.withColumn("kw", F.explode(F.slice("ranked", begin, F.greatest(length, F.lit(0)))["kw"]))
-        return picked.join(postings.select("site", "kw", "class_id"), ["site", "kw"]).select("set_id", "class_id").distinct()
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        facts = classes.select("class_id", "held", "bonus", F.size("first_urls").cast("long").alias("urls"))
-        full = pairs.join(sets.select("set_id", F.col("ranked.kw").alias("asks")), "set_id").join(facts, "class_id")
-        return full.select("set_id", "class_id", (F.size(F.array_intersect("asks", "held")) + F.col("bonus")).alias("score"), "urls").filter("score > 0")
+    postings = classes.select("class_id", F.explode("held").alias("word"))
 
     under_docs = classes.filter("bonus > 0").select("site", "class_id", F.explode("first_urls").alias("url"))
     always = top_k(under_docs, ["site"], [F.col("url")], k, ["url"], rank="_r").select("site", "class_id").distinct()
-    first = candidates(sets, F.lit(1), named).unionByName(salted_join(sets, always, ["site"], ["set_id"]).select("set_id", "class_id")).distinct()
-    opening = settled(scored(first))
-    walked = sets.withColumn("_named", named).join(_score_at(opening, k), "set_id", "left").withColumn(
-        # a URL of score s holds s - 0.5 words or more, so it holds one of the first (words - that + 1)
-        "_upto", F.size("ranked") - F.greatest(F.ceil(F.coalesce("reached", F.lit(1.0)) - 0.5), F.lit(1)).cast("int") + 1
-    )
-    second = candidates(walked, F.col("_named") + 1, F.col("_upto") - F.col("_named")).join(first, ["set_id", "class_id"], "left_anti")
-    every = settled(opening.unionByName(scored(second)))
-    last = every.join(_score_at(every, k), "set_id", "left").filter(F.col("score") >= F.coalesce("reached", F.lit(0.0)))
+    always = settled(salted_join(sets.select("site", "set_id"), always, ["site"], ["set_id"]).select("set_id", "class_id"))
+    facts = classes.select("class_id", "held", "bonus", F.size("first_urls").cast("long").alias("urls"))
+
+    def scored(of: DataFrame, upto: Column) -> DataFrame:
+        """Full scores of the classes that hold one of a set's first ``upto`` words; dealt by set once for all that follows."""
+        picked = of.select("set_id", F.explode(F.slice("ranked", F.lit(1), F.greatest(upto, F.lit(0)))["word"]).alias("word"))
+        pairs = picked.join(postings, "word").select("set_id", "class_id").unionByName(always).repartition("set_id").distinct()
+        full = pairs.join(sets.select("set_id", F.col("ranked.word").alias("asks")), "set_id").join(facts, "class_id")
+        return full.select("set_id", "class_id", (F.size(F.array_intersect("asks", "held")) + F.col("bonus")).alias("score"), "urls").filter("score > 0")
+
+    reached = settled(_score_at(scored(sets, named), k))
+    # a URL of score s holds s - 0.5 words or more, so it holds one of the first (words - that + 1)
+    needed = F.greatest(F.ceil(F.coalesce("reached", F.lit(1.0)) - 0.5), F.lit(1)).cast("int")
+    at_least = lambda df, least: df.join(least, "set_id", "left").filter(F.col("score") >= F.coalesce("reached", F.lit(0.0))).drop("reached")
+    every = settled(at_least(scored(sets.join(reached, "set_id", "left"), F.size("ranked") - needed + 1), reached))
     best = top_k(
-        last.join(classes.select("class_id", "first_urls"), "class_id").select("set_id", "score", F.explode("first_urls").alias("url")),
+        at_least(every, _score_at(every, k)).join(classes.select("class_id", "first_urls"), "class_id").select("set_id", "score", F.explode("first_urls").alias("url")),
         ["set_id"], [F.col("score").desc(), F.col("url")], k, ["url"],
     )
-    return asked.select("issue_id", "set_id").join(best, "set_id").select("issue_id", "url", "score", "rank")
+    return asked.join(sets, ["site", "ranked"]).select("issue_id", "set_id").join(best, "set_id").select("issue_id", "url", "score", "rank")
 
 
 def keyword_entry_match(issues: DataFrame, entries: DataFrame, k: int = 15, body_chars: int | None = None) -> DataFrame:
@@ -314,16 +312,21 @@ def page_evidence(pairs: DataFrame, issues: DataFrame, pages: DataFrame) -> Data
     """
     low = F.lower("html")
     has = lambda *words: contains_any(low, words)
-    # what only depends on the page is found once per page, before pairs meet it
+    # what only depends on the page is found once per page, before pairs meet it; a word of letters and digits lies inside
+    # a run of them, so it is looked up in the distinct runs, a fraction of the page
+    runs = F.array_distinct(F.filter(extract_all(low, "[a-z0-9]+", 0), lambda r: F.length(r) >= 3))
     facts = pages.select(
-        "page_id", low.alias("low"), F.regexp_count("html", F.lit("(?i)<code|<pre|```")).cast("long").alias("code_examples"),
+        "page_id", low.alias("low"), F.array_join(runs, " ").alias("runs"),
+        F.regexp_count("html", F.lit("(?i)<code|<pre|```")).cast("long").alias("code_examples"),
         contains_any(low, K.PRODUCTION_WORDS).alias("production_guidance"), has("error", "troubleshoot").alias("has_errors"),
         has("spam", "deliverability").alias("has_spam"), has("dns", "spf", "dkim").alias("has_dns"), has("vercel", "netlify").alias("has_platform"),
         has("environment variable", "env").alias("has_env"), F.lit(True).alias("loaded"),
     )
-    j = pairs.join(issues.select("issue_id", "title", "category", "keywords"), "issue_id").join(facts, "page_id", "left").withColumn(
-        "loaded", F.coalesce("loaded", F.lit(False))
+    simple = lambda w: w.rlike("^[a-z0-9]{3,}$")
+    asked = issues.select(
+        "issue_id", "title", "category", F.filter("keywords", simple).alias("plain"), F.filter("keywords", lambda w: ~simple(w)).alias("other")
     )
+    j = pairs.join(asked, "issue_id").join(facts, "page_id", "left").withColumn("loaded", F.coalesce("loaded", F.lit(False)))
     deploy, mail = F.col("category") == "deployment", F.col("category") == "email-delivery"
     gaps = [
         (F.col("code_examples") == 0, "code-examples"),
@@ -334,9 +337,11 @@ def page_evidence(pairs: DataFrame, issues: DataFrame, pages: DataFrame) -> Data
         (deploy & ~F.col("has_platform") & F.lower("title").contains("vercel"), "platform-deployment"),
         (deploy & ~F.col("has_env"), "environment-setup"),
     ]
-    found = F.size(F.filter("keywords", lambda w: F.col("low").contains(w)))
+    # a page that holds two of the first words is not searched for the others
+    held = lambda words, text: F.size(F.filter(words, lambda w: F.col(text).contains(w)))
+    found = (held(F.slice("plain", 1, 8), "runs") >= 2) | (held(F.col("plain"), "runs") + held(F.col("other"), "low") >= 2)
     return j.select(
-        "issue_id", "page_id", "similarity", "loaded", (F.col("loaded") & (found >= 2)).alias("relevant"), "code_examples", "production_guidance",
+        "issue_id", "page_id", "similarity", "loaded", (F.col("loaded") & found).alias("relevant"), "code_examples", "production_guidance",
         F.filter(F.array(*[F.when(cond, text) for cond, text in gaps]), lambda g: g.isNotNull()).alias("gaps"),
     )
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from doccensus import constants as K
 from doccensus.functions import html as H
 from doccensus.functions import urls as U
+from doccensus.functions.common import settled
 from doccensus.operators import citations as C
 from doccensus.operators import issues as I
 from doccensus.operators import sitefiles as S
@@ -195,15 +196,15 @@ _SIM = "CASE WHEN issue_id % 5 = 0 THEN NULL ELSE CAST((issue_id * 7 + page_id *
 _KEEP = "issue_id % 9 <> 2"
 
 
-def _pairs(spark, sf):
-    urls = _site_urls(spark, sf)
-    m = I.keyword_page_match(keyed(spark, sf), urls.select("site", "url")).filter(_KEEP)
-    return m.join(urls.select("url", "page_id"), "url").withColumn("similarity", F.expr(_SIM)).select("issue_id", "page_id", "similarity")
+def _pairs(issues, urls):
+    m = I.keyword_page_match(issues, urls.select("site", "url")).filter(_KEEP)
+    return settled(m.join(urls.select("url", "page_id"), "url").withColumn("similarity", F.expr(_SIM)).select("issue_id", "page_id", "similarity"))
 
 
-def _evidence(spark, sf):
+def _evidence(spark, sf, issues=None):
+    issues = settled(keyed(spark, sf)) if issues is None else issues
     pages = spark_table(spark, sf, "audit_pages").filter("page_id % 13 <> 5").select("page_id", "html")
-    return I.page_evidence(_pairs(spark, sf), keyed(spark, sf), pages)
+    return I.page_evidence(_pairs(issues, settled(_site_urls(spark, sf))), issues, pages)
 
 
 PAIRS = f"(SELECT issue_id, page_id, {_SIM} AS similarity FROM {MATCH} m JOIN {AP} p ON p.url = m.url WHERE {_KEEP})"
@@ -226,7 +227,8 @@ ORACLE["i9_page_evidence"] = f"SELECT * REPLACE (array_to_string(gaps, '|') AS g
 
 
 def _status(spark, sf):
-    return I.issue_status(keyed(spark, sf), _evidence(spark, sf))
+    issues = settled(keyed(spark, sf))
+    return I.issue_status(issues, _evidence(spark, sf, issues))
 
 
 QUERIES["i10_issue_status"] = _status
