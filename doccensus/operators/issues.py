@@ -245,39 +245,45 @@ def keyword_entry_match(issues: DataFrame, entries: DataFrame, k: int = 15, body
     return top_k(texts.join(counts, ["site", "text"]), ["site"], order, k, ["url", "text"]).drop("text")
 
 
-def relevant_docs(issues: DataFrame, docs: DataFrame, at_least: int = 4) -> DataFrame:
+def relevant_docs(issues: DataFrame, docs: DataFrame, at_least: int = 4, chunk: int = 4096) -> DataFrame:
     """Documents of the same repository that contain more than three issue words.
 
-    Words are whitespace tokens longer than four characters, counted with
-    repeats. A token inside a document lies inside one of its tokens, so the
-    substring test runs between the two vocabularies. An issue's three most
-    widespread word occurrences cannot reach the threshold alone; candidates
-    therefore come from its other words only, and each is then counted in full.
+    Words are whitespace tokens longer than four characters, counted with repeats. A token inside a document lies inside one
+    of its tokens, so the substring test runs between the two vocabularies, on grams of five characters. What follows
+    is an overlap join on word numbers, with two bounds before any pair is made: an issue whose found words cannot
+    add up to the threshold is left out, and the most widespread occurrences of an issue, fewer than the threshold, make no
+    pairs, as they cannot reach it alone; they are looked up for pairs that can still reach it. The documents of a word that has
+    more than ``chunk`` of them are split into chunks, so neither a common word nor a large repository meets one task.
     """
     low = F.lower(F.concat("title", F.lit(" "), F.coalesce("body", F.lit(""))))
-    issue_words = issues.select("number", "repo", F.filter(F.split(low, r"\s+"), lambda w: F.length(w) > 4).alias("words"))
-    words = issue_words.select("number", "repo", F.posexplode("words").alias("pos", "word"))
-    tokens = docs.select("repo", "doc_id", F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("token")).filter(
-        F.length("token") > 4
+    issue_words = settled(issues.select("number", "repo", F.filter(F.split(low, r"\s+"), lambda w: F.length(w) > 4).alias("words")))
+    words = issue_words.select("number", "repo", F.explode("words").alias("word")).groupBy("number", "repo", "word").agg(F.count("*").alias("m"))
+    tokens = settled(
+        docs.select("repo", "doc_id", F.explode(F.array_distinct(F.split(F.lower("content"), r"\s+"))).alias("token")).filter(F.length("token") > 4)
     )
-    known = contained_words(words, tokens, "repo", "word", "token")
+    known = contained_words(words, tokens, "repo", "word", "token", gram=5)
     in_docs = settled(tokens.join(known, ["repo", "token"]).select("repo", "doc_id", "word").distinct())
-    spread = in_docs.groupBy("repo", "word").agg(F.count("*").alias("df"))
-    useful = words.join(spread, ["repo", "word"]).groupBy("number", "repo").agg(
-        F.array_sort(F.collect_list(F.struct("df", "word", "pos"))).alias("ranked")
-    ).filter(F.size("ranked") >= at_least)
-    keep = F.size("ranked") - (at_least - 1)
-
-    def occurrences(part: Column) -> DataFrame:
-        return useful.select("number", "repo", F.explode(part["word"]).alias("word")).groupBy("number", "repo", "word").agg(F.count("*").alias("m"))
-
-    first = occurrences(F.slice("ranked", F.lit(1), keep)).join(in_docs, ["repo", "word"])
-    candidates = first.groupBy("number", "repo", "doc_id").agg(F.sum("m").alias("matches"))
-    tails = occurrences(F.slice("ranked", keep + 1, F.lit(at_least - 1)))
-    extra = candidates.select("number", "repo", "doc_id").join(tails, ["number", "repo"]).join(in_docs, ["repo", "word", "doc_id"]).select(
-        "number", "repo", "doc_id", F.col("m").alias("matches")
-    )
-    counted = candidates.unionByName(extra).groupBy("number", "doc_id").agg(F.sum("matches").alias("matches"))
+    # numbers given here stay as written
+    spread = settled(in_docs.groupBy("repo", "word").agg(F.count("*").alias("df")).withColumn("w", F.monotonically_increasing_id()))
+    chunks = F.ceil(F.col("df") / chunk).cast("int")
+    postings = in_docs.join(spread, ["repo", "word"]).select("w", F.pmod(F.xxhash64("doc_id"), chunks).cast("int").alias("part"), "doc_id")
+
+    ranked = F.array_sort(F.collect_list(F.struct("df", "w", "m")))
+    useful = words.join(spread, ["repo", "word"]).groupBy("number").agg(ranked.alias("ranked"), F.sum("m").alias("all")).filter(F.col("all") >= at_least)
+    # occurrences of the words from each place on; fewer than the threshold only near the end
+    near_end = lambda i: i > F.size("ranked") - at_least
+    behind = lambda i: F.aggregate(F.slice("ranked", i + 1, F.size("ranked")), F.lit(0).cast("long"), lambda a, x: a + x["m"])
+    spared = F.filter("ranked", lambda x, i: F.when(near_end(i), behind(i) < at_least).otherwise(False))
+    asked = settled(useful.select("number", "ranked", F.size(spared).alias("n_spared"), F.aggregate(spared, F.lit(0).cast("long"), lambda a, x: a + x["m"]).alias("rest")))
+    pairing = F.explode(F.slice("ranked", 1, F.size("ranked") - F.col("n_spared"))).alias("x")
+    rare = asked.select("number", pairing).select("number", "x.w", "x.m", F.explode(F.sequence(F.lit(0), F.ceil(F.col("x.df") / chunk).cast("int") - 1)).alias("part"))
+    first = rare.join(postings, ["w", "part"]).groupBy("number", "doc_id").agg(F.sum("m").alias("matches"))
+
+    common = F.slice("ranked", F.size("ranked") - F.col("n_spared") + 1, F.col("n_spared")).alias("common")
+    hopeful = settled(first.join(asked.select("number", "rest", common), "number").filter(F.col("matches") + F.col("rest") >= at_least))
+    looked = hopeful.select("number", "doc_id", F.explode("common").alias("x")).select("number", "doc_id", "x.w", "x.m")
+    extra = looked.join(postings.select("w", "doc_id"), ["w", "doc_id"]).select("number", "doc_id", F.col("m").alias("matches"))
+    counted = hopeful.select("number", "doc_id", "matches").unionByName(extra).groupBy("number", "doc_id").agg(F.sum("matches").alias("matches"))
     return counted.filter(F.col("matches") >= at_least)
 
 

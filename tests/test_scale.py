@@ -107,3 +107,29 @@ def test_index_of_nothing(spark):
 def test_vectors_of_unequal_length_are_an_error(spark):
     with pytest.raises(Exception):
         I.similar_pages(_frame(spark, [[1.0, 0.0]], "issue_id"), _frame(spark, [[1.0, 0.0], [1.0, 2.0, 3.0]], "page_key")).collect()
+
+
+# ── overlap join ────────────────────────────────────────────────────────
+
+
+@pytest.mark.parametrize("chunk", [4096, 3])
+def test_relevant_docs_brute_force(spark, chunk):
+    """Words that nearly all documents hold, repeats, issues below the threshold, words inside longer tokens, two repositories."""
+    import random
+
+    rng = random.Random(6)
+    vocab = [f"word{i}" for i in range(40)] + ["commonest", "commoner"]
+    text = lambda n: " ".join(rng.choice(vocab) + rng.choice(["", "", ".", "x"]) for _ in range(n))
+    issues = [(i, f"r{i % 2}", text(rng.randrange(0, 9)), rng.choice([None, "commonest commoner commonest", text(3)])) for i in range(50)]
+    docs = [(i, f"r{i % 2}", rng.choice(["", "commonest "]) + text(rng.randrange(0, 25))) for i in range(60)] + [(99, "r0", None)]
+    got = I.relevant_docs(
+        spark.createDataFrame(issues, "number long, repo string, title string, body string"), spark.createDataFrame(docs, "doc_id long, repo string, content string"), chunk=chunk
+    )
+    want = set()
+    for n, repo, title, body in issues:
+        words = [w for w in f"{title} {body or ''}".lower().split() if len(w) > 4]
+        for d, other, content in docs:
+            hits = sum(w in (content or "").lower() for w in words)
+            if repo == other and hits > 3:
+                want.add((n, d, hits))
+    assert {tuple(r) for r in got.collect()} == want and want
