@@ -25,8 +25,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def suffix_array_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without bytes that strings of 400 bytes with another place of their own cover."""
-    return repeats.cut_repeats(docs)
+    """All documents, without bytes that strings of 200 bytes with another place of their own cover.
+
+    A passage of over 50 words has 200 bytes or more as long as its words have three letters on average.
+    """
+    return repeats.cut_repeats(docs, repeats.PASSAGE, repeats.PASSAGE_SLACK, repeats.PASSAGE_BLOCK)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

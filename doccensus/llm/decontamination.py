@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doccensus.llm.shared import written
+from doccensus.llm.shared import may_be_in, written
 from doccensus.llm.words import WordNumbers, shingles
 
 MIN_MATCH, START, COVERAGE, BITS = 5, 20, 0.5, 23
@@ -204,5 +204,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; rows are told by doc_id and text."""
-    leaks = contaminated(docs, benchmark, coverage).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(leaks, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    leaks = written(contaminated(docs, benchmark, coverage).select("doc_id", "text_hash").distinct(), "leaks")
+    row = F.struct(*[docs[f"`{x}`"] for x in docs.columns]).alias("row")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), row)
+    # rows that the filter lets pass are not shuffled
+    doubtful = may_be_in(leaks, "text_hash")(F.col("text_hash"))
+    mark = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))
+    left = rows.filter(~doubtful).select("row").unionByName(rows.filter(doubtful).alias("a").join(leaks.alias("b"), mark, "left_anti").select("row"))
+    return left.select(*[F.col("row")[x].alias(x) for x in docs.columns])

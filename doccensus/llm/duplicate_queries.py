@@ -27,7 +27,7 @@ def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = repeats.without_repeats(documents(spark, sf_dir, "doc_id", "text"))
-    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return made.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"))
 
 
 QUERIES |= {"op1_near_duplicates": op1_near_duplicates, "op2_decontamination": op2_decontamination, "op9_passages": op9_passages, "op10_repeats": op10_repeats}

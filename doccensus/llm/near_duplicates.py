@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doccensus.llm.graph import colliding, components, links
-from doccensus.llm.shared import written
+from doccensus.llm.shared import may_be_in, release, written
 from doccensus.llm.words import WordNumbers, mix, shingles
 
 K, SIMILARITY = 5, 0.8
@@ -247,6 +247,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     # the words of all texts that meet another anywhere; all others are read no more
     held = shared.select(F.col("node").alias("doc_id")).distinct().join(head, "doc_id")
     words = written(made.select("doc_id", "print", "words").join(held, ["doc_id", "print"], "left_semi").select("doc_id", "words"), "words")
+    release(made)
     final = components(links(shared, lambda pairs: _verified(pairs, words, similarity), similarity, splits=_splits(words, similarity)))
     heads_root = member.join(final, member["head"] == final["node"], "left").select("doc_id", F.coalesce("root", "head").alias("class_id"))
     return ids.join(heads_root, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -258,16 +259,16 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Rows, not ids, are compared: repeated rows leave one, and so do equal texts without ids or two texts under one id
     that have other near duplicates. Of texts without words one row for each (doc_id, text) stays.
     """
-    at = "_at"
-    while at in docs.columns:
-        at += "_"
-    # the places must be the same at each reading, so the rows are written with them
-    placed = written(docs.withColumn(at, F.monotonically_increasing_id()), "placed")
-    classes = near_duplicates(placed.select(F.col(at).alias("doc_id"), "text"), similarity).withColumnRenamed("doc_id", "at")
-    named = placed.select(F.col(at).alias("at"), F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(at).alias("at")).alias("rank"), F.md5("text").alias("text"))
+    # the places must be the same at each reading, so the rows are written with them, nested so that no name can clash
+    placed = written(docs.select(F.monotonically_increasing_id().alias("at"), F.struct(*[docs[f"`{x}`"] for x in docs.columns]).alias("row")), "placed")
+    classes = near_duplicates(placed.select(F.col("at").alias("doc_id"), F.col("row")["text"].alias("text")), similarity).withColumnRenamed("doc_id", "at")
+    own = F.col("row")["doc_id"]
+    named = placed.select("at", F.struct(own.isNull().alias("no_id"), own.alias("id"), F.col("at").alias("at")).alias("rank"), F.md5(F.col("row")["text"]).alias("text"))
     # ids and hashes only: the first row of each class, and of these the first of each (doc_id, text) for texts without words
     first = classes.join(named, "at").groupBy("class_id").agg(F.min(F.struct("rank", "text")).alias("f"))
     kept = first.groupBy("f.rank.id", "f.text").agg(F.min("f.rank.at").alias("at")).select("at")
-    gone = written(named.select("at").join(kept, "at", "left_anti").select(F.col("at").alias("_gone")), "gone")
-    # ids only on the right side; the rows keep their columns and are not copied
-    return placed.join(gone, placed[at] == F.col("_gone"), "left_anti").drop(at)
+    gone = written(named.select("at").join(kept, "at", "left_anti").select("at"), "gone")
+    # rows that the filter lets pass are not shuffled; of the others, ids only stand on the right side
+    doubtful = may_be_in(gone, "at")(F.col("at"))
+    left = placed.filter(~doubtful).unionByName(placed.filter(doubtful).join(gone, "at", "left_anti"))
+    return left.select(*[F.col("row")[x].alias(x) for x in docs.columns])

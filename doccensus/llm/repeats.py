@@ -32,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doccensus.llm.passages import _sliding_min
-from doccensus.llm.shared import written
+from doccensus.llm.shared import may_be_in, release, written
 from doccensus.llm.suffix_groups import suffix_array
 from doccensus.llm.words import mix
 
 LENGTH, SLACK = 400, 272
 BLOCK = 50
+#: the same for passages of over 50 words, the shortest of which have about 200 bytes
+PASSAGE, PASSAGE_SLACK, PASSAGE_BLOCK = 200, 136, 25
 GROUP = 128
 CHUNK = 1 << 22
 _VALUES = np.random.default_rng(13).integers(0, 2**64, 256, dtype=np.uint64)
@@ -100,6 +102,10 @@ def _key() -> list[Column]:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")]
 
 
+def _both(doc: str, th: str) -> Column:
+    return F.xxhash64(doc, th)
+
+
 def _places(docs: DataFrame, length: int, slack: int) -> DataFrame:
     """doc, th, h, c, owned, ahead and the starts of each context of a text."""
 
@@ -127,7 +133,9 @@ def _places(docs: DataFrame, length: int, slack: int) -> DataFrame:
 def _texts_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The wanted contexts with their bytes, each read from the one text that it names."""
     by_doc = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "c", "n", "size", "owned", "ahead", "start")).alias("want"))
-    read = docs.select(*_key(), "text").join(by_doc, ["doc", "th"]).select("text", "want")
+    by_doc = written(by_doc, "wanted")
+    named = may_be_in(by_doc.select(_both("doc", "th").alias("k")), "k")
+    read = docs.select(*_key(), "text").filter(named(_both("doc", "th"))).join(by_doc, ["doc", "th"]).select("text", "want")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["h", "c", "n", "size", "owned", "ahead", "raw"]
@@ -268,8 +276,13 @@ def _by_counts(found: DataFrame, length: int, block: int) -> DataFrame:
     return both.mapInPandas(masks, "h long, c long, mask binary")
 
 
-def repeated_places(docs: DataFrame, length: int = LENGTH, slack: int = SLACK, block: int = BLOCK, group: int = GROUP) -> DataFrame:
-    """doc, th and, for every context with repeated strings, its starts, how many strings it owns, and their mask (null: all)."""
+def repeated_places(
+    docs: DataFrame, length: int = LENGTH, slack: int = SLACK, block: int = BLOCK, group: int = GROUP, scratch: list[DataFrame] | None = None
+) -> DataFrame:
+    """doc, th and, for every context with repeated strings, its starts, how many strings it owns, and their mask (null: all).
+
+    ``scratch`` gets the tables that are of no use once the result is written.
+    """
     places = written(_places(docs, length, slack), "contexts-of-texts")
     here = F.struct("doc", "th", F.col("starts")[0].alias("start"), "owned", "ahead")
     kinds = written(places.groupBy("h", "c").agg(F.sum(F.size("starts")).alias("n"), F.min(here).alias("at")), "context-counts")
@@ -279,6 +292,8 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, slack: int = SLACK, b
     masks = written(_by_suffixes(found.filter(F.col("size") <= group), length, block), "masks").unionByName(
         _by_counts(found.filter(F.col("size") > group), length, block)
     )
+    if scratch is not None:
+        scratch += [places, kinds, found]
     every = kinds.filter("n > 1").select("h", "c", F.lit(None).cast("binary").alias("mask"))
     return places.join(every.unionByName(masks), ["h", "c"]).select("doc", "th", "starts", "owned", "mask")
 
@@ -303,12 +318,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, slack: int = SLACK, b
     ``kept`` holds the bytes left; with ``as_text`` they are a string, without the rest of characters that a cut splits.
     """
     carried = [x for x in docs.columns if x != "text"] if carry is None else carry
-    parts = repeated_places(docs.select("doc_id", "text"), length, slack, block, group)
+    scratch: list[DataFrame] = []
+    parts = repeated_places(docs.select("doc_id", "text"), length, slack, block, group, scratch)
     by_doc = parts.groupBy("doc", "th").agg(F.collect_list(F.struct("starts", "owned", "mask")).alias("_parts"))  # bounded by the text's own length
-    by_doc = by_doc.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), "_parts")
+    by_doc = written(by_doc.select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), "_parts"), "parts")
+    for table in scratch:
+        release(table)
     doc, th = _key()
     row = F.struct(*[docs[f"`{x}`"] for x in carried]).alias("_row")
-    read = docs.select(row, doc.alias("_doc"), th.alias("_th"), docs["text"].alias("_text")).join(by_doc, ["_doc", "_th"], "left")
+    every = docs.select(row, doc.alias("_doc"), th.alias("_th"), docs["text"].alias("_text"))
+    # texts without repeats, mostly nearly all, meet no shuffle
+    named = may_be_in(by_doc.select(_both("_doc", "_th").alias("k")), "k")(_both("_doc", "_th"))
+    read = every.filter(named).join(by_doc, ["_doc", "_th"], "left")
+    text, none = F.coalesce("_text", F.lit("")), F.lit(0).cast("long")
+    whole = every.filter(~named).select(
+        "_row", (text if as_text else F.encode(text, "UTF-8")).alias("kept"), F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans")
+    )
     fields = read.schema["_row"].dataType
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -325,14 +350,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, slack: int = SLACK, b
             yield made
 
     made = read.select("_row", "_text", "_parts").mapInPandas(cut, f"_row {fields.simpleString()}, kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long")
-    return made.select(*[F.col("_row")[x].alias(x) for x in carried], "kept", "n_bytes", "n_removed", "n_spans")
+    return made.unionByName(whole).select(*[F.col("_row")[x].alias(x) for x in carried], "kept", "n_bytes", "n_removed", "n_spans")
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = LENGTH, slack: int = SLACK, block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` with what repeats cut from ``text``, null for null; ``n_chars``, where there is one, follows it."""
-    row = docs.select(F.struct(*[docs[f"`{x}`"] for x in docs.columns if x != "text"], docs["text"].isNull().alias("_null")).alias("row"), docs["doc_id"], docs["text"])
-    made = without_repeats(row, length, carry=["row"], as_text=True)
-    text = F.when(~F.col("row")["_null"], F.col("kept"))
-    columns = {"text": text, "n_chars": F.when(F.col("row")["_null"], F.col("row")["n_chars"]).otherwise(F.length(text)) if "n_chars" in docs.columns else None}
-    own = [(columns[x] if columns.get(x) is not None else F.col("row")[x]).cast(docs.schema[x].dataType).alias(x) for x in docs.columns]
-    return made.select(*own)
+    given = F.struct(*[docs[f"`{x}`"] for x in docs.columns if x != "text"])
+    row = docs.select(F.struct(given.alias("given"), docs["text"].isNull().alias("missing")).alias("row"), docs["doc_id"], docs["text"])
+    made = without_repeats(row, length, slack, block, carry=["row"], as_text=True)
+    missing, old = F.col("row")["missing"], F.col("row")["given"]
+    columns = {"text": F.when(~missing, F.col("kept"))}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.when(missing, old["n_chars"]).otherwise(F.length("kept"))
+    return made.select(*[(columns[x] if x in columns else old[x]).cast(docs.schema[x].dataType).alias(x) for x in docs.columns])

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +17,16 @@ WS = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\W_]+")
 
 
+#: bits of the filters that spare rows without a partner a shuffle
+FILTER_BITS = 23
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, else one inside the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+    """The folder all executors share: ``spark.checkpoint.dir``, in local mode else one inside the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.conf.get("spark.master", "local").split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -34,6 +44,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(table: DataFrame) -> None:
+    """Give back the space of a ``written`` table that nothing reads any more: all that was made of it is written too."""
+    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    for folder in folders:
+        table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(folder)
+
+
+def may_be_in(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test of long numbers that is false only for those that are not in ``keys``.
+
+    A Bloom filter of fixed size, whatever the number of keys: at most 2^FILTER_BITS / 64 numbers come to the driver and go
+    to the tasks. With very many keys it lets more through, never fewer.
+    """
+    size = 1 << FILTER_BITS
+    spots = F.array(F.pmod(F.xxhash64(key), F.lit(size)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(size)))
+    bits = keys.select(F.explode(spots).alias("spot")).select(F.floor(F.col("spot") / 64).alias("at"), F.expr("shiftleft(1L, CAST(spot % 64 AS INT))").alias("bit"))
+    got = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
+    held = np.zeros(size // 64, dtype="<i8")
+    held[got["at"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
+    table = held.view(np.uint8)
+
+    @F.pandas_udf("boolean")
+    def test(one: pd.Series, other: pd.Series) -> pd.Series:
+        hit = np.ones(len(one), dtype=bool)
+        for spot in (one.to_numpy(dtype=np.int64), other.to_numpy(dtype=np.int64)):
+            hit &= (table[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
+        return pd.Series(hit)
+
+    return lambda c: test(F.pmod(F.xxhash64(c), F.lit(size)), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(size)))
+
+
 def let(value: Column, then) -> Column:
     """``then(value)`` with ``value`` computed once per row."""
     return F.element_at(F.transform(F.array(value), then), 1)

@@ -10,7 +10,10 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: names that the operators use inside
-CLASHING = ["_row", "key", "print", "node", "verdict", "h", "kept", "_text", "words", "class_id"]
+CLASHING = [
+    "_row", "key", "print", "node", "verdict", "h", "kept", "_text", "words", "class_id", "_null", "_gone", "_id", "_hash", "_doc", "_th", "_parts", "_of",
+    "_same", "_c", "_w", "_at", "row", "at", "given", "missing", "a", "b", "text_hash", "k",
+]
 
 
 @pytest.fixture(scope="session")
