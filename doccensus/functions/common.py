@@ -135,6 +135,15 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """The same rows stored once in the shared folder in buckets of ``key``: a join on it moves its other side only."""
+    spark = df.sparkSession
+    n, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"bucketed_{uuid.uuid4().hex}"
+    # dealt the same way before, so that every bucket is one file
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", shared_folder(spark, "bucketed")).saveAsTable(name)
+    return spark.table(name)
+
+
 def number_rows(df: DataFrame, key: str, name: str) -> DataFrame:
     """1-based position of every row in ascending order of a unique key.
 

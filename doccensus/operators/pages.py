@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from doccensus.functions import html as H
 from doccensus.functions import urls as U
-from doccensus.functions.common import salted_join
+from doccensus.functions.common import salted_join, settled
+from doccensus.operators.probes import answers_by_url
 from doccensus.operators.robots import bot_status_v1, sitemap_directive
 
 
-def page_features(pages: DataFrame) -> DataFrame:
-    """One row per page, no shuffle.
+def page_features(pages: DataFrame, **more: Column) -> DataFrame:
+    """One row per page, no shuffle; ``more`` columns are worked out in the same pass.
 
     The first projection strips markup once per text profile; the second reads
     those columns, so no long pattern chain runs twice.
@@ -32,6 +33,7 @@ def page_features(pages: DataFrame) -> DataFrame:
         H.jsonld_blocks("html").alias("_ld"),
         H.code_block_count("html").alias("code_blocks"),
         H.language_hint_count("html").alias("code_hints"),
+        *[col.alias(name) for name, col in more.items()],
     )
     parsed = (
         stripped.withColumn("_types", H.jsonld_types(F.col("_ld")))
@@ -66,6 +68,7 @@ def page_features(pages: DataFrame) -> DataFrame:
         H.og_completeness(F.col("_og")).alias("og_status"),
         H.missing_og(F.col("_og")).alias("missing_og"),
         H.has_breadcrumbs("html").alias("has_breadcrumbs"),
+        *more,
     )
 
 
@@ -81,6 +84,16 @@ def markdown_availability(pages: DataFrame, log: DataFrame, llms_found: DataFram
     (page_id, llms_found), a site file also makes it discoverable; without it
     that route is closed.
     """
+    found = pages.select("page_id", *[col.alias(name) for name, col in _markdown_facts().items()])
+    probed = found.join(_answered(log, "probe").withColumn("probe_ok", F.lit(True)), "probe", "left")
+    if llms_found is not None:
+        probed = probed.join(llms_found, "page_id", "left")
+    by_llms = F.coalesce(F.col("llms_found"), F.lit(False)) if llms_found is not None else F.lit(False)
+    return probed.select("page_id", *_markdown_columns(F.col("probe_ok").isNotNull(), by_llms))
+
+
+def _markdown_facts() -> dict[str, Column]:
+    """What the page and its headers say about a markdown version, and the address to probe."""
     base = U.base_url("url")
     alternate = H.md_alternate("html")
     link = H.header(F.col("headers"), "link")
@@ -91,35 +104,34 @@ def markdown_availability(pages: DataFrame, log: DataFrame, llms_found: DataFram
         F.when(from_header.isNotNull(), F.array(from_header)).otherwise(none),
         H.md_link_urls("html", base),
     )
-    found = pages.select(
-        "page_id", known.alias("known"), F.concat(F.regexp_replace("url", "/$", ""), F.lit(".md")).alias("probe"),
-        F.when(from_header.isNotNull(), "link-header").when(alternate.isNotNull(), "link-alternate").alias("named"),
-    )
-    probed = found.join(_answered(log, "probe").withColumn("probe_ok", F.lit(True)), "probe", "left")
-    urls = F.when(F.size("known") > 0, F.col("known")).when(F.col("probe_ok").isNotNull(), F.array("probe")).otherwise(none)
-    if llms_found is not None:
-        probed = probed.join(llms_found, "page_id", "left")
-    by_llms = F.coalesce(F.col("llms_found"), F.lit(False)) if llms_found is not None else F.lit(False)
+    named = F.when(from_header.isNotNull(), "link-header").when(alternate.isNotNull(), "link-alternate")
+    return {"known": known, "probe": F.concat(F.regexp_replace("url", "/$", ""), F.lit(".md")), "named": named}
+
+
+def _markdown_columns(probe_ok: Column, by_llms: Column) -> list[Column]:
+    none = F.array().cast("array<string>")
+    urls = F.when(F.size("known") > 0, F.col("known")).when(probe_ok, F.array("probe")).otherwise(none)
     method = F.coalesce("named", F.when(by_llms, F.lit("llms-txt")), F.lit("none"))
-    return probed.select(
-        "page_id", (F.size(urls) > 0).alias("markdown_found"), F.array_distinct(urls).alias("markdown_urls"),
+    return [
+        (F.size(urls) > 0).alias("markdown_found"), F.array_distinct(urls).alias("markdown_urls"),
         (F.col("named").isNotNull() | by_llms).alias("markdown_discoverable"), F.when(F.size(urls) > 0, method).alias("markdown_method"),
+    ]
+
+
+def _site_file_probes() -> Column:
+    """The site files looked for: array of (kind, asked)."""
+    base, sub = U.base_url("url"), U.docs_subpath("url", 2)
+    ask = lambda kind, url: F.struct(F.lit(kind).alias("kind"), url.alias("asked"))
+    return F.array(
+        ask("llms", F.concat(base, F.lit("/llms.txt"))), ask("llms", F.concat(base, sub, F.lit("/llms.txt"))),
+        ask("full", F.concat(base, F.lit("/llms-full.txt"))), ask("full", F.concat(base, sub, F.lit("/llms-full.txt"))),
+        ask("map", F.concat(base, F.lit("/sitemap.xml"))),
     )
 
 
 def site_file_flags(pages: DataFrame, log: DataFrame, robots: DataFrame) -> DataFrame:
     """llms.txt, llms-full.txt and sitemap presence per page."""
-    base, sub = U.base_url("url"), U.docs_subpath("url", 2)
-    asked = pages.select(
-        "page_id", base.alias("base_url"),
-        F.explode(F.array(
-            F.struct(F.lit("llms").alias("kind"), F.concat(base, F.lit("/llms.txt")).alias("asked")),
-            F.struct(F.lit("llms").alias("kind"), F.concat(base, sub, F.lit("/llms.txt")).alias("asked")),
-            F.struct(F.lit("full").alias("kind"), F.concat(base, F.lit("/llms-full.txt")).alias("asked")),
-            F.struct(F.lit("full").alias("kind"), F.concat(base, sub, F.lit("/llms-full.txt")).alias("asked")),
-            F.struct(F.lit("map").alias("kind"), F.concat(base, F.lit("/sitemap.xml")).alias("asked")),
-        )).alias("a"),
-    ).select("page_id", "base_url", "a.kind", "a.asked")
+    asked = pages.select("page_id", U.base_url("url").alias("base_url"), F.explode(_site_file_probes()).alias("a")).select("page_id", "base_url", "a.kind", "a.asked")
     named = robots.select("base_url", sitemap_directive("body").alias("directive"))
     asked = salted_join(asked, named, ["base_url"], ["page_id"], "left").withColumn(
         "asked", F.when(F.col("kind") == "map", F.coalesce("directive", "asked")).otherwise(F.col("asked"))
@@ -131,21 +143,35 @@ def site_file_flags(pages: DataFrame, log: DataFrame, robots: DataFrame) -> Data
     )
 
 
-def readiness_features(pages: DataFrame, log: DataFrame, robots: DataFrame, reference_mode: bool = False) -> DataFrame:
+def readiness_features(
+    pages: DataFrame, log: DataFrame, robots: DataFrame, reference_mode: bool = False, answers: DataFrame | None = None
+) -> DataFrame:
     """Page features, markdown availability, site files and bot counts in one row.
 
-    ``reference_mode`` closes the llms.txt route to markdown discovery.
+    Markup is read in one pass that writes a narrow row per page, with its site's facts and all that is to be probed; one join
+    of these probes with the answers by URL and one aggregate per page decide everything else. ``answers``
+    (``probes.answers_by_url``) is given where several reports share it. ``reference_mode`` closes the llms.txt route
+    to markdown discovery.
     """
-    flags = site_file_flags(pages, log, robots)
-    md = markdown_availability(pages, log, None if reference_mode else flags.select("page_id", "llms_found"))
+    answers = answers_by_url(log) if answers is None else answers
     bots = bot_status_v1(robots.select(F.col("base_url").alias("domain"), "body")).groupBy(F.col("domain").alias("base_url")).agg(
         F.count_if(F.col("status") == "blocked").alias("bots_blocked"), F.count_if(F.col("status") == "not-mentioned").alias("bots_unlisted")
     )
-    present = robots.select("base_url", (F.coalesce("body", F.lit("")) != "").alias("has_robots"))
-    paged = page_features(pages).join(flags, "page_id", "left").join(md, "page_id", "left")
-    return (
-        salted_join(paged, bots.join(present, "base_url"), ["base_url"], ["page_id"], "left")
-        .withColumn("has_robots", F.coalesce("has_robots", F.lit(False)))
+    site = robots.select("base_url", (F.coalesce("body", F.lit("")) != "").alias("has_robots"), sitemap_directive("body").alias("directive"))
+    facts = settled(
+        salted_join(page_features(pages, **_markdown_facts(), asked=_site_file_probes()), site.join(bots, "base_url", "left"), ["base_url"], ["page_id"], "left")
+    )
+    named = F.transform("asked", lambda a: F.struct(a["kind"].alias("kind"), F.when(a["kind"] == "map", F.coalesce("directive", a["asked"])).otherwise(a["asked"]).alias("url")))
+    probes = F.concat(named, F.array(F.struct(F.lit("md").alias("kind"), F.col("probe").alias("url"))))
+    hits = facts.select("page_id", F.explode(probes).alias("a")).select("page_id", "a.*").join(answers.filter("ok").select("url"), "url")
+    found = hits.groupBy("page_id").agg(F.collect_set("kind").alias("kinds"))
+    has = lambda kind: F.coalesce(F.array_contains("kinds", kind), F.lit(False))
+    by_llms = F.lit(False) if reference_mode else has("llms")
+    probed = facts.join(found, "page_id", "left")
+    inner = ("known", "probe", "named", "asked", "directive", "kinds")
+    return probed.select(
+        *[x for x in probed.columns if x not in (*inner, "has_robots")], F.coalesce("has_robots", F.lit(False)).alias("has_robots"),
+        has("llms").alias("llms_found"), has("full").alias("llms_full_found"), has("map").alias("sitemap_found"), *_markdown_columns(has("md"), by_llms),
     )
 
 

@@ -67,6 +67,14 @@ def good_probes(log: DataFrame) -> DataFrame:
     return probe_ok(log).filter(found).select("url", "purpose").distinct()
 
 
+def answers_by_url(log: DataFrame) -> DataFrame:
+    """One row per URL: ``found``, the purposes whose probes count as found (``good_probes``), and ``ok``, any 2xx answer."""
+    rule = (F.col("purpose") != "content-negotiation") | F.coalesce(F.col("content_type").contains("text/markdown"), F.lit(False))
+    good = F.when(F.col("ok") & rule, F.col("purpose"))
+    answered = (F.col("status_code") >= 200) & (F.col("status_code") < 300)
+    return probe_ok(log).groupBy("url").agg(F.collect_set(good).alias("found"), F.coalesce(F.bool_or(answered), F.lit(False)).alias("ok"))
+
+
 def latest_by_method(log: DataFrame) -> DataFrame:
     """Latest HEAD and GET result of every URL, side by side; one aggregate."""
     order = F.struct("ts", "event_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from doccensus import constants as K
 from doccensus.functions import html as H
 from doccensus.functions import urls as U
-from doccensus.functions.common import settled
+from doccensus.functions.common import bucketed, settled
 from doccensus.operators import evidence as V
 from doccensus.operators import links as L
 from doccensus.operators import pages as PG
@@ -136,8 +136,14 @@ QUERIES["h17_markdown_availability"] = _h17
 ORACLE["h17_markdown_availability"] = f"SELECT page_id, markdown_found, array_to_string(markdown_urls, ' ') AS markdown_urls, markdown_discoverable, markdown_method FROM {MARKDOWN}"
 
 
-def features(spark, sf):
-    return PG.readiness_features(SQ.headed_pages(spark, sf), spark_table(spark, sf, "fetch_log"), spark_table(spark, sf, "site_robots"))
+def features(spark, sf, answers=None):
+    return PG.readiness_features(SQ.headed_pages(spark, sf), spark_table(spark, sf, "fetch_log"), spark_table(spark, sf, "site_robots"), answers=answers)
+
+
+def _features_and_signals(spark, sf):
+    """Both reports on one table of answers, stored by URL."""
+    answers = bucketed(P.answers_by_url(spark_table(spark, sf, "fetch_log")), "url")
+    return features(spark, sf, answers), V.evidence_signals(*SQ.evidence_inputs(spark, sf), answers=answers)
 
 
 _V1 = SQ.ORACLE["r3_bot_status_v1"].replace(SQ.ROB, f"(SELECT base_url AS domain, body FROM {SROB})")
@@ -217,10 +223,9 @@ _TIERS = "CASE page_id % 5 WHEN 0 THEN 'not-found' WHEN 1 THEN 'low' WHEN 2 THEN
 
 
 def _merged(spark, sf):
-    recs = G.recommendation_rules(features(spark, sf))
+    f, signals = _features_and_signals(spark, sf)
     tiers = spark_table(spark, sf, "audit_pages").select("page_id", F.expr(_TIERS).alias("citation_tier"))
-    notes = G.detection_notes(V.evidence_signals(*SQ.evidence_inputs(spark, sf)))
-    return G.merge_recommendations(recs, G.citation_recommendations(tiers), notes)
+    return G.merge_recommendations(G.recommendation_rules(f), G.citation_recommendations(tiers), G.detection_notes(signals))
 
 
 QUERIES["g5_merge_recommendations"] = lambda spark, sf: _merged(spark, sf).select("page_id", "position", "rule", "category", "priority", "args")
@@ -363,9 +368,8 @@ ORACLE["g17_structure_fallback"] = f"""SELECT page_id, CASE WHEN len(sub_pages)
 
 
 def _g18(spark, sf):
-    f = settled(features(spark, sf))
+    f, signals = (settled(x) for x in _features_and_signals(spark, sf))
     tiers = spark_table(spark, sf, "audit_pages").select("page_id", F.expr(_TIERS).alias("citation_tier"))
-    signals = settled(V.evidence_signals(*SQ.evidence_inputs(spark, sf)))
     recs = G.merge_recommendations(G.recommendation_rules(f), G.citation_recommendations(tiers), G.detection_notes(signals))
     return G.report(f, recs, V.detection_report(signals))
 

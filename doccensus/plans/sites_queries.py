@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from doccensus import constants as K
 from doccensus.functions import html as H
 from doccensus.functions import urls as U
+from doccensus.functions.common import settled
 from doccensus.operators import evidence as V
 from doccensus.operators import probes as P
 from doccensus.operators import robots as R
@@ -364,7 +365,8 @@ SELECT t.page_id, url, purpose, status_code, duration_ms FROM t LEFT JOIN w ON w
 def _p11(spark, sf):
     """The nested report as one row per signal and probe."""
     inputs = evidence_inputs(spark, sf)
-    report = V.detection_report(V.evidence_signals(*inputs), V.page_probe_log(*inputs))
+    harvested = settled(V.harvest(inputs[0], *inputs[2:]))
+    report = V.detection_report(V.evidence_signals(*inputs, harvested=harvested), V.page_probe_log(*inputs, harvested=harvested))
     none = F.lit(None).cast("string")
     signal = lambda part: F.transform(
         part, lambda x: F.struct(F.lit(part).alias("part"), x["signal"].alias("name"), x["status"].alias("status"), x["method"].alias("method"), x["validated_url"].alias("url"),
