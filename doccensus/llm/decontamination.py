@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doccensus.llm.shared import may_be_in, written
+from doccensus.llm.shared import may_match, written
 from doccensus.llm.words import WordNumbers, shingles
 
 MIN_MATCH, START, COVERAGE, BITS = 5, 20, 0.5, 23
@@ -208,7 +208,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVER
     row = F.struct(*[docs[f"`{x}`"] for x in docs.columns]).alias("row")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(docs["text"]).alias("text_hash"), row)
     # rows that the filter lets pass are not shuffled
-    doubtful = may_be_in(leaks, "text_hash")(F.col("text_hash"))
+    marked = may_match(rows, F.col("text_hash"), leaks, "text_hash")
     mark = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))
-    left = rows.filter(~doubtful).select("row").unionByName(rows.filter(doubtful).alias("a").join(leaks.alias("b"), mark, "left_anti").select("row"))
+    left = marked.filter("NOT maybe").select("row").unionByName(marked.filter("maybe").alias("a").join(leaks.alias("b"), mark, "left_anti").select("row"))
     return left.select(*[F.col("row")[x].alias(x) for x in docs.columns])

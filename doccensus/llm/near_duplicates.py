@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doccensus.llm.graph import colliding, components, links
-from doccensus.llm.shared import may_be_in, release, written
+from doccensus.llm.shared import may_match, release, written
 from doccensus.llm.words import WordNumbers, mix, shingles
 
 K, SIMILARITY = 5, 0.8
@@ -269,6 +269,6 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     kept = first.groupBy("f.rank.id", "f.text").agg(F.min("f.rank.at").alias("at")).select("at")
     gone = written(named.select("at").join(kept, "at", "left_anti").select("at"), "gone")
     # rows that the filter lets pass are not shuffled; of the others, ids only stand on the right side
-    doubtful = may_be_in(gone, "at")(F.col("at"))
-    left = placed.filter(~doubtful).unionByName(placed.filter(doubtful).join(gone, "at", "left_anti"))
+    marked = may_match(placed, F.col("at"), gone, "at")
+    left = marked.filter("NOT maybe").unionByName(marked.filter("maybe").join(gone, "at", "left_anti"))
     return left.select(*[F.col("row")[x].alias(x) for x in docs.columns])

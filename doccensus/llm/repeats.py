@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doccensus.llm.passages import _sliding_min
-from doccensus.llm.shared import may_be_in, release, written
+from doccensus.llm.shared import may_match, release, written
 from doccensus.llm.suffix_groups import suffix_array
 from doccensus.llm.words import mix
 
@@ -134,8 +134,8 @@ def _texts_of(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """The wanted contexts with their bytes, each read from the one text that it names."""
     by_doc = wanted.groupBy("doc", "th").agg(F.collect_list(F.struct("h", "c", "n", "size", "owned", "ahead", "start")).alias("want"))
     by_doc = written(by_doc, "wanted")
-    named = may_be_in(by_doc.select(_both("doc", "th").alias("k")), "k")
-    read = docs.select(*_key(), "text").filter(named(_both("doc", "th"))).join(by_doc, ["doc", "th"]).select("text", "want")
+    named = may_match(docs.select(*_key(), "text"), _both("doc", "th"), by_doc.select(_both("doc", "th").alias("k")), "k")
+    read = named.filter("maybe").join(by_doc, ["doc", "th"]).select("text", "want")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["h", "c", "n", "size", "owned", "ahead", "raw"]
@@ -328,10 +328,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, slack: int = SLACK, b
     row = F.struct(*[docs[f"`{x}`"] for x in carried]).alias("_row")
     every = docs.select(row, doc.alias("_doc"), th.alias("_th"), docs["text"].alias("_text"))
     # texts without repeats, mostly nearly all, meet no shuffle
-    named = may_be_in(by_doc.select(_both("_doc", "_th").alias("k")), "k")(_both("_doc", "_th"))
-    read = every.filter(named).join(by_doc, ["_doc", "_th"], "left")
+    every = may_match(every, _both("_doc", "_th"), by_doc.select(_both("_doc", "_th").alias("k")), "k")
+    read = every.filter("maybe").drop("maybe").join(by_doc, ["_doc", "_th"], "left")
     text, none = F.coalesce("_text", F.lit("")), F.lit(0).cast("long")
-    whole = every.filter(~named).select(
+    whole = every.filter("NOT maybe").select(
         "_row", (text if as_text else F.encode(text, "UTF-8")).alias("kept"), F.octet_length(text).cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans")
     )
     fields = read.schema["_row"].dataType

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,28 +48,23 @@ def release(table: DataFrame) -> None:
         table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(folder)
 
 
-def may_be_in(keys: DataFrame, key: str) -> Callable[[Column], Column]:
-    """A test of long numbers that is false only for those that are not in ``keys``.
+def may_match(rows: DataFrame, key: Column, keys: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a boolean ``maybe`` that is false only where the long ``key`` is not in the column ``name`` of ``keys``.
 
-    A Bloom filter of fixed size, whatever the number of keys: at most 2^FILTER_BITS / 64 numbers come to the driver and go
-    to the tasks. With very many keys it lets more through, never fewer.
+    A Bloom filter of fixed size: a table of at most 2^FILTER_BITS / 64 numbers, which is therefore broadcast, whatever the
+    number of keys. With very many keys it lets more rows through, never fewer.
     """
     size = 1 << FILTER_BITS
-    spots = F.array(F.pmod(F.xxhash64(key), F.lit(size)), F.pmod(F.xxhash64(key, F.lit(1)), F.lit(size)))
-    bits = keys.select(F.explode(spots).alias("spot")).select(F.floor(F.col("spot") / 64).alias("at"), F.expr("shiftleft(1L, CAST(spot % 64 AS INT))").alias("bit"))
-    got = bits.groupBy("at").agg(F.bit_or("bit").alias("bits")).toPandas()
-    held = np.zeros(size // 64, dtype="<i8")
-    held[got["at"].to_numpy(dtype=np.int64)] = got["bits"].to_numpy(dtype=np.int64)
-    table = held.view(np.uint8)
-
-    @F.pandas_udf("boolean")
-    def test(one: pd.Series, other: pd.Series) -> pd.Series:
-        hit = np.ones(len(one), dtype=bool)
-        for spot in (one.to_numpy(dtype=np.int64), other.to_numpy(dtype=np.int64)):
-            hit &= (table[spot >> 3] >> (spot & 7).astype(np.uint8)) & 1 == 1
-        return pd.Series(hit)
-
-    return lambda c: test(F.pmod(F.xxhash64(c), F.lit(size)), F.pmod(F.xxhash64(c, F.lit(1)), F.lit(size)))
+    spots = lambda k: (F.pmod(F.xxhash64(k), F.lit(size)), F.pmod(F.xxhash64(k, F.lit(1)), F.lit(size)))
+    bits = keys.select(F.explode(F.array(*spots(F.col(name)))).alias("spot"))
+    bits = bits.select(F.floor(F.col("spot") / 64).alias("at"), F.expr("shiftleft(1L, CAST(spot % 64 AS INT))").alias("bit"))
+    held = written(bits.groupBy("at").agg(F.bit_or("bit").alias("bits")), "filter")
+    out = rows.withColumns(dict(zip(("_s0", "_s1"), spots(key), strict=True)))
+    for i in (0, 1):
+        side = F.broadcast(held.select(F.col("at").alias(f"_a{i}"), F.col("bits").alias(f"_b{i}")))
+        out = out.join(side, F.floor(F.col(f"_s{i}") / 64) == F.col(f"_a{i}"), "left")
+    set_ = [F.expr(f"shiftright(_b{i}, CAST(_s{i} % 64 AS INT)) & 1 = 1") for i in (0, 1)]
+    return out.select(*rows.columns, F.coalesce(set_[0] & set_[1], F.lit(False)).alias("maybe"))
 
 
 def let(value: Column, then) -> Column:
