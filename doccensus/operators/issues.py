@@ -316,6 +316,8 @@ def page_evidence(pairs: DataFrame, issues: DataFrame, pages: DataFrame) -> Data
     category, keywords), ``pages`` (page_id, html); two equi joins. A candidate
     whose page did not load keeps a row with ``loaded`` false.
     """
+    from doccensus.functions import html as H
+
     low = F.lower("html")
     has = lambda *words: contains_any(low, words)
     # what only depends on the page is found once per page, before pairs meet it; a word of letters and digits lies inside
@@ -326,7 +328,7 @@ def page_evidence(pairs: DataFrame, issues: DataFrame, pages: DataFrame) -> Data
         F.regexp_count("html", F.lit("(?i)<code|<pre|```")).cast("long").alias("code_examples"),
         contains_any(low, K.PRODUCTION_WORDS).alias("production_guidance"), has("error", "troubleshoot").alias("has_errors"),
         has("spam", "deliverability").alias("has_spam"), has("dns", "spf", "dkim").alias("has_dns"), has("vercel", "netlify").alias("has_platform"),
-        has("environment variable", "env").alias("has_env"), F.lit(True).alias("loaded"),
+        has("environment variable", "env").alias("has_env"), H.title("html").alias("page_title"), F.lit(True).alias("loaded"),
     )
     simple = lambda w: w.rlike("^[a-z0-9]{3,}$")
     asked = issues.select(
@@ -347,7 +349,7 @@ def page_evidence(pairs: DataFrame, issues: DataFrame, pages: DataFrame) -> Data
     held = lambda words, text: F.size(F.filter(words, lambda w: F.col(text).contains(w)))
     found = (held(F.slice("plain", 1, 8), "runs") >= 2) | (held(F.col("plain"), "runs") + held(F.col("other"), "low") >= 2)
     return j.select(
-        "issue_id", "page_id", "similarity", "loaded", (F.col("loaded") & found).alias("relevant"), "code_examples", "production_guidance",
+        "issue_id", "page_id", "similarity", "loaded", (F.col("loaded") & found).alias("relevant"), "code_examples", "production_guidance", "page_title",
         F.filter(F.array(*[F.when(cond, text) for cond, text in gaps]), lambda g: g.isNotNull()).alias("gaps"),
     )
 

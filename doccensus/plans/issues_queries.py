@@ -218,9 +218,9 @@ _GAPS = [
     (f"category = 'deployment' AND NOT {_HAS('vercel', 'netlify')} AND contains(lower(title), 'vercel')", "platform-deployment"),
     (f"category = 'deployment' AND NOT {_HAS('environment variable', 'env')}", "environment-setup"),
 ]
-EVID = f"""(SELECT issue_id, page_id, similarity, len(list_filter(keywords, lambda w: contains(low, w))) >= 2 AS relevant, code_examples, {_HAS(*K.PRODUCTION_WORDS)} AS production_guidance,
+EVID = f"""(SELECT issue_id, page_id, similarity, len(list_filter(keywords, lambda w: contains(low, w))) >= 2 AS relevant, code_examples, {_HAS(*K.PRODUCTION_WORDS)} AS production_guidance, page_title,
   list_filter([{', '.join(f"CASE WHEN {c} THEN '{g}' END" for c, g in _GAPS)}], lambda g: g IS NOT NULL) AS gaps
-  FROM (SELECT x.issue_id, x.page_id, similarity, title, category, keywords, lower(html) AS low, {D.nmatch('html', '(?i)<code|<pre|```')} AS code_examples
+  FROM (SELECT x.issue_id, x.page_id, similarity, title, category, keywords, {PQ.TITLE} AS page_title, lower(html) AS low, {D.nmatch('html', '(?i)<code|<pre|```')} AS code_examples
     FROM {PAIRS} x JOIN {KEYS} k ON k.issue_id = x.issue_id JOIN {AP} p ON p.page_id = x.page_id WHERE x.page_id % 13 <> 5))"""
 QUERIES["i9_page_evidence"] = lambda spark, sf: _evidence(spark, sf).filter("loaded").drop("loaded").withColumn("gaps", F.array_join("gaps", "|"))
 ORACLE["i9_page_evidence"] = f"SELECT * REPLACE (array_to_string(gaps, '|') AS gaps) FROM {EVID}"
