@@ -182,11 +182,11 @@ def u13_slug_typos(spark, sf):
 
 QUERIES["u13_slug_typos"] = u13_slug_typos
 _TYPO_VALUES = ", ".join(f"('{a}', '{b}')" for a, b in K.SLUG_TYPOS.items())
-ORACLE["u13_slug_typos"] = f"""
-WITH t(seg, fix) AS (VALUES {_TYPO_VALUES}),
-w AS (SELECT page_id, unnest({_WORDS}) AS seg, generate_subscripts({_WORDS}, 1) AS i FROM {AP}),
-h AS (SELECT page_id, string_agg(seg || ':' || fix || ':' || levenshtein(seg, fix), ',' ORDER BY i) AS typos FROM w JOIN t USING (seg)
-  WHERE seg NOT IN ({D.q(K.SLUG_ALLOWED_TERMS)}) AND length(seg) > 2 AND NOT regexp_full_match(seg, '[0-9]+') GROUP BY page_id)
+SLUG_HITS = f"""(WITH t(seg, fix) AS (VALUES {_TYPO_VALUES}),
+w AS (SELECT page_id, unnest({_WORDS}) AS seg, generate_subscripts({_WORDS}, 1) AS i FROM {AP})
+SELECT page_id, string_agg(seg || ':' || fix || ':' || levenshtein(seg, fix), ',' ORDER BY i) AS typos, count(*) AS n FROM w JOIN t USING (seg)
+  WHERE seg NOT IN ({D.q(K.SLUG_ALLOWED_TERMS)}) AND length(seg) > 2 AND NOT regexp_full_match(seg, '[0-9]+') GROUP BY page_id)"""
+ORACLE["u13_slug_typos"] = f"""WITH h AS {SLUG_HITS}
 SELECT page_id, coalesce(typos, '') AS typos, CASE WHEN typos IS NULL THEN 'clean' ELSE 'issues-found' END AS status FROM {AP} p LEFT JOIN h USING (page_id)"""
 
 _ODD = "CASE page_id % 4 WHEN 0 THEN concat('ftp', substring(url, 5)) WHEN 1 THEN substring(url, 9) ELSE upper(url) END"
