@@ -391,8 +391,12 @@ def language_from_code(code: Column) -> Column:
 VERSION_INFO = r"(?i)since\s+wordpress\s+\d+\.\d+|wp\s+\d+\.\d+|version\s+\d+\.\d+|@since\s+\d+\.\d+"
 
 
-def code_snippets(html: Column | str) -> Column:
-    """Code elements of at least 10 characters, with language and version flag."""
+def _first(values: Column, n: int | None) -> Column:
+    return values if n is None else F.slice(values, 1, n)
+
+
+def code_snippets(html: Column | str, code_chars: int | None = 1000) -> Column:
+    """Code elements of at least 10 characters, with language and version flag; ``code_chars`` cuts the code itself."""
     found = extract_all(c(html), r"(?is)<code(?:\s[^>]*)?>.*?</code>", 0)
     rows = F.transform(
         found,
@@ -408,7 +412,7 @@ def code_snippets(html: Column | str) -> Column:
         lambda r: F.struct(
             r["line_number"].alias("line_number"),
             F.coalesce(F.nullif(language_from_class(r["cls"]), F.lit("")), language_from_code(r["code"])).alias("language"),
-            F.substring(trim_ws(r["code"]), 1, 1000).alias("code"),
+            (trim_ws(r["code"]) if code_chars is None else F.substring(trim_ws(r["code"]), 1, code_chars)).alias("code"),
             r["code"].rlike(VERSION_INFO).alias("has_version_info"),
         ),
     )
@@ -417,11 +421,12 @@ def code_snippets(html: Column | str) -> Column:
 _CODE_ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"), ("&quot;", '"'), ("&#39;", "'")]
 
 
-def post_code_snippets(html: Column | str) -> Column:
-    """Fenced code of a discussion page: over 20 and under 1000 characters, first 5."""
+def post_code_snippets(html: Column | str, shorter_than: int | None = 1000, first: int | None = 5) -> Column:
+    """Fenced code of a discussion page: over 20 and under ``shorter_than`` characters, the ``first`` ones; None is no limit."""
     found = extract_all(c(html), r"(?is)<pre[^>]*><code[^>]*>(.*?)</code></pre>")
     code = F.transform(found, lambda m: trim_ws(decode_entities(strip_tags(m), _CODE_ENTITIES)))
-    return F.slice(F.filter(code, lambda s: (F.length(s) > 20) & (F.length(s) < 1000)), 1, 5)
+    fits = lambda s: (F.length(s) > 20) if shorter_than is None else (F.length(s) > 20) & (F.length(s) < shorter_than)
+    return _first(F.filter(code, fits), first)
 
 
 def likely_code_snippets(html: Column | str) -> Column:
@@ -562,10 +567,11 @@ ERROR_PATTERNS = [
 ]
 
 
-def error_messages(html: Column | str) -> Column:
+def error_messages(html: Column | str, first: int | None = 3) -> Column:
+    """Distinct messages of the patterns, the ``first`` ones; None is no limit, here and below."""
     text = strip_tags(c(html), " ")
     found = F.concat(*[extract_all(text, "(?i)" + p) for p in ERROR_PATTERNS])
-    return F.slice(F.array_distinct(F.transform(found, trim_ws)), 1, 3)
+    return _first(F.array_distinct(F.transform(found, trim_ws)), first)
 
 
 def post_tags(html: Column | str) -> Column:
@@ -574,20 +580,23 @@ def post_tags(html: Column | str) -> Column:
     )
 
 
-def stack_trace(html: Column | str) -> Column:
+def stack_trace(html: Column | str, first: int | None = 5) -> Column:
+    """The ``first`` frames of a trace of more than two."""
     frames = extract_all(strip_tags(c(html), "\n"), r"(?i)at\s+[\w.$]+\s*\([^)]+\)", 0)
-    return F.when(F.size(frames) > 2, F.array_join(F.slice(frames, 1, 5), "\n"))
+    return F.when(F.size(frames) > 2, F.array_join(_first(frames, first), "\n"))
 
 
-def related_pages(text: Column | str) -> Column:
-    return F.slice(extract_all(c(text), r"/docs/[^\s)]+", 0), 1, 3)
+def related_pages(text: Column | str, first: int | None = 3) -> Column:
+    """The ``first`` documentation paths that a text names."""
+    return _first(extract_all(c(text), r"/docs/[^\s)]+", 0), first)
 
 
-def post_bodies(html: Column | str) -> Column:
+def post_bodies(html: Column | str, first: int | None = 3) -> Column:
+    """The question and the answers of a discussion page, the ``first`` of them."""
     found = extract_all(
         c(html), r"(?is)<div class=\"s-prose js-post-body\"[^>]*itemprop=\"text\">(.*?)</div>\s*</div>"
     )
-    return F.slice(found, 1, 3)
+    return _first(found, first)
 
 
 def main_text(html: Column | str) -> Column:

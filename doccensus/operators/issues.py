@@ -430,11 +430,11 @@ def docs_repo_candidates(repos: DataFrame, files: DataFrame, limit: int | None =
     )
 
 
-def enrich(issues: DataFrame, posts: DataFrame, content_chars: int | None = None) -> DataFrame:
-    """Add what the first source page of an issue says; unmatched issues stay as they are."""
+def enrich(issues: DataFrame, posts: DataFrame, content_chars: int | None = None, bodies: int | None = 3) -> DataFrame:
+    """Add what the first source page of an issue says, its first ``bodies`` posts (None: all); unmatched issues stay as they are."""
     from doccensus.functions import html as H
 
-    whole = trim_ws(F.regexp_replace(F.regexp_replace(F.array_join(H.post_bodies("html"), ""), "<[^>]+>", " "), r"\s+", " "))
+    whole = trim_ws(F.regexp_replace(F.regexp_replace(F.array_join(H.post_bodies("html", bodies), ""), "<[^>]+>", " "), r"\s+", " "))
     facts = posts.select(
         F.col("url").alias("source_url"),
         (whole if content_chars is None else F.substring(whole, 1, content_chars)).alias("full_content"),

@@ -78,10 +78,11 @@ def link_summary(pages: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def context_pages(pages: DataFrame, kb: DataFrame | None = None) -> DataFrame:
-    """Parent page and up to three child links of every page, parent first.
+def context_pages(pages: DataFrame, kb: DataFrame | None = None, children: int = 3, path_chars: int | None = 200) -> DataFrame:
+    """Parent page and the first ``children`` child links of every page, parent first.
 
-    A parent link in the navigation names the parent page; the last one wins.
+    A parent link in the navigation names the parent page; the last one wins. Links whose path has ``path_chars`` characters
+    or more are not taken for child pages (None: any length); both limits are part of the result.
     """
     page_path = U.path("url")
     parts = U.segments(page_path)
@@ -101,15 +102,17 @@ def context_pages(pages: DataFrame, kb: DataFrame | None = None) -> DataFrame:
     p = U.path("url")
     child = (
         (F.col("anchor_text") != "") & (U.host("url") == U.host("page_url")) & p.startswith(U.path("page_url"))
-        & (p != U.path("page_url")) & (F.length(p) < 200)
+        & (p != U.path("page_url"))
     )
+    if path_chars is not None:
+        child = child & (F.length(p) < path_chars)
     firsts = links.filter(child).groupBy("page_id", "url").agg(
         F.min("pos").alias("pos"), F.min_by("anchor_text", "pos").alias("title")
     )
-    children = top_k(firsts, ["page_id"], [F.col("pos")], 3, ["url"], rank="ord").select(
+    below = top_k(firsts, ["page_id"], [F.col("pos")], children, ["url"], rank="ord").select(
         "page_id", F.col("ord").cast("long").alias("ord"), "url", "title", F.lit("child").alias("relationship"), F.lit(0.7).alias("confidence")
     )
-    both = parents.unionByName(children)
+    both = parents.unionByName(below)
     firsts = both.groupBy("page_id", "url").agg(F.min_by(F.struct("ord", "title", "relationship", "confidence"), "ord").alias("r"))
     context = firsts.select("page_id", "r.ord", "url", "r.title", "r.relationship", "r.confidence")
     return context if kb is None else with_kb(context, kb)

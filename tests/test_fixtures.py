@@ -505,6 +505,18 @@ def test_sitemap_state_stream(spark, tmp_path):
         assert sorted(map(tuple, P.classify_sitemap_url(J.latest_heads(updates)).collect())) == want
 
 
+def test_limits_of_posts_are_parameters(spark):
+    post = "".join(f'<div class="s-prose js-post-body" itemprop="text">answer {i} is long enough</div></div>' for i in range(6))
+    code = "".join(f"<pre><code>{'x' * (30 + i)}</code></pre>" for i in range(7)) + f"<pre><code>{'y' * 2000}</code></pre>"
+    size = lambda column, **cells: value(spark, F.size(column), **cells)
+    assert (size(H.post_bodies("h"), h=post), size(H.post_bodies("h", None), h=post)) == (3, 6)
+    assert (size(H.post_code_snippets("h"), h=code), size(H.post_code_snippets("h", None, None), h=code)) == (5, 8)
+    assert value(spark, F.length(H.code_snippets("h", None)[7]["code"]), h=code) == 2000
+    assert value(spark, F.length(H.code_snippets("h")[7]["code"]), h=code) == 1000
+    errors = " ".join(f"<p>Error: number {i} has happened here</p>\n" for i in range(5))
+    assert (size(H.error_messages("h"), h=errors), size(H.error_messages("h", None), h=errors)) == (3, 5)
+
+
 def test_platform_fingerprints(spark):
     names = lambda page: [x for x in value(spark, H.doc_signals("h", F.lit("https://x.com/a"))["name"], h=page) if x.startswith(("doc ", "API "))]
     assert names("<div class='docusaurus'>") == ["doc framework detected"]
