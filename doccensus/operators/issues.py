@@ -456,7 +456,7 @@ def select_docs_pages(pages: DataFrame, picked: DataFrame, failed_sites: DataFra
     good = picked.join(failed_sites.select("site"), "site", "left_anti").unionByName(fallback.join(failed_sites.select("site"), "site", "left_semi"))
     good = good.select("site", "url").distinct().withColumn("_pick", F.lit(True))
     valid = usable.select("site", "url").join(good, ["site", "url"], "left_semi").select("site").distinct().withColumn("_any", F.lit(True))
-    j = usable.join(good, ["site", "url"], "left").join(size, "site").join(valid, "site", "left")
+    j = salted_join(usable.join(good, ["site", "url"], "left"), size.join(valid, "site", "left"), ["site"], ["url"])
     narrow = (F.col("n") > more_than) & F.col("_any").isNotNull()
     return j.filter(~narrow | F.col("_pick").isNotNull()).select("site", "url", "content")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from doccensus import constants as K
 from doccensus.functions import urls as U
-from doccensus.functions.common import c, extract_all, salted_join, top_k, trim_ws
+from doccensus.functions.common import c, extract_all, salted_join, settled, top_k, trim_ws
 
 HREF = r"(?is)<a\s[^>]*?href=[\"']([^\"']*)[\"']"
 ANCHOR = r"(?is)<a\s[^>]*?href=[\"']([^\"']*)[\"'][^>]*>(.*?)</a>"
@@ -135,7 +135,8 @@ def add_selected_context(pages: DataFrame, context: DataFrame, kb: DataFrame, an
     picks = answers.select(
         "page_id", F.posexplode(F.coalesce(F.from_json("text", "array<int>"), F.array().cast("array<int>"))).alias("ord", "idx")
     )
-    ranked = kb_positions(kb)
+    # both are read several times, so they are worked out once
+    context, ranked = settled(context), settled(kb_positions(kb))
     domain_size = ranked.groupBy("domain").agg(F.count("*").alias("entries"))
     keyed = pages.select("page_id", U.kb_domain("url").alias("domain"), F.col("url").alias("page_url"))
     known = context.select("page_id", "url").unionByName(keyed.select("page_id", F.col("page_url").alias("url"))).distinct()
