@@ -216,6 +216,6 @@ def read_token_files(manifest: DataFrame, digest: bool = False) -> DataFrame:
         made["doc_id"] = made["doc_id"].astype("Int64")
         return made
 
-    # one row per shard: a shuffle of names only, to one task each
-    spread = manifest.select("shard", "path", "base").repartition("shard")
+    # a shuffle of names only; the number is given, since a shuffle of a few bytes would else be merged to one task
+    spread = manifest.select("shard", "path", "base").repartition(max(1, manifest.count()))
     return spread.mapInPandas(read, f"doc_id long, start long, n_tokens long, {last}")

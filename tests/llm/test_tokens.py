@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from doccensus.llm import packing, token_files
@@ -139,6 +140,17 @@ def test_token_files(spark, odd, clashing, empty, plain):
     assert token_files.read_token_files(token_files.write_token_files(empty)).count() == 0
 
 
+def test_each_shard_has_a_reader(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = token_files.write_token_files(docs)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    readers = token_files.read_token_files(manifest, digest=True).groupBy(F.spark_partition_id().alias("task")).count()
+    assert manifest.count() > 2 and readers.count() == manifest.count()
+
+
 def test_manifest_names_what_counts(spark, odd):
     folder = fresh_path(spark, "tokens")
     manifest = token_files.write_token_files(odd, folder)
