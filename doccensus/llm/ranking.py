@@ -4,12 +4,14 @@ A document's score is linear in features of its whole text. Training takes pairs
 label 0 and fits the weights by logistic loss on the difference of their features, with Newton steps. The cut is the
 quantile of the training scores at the share of label 0; the logistic function around it gives a number from 0 to 1.
 
-The fit runs on at most ``MAX_LABELLED`` labelled rows, those with the least hash of ``doc_id``, and ``PAIRS`` pairs
-of them; scoring covers every row of the table in one pass without a shuffle.
+The fit runs on at most ``MAX_LABELLED`` labelled texts, those with the least hash of ``doc_id``, and ``PAIRS`` pairs
+of them: labels are bounded before the join, their distinct (doc_id, label, text) after it, so that repeated rows of a
+labelled document neither weigh more nor come to the driver. Scoring covers every row of the table in one pass without
+a shuffle.
 
 Defined cases: null and empty texts have the features of an empty text; labels without a text or with a null label are
-left out; a document with several labels counts with each; without labels of both kinds all scores are 0.5; repeated
-rows are scored alike; an empty table gives no rows; other columns are ignored.
+left out; a document with several labels counts with each, an id with several texts with each; repeated rows and labels
+count once; without labels of both kinds all scores are 0.5; repeated rows are scored alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,16 +90,19 @@ class BradleyTerry:
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, pairs: int = PAIRS) -> BradleyTerry:
     """The model of ``labels`` (doc_id, quality) over ``docs`` (doc_id, text)."""
-    # at most max_labelled rows of two numbers, so the broadcast and what comes to the driver have a fixed bound
-    taken = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    # at most max_labelled rows of two numbers, so the broadcast has a fixed bound
+    taken = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     taken = taken.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labelled)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "x": list(_feature_rows(b["text"]))})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "quality": b["quality"], "same": b["same"], "x": list(_feature_rows(b["text"]))})
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(taken), "doc_id").mapInPandas(rows, "doc_id long, quality int, x array<double>")
-    got = joined.toPandas().sort_values(["doc_id", "quality"], kind="stable")
+    joined = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("same")).join(F.broadcast(taken), "doc_id")
+    found = joined.mapInPandas(rows, "doc_id long, quality int, same string, x array<double>")
+    # equal texts have equal features; the limit bounds what comes to the driver, whatever number of texts an id has
+    once = found.groupBy("doc_id", "quality", "same").agg(F.first("x").alias("x"))
+    got = once.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "same").limit(max_labelled).toPandas()
     x = np.array(got["x"].tolist()).reshape(len(got), len(features(None)))
     return BradleyTerry(x, got["quality"].to_numpy(), pairs)
 
