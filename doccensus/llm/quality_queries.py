@@ -90,7 +90,11 @@ histogram AS (
   UNION ALL
   SELECT rid, grp, 'w', {len(rules.WORDS)}, len(list_filter(runs, lambda x: NOT list_contains([{", ".join(map(_literal, rules.WORDS))}], x))) FROM s),
 sized AS (SELECT *, sum(x) OVER (PARTITION BY rid, kind) AS n FROM histogram),
-reference AS (SELECT grp, kind, b, sum(CASE WHEN n > 0 THEN floor(x * {rules._SCALE} / n) ELSE 0 END) AS q FROM sized GROUP BY ALL),
+sound AS (
+  SELECT min(s.rid) AS rid FROM s JOIN base USING (rid)
+  WHERE n_words >= {rules.MIN_WORDS} AND 100 * n_repeat_words <= {rules.MAX_REPEATED_PERCENT} * n_words GROUP BY s.grp, s.t),
+reference AS (
+  SELECT grp, kind, b, sum(CASE WHEN n > 0 THEN floor(x * {rules._SCALE} / n) ELSE 0 END) AS q FROM sized WHERE rid IN (SELECT rid FROM sound) GROUP BY ALL),
 both_ AS (
   SELECT rid, kind, n, x / n AS p, q / sum(q) OVER (PARTITION BY rid, kind) AS q FROM sized JOIN reference USING (grp, kind, b)),
 far AS (

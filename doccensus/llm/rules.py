@@ -3,8 +3,8 @@
 Words are maximal runs of characters other than ASCII white space. A document fails the base rules when it has
 fewer than ``MIN_WORDS`` words or when more than half of them stand in 3-word windows that occur twice or more in it
 (windows are compared by a 64-bit hash). Otherwise its histograms are held against those of its language: the mean
-distribution over all documents with the same ``lang`` of the table at hand, where languages that are not in
-``LANGUAGES``, and null, share one reference. It is rejected when the Jensen-Shannon distance (base 2) of the
+distribution over all distinct texts with the same ``lang`` that pass the base rules, of the table at hand, where
+languages that are not in ``LANGUAGES``, and null, share one reference. Copies and junk thus do not move it. It is rejected when the Jensen-Shannon distance (base 2) of the
 character classes or of the common words is over its limit; a histogram with fewer observations than its guard is
 not judged.
 
@@ -113,7 +113,7 @@ def _total(histogram: Column) -> Column:
 
 
 def language_references(counted: DataFrame) -> DataFrame:
-    """Mean distributions over all documents of ``histograms``: one row per language of ``LANGUAGES`` and one for the rest."""
+    """Mean distributions over the rows of ``counted``: one row per language of ``LANGUAGES`` and one for the rest."""
 
     def shares(histogram: Column) -> Column:
         total = _total(histogram)
@@ -164,17 +164,16 @@ def _base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
 
 
-def judge(docs: DataFrame, carry: list[str] | None = None, distinct_references: bool = False) -> DataFrame:
+def judge(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """The carried columns of ``docs`` (all by default) as ``_row`` and a struct ``verdict``: counts, distances, kept.
 
     The texts are counted once; counts and carried columns are written to the shared folder, since the references need
-    all documents before any can be judged. With ``distinct_references`` only texts that pass the base rules make up the
-    references, each text of a language once, so that copies and junk do not move them; a language without such a text
-    has no reference, and its texts fail by the base rules.
+    all documents before any can be judged. A language without a text that passes the base rules has no reference, and
+    its texts fail by these rules.
     """
     counted = written(histograms(docs, carry), "histograms")
     # equal texts of a language have equal histograms
-    sound = counted.filter(~_base_failed()).groupBy("_of", "_same").agg(F.first("_c").alias("_c"), F.first("_w").alias("_w")) if distinct_references else counted
+    sound = counted.filter(~_base_failed()).groupBy("_of", "_same").agg(F.first("_c").alias("_c"), F.first("_w").alias("_w"))
     references = language_references(sound)
     # at most one row per language of LANGUAGES and one more, so this broadcast has a fixed bound
     held = counted.join(F.broadcast(references), F.col("_of") == F.col("_language"), "left").select(
@@ -195,5 +194,5 @@ def judged_columns(judged: DataFrame, *keys: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The documents that pass, with the columns of ``docs``; held against references of distinct sound texts."""
-    return judge(docs, distinct_references=True).filter("verdict.kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    """The documents that pass, with the columns of ``docs``."""
+    return judge(docs).filter("verdict.kept").select(*[F.col("_row")[c].alias(c) for c in docs.columns])
