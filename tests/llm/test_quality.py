@@ -102,6 +102,29 @@ def test_bradley_terry_learns_an_order():
     assert ranking.BradleyTerry(x, np.ones(600)).score(x).tolist() == [0.5] * 600
 
 
+def test_fit_is_the_minimum_of_the_loss():
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(300, 3)) * [1.0, 4.0, 0.2]
+    label = (x @ [1.0, -0.2, 3.0] + draw.normal(size=300) > 0).astype(int)
+    model = ranking.BradleyTerry(x, label, pairs=1500, ridge=0.01, seed=3)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    pick = np.random.default_rng(3)
+    diff = z[pick.choice(np.flatnonzero(label == 1), 1500)] - z[pick.choice(np.flatnonzero(label == 0), 1500)]
+    w = np.zeros(3)
+    for _ in range(8000):  # plain gradient descent on mean(log(1 + exp(-diff w))) + ridge / 2 * |w|^2
+        w -= 0.5 * (-(diff / (1 + np.exp(diff @ w))[:, None]).mean(axis=0) + 0.01 * w)
+    assert np.allclose(model.weights, w, atol=1e-4)
+
+
+def test_repeated_rows_of_a_labelled_document_count_once(spark):
+    texts = [(i, ("Good words in a sound line, number %d. " % i) * 3 if i % 2 else "#### !!! %d" % i) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(2, 0)] * 50, "doc_id long, quality int")
+    once = spark.createDataFrame(texts, "doc_id long, text string")
+    more = spark.createDataFrame(texts + [texts[4]] * 500, "doc_id long, text string").repartition(5)
+    a, b = ranking.fit(once, labels, 40, 500), ranking.fit(more, labels, 40, 500)
+    assert np.array_equal(a.weights, b.weights) and a.cut == b.cut
+
+
 def test_ranking_odd_rows(spark, odd, clashing, empty):
     labels = spark.createDataFrame([(1, 1), (9, 0), (9, None), (None, 1), (77, 0), (8, 0)], "doc_id long, quality int")
     model = ranking.fit(clashing, labels)
