@@ -9,6 +9,8 @@ The rendering of a message is ``<|turn|>role<|text|>text<|end|>`` and a line fee
 control string of the common chat templates (``<|``, ``<s>``, ``</s>``, ``[INST]``, ``[/INST]``) gets a backslash
 after its first character, as does one that already has backslashes there; taking one away restores the text.
 
+``streamed_events`` writes finished messages as the log that a chat service leaves: pieces, drafts, edits.
+
 Defined cases: null text and role are empty; null turn and conversation are keys like others, nulls first; events
 with equal ``seq`` are ordered by event, role and text, repeated rows count each; an empty log gives no rows; other
 columns are ignored.
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 
 from doccensus.llm.shared import let
 
+#: code points of a streamed piece
+PIECE = 64
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>\n"
 CONTROL = r"([<\[])(\\*)(\||/?s>|/?INST\])"
 ESCAPED = r"([<\[])\\(\\*)(\||/?s>|/?INST\])"
@@ -39,6 +43,41 @@ def as_events(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", "turn", F.col("turn").alias("seq"), F.lit("message").alias("event"), "role", "text")
 
 
+def streamed_events(messages: DataFrame, piece: int = PIECE) -> DataFrame:
+    """A table of finished messages as a log of streamed ones, which folds to the same messages.
+
+    By a hash of its key a message is streamed in pieces, or streamed as a draft (its text backwards) that is regenerated
+    in pieces, or streamed as a draft that an edit replaces. Messages of one turn follow each other by role and text.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    by = Window.partitionBy("conv_id", "turn").orderBy("role", "text")
+    numbered = messages.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn("n", F.row_number().over(by))
+
+    def event(name: str, role: Column, text: Column) -> Column:
+        return F.struct(F.lit(name).alias("event"), role.cast("string").alias("role"), text.cast("string").alias("text"))
+
+    def pieces(text: Column) -> Column:
+        return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))
+
+    def deltas(parts: Column) -> Column:
+        return F.transform(parts, lambda p: event("delta", F.lit(None), p))
+
+    def streamed(parts: Column) -> Column:
+        first = F.coalesce(F.get(parts, F.lit(0)), F.lit(""))
+        return F.concat(F.array(event("message", F.col("role"), first)), deltas(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1)))))
+
+    draft = let(pieces(F.reverse("text")), streamed)
+    again = F.array(event("regenerate", F.lit(None), F.lit(None)))
+    kind = F.pmod(F.xxhash64("conv_id", "turn", "n"), F.lit(3))
+    events = (
+        F.when(kind == 0, let(pieces(F.col("text")), streamed))
+        .when(kind == 1, F.concat(draft, again, deltas(pieces(F.col("text")))))
+        .otherwise(F.concat(draft, F.array(event("edit", F.lit(None), F.col("text")))))
+    )
+    told = numbered.select("conv_id", "turn", "n", F.posexplode(events).alias("k", "e"))
+    return told.select("conv_id", "turn", (F.col("n").cast("long") * (1 << 32) + F.col("k")).alias("seq"), "e.event", "e.role", "e.text")
+
+
 def fold_events(log: DataFrame) -> DataFrame:
     """Final messages: conv_id, turn, position (0-based, within the turn), role, text."""
     event = F.struct(

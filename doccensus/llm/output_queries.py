@@ -31,7 +31,7 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(_HARD).alias("text"),
     )
-    made = chat.format_conversations(chat.as_events(given.unionByName(hard)))
+    made = chat.format_conversations(chat.streamed_events(given.unionByName(hard)))
     read = made.select(
         "conv_id", chat.parse(F.col("formatted")).alias("turns"),
         chat.masked_text(F.col("formatted"), F.col("loss_spans")).alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"),

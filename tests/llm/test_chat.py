@@ -49,6 +49,19 @@ def test_round_trip(spark):
         assert len(r["loss_spans"]) == sum(role == "assistant" for role, _ in mine)
 
 
+@pytest.mark.parametrize("piece", [1, 7, 64])
+def test_streamed_log_folds_to_its_messages(spark, piece):
+    texts = ["", None, "x" * 64, "é😀 [INST]\n" * 30, "short", "</s>"]
+    given_ = [(k, i % 4 if k else None, "assistant" if i % 2 else None, t) for k in range(9) for i, t in enumerate(texts)] + [(None, 0, "user", "a")] * 2
+    frame = spark.createDataFrame(given_, "conv_id long, turn long, role string, text string").repartition(3)
+    log = chat.streamed_events(frame, piece)
+    assert {r["event"] for r in log.select("event").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    mixed = log.orderBy(F.xxhash64("text", "seq"))
+    got = [(r["conv_id"], r["turn"], r["role"], r["text"]) for r in chat.fold_events(mixed).orderBy("conv_id", "turn", "position").collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or 0, r[2], r[3])
+    assert got == sorted([(c, t, role or "", text or "") for c, t, role, text in given_], key=key)
+
+
 def test_odd_rows(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.format_conversations(chat.as_events(empty)).count() == 0
