@@ -43,6 +43,9 @@ def _literal(text: str) -> str:
 _PAIRS = r"""list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))])"""
 _WORDS = r"""string_split(trim(regexp_replace(lower({}), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g')), ' ')"""
 
+_LONG = [(t, name, len(licences._words(text)), text) for t, (name, text) in enumerate(licences.TEMPLATES)]
+_PLACES = [(t, word, p) for t, _, _, text in _LONG for word, p in licences.key_places(text)]
+
 ORACLE["op5_licences"] = f"""
 WITH lines AS (
   SELECT row_number() OVER () AS rid, doc_id, text FROM documents WHERE text IS NOT NULL),
@@ -55,10 +58,33 @@ known AS (
     SELECT licence, {_WORDS.format("t")} AS ws FROM (VALUES {", ".join(f"({_literal(n)}, {_literal(t)})" for n, t in licences.TEMPLATES)}) v(licence, t))),
 hits AS (
   SELECT rid, doc_id, segment, licence, len(a)::INT AS n_bigrams, len(b)::INT AS n_template, len(list_intersect(a, b))::INT AS shared
-  FROM found JOIN known ON len(a) * {licences.MIN_DICE} <= len(b) * {200 - licences.MIN_DICE} AND len(b) * {licences.MIN_DICE} <= len(a) * {200 - licences.MIN_DICE})
-SELECT doc_id, segment, licence, n_bigrams, n_template, shared, 2 * shared / (n_bigrams + n_template) AS dice
-FROM hits WHERE 200 * shared >= {licences.MIN_DICE} * (n_bigrams + n_template)
-QUALIFY row_number() OVER (PARTITION BY rid, segment ORDER BY 2 * shared / (n_bigrams + n_template) DESC, licence, n_template) = 1
+  FROM found JOIN known ON len(a) * {licences.MIN_DICE} <= len(b) * {200 - licences.MIN_DICE} AND len(b) * {licences.MIN_DICE} <= len(a) * {200 - licences.MIN_DICE}),
+lined AS (
+  SELECT * FROM hits WHERE 200 * shared >= {licences.MIN_DICE} * (n_bigrams + n_template)
+  QUALIFY row_number() OVER (PARTITION BY rid, segment ORDER BY 2 * shared / (n_bigrams + n_template) DESC, licence, n_template) = 1),
+whole AS (SELECT rid, doc_id, {_WORDS.format("text")} AS ws FROM lines),
+template AS (
+  SELECT t, licence, n, {_PAIRS} AS b FROM (
+    SELECT t, licence, n, {_WORDS.format("x")} AS ws FROM (VALUES {", ".join(f"({t}, {_literal(name)}, {n}, {_literal(text)})" for t, name, n, text in _LONG)}) v(t, licence, n, x))),
+place AS (SELECT * FROM (VALUES {", ".join(f"({t}, {_literal(word)}, {p})" for t, word, p in _PLACES)}) v(t, word, p)),
+laid AS (
+  SELECT DISTINCT rid, t, greatest(i - p, 0) AS start
+  FROM (SELECT rid, unnest(ws) AS word, unnest(range(len(ws))) AS i FROM whole) JOIN place USING (word)),
+cut AS (
+  SELECT rid, doc_id, start, licence, n, b, {_PAIRS} AS a FROM (
+    SELECT rid, doc_id, start, licence, n, b, ws[start + 1 : start + n] AS ws FROM laid JOIN whole USING (rid) JOIN template USING (t))),
+near AS (
+  SELECT rid, doc_id, start, licence, n, len(a)::INT AS n_bigrams, len(b)::INT AS n_template, len(list_intersect(a, b))::INT AS shared FROM cut),
+best AS (
+  SELECT *, row_number() OVER (PARTITION BY rid ORDER BY n_bigrams + n_template - 3 * shared, start, licence, n_template, shared, n_bigrams, n) AS rank
+  FROM (
+    SELECT * FROM near WHERE 200 * shared >= {licences.MIN_DICE} * (n_bigrams + n_template)
+    QUALIFY row_number() OVER (PARTITION BY rid, licence ORDER BY n_bigrams + n_template - 3 * shared, start, n_template, shared, n_bigrams, n) = 1)),
+inside AS (
+  SELECT * FROM best h WHERE NOT EXISTS (
+    SELECT 1 FROM best g WHERE g.rid = h.rid AND g.rank < h.rank AND g.start < h.start + h.n AND h.start < g.start + g.n))
+SELECT doc_id, segment, NULL::INT AS start, licence, n_bigrams, n_template, shared, 2 * shared / (n_bigrams + n_template) AS dice FROM lined
+UNION ALL SELECT doc_id, -2, start, licence, n_bigrams, n_template, shared, 2 * shared / (n_bigrams + n_template) FROM inside
 """
 
 _CHARS = ", ".join(f"length(t) - length(regexp_replace(t, {_literal('[' + c + ']+')}, '', 'g'))" for c in rules.CHAR_CLASSES)
