@@ -133,3 +133,18 @@ def test_relevant_docs_brute_force(spark, chunk):
             if repo == other and hits > 3:
                 want.add((n, d, hits))
     assert {tuple(r) for r in got.collect()} == want and want
+
+
+# ── nothing that grows comes to the driver ──────────────────────────────
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_index_is_not_broadcast(spark):
+    texts = spark.createDataFrame([("s", "https://x.org/docs/guide"), ("s", "https://x.org/blog")], "site string, text string")
+    words = spark.createDataFrame([("s", "guide"), ("s", "blog"), ("s", "absent"), ("t", "blog")], "site string, kw string")
+    found = I.contained_words(words, texts, "site", "kw", "text")
+    assert "BroadcastExchange" not in _plan(found)
+    assert {tuple(r) for r in found.collect()} == {("s", "guide", "https://x.org/docs/guide"), ("s", "blog", "https://x.org/blog")}
