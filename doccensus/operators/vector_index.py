@@ -148,7 +148,8 @@ def _compare(asked: DataFrame, index: VectorIndex, k: int, block: int) -> DataFr
     callers = {r["cell"]: r["n"] for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     held = {int(c): int(n) for c, n in zip(index.grid.cells, index.grid.sizes, strict=True)}
     a, b = _blocks(F.col("cell"), callers, block), _blocks(F.col("cell"), held, block)
-    left = asked.select("cell", "issue_id", "vec", F.pmod(F.xxhash64("issue_id"), a).alias("qa"), F.explode(F.sequence(F.lit(0), b - 1)).alias("pb"))
+    # the keys have the same types on both sides, or their hashes would send equal blocks to different tasks
+    left = asked.select("cell", "issue_id", "vec", F.pmod(F.xxhash64("issue_id"), a).cast("int").alias("qa"), F.explode(F.sequence(F.lit(0), b - 1)).alias("pb"))
     right = index.vectors.select("cell", "page_key", "vec", F.pmod(F.xxhash64("page_key"), b).cast("int").alias("pb"), F.explode(F.sequence(F.lit(0), a - 1)).alias("qa"))
     right = right.filter(F.col("cell").isin(list(callers))) if callers else right.limit(0)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from doccensus.functions.common import rank_within, running_totals
+from doccensus.operators import evidence as E
 from doccensus.operators import issues as I
 from doccensus.operators import vector_index as VI
 
@@ -135,6 +136,13 @@ def test_relevant_docs_brute_force(spark, chunk):
     assert {tuple(r) for r in got.collect()} == want and want
 
 
+def test_index_search_over_many_partitions(many_parts):
+    rng = np.random.default_rng(5)
+    q, p = rng.normal(size=(40, 8)), rng.normal(size=(600, 8))
+    got = VI.search(_frame(many_parts, q, "issue_id"), VI.build_index(_frame(many_parts, p, "page_key")), 5)
+    want = _closest(q, p, 5)
+    assert {(r["issue_id"], r["rank"]): r["page_key"] for r in got.collect()} == {k: v[0] for k, v in want.items()}
+
 # ── nothing that grows comes to the driver ──────────────────────────────
 
 
@@ -148,3 +156,12 @@ def test_word_index_is_not_broadcast(spark):
     found = I.contained_words(words, texts, "site", "kw", "text")
     assert "BroadcastExchange" not in _plan(found)
     assert {tuple(r) for r in found.collect()} == {("s", "guide", "https://x.org/docs/guide"), ("s", "blog", "https://x.org/blog")}
+
+
+def test_page_probes_are_not_broadcast(spark, tmp_path):
+    harvested = spark.createDataFrame([(1, [("llms", "llms.txt", "https://a.org/llms.txt", "", 0)])], "page_id long, asked array<struct<slot:string,purpose:string,url:string,source:string,prio:int>>")
+    harvested.write.parquet(str(tmp_path / "h"))
+    log = spark.createDataFrame([("https://a.org/llms.txt", "llms.txt", 200, 5, "text/plain")], "url string, purpose string, status_code int, duration_ms long, content_type string")
+    made = E.page_probe_log(None, log, None, None, harvested=spark.read.parquet(str(tmp_path / "h")))
+    assert "BroadcastExchange" not in _plan(made)
+    assert [tuple(r) for r in made.collect()] == [(1, "https://a.org/llms.txt", "llms.txt", 200, 5)]
