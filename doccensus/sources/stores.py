@@ -33,13 +33,15 @@ def read_kb(spark: SparkSession, path: str, domain: str, now: Column) -> DataFra
 def upsert_kb(kb: DataFrame, new_pages: DataFrame, now: Column) -> DataFrame:
     """Store contents after a write: the newest row per (domain, url).
 
-    New rows expire a week after ``now``; on equal crawl times they win. An
-    aggregate with map-side reduction, keyed by page rather than by domain.
+    New rows expire a week after ``now``; on equal crawl times they win, and of
+    several old or new ones the greatest by its other columns, whatever the
+    partitions. An aggregate with map-side reduction, keyed by page rather than
+    by domain.
     """
     fresh = new_pages.withColumn("domain", U.kb_domain("url")).withColumn("expires_at", _week_after(now))
     both = kb.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     rest = [x for x in both.columns if x not in ("domain", "url", "_new")]
-    newest = F.max_by(F.struct(*rest), F.struct("crawled_at", "_new")).alias("r")
+    newest = F.max_by(F.struct(*rest), F.struct("crawled_at", "_new", *rest)).alias("r")
     return both.groupBy("domain", "url").agg(newest).select("domain", "url", *[F.col("r")[x].alias(x) for x in rest])
 
 

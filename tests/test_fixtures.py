@@ -522,3 +522,33 @@ def test_platform_fingerprints(spark):
     assert names("<div class='docusaurus'>") == ["doc framework detected"]
     assert names("<div id='swagger-ui'>") == ["API doc framework"]
     assert names("<div class='mintlify docusaurus' id='swagger-ui'>") == ["doc platform fingerprint"]
+
+
+def test_doubtful_slug_findings_cost_too(spark):
+    from doccensus.plans import scoring_queries as SC
+
+    rows = {r["page"]: r["penalty"] for r in SC._penalties(spark, "/root/testdata/sf0.001").filter("page IN (2, 6, 8, 14)").collect()}
+    # 2: two doubtful ones; 6: a certain one reported six times, at most 25
+    assert rows == {2: 6, 6: 25, 8: 6, 14: 25}
+
+
+def test_store_upsert_of_equal_times_has_one_result(spark):
+    at = datetime(2024, 1, 1)
+    rows = [("example-com", "https://example.com/a", t, at, at) for t in ("b", "c", "a")]
+    schema = "domain string, url string, title string, crawled_at timestamp, expires_at timestamp"
+    none = spark.createDataFrame([], "url string, title string, crawled_at timestamp")
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        kept = ST.upsert_kb(spark.createDataFrame(order, schema).coalesce(1), none, F.lit(at)).collect()
+        assert [r["title"] for r in kept] == ["c"]
+
+
+def test_stream_of_a_folder_of_files(spark, tmp_path):
+    from doccensus.plans import streams_queries as SQ
+
+    spark.range(6).repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    spark.range(4).coalesce(1).write.parquet(str(tmp_path / "one"))
+    next((tmp_path / "one").glob("part-*")).rename(tmp_path / "events.parquet")
+    for table, n in (("pages", 6), ("events", 4)):
+        name = f"stream_of_{table}"
+        SQ.stream(spark, str(tmp_path), table).writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+        assert spark.table(name).count() == n
