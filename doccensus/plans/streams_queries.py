@@ -21,9 +21,10 @@ ORACLE: dict = {}
 
 
 def stream(spark, sf_dir, table, name=None):
-    """A given table as a stream, optionally turned into one of the derivations."""
+    """A given table, one file or a folder of files, as a stream, optionally turned into one of the derivations."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    # a stream reads folders; as a pattern the path may also be that of a file
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/{table}.parquet*")
     if "ts" in raw.columns:
         raw = raw.withColumn("ts", F.col("ts").cast("timestamp"))
     return raw if name is None else derived_from(spark, name, **{table: raw})
