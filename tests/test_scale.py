@@ -1,6 +1,7 @@
 """Hot keys, pruned searches and work that must not grow with what it skips."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -143,6 +144,19 @@ def test_index_search_over_many_partitions(many_parts):
     want = _closest(q, p, 5)
     assert {(r["issue_id"], r["rank"]): r["page_key"] for r in got.collect()} == {k: v[0] for k, v in want.items()}
 
+
+def test_common_words_by_join_and_by_product():
+    rng = np.random.default_rng(8)
+    bag = lambda n: [np.sort(rng.choice(300, size=rng.integers(1, 40), replace=False)) for _ in range(n)]
+    q, p = bag(30), bag(50)
+    m = [rng.integers(1, 3, len(x)) for x in q]
+    want = {(i, j, n) for i, x in enumerate(q) for j, y in enumerate(p) if (n := int(m[i][np.isin(x, y)].sum())) >= 4}
+    asked = pd.DataFrame({"number": range(30), "ws": q, "ms": m})
+    held = pd.DataFrame({"doc_id": range(50), "ws": p})
+    for width, few in ((2048, 10**9), (7, 0), (64, 12)):
+        assert {tuple(int(x) for x in r) for r in I._common_words(asked, held, 4, width, few).itertuples(index=False)} == want
+
+
 # ── nothing that grows comes to the driver ──────────────────────────────
 
 
