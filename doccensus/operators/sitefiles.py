@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from doccensus import constants as K
 from doccensus.functions import urls as U
-from doccensus.functions.common import c, extract, extract_all, rank_within, salted_join, settled, top_k, trim_ws
+from doccensus.functions.common import by_shuffle, c, extract, extract_all, rank_within, salted_join, settled, top_k, trim_ws
 
 _LINK_LINE = r"^-?\s*\[([^\]]+)\]\(([^)]+)\)(?:\s*:?\s*(.*))?$"
 
@@ -91,26 +91,27 @@ def relevant_entries(entries: DataFrame, targets: DataFrame) -> DataFrame:
 def to_crawl(entries: DataFrame, targets: DataFrame, kb: DataFrame, cap: int | None = None) -> DataFrame:
     """Relevant entries per target that the store lacks, in order; with ``cap`` the first ones only.
 
-    With a cap each scope is cut to its own first ``cap`` entries before targets join it,
-    which leaves every target's first ``cap`` unchanged.
+    An entry above a target lies above its section too or, being no shorter than it, inside it. So all targets of a section
+    have one list, which is ranked once and then joined: of the pairs, as many as targets times entries of their
+    section, only the result is made. A target that does not lie under its section (an odd path) has a list of its own.
     """
     missing = entries.join(kb.select("url").distinct(), "url", "left_anti")
     order = [F.col("bucket"), F.col("pos"), F.col("url")]
     scoped = relevant_entries(missing, targets)
-    if cap is not None:
-        scoped = top_k(scoped, ["host", "scope", "scope_path"], order, cap, ["url", "pos"], rank="_r").drop("_r")
-    aimed = _placed_targets(targets).distinct()
-    scopes = aimed.select(
-        "target_url", "host",
+    own, root = F.col("path"), (F.col("path") == "") & (F.col("parent") == "/")
+    aimed = settled(_placed_targets(targets).distinct().withColumn("list", F.struct("parent", F.when(~(own.startswith(F.col("parent")) | root), own).alias("own"))))
+    lists = aimed.groupBy("host", "list").agg(F.min("path").alias("path"))
+    scopes = lists.select(
+        "host", "list",
         F.explode(F.array(
-            F.struct(F.lit("section").alias("scope"), F.col("parent").alias("scope_path")),
+            F.struct(F.lit("section").alias("scope"), F.col("list.parent").alias("scope_path")),
             F.struct(F.lit("ancestor").alias("scope"), F.col("path").alias("scope_path")),
         )).alias("s"),
-    ).select("target_url", "host", "s.scope", "s.scope_path")
-    pairs = salted_join(scopes, scoped, ["host", "scope", "scope_path"], ["target_url"]).select("target_url", "bucket", "pos", "url").distinct()
-    if cap is None:
-        return rank_within(pairs, ["target_url"], order)
-    return top_k(pairs, ["target_url"], order, cap, ["url", "pos"])
+    ).select("host", "list", "s.scope", "s.scope_path")
+    own_scope = by_shuffle(scopes)
+    listed = salted_join(scoped, own_scope, ["host", "scope", "scope_path"], ["bucket", "pos"]).select("host", "list", "bucket", "pos", "url").distinct()
+    ranked = rank_within(listed, ["host", "list"], order) if cap is None else top_k(listed, ["host", "list"], order, cap, ["url", "pos"])
+    return salted_join(ranked, by_shuffle(aimed.select("target_url", "host", "list")), ["host", "list"], ["bucket", "pos"]).select("target_url", "bucket", "pos", "url", "rank")
 
 
 def _mapping_lines(files: DataFrame) -> DataFrame:

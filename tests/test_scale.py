@@ -157,6 +157,28 @@ def test_common_words_by_join_and_by_product():
         assert {tuple(int(x) for x in r) for r in I._common_words(asked, held, 4, width, few).itertuples(index=False)} == want
 
 
+
+def test_to_crawl_brute_force(spark):
+    """Lists shared by a section against every target held against every entry; odd paths among them."""
+    from doccensus.operators import sitefiles as S
+
+    paths = ["", "/", "/docs", "/docs/", "/docs/a", "/docs/a/b", "/docs/ab", "/docs/a/b/c", "//x/y", "/docs//z", "/blog?p=1", "/blog?p=2"]
+    strip = lambda p: (p.split("?")[0] or "/").removesuffix("/")
+    parent = lambda p: "/" + "/".join([x for x in p.split("/") if x][:-1])
+    base = "https://a.org"
+    entries = [(base + p, i % 2, i) for i, p in enumerate(paths)] + [(base + "/docs", 1, 90), ("https://b.org/docs", 0, 5)]
+    got = S.to_crawl(
+        spark.createDataFrame(entries, "url string, bucket long, pos long"), spark.createDataFrame([(base + p,) for p in paths], "target_url string"),
+        spark.createDataFrame([(base + "/docs/ab",)], "url string"),
+    )
+    want = set()
+    for p in paths:
+        own = strip(p)
+        held = {(b, n, u) for u, b, n in entries if u != base + "/docs/ab" and u.startswith(base) and (strip(u[13:]).startswith(parent(own)) or own.startswith(strip(u[13:])))}
+        want |= {(base + p, *e, i + 1) for i, e in enumerate(sorted(held))}
+    assert {tuple(r) for r in got.select("target_url", "bucket", "pos", "url", "rank").collect()} == want
+
+
 # ── nothing that grows comes to the driver ──────────────────────────────
 
 
