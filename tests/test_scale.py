@@ -201,3 +201,32 @@ def test_page_probes_are_not_broadcast(spark, tmp_path):
     made = E.page_probe_log(None, log, None, None, harvested=spark.read.parquet(str(tmp_path / "h")))
     assert "BroadcastExchange" not in _plan(made)
     assert [tuple(r) for r in made.collect()] == [(1, "https://a.org/llms.txt", "llms.txt", 200, 5)]
+
+
+def _broadcast_rows(df):
+    """Schemas of the tables that a plan broadcasts."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.initialPlan())
+        if p.nodeName() == "BroadcastExchange":
+            found.append(p.schema().simpleString())
+        children = p.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_words_of_urls_are_not_broadcast(spark, monkeypatch):
+    """Word lists, many times their compressed size, stay out of the driver in every step of the match."""
+    plans, plain = [], I.settled
+    monkeypatch.setattr(I, "settled", lambda df: plans.extend(_broadcast_rows(df)) or plain(df))
+    urls = [("s", f"https://x.org/{'docs/' if i % 2 else ''}guide{i % 3}/word{i}") for i in range(12)]
+    asked = [(1, "s", ["guide", "word1", "docs"]), (2, "s", ["absent"]), (3, "t", ["guide"]), (4, "s", ["word11", "org", "guide2"])]
+    got = I.keyword_page_match(spark.createDataFrame(asked, "issue_id long, site string, keywords array<string>"), spark.createDataFrame(urls, "site string, url string"), k=3)
+    want = set()
+    for n, site, words in asked:
+        scores = [(sum(w in u for w in words) + 0.5 * ("/docs/" in u), u) for s, u in urls if s == site]
+        want |= {(n, u, x, i + 1) for i, (x, u) in enumerate(sorted([p for p in scores if p[0] > 0], key=lambda p: (-p[0], p[1]))[:3])}
+    assert {tuple(r) for r in got.collect()} == want
+    assert not [x for x in plans + _broadcast_rows(got) if "array" in x]
