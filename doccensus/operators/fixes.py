@@ -13,8 +13,10 @@ def issues_to_fix(findings: DataFrame, actions: DataFrame, selected: DataFrame)
     """Distinct texts to fix per page: the selected ones, else findings and actions."""
     chosen = selected.select("page", F.col("text")).distinct()
     every = findings.select("page", F.col("finding").alias("text")).unionByName(actions.select("page", F.col("action").alias("text")))
-    rest = every.join(chosen.select("page").distinct(), "page", "left_anti").distinct()
-    return chosen.unionByName(rest)
+    rest = every.join(chosen.select("page").distinct(), "page", "left_anti")
+    # texts repeat so much that shuffled bytes, by which small partitions are joined, say little of the rows in them
+    parts = max(int(every.sparkSession.conf.get("spark.sql.shuffle.partitions")), every.rdd.getNumPartitions())
+    return chosen.unionByName(rest.repartition(parts, "page").distinct())
 
 
 def _quoted(words: Column, between: str) -> Column:

@@ -230,3 +230,15 @@ def test_words_of_urls_are_not_broadcast(spark, monkeypatch):
         want |= {(n, u, x, i + 1) for i, (x, u) in enumerate(sorted([p for p in scores if p[0] > 0], key=lambda p: (-p[0], p[1]))[:3])}
     assert {tuple(r) for r in got.collect()} == want
     assert not [x for x in plans + _broadcast_rows(got) if "array" in x]
+
+
+def test_texts_to_fix_are_not_gathered(spark):
+    """Texts that compress to next to nothing stay dealt over the session's partitions."""
+    from doccensus.operators import fixes as X
+
+    pages = spark.range(4000).select(F.col("id").alias("page"))
+    findings, actions = pages.select("page", F.lit("same").alias("finding")), pages.select("page", F.explode(F.array(F.lit("same"), F.lit("other"))).alias("action"))
+    got = X.issues_to_fix(findings, actions, pages.filter("page % 5 = 0").select("page", F.lit("picked").alias("text")))
+    assert got.filter("page % 5 <> 0").groupBy(F.spark_partition_id()).count().count() >= 8
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows) == sorted((p, t) for p in range(4000) for t in (["picked"] if p % 5 == 0 else ["same", "other"]))
