@@ -242,3 +242,15 @@ def test_texts_to_fix_are_not_gathered(spark):
     assert got.filter("page % 5 <> 0").groupBy(F.spark_partition_id()).count().count() >= 8
     rows = [tuple(r) for r in got.collect()]
     assert sorted(rows) == sorted((p, t) for p in range(4000) for t in (["picked"] if p % 5 == 0 else ["same", "other"]))
+
+
+def test_squashing_scans_a_text_once(spark):
+    """White space of all kinds, at both ends too, by one pattern."""
+    from doccensus.functions.common import squash_ws
+
+    texts = ["", " ", " a  b\t\n", "\r\n\x0b\x0ca \x0b b", "a", None, "  a  ", "\n" * 5 + "a b" + " " * 9]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", squash_ws(F.col("t")).alias("t"))
+    import re
+
+    assert dict(got.collect()) == {i: None if t is None else re.sub(r"^ | $", "", re.sub(r"[ \t\n\x0b\x0c\r]+", " ", t)) for i, t in enumerate(texts)}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
