@@ -10,8 +10,8 @@ runs have a Jaccard index of 0.8 shares some key with a probability over 0.9999,
 
 How hot keys are treated: every text of a key is first held against the least text of the key (one row for each text
 and key). Components of these links are found, and only keys that still hold texts of different components give
-further pairs, those between the components. There the texts of a key are split by an exact bound: ``e`` edits change at
-most ``e`` words and 2 ``e`` pairs of neighbouring words, so of two similar texts, both with these in one common order,
+further pairs, those between the components. There the texts that crowded keys connect are split, once for each text and
+not for each of its keys, by an exact bound: ``e`` edits change at most ``e`` words and 2 ``e`` pairs of neighbouring words, so of two similar texts, both with these in one common order,
 the first ones have one in common. The order is by how often each occurs, so a passage that many texts share comes
 last and pairs none of them. Each pair left is verified once, so no link between texts of a key is left out; copies and
 texts that are already linked are not paired.
@@ -38,6 +38,9 @@ K, SIMILARITY = 5, 0.8
 SKETCHES, LENGTH = 20, 3
 #: the counts that order word pairs are kept by this many bits of their hash; the order bounds the work, not the result
 COUNT_BITS = 20
+_PART_BITS = 12
+#: edits up to which diagonals are followed
+FEW_EDITS = 24
 _SEEDS = np.random.default_rng(1).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 
 
@@ -96,11 +99,32 @@ def first_units(words: np.ndarray, often: np.ndarray, similarity: float, length:
     return found[np.lexsort((found, often[_bucket(found)]))[:take]]
 
 
+def _by_columns(a: list[int], b: list[int], limit: int) -> int:
+    """Edits between two word sequences, ``limit`` + 1 where there are more: Myers' columns of differences, a bit a word."""
+    n, places = len(a), {}
+    for i, w in enumerate(a):
+        places[w] = places.get(w, 0) | 1 << i
+    every = (1 << n) - 1
+    up, down, edits, rest = every, 0, n, len(b)
+    for w in b:
+        rest -= 1
+        same = places.get(w, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | every & ~(across | up), up & across
+        edits += (more >> n - 1) - (less >> n - 1)
+        if edits - rest > limit:
+            return limit + 1
+        more, same = more << 1 | 1, same | down
+        up, down = (less << 1 | ~(same | more)) & every, more & same & every
+    return min(edits, limit + 1)
+
+
 def edit_distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     """Edits (insert, delete, replace) between two word sequences, ``limit`` + 1 where there are more.
 
     Only diagonals up to ``limit`` from the main one are kept. ``reach[d]`` is how far into ``a`` the first e edits come
-    on each diagonal; runs of equal words are followed without cost, so the work is about the square of the edits.
+    on each diagonal; runs of equal words are followed without cost, so the work is about the square of the edits. Texts
+    that differ by more than ``FEW_EDITS`` are aligned column by column instead.
     """
     head = min(len(a), len(b))
     same = a[:head] == b[:head]
@@ -128,7 +152,7 @@ def edit_distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     reach = {0: follow(0, 0)}
     if goal == 0 and reach[0] >= n:
         return 0
-    for edits in range(1, limit + 1):
+    for edits in range(1, min(limit, FEW_EDITS) + 1):
         nxt = {}
         for d in range(max(-edits, -n), min(edits, m) + 1):
             if abs(d - goal) > limit - edits:
@@ -141,8 +165,8 @@ def edit_distance_within(a: np.ndarray, b: np.ndarray, limit: int) -> int:
             return edits
         reach = nxt
         if not reach:
-            break
-    return limit + 1
+            return limit + 1
+    return _by_columns(left, right, limit) if limit > FEW_EDITS else limit + 1
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -200,10 +224,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
     return pairs.join(b, "b").join(a, "a").select("a", "b", "wa", "wb").mapInPandas(rows, "a long, b long")
 
 
-def _split(rest: DataFrame, texts: DataFrame, similarity: float, length: int) -> DataFrame:
-    """The rows of open keys (key, node, size, root) by their texts' first units: only rows of one key and one unit, now
-    the ``key``, can be similar."""
-    words = texts.join(rest.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+def _often(words: DataFrame, length: int) -> np.ndarray:
+    """A byte for each bucket of units: eight steps for each doubling of their count.
+
+    A task counts what it has read and hands on at most a row for each of ``1 << COUNT_BITS - _PART_BITS`` parts, so the rows
+    follow the tasks and not the words of the texts; the parts are added up apart.
+    """
+    part = 1 << _PART_BITS
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(1 << COUNT_BITS, dtype=np.int64)
@@ -211,12 +238,30 @@ def _split(rest: DataFrame, texts: DataFrame, similarity: float, length: int) ->
             for raw in batch["words"]:
                 np.add.at(total, _bucket(units(np.frombuffer(raw, "<u4"), length)), 1)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
-
-    # at most 2^COUNT_BITS rows, and a byte for each in the tasks: eight steps for each doubling
-    known = words.select("words").mapInPandas(counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+        parts, first = np.unique(at >> _PART_BITS, return_index=True)
+        cut = [(np.bitwise_and(x, part - 1).astype("<u2").tobytes(), total[x].astype("<i8").tobytes()) for x in np.split(at, first[1:])] if len(at) else []
+        yield pd.DataFrame({"part": parts.astype(np.int32), "at": [x for x, _ in cut], "n": [n for _, n in cut]})
+
+    def added(counted: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(part, dtype=np.int64)
+        for at, n in zip(counted["at"], counted["n"], strict=True):
+            total[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<i8")
+        steps = np.minimum(255, 8 * np.log2(np.maximum(total, 1))).astype(np.uint8)
+        return pd.DataFrame({"part": counted["part"].iloc[:1], "steps": [steps.tobytes()]})
+
+    counted = words.select("words").mapInPandas(counts, "part int, at binary, n binary")
+    # at most 2^COUNT_BITS bytes
+    known = counted.groupBy("part").applyInPandas(added, "part int, steps binary").toArrow()
     often = np.zeros(1 << COUNT_BITS, dtype=np.uint8)
-    often[known["bucket"].to_numpy()] = np.minimum(255, 8 * np.log2(known["n"].to_numpy().astype(np.float64)))
+    for at, steps in zip(known["part"].to_pylist(), known["steps"].to_pylist(), strict=True):
+        often[at * part : (at + 1) * part] = np.frombuffer(steps, np.uint8)
+    return often
+
+
+def _split(nodes: DataFrame, texts: DataFrame, similarity: float, length: int) -> DataFrame:
+    """Texts (node, size, root, crowd) by their first units: of one crowd, only those with a common one, the ``key``, can be similar."""
+    words = texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    often = _often(words, length)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -224,12 +269,12 @@ def _split(rest: DataFrame, texts: DataFrame, similarity: float, length: int) ->
             yield pd.DataFrame({"node": batch["doc_id"], "units": made})
 
     found = words.select("doc_id", "words").mapInPandas(rows, "node long, units array<long>")
-    return rest.join(found, "node").select("key", "node", "size", "root", F.explode("units").alias("unit")).withColumn("key", F.xxhash64("key", "unit")).drop("unit")
+    return nodes.join(found, "node").select("node", "size", "root", "crowd", F.explode("units").alias("unit")).select(F.xxhash64("crowd", "unit").alias("key"), "node", "size", "root")
 
 
 def _splits(texts: DataFrame, similarity: float) -> list[Callable[[DataFrame], DataFrame]]:
     """By word pairs, then, where a passage is most of the texts, by words; under 0.5 all word pairs may be changed."""
-    return [lambda rest, n=n: _split(rest, texts, similarity, n) for n in (2, 1) if n == 1 or similarity >= 0.5]
+    return [lambda nodes, n=n: _split(nodes, texts, similarity, n) for n in (2, 1) if n == 1 or similarity >= 0.5]
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

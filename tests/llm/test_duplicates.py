@@ -312,3 +312,31 @@ def test_a_shared_run_of_words_shares_a_paragraph(seed):
         words = np.concatenate([draw.integers(0, 2**63, int(draw.integers(0, 90)), dtype=np.uint64), common, draw.integers(0, 2**63, int(draw.integers(0, 90)), dtype=np.uint64)])
         prints.append(set(passages.paragraphs(words)[1].tolist()))
     assert prints[0] & prints[1]
+
+
+def test_crowded_nodes_are_split_once(spark):
+    """40 nodes of three components under 20 crowded keys: a split gets each node once, and all links are found."""
+    rows = spark.createDataFrame([(n, 100, key) for n in range(40) for key in range(20)], "node long, size int, key long")
+    given_rows, same = [], lambda c: c % 3
+
+    def split(nodes):
+        given_rows.append((nodes.count(), nodes.select("node").distinct().count()))
+        return nodes.select(F.xxhash64("crowd", (F.col("node") % 3)).alias("key"), "node", "size", "root")
+
+    verify = lambda pairs: pairs.filter(same(F.col("a")) == same(F.col("b")))
+    found = graph.links(graph.colliding(rows), verify, 0.8, splits=[split, split])
+    roots = {r["node"]: r["root"] for r in graph.components(found).collect()}
+    assert [a for a, _ in given_rows][0] == 40 and all(a == b for a, b in given_rows)
+    assert roots == {n: n % 3 for n in range(40)}
+
+
+def test_edit_distance_of_far_texts():
+    """Texts with more edits than diagonals are followed for, against the full table."""
+    draw = random.Random(11)
+    for _ in range(150):
+        a = [draw.randrange(12) for _ in range(draw.randrange(1, 120))]
+        b = [x for x in a if draw.random() > 0.3] if draw.random() < 0.5 else [draw.randrange(12) for _ in range(draw.randrange(1, 120))]
+        limit, far = draw.randrange(0, 110), edit_distance(a, b)
+        assert near_duplicates.edit_distance_within(np.array(a, dtype="<u4"), np.array(b, dtype="<u4"), limit) == min(far, limit + 1)
+        if b:
+            assert near_duplicates._by_columns(a, b, limit) == min(far, limit + 1)
