@@ -254,3 +254,15 @@ def test_squashing_scans_a_text_once(spark):
 
     assert dict(got.collect()) == {i: None if t is None else re.sub(r"^ | $", "", re.sub(r"[ \t\n\x0b\x0c\r]+", " ", t)) for i, t in enumerate(texts)}
     assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_issue_status_broadcasts_nothing(spark, monkeypatch):
+    """No table of any size comes to the driver on the way to the status of an issue, the events least of all."""
+    from doccensus.plans import issues_queries as Q
+
+    plans, plain = [], I.settled
+    for module in (I, Q):
+        monkeypatch.setattr(module, "settled", lambda df: plans.extend(_broadcast_rows(df)) or plain(df))
+    summary = Q.QUERIES["i12_status_summary"](spark, "/root/testdata/sf0.001")
+    assert plans + _broadcast_rows(summary) == []
+    assert summary.count() == 1
