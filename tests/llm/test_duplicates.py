@@ -340,3 +340,15 @@ def test_edit_distance_of_far_texts():
         assert near_duplicates.edit_distance_within(np.array(a, dtype="<u4"), np.array(b, dtype="<u4"), limit) == min(far, limit + 1)
         if b:
             assert near_duplicates._by_columns(a, b, limit) == min(far, limit + 1)
+
+
+def test_paragraphs_of_several_texts_at_once():
+    """Short, empty, repetitive and long texts side by side have the paragraphs that each has alone."""
+    draw = random.Random(17)
+    texts = [np.array([draw.randrange(1, draw.choice((2, 3, 500))) for _ in range(n)], dtype=np.uint64) for n in (0, 15, 16, 17, 47, 48, 49, 50, 300, 0, 2000, 90)]
+    texts += [np.ones(100, dtype=np.uint64), texts[8].copy()]
+    number, at, prints, keys = passages.paragraphs_of(texts)
+    for i, words in enumerate(texts):
+        alone = passages.paragraphs(words)
+        assert all(np.array_equal(x[number == i], y) for x, y in zip((at, prints, keys), alone, strict=True))
+    assert not len(passages.paragraphs_of([texts[0]])[1])
