@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from doccensus.llm import decontamination, graph, near_duplicates, passages, repeats
-from doccensus.llm.shared import normal_words
+from doccensus.llm.shared import normal_words, written
 from doccensus.llm.suffix_groups import suffix_array
 
 
@@ -330,6 +330,24 @@ def test_crowded_nodes_are_split_once(spark):
     assert roots == {n: n % 3 for n in range(40)}
 
 
+def test_crowded_keys_are_kept_in_blocks(spark, monkeypatch):
+    """300 nodes with 20 finer keys each: a crowded finer key carries a few rows on, not one for each of its nodes."""
+    rows = spark.createDataFrame([(n, 100, 1) for n in range(300)], "node long, size int, key long")
+    made = {}
+
+    def counted(df, name):
+        table = written(df, name)
+        made[name] = max(made.get(name, 0), table.count())
+        return table
+
+    monkeypatch.setattr(graph, "written", counted)
+    split = lambda nodes: nodes.select(F.explode(F.transform(F.sequence(F.lit(1), F.lit(20)), lambda u: F.xxhash64("crowd", u))).alias("key"), "node", "size", "root")
+    verify = lambda pairs: pairs.filter("a % 3 = b % 3")
+    found = graph.links(graph.colliding(rows), verify, 0.8, splits=[split])
+    assert {r["node"]: r["root"] for r in graph.components(found).collect()} == {n: n % 3 for n in range(300)}
+    assert made["finer-keys"] <= 20 * (1 + 300 // graph.BLOCK)
+
+
 def test_edit_distance_of_far_texts():
     """Texts with more edits than diagonals are followed for, against the full table."""
     draw = random.Random(11)
