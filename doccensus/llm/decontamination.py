@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from doccensus.llm.shared import may_match, written
+from doccensus.llm.shared import may_match, tidy, written
 from doccensus.llm.words import WordNumbers, shingles
 
 MIN_MATCH, START, COVERAGE, BITS = 5, 20, 0.5, 23
@@ -158,6 +158,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
     sizes = tuple(sorted(r[0] for r in items.select("size").distinct().toPandas().itertuples(index=False)))  # at most min_match numbers
     bits = _filter(items)
 
+    @tidy
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         numbers = WordNumbers()
         row = TaskContext.get().partitionId() << 40

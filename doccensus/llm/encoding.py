@@ -57,9 +57,10 @@ class Encoder:
         self.vocabulary = self._tokenizer.get_vocab_size(with_added_tokens=True)
         #: bytes of text behind each id: the byte alphabet writes one character per byte
         self._id_bytes = np.array([len(self._tokenizer.id_to_token(i)) for i in range(self.vocabulary)])
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop the units, as at the end of a task: the worker lives on, and the next task may not need them."""
         self._known: dict[bytes, int] = {}
         self._flat = np.empty(1 << 16, dtype="<u4")
         self._start = np.zeros(1 << 16, dtype=np.int64)  # of unit i in _flat; ends where unit i + 1 starts
@@ -111,7 +112,7 @@ class Encoder:
         units = [whole[a:b] for a, b in zip(at[first].tolist(), at[first + 1].tolist(), strict=True)]
         new = [u for u in units if u not in self._known]
         if len(self._known) + len(new) > MAX_UNITS:
-            self._forget()
+            self.forget()
             new = units
         if new:
             self._learn(new)

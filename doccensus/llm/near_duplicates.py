@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doccensus.llm.graph import colliding, components, links
-from doccensus.llm.shared import may_match, release, written
+from doccensus.llm.shared import may_match, release, tidy, written
 from doccensus.llm.words import WordNumbers, mix, shingles
 
 K, SIMILARITY = 5, 0.8
@@ -188,6 +188,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, print (of all words), n_words, words (64-bit numbers as bytes), keys; texts without words are left out."""
     schema = "doc_id long, print binary, n_words int, words binary, keys array<long>"
 
+    @tidy
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from hashlib import blake2b
 
@@ -294,6 +295,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     words = written(made.select("doc_id", "print", "words").join(held, ["doc_id", "print"], "left_semi").select("doc_id", "words"), "words")
     release(made)
     final = components(links(shared, lambda pairs: _verified(pairs, words, similarity), similarity, splits=_splits(words, similarity)))
+    release(words)
+    release(shared)
     heads_root = member.join(final, member["head"] == final["node"], "left").select("doc_id", F.coalesce("root", "head").alias("class_id"))
     return ids.join(heads_root, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 

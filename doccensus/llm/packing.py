@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doccensus.llm.encoding import default_vocabulary, encoder
+from doccensus.llm.shared import tidy
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _LARGE = np.int64(1) << 60
@@ -85,6 +86,7 @@ def pack_documents(docs: DataFrame, window: int = 1024, vocabulary: str | None =
     """
     path = vocabulary or default_vocabulary()
 
+    @tidy
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         number = TaskContext.get().partitionId() << 40
@@ -113,5 +115,6 @@ def pack_documents(docs: DataFrame, window: int = 1024, vocabulary: str | None =
         packer.finish()
         if out:
             yield taken()
+        encoder(path).forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(pack, SCHEMA)

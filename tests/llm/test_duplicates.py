@@ -348,6 +348,26 @@ def test_crowded_keys_are_kept_in_blocks(spark, monkeypatch):
     assert made["finer-keys"] <= 20 * (1 + 300 // graph.BLOCK)
 
 
+def test_places_without_repeats_are_not_shuffled(spark, monkeypatch):
+    draw = random.Random(3)
+    texts = [prose(draw, 300) for _ in range(40)]
+    texts.append(prose(draw, 20) + texts[0] + prose(draw, 20))
+    passed = []
+
+    def seen(rows, *more):
+        out = repeats_filter(rows, *more)
+        if "starts" in rows.columns:
+            passed.append((out.count(), out.filter("maybe").count()))
+        return out
+
+    repeats_filter = repeats.may_match
+    monkeypatch.setattr(repeats, "may_match", seen)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.without_repeats(frame, 40, 27, 5).collect()}
+    assert got == dict(enumerate(cut_by_hand(texts, 40)))
+    assert len(passed) == 1 and passed[0][1] < passed[0][0] / 4
+
+
 def test_edit_distance_of_far_texts():
     """Texts with more edits than diagonals are followed for, against the full table."""
     draw = random.Random(11)

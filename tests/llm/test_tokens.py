@@ -34,6 +34,22 @@ def test_encoder_is_the_library(coder, plain, texts):
     assert [x.tolist() for x in coder.encode_all(texts)] == [plain(t) for t in texts]
 
 
+def test_workers_keep_no_units(spark):
+    """The Python workers that packed texts live on, without the units they learnt."""
+    texts = spark.range(400).selectExpr("id AS doc_id", "concat('unit', id, ' of', id * 7) AS text").repartition(8)
+    assert packing.pack_documents(texts).count() >= 400
+
+    def known(batches):
+        import sys
+
+        for batch in batches:
+            there = sys.modules.get("doccensus.llm.encoding")
+            batch["id"] = sum(len(e._known) for e in there._ENCODERS.values()) if there else 0
+            yield batch
+
+    assert spark.range(64).repartition(32).mapInPandas(known, "id long").agg({"id": "max"}).first()[0] == 0
+
+
 def test_encoder_forgets(coder, plain, monkeypatch):
     monkeypatch.setattr("doccensus.llm.encoding.MAX_UNITS", 3)
     texts = ["one two three", "four five six seven", "one two <|endoftext|>"] * 2
