@@ -266,3 +266,36 @@ def test_issue_status_broadcasts_nothing(spark, monkeypatch):
     summary = Q.QUERIES["i12_status_summary"](spark, "/root/testdata/sf0.001")
     assert plans + _broadcast_rows(summary) == []
     assert summary.count() == 1
+
+
+def test_page_match_keeps_no_pairs(spark, monkeypatch):
+    """Many URLs that tie: a set writes its best classes of a block, in any number of blocks, not every class it meets."""
+    import random
+
+    made, plain = [], I.settled
+
+    def counted(df):
+        made.append((df.columns, (out := plain(df)).count()))
+        return out
+
+    monkeypatch.setattr(I, "settled", counted)
+    rng = random.Random(3)
+    urls = [(f"s{i % 2}", f"https://x.org/{rng.choice(['docs', 'Docs', 'blog'])}/{'-'.join(rng.sample(['alpha', 'beta', 'gamma', 'delta'], 2))}/p{i}") for i in range(300)]
+    words = ["alpha", "beta", "gamma", "delta", "p11", "p27", "docs", "two words", "g/b", "p299"]
+    asked = [(i, f"s{rng.randrange(3)}", rng.sample(words, rng.randrange(6))) for i in range(60)] + [(7, "s0", ["p44", "alpha"]), (None, "s1", ["alpha"]), (99, None, ["alpha"]), (98, "s0", None)]
+    frames = spark.createDataFrame(asked, "issue_id long, site string, keywords array<string>"), spark.createDataFrame(urls, "site string, url string")
+    of = {}
+    for n, site, ws in asked:
+        of.setdefault((n, site), set()).update(ws or () if n is not None else ())
+    want = []
+    for n, site, _ in asked:
+        scores = [(sum(w in u.lower() for w in of[n, site]) + 0.5 * ("/docs/" in u.lower()), u) for s, u in urls if s == site]
+        want += [(n, u, x, i + 1) for i, (x, u) in enumerate(sorted([p for p in scores if p[0] > 0], key=lambda p: (-p[0], p[1]))[:5])]
+    key = lambda r: tuple(str(x) for x in r)
+    for chunk in (16384, 20):
+        made.clear()
+        got = [tuple(r) for r in I.keyword_page_match(*frames, **({"chunk": chunk} if chunk < 16384 else {})).collect()]
+        assert sorted(set(got), key=key) == sorted(set(want), key=key)
+        blocks = 1 if chunk == 16384 else 8
+        assert all(n <= 5 * len(asked) * blocks for columns, n in made if "score" in columns)
+    assert any("score" in columns for columns, _ in made)
