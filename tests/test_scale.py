@@ -299,3 +299,41 @@ def test_page_match_keeps_no_pairs(spark, monkeypatch):
         blocks = 1 if chunk == 16384 else 8
         assert all(n <= 5 * len(asked) * blocks for columns, n in made if "score" in columns)
     assert any("score" in columns for columns, _ in made)
+
+
+def _exchanged_rows(df):
+    """Schemas of the tables that a plan shuffles."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        if p.nodeName() == "AdaptiveSparkPlan":
+            todo.append(p.initialPlan())
+        if p.nodeName() == "Exchange":
+            found.append(p.schema().simpleString())
+        children = p.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_evidence_leaves_most_keywords_at_home(spark, monkeypatch):
+    """Keywords go as text, first ones first; repeated rows, nulls and words that only the rest settles give the same as by hand."""
+    plans, plain = [], I.settled
+    monkeypatch.setattr(I, "settled", lambda df: plans.extend(_exchanged_rows(df)) or plain(df))
+    many = [f"word{i}" for i in range(40)]
+    asked = [(1, "t", "other", many), (1, "t", "other", many), (2, "t", "other", many[:20] + ["a b", "c-d"]), (3, "t", "other", []), (4, "t", "other", ["word1", "word2"]), (5, "t", "other", ["word1", "word1"])]
+    html = {10: "word38 WORD39 error", 11: "word1 xword2x", 12: "a b, c-d", 13: "word39 only", 14: None, 15: ""}
+    pairs = [(i, p, 0.5) for i in (1, 2, 3, 4, 5) for p in (10, 11, 12, 13, 14, 15, 16)]
+    pages = [(p, h) for p, h in html.items()] + [(11, html[11])]
+    got = I.page_evidence(
+        spark.createDataFrame(pairs, "issue_id long, page_id long, similarity double"),
+        spark.createDataFrame(asked, "issue_id long, title string, category string, keywords array<string>"), spark.createDataFrame(pages, "page_id long, html string"),
+    )
+    rows = sorted((r.issue_id, r.page_id, r.loaded, r.relevant) for r in got.collect())
+    want = []
+    for i, _, _, words in asked:
+        for j, p, _ in pairs:
+            for q, h in [x for x in pages if x[0] == p] or [(p, None)]:
+                if i == j:
+                    want.append((i, p, p != 16, sum(w in (h or "").lower() for w in words) >= 2))
+    assert rows == sorted(want)
+    assert not [x for x in plans + _exchanged_rows(got) if "page_id" in x and "plain" in x]
