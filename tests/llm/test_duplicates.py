@@ -390,3 +390,34 @@ def test_paragraphs_of_several_texts_at_once():
         alone = passages.paragraphs(words)
         assert all(np.array_equal(x[number == i], y) for x, y in zip((at, prints, keys), alone, strict=True))
     assert not len(passages.paragraphs_of([texts[0]])[1])
+
+
+def test_every_word_lies_in_a_paragraph():
+    """Texts of any length and of one repeated word are cut without gaps, whatever stands beside them."""
+    draw = random.Random(19)
+    sizes = [0, 3, 15, 16, 17, 31, 32, 33, 47, 48, 49, 50, 64, 100, 333, 2000]
+    texts = [np.array([draw.randrange(1, many) for _ in range(n)], dtype=np.uint64) for n in sizes for many in (2, 3, 400)]
+    draw.shuffle(texts)
+    number, at, _, _ = passages.paragraphs_of(texts)
+    for i, words in enumerate(texts):
+        mine = at[number == i]
+        covered = np.zeros(len(words), dtype=bool)
+        for a in mine:
+            covered[a : a + passages.SIZE] = True
+        assert covered.all() if len(words) >= passages.SIZE else not len(mine)
+        assert len(set(mine)) == len(mine) and not len(mine) or 0 <= mine.min() <= mine.max() <= len(words) - passages.SIZE
+        assert set(passages.starts(words)) <= set(mine)
+
+
+def test_words_between_cuts_are_reported(spark):
+    """A passage of 300 words that two texts share is reported but for its ends."""
+    draw = random.Random(23)
+    passage = prose(draw, 300).split()
+    docs = [" ".join(prose(draw, 70).split() + passage + prose(draw, 70).split()) for _ in range(2)]
+    rows = passages.repeated_passages(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    for doc in (0, 1):
+        words = normal_words(docs[doc])
+        begin = next(i for i in range(len(words)) if words[i : i + 20] == normal_words(" ".join(passage))[:20])
+        held = {w for r in rows if r["doc_id"] == doc for w in range(r["word_start"], r["word_start"] + r["n_words"])}
+        inside = range(begin + passages.SPAN + passages.SIZE, begin + 300 - passages.SPAN - passages.SIZE)
+        assert set(inside) <= held
